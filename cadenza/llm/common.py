@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,37 @@ def is_held_out(doc_id: Column) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: As ASCII_LOWER, and turns every ASCII byte but letters and digits into a space.
+ALNUM_LOWER = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else ASCII_LOWER[b] for b in range(256))
+
+
+class TokenHashes(dict):
+    """64-bit hashes of tokens (bytes), kept while there are fewer than ``most``."""
+
+    def __init__(self, most: int = 1_000_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[token] = self.of(token)
+        return value
+
+    def of(self, token: bytes) -> int:
+        return xxhash.xxh64_intdigest(token)
+
+    def array(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def alnum_tokens(text: str | None) -> list[bytes]:
+    """Runs of letters, digits and non-ASCII characters, with A-Z lower-cased, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(ALNUM_LOWER).split() if text else []
+
+
+def space_tokens(text: str | None) -> list[bytes]:
+    """Runs of anything but a space and the control characters 9 to 13, with A-Z lower-cased, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []

@@ -8,9 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import read_table
+from cadenza.llm.decontamination import contamination
+from cadenza.llm.quality_rules import apply_rules, log_ratios, trusted_ids
 from cadenza.llm.sharding import assign_shards
 
 SHARDS = 40
+WINDOW_WORDS = 10
+#: Labelled documents, at most, that the trusted multinomial of op9 is counted over.
+TRUSTED_DOCS = 20_000
+LLR_THRESHOLD = -0.3
+
+
+def op2_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination(docs, read_table(spark, sf_dir, "benchmark"), WINDOW_WORDS)
+
+
+def op9_ngram_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = log_ratios(docs, trusted_ids(read_table(spark, sf_dir, "labels"), TRUSTED_DOCS))
+    return apply_rules(docs, ratios, LLR_THRESHOLD).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"
+    )
 
 
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +38,8 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_positional_index_decontamination": op2_positional_index_decontamination,
+    "op9_ngram_llr_rules": op9_ngram_llr_rules,
     "op10_jump_sharding": op10_jump_sharding,
 }
 
