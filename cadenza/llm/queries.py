@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import read_table
+from cadenza.llm import quality_classifier
+from cadenza.llm.common import is_held_out, read_table
 from cadenza.llm.decontamination import contamination
 from cadenza.llm.quality_rules import apply_rules, log_ratios, trusted_ids
 from cadenza.llm.sharding import assign_shards
@@ -17,6 +18,7 @@ WINDOW_WORDS = 10
 #: Labelled documents, at most, that the trusted multinomial of op9 is counted over.
 TRUSTED_DOCS = 20_000
 LLR_THRESHOLD = -0.3
+QUALITY_THRESHOLD = 0.3
 
 
 def op2_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,15 @@ def op2_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return contamination(docs, read_table(spark, sf_dir, "benchmark"), WINDOW_WORDS)
 
 
+def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs, model)
+    return scored.select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= QUALITY_THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op9_ngram_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     ratios = log_ratios(docs, trusted_ids(read_table(spark, sf_dir, "labels"), TRUSTED_DOCS))
@@ -39,6 +50,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_positional_index_decontamination": op2_positional_index_decontamination,
+    "op5_random_indexing_quality": op5_random_indexing_quality,
     "op9_ngram_llr_rules": op9_ngram_llr_rules,
     "op10_jump_sharding": op10_jump_sharding,
 }
