@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.llm import quality_classifier
 from cadenza.llm.common import is_held_out, read_table
 from cadenza.llm.decontamination import contamination
+from cadenza.llm.jaccard_join import near_duplicates
 from cadenza.llm.quality_rules import apply_rules, log_ratios, trusted_ids
 from cadenza.llm.sharding import assign_shards
 
@@ -26,6 +27,10 @@ def op2_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return contamination(docs, read_table(spark, sf_dir, "benchmark"), WINDOW_WORDS)
 
 
+def op4_parity_sketch_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -50,6 +55,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_positional_index_decontamination": op2_positional_index_decontamination,
+    "op4_parity_sketch_jaccard": op4_parity_sketch_jaccard,
     "op5_random_indexing_quality": op5_random_indexing_quality,
     "op9_ngram_llr_rules": op9_ngram_llr_rules,
     "op10_jump_sharding": op10_jump_sharding,
