@@ -11,6 +11,7 @@ from cadenza.llm import quality_classifier
 from cadenza.llm.common import is_held_out, read_table
 from cadenza.llm.decontamination import contamination
 from cadenza.llm.jaccard_join import near_duplicates
+from cadenza.llm.mixing import mix
 from cadenza.llm.quality_rules import apply_rules, log_ratios, trusted_ids
 from cadenza.llm.sharding import assign_shards
 
@@ -20,6 +21,10 @@ WINDOW_WORDS = 10
 TRUSTED_DOCS = 20_000
 LLR_THRESHOLD = -0.3
 QUALITY_THRESHOLD = 0.3
+#: Of the corpus's tokens, how many the mixture may have; how often a document may be repeated; integer weights.
+MIX_FRACTION, MIX_EPOCHS, MIX_SEED = 0.75, 2, 17
+MIX_LEVELS = ("domain", "lang", "source")
+MIX_WEIGHTS = {"domain": {"books": 3, "forums": 2, "web": 5}, "lang": {"en": 45, "de": 20, "fr": 20, "es": 15}}
 
 
 def op2_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +45,18 @@ def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` mixed by domain (here given by the number in the source's name), language and source."""
+    number = F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0))
+    domain = F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("forums")), number % 3 + 1)
+    return mix(docs.withColumn("domain", domain), MIX_LEVELS, MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED)
+
+
+def op7_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixed(docs).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def op9_ngram_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     ratios = log_ratios(docs, trusted_ids(read_table(spark, sf_dir, "labels"), TRUSTED_DOCS))
@@ -57,8 +74,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_positional_index_decontamination": op2_positional_index_decontamination,
     "op4_parity_sketch_jaccard": op4_parity_sketch_jaccard,
     "op5_random_indexing_quality": op5_random_indexing_quality,
+    "op7_hierarchical_mixing": op7_hierarchical_mixing,
     "op9_ngram_llr_rules": op9_ngram_llr_rules,
     "op10_jump_sharding": op10_jump_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _share_sql(name: str, level: str, parents: tuple[str, ...], weight: str) -> str:
+    """The CTEs that hand the budget of ``parents`` to the nodes of ``level``."""
+    here = ", ".join((*parents, level))
+    joined = "using (" + ", ".join(parents) + ")" if parents else "on true"
+    part = "partition by " + ", ".join(parents) if parents else ""
+    given = f"d{len(parents)}"
+    return f"""
+{name}a as (select n.*, {given}.given, ({weight})::bigint as weight from (select {here}, sum(cap)::bigint cap from caps group by all) n join {given} {joined}),
+{name}b as (select *, case when weight > 0 then cap::double / weight::double else 1e308 end ratio from {name}a),
+{name}c as (select *, coalesce(sum(cap) over ({part} order by ratio, {level} rows between unbounded preceding and 1 preceding), 0) used,
+  sum(weight) over ({part} order by ratio, {level} rows between current row and unbounded following) heavy from {name}b),
+{name}e as (select *, case when heavy > 0 then greatest(given - used, 0)::double / heavy::double else 0 end rate from {name}c),
+{name}f as (select *, coalesce(max(case when ratio > rate then rate end) over ({part}), 0) lev from {name}e),
+d{len(parents) + 1} as (select {here}, (case when ratio <= rate then cap else least(cap, floor(lev * weight::double)) end)::bigint given from {name}f)"""
+
+
+def _mixing_sql() -> str:
+    def case(level: str) -> str:
+        given = MIX_WEIGHTS.get(level, {})
+        return f"case {level} " + " ".join(f"when '{k}' then {v}" for k, v in given.items()) + " else 1 end" if given else "1"
+
+    shares = ",".join(_share_sql(f"s{i}", level, MIX_LEVELS[:i], case(level)) for i, level in enumerate(MIX_LEVELS))
+    return f"""with docs as (
+  select doc_id, lang, source, ['web', 'books', 'forums'][coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) as int), 0) % 3 + 1] as domain,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint n_tokens from documents),
+leaves as (select domain, lang, source, sum(n_tokens)::bigint tokens from docs group by all),
+caps as (select *, tokens * {MIX_EPOCHS} as cap from leaves),
+d0 as (select floor(sum(tokens)::double * {MIX_FRACTION})::bigint given from leaves),{shares},
+plan as (select l.domain, l.lang, l.source, l.tokens, d3.given budget, least({MIX_EPOCHS}, case when tokens > 0 then floor(d3.given / tokens)::int else 0 end) whole
+  from leaves l join d3 using (domain, lang, source) where d3.given > 0),
+summed as (select d.*, p.whole, p.budget - p.whole * p.tokens rest, sum(n_tokens) over (partition by d.domain, d.lang, d.source
+  order by substr(md5('{MIX_SEED}:' || p.whole || ':' || doc_id), 1, 8), doc_id, n_tokens rows between unbounded preceding and current row) s
+  from docs d join plan p using (domain, lang, source)),
+times as (select *, least({MIX_EPOCHS}, whole + (s <= rest)::int) n from summed)
+select doc_id, domain, lang, source, n_tokens, unnest(range(0, n))::int as epoch from times where n > 0"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_hierarchical_mixing": _mixing_sql(),
+}
