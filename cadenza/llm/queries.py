@@ -14,6 +14,8 @@ from cadenza.llm.jaccard_join import near_duplicates
 from cadenza.llm.mixing import mix
 from cadenza.llm.quality_rules import apply_rules, log_ratios, trusted_ids
 from cadenza.llm.sharding import assign_shards
+from cadenza.llm.span_dedup import remove_repeated_spans
+from cadenza.llm.warc import archive_round_trip
 
 SHARDS = 40
 WINDOW_WORDS = 10
@@ -27,11 +29,20 @@ MIX_LEVELS = ("domain", "lang", "source")
 MIX_WEIGHTS = {"domain": {"books": 3, "forums": 2, "web": 5}, "lang": {"en": 45, "de": 20, "fr": 20, "es": 15}}
 
 
+def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = archive_round_trip(read_table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
 def op2_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(docs, read_table(spark, sf_dir, "benchmark"), WINDOW_WORDS)
 
 
+def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op4_parity_sketch_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -71,7 +82,9 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_zstd": op1_warc_zstd,
     "op2_positional_index_decontamination": op2_positional_index_decontamination,
+    "op3_sentence_span_dedup": op3_sentence_span_dedup,
     "op4_parity_sketch_jaccard": op4_parity_sketch_jaccard,
     "op5_random_indexing_quality": op5_random_indexing_quality,
     "op7_hierarchical_mixing": op7_hierarchical_mixing,
