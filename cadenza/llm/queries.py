@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import quality_classifier
+from cadenza.llm import language_id, quality_classifier, secret_scan
 from cadenza.llm.common import is_held_out, read_table
 from cadenza.llm.decontamination import contamination
 from cadenza.llm.jaccard_join import near_duplicates
@@ -56,6 +56,12 @@ def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` mixed by domain (here given by the number in the source's name), language and source."""
     number = F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0))
@@ -68,6 +74,11 @@ def op7_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op8_inferred_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.scan(docs, secret_scan.fit(docs)).drop("text")
+
+
 def op9_ngram_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     ratios = log_ratios(docs, trusted_ids(read_table(spark, sf_dir, "labels"), TRUSTED_DOCS))
@@ -87,7 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentence_span_dedup": op3_sentence_span_dedup,
     "op4_parity_sketch_jaccard": op4_parity_sketch_jaccard,
     "op5_random_indexing_quality": op5_random_indexing_quality,
+    "op6_byte_cnn_language": op6_byte_cnn_language,
     "op7_hierarchical_mixing": op7_hierarchical_mixing,
+    "op8_inferred_secret_formats": op8_inferred_secret_formats,
     "op9_ngram_llr_rules": op9_ngram_llr_rules,
     "op10_jump_sharding": op10_jump_sharding,
 }
