@@ -1 +1,6 @@
-"""Catalog cleaning, linking, merging and analysis on Spark DataFrames."""
+"""Named queries over the driver's tables."""
+
+from cadenza.plans import browse_queries  # noqa: F401
+from cadenza.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
