@@ -9,8 +9,9 @@ the edge of two bands is sketched for both.
 With S of about twice the bound, a document may leave out its blocks that other documents most likely share
 by chance, those of the fewest shingles, and still share a kept block with every partner: both sides rank
 blocks by the same rule, at least S - d blocks agree, and fewer than that are left out. Kept blocks are
-joined on their values, and links are verified on the shingle sets. Sets are compared by 64-bit hashes of
-their shingles.
+joined on their values. A second, dense sketch of PARITY_BITS bits bounds the difference of such a pair from
+below by its Hamming distance and drops pairs that can't link; the others are verified on the shingle sets. Sets
+are compared by 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import TokenHashes, materialize, space_tokens
@@ -31,7 +32,9 @@ WIDTH = 5
 SMALLEST_BAND = 4
 #: Bits of the filter, sent to the tasks, on ids of documents whose shingles are needed: 2 MiB at any input size.
 FILTER_BITS = 24
-STAR_ROUNDS = 4
+#: Bits of the dense sketch, held as longs.
+PARITY_BITS = 1024
+PARITY = [f"p{i}" for i in range(PARITY_BITS // 64)]
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -122,8 +125,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, class, sorted -> key, class, first class of the key, of the keys with more than one class. Holds one batch."""
-    last = None  # key, class, first class of the key, and whether it was given, of the last row so far
+    """key, class, sorted -> the rows, each once, of the keys with more than one class. Holds one batch."""
+    last = None  # key, class, and whether it was given, of the last row so far
     for batch in batches:
         key, cls = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "class"))
         if not len(key):
@@ -133,21 +136,24 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
         key, cls = key[new], cls[new]
         same = key[1:] == key[:-1]
-        head = np.r_[True, ~same]
-        first = cls[np.flatnonzero(head)][np.cumsum(head) - 1]
         shared = np.r_[False, same] | np.r_[same, False]
         given = bool(shared[-1])
         if last is not None:
-            first[key == last[0]] = last[2]
-            shared[0] &= not last[3]
-            given |= len(key) == 1 and last[3]
-        last = (key[-1], cls[-1], first[-1], given)
+            shared[0] &= not last[2]
+            given |= len(key) == 1 and last[2]
+        last = (key[-1], cls[-1], given)
         out = np.flatnonzero(shared)
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, cls, first)], ["key", "class", "center"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, cls)], ["key", "class"])
+
+
+def parity_sketch(sets: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits as int64: each hash flips one. Two sketches differ in no more bits than the sets in hashes."""
+    odd = np.bincount((sets & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _needed(bits_shared):
-    """slot, text -> class, shingles, for the ids that the filter lets through."""
+    """slot, text -> class, shingles, dense sketch, for the ids that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hashes = np.unpackbits(np.frombuffer(bits_shared.value, np.uint8)), TokenHashes()
@@ -158,18 +164,31 @@ def _needed(bits_shared):
                 few = batch.take(pa.array(np.flatnonzero(bits[slot])))
                 sets = [_distinct(hashes, t) for t in few.column("text").to_pylist()]
                 classes = [(xxhash.xxh3_128(s.tobytes()).intdigest() & (2**64 - 1)) - 2**63 if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "shingles"])
+                dense = np.array([parity_sketch(s) for s in sets], np.int64).reshape(-1, len(PARITY))
+                columns = [pa.array(classes, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *(pa.array(dense[:, i]) for i in range(len(PARITY)))]
+                yield pa.RecordBatch.from_arrays(columns, ["class", "shingles", *PARITY])
 
     return run
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(class, shingles) of the documents of ``ids``, a column ``doc_id``; a fixed-size filter keeps the others' texts out."""
+    """(class, shingles, dense sketch) of the documents of ``ids``, a column ``doc_id``; a fixed-size filter keeps the others' texts out."""
     slot = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 64 - FILTER_BITS).cast("int")
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[[r["slot"] for r in ids.select(slot.alias("slot")).distinct().collect()]] = True  # at most 2^FILTER_BITS numbers
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
-    return docs.select(slot.alias("slot"), "text").mapInArrow(_needed(shared), "class bigint, shingles array<bigint>").where("class is not null")
+    return docs.select(slot.alias("slot"), "text").mapInArrow(_needed(shared), "class bigint, shingles array<bigint>, " + ", ".join(f"{p} bigint" for p in PARITY)).where("class is not null")
+
+
+def _may_link(one: str, two: str) -> Column:
+    """Whether sizes and dense sketches, in columns of these prefixes, allow a link."""
+    x, y = F.col(f"{one}size"), F.col(f"{two}size")
+    apart = sum((F.bit_count(F.col(one + p).bitwiseXOR(F.col(two + p))) for p in PARITY), F.lit(0))
+    return (5 * F.least(x, y) >= 4 * F.greatest(x, y)) & (9 * apart <= x + y)
+
+
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(c if c == "key" else prefix + c) for c in df.columns))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,16 +200,37 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.where("100 * i >= 80 * u").select("a", "b")
 
 
-def _residual(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of the keys whose classes are in more than one component: key, class, size, comp, major (its key's commonest component)."""
-    now = groups.join(comps.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "size", F.coalesce("comp", "class").alias("comp"))
-    now = materialize(now, "grouped")
-    counts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("major"))
-    return materialize(now.join(materialize(counts.where("comps > 1").select("key", "major"), "open"), "key"), "residual")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b), the smaller class first, each pair once, of columns x_class and y_class."""
+    return pairs.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct()
 
 
-def _sizes_fit(one: str, two: str):
-    return 5 * F.least(one, two) >= 4 * F.greatest(one, two)
+def _star_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """A pair for each class: with the head that it shares most keys with.
+
+    The head of a key is its class whose keys are, together, the most shared: of a text and its changed copies, the text.
+    """
+    sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key-sizes")
+    weight = materialize(members.join(sizes, "key").groupBy("class").agg(F.sum("n").alias("weight")), "weights")
+    heads = materialize(members.join(weight, "class").groupBy("key").agg(F.max_by("class", F.struct("weight", "class")).alias("head")), "heads")
+    shared = members.join(heads, "key").where("class <> head").groupBy("class", "head").agg(F.count(F.lit(1)).alias("n"))
+    best = materialize(shared.groupBy("class").agg(F.max_by("head", F.struct("n", "head")).alias("head")).select("class", "head"), "stars")
+    own, other = _prefixed(sketches, "x_"), _prefixed(sketches, "y_")
+    return _ordered(best.join(own, F.col("class") == F.col("x_class")).join(other, (F.col("head") == F.col("y_class")) & _may_link("x_", "y_")))
+
+
+def _open_pairs(members: DataFrame, sketches: DataFrame, comps: DataFrame) -> DataFrame:
+    """All pairs of classes that share a key, lie in different components and may link.
+
+    Of each key's rows, those outside its commonest component meet the others; keys within one component drop out.
+    """
+    now = members.join(comps.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("comp", "class").alias("comp"))
+    now = materialize(now, "grouped")
+    counts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("major"))
+    several = materialize(counts.where("comps > 1").select("key", "major"), "open")
+    rows = materialize(now.join(several, "key").join(sketches, "class").select("key", "class", "comp", "major", "size", *PARITY), "residual")
+    minor, every = _prefixed(rows.where("comp <> major").drop("major"), "x_"), _prefixed(rows.drop("major"), "y_")
+    return _ordered(minor.join(every.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("x_comp") != F.col("y_comp")) & _may_link("x_", "y_")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,7 +242,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     their rows. Null keys are passed over when the smallest is taken, unless a component has no other. Other columns
     of ``docs`` aren't read.
 
-    Links: each class is first compared with the class it shares most keys with; then keys whose classes lie in
+    Links: each class is first compared with one class it shares many keys with; then the keys whose classes lie in
     different components give the pairs that remain, all of them, so no link between components is lost.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -214,41 +254,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     if named.where("c0 <> c1").limit(1).count():
         raise RuntimeError("two different shingle sets have the same 64-bit hash")
     flat = sketches.select("class", F.explode("keys").alias("key")).select("key", "class").repartition("key").sortWithinPartitions("key", "class")
-    groups = materialize(flat.mapInArrow(_shared_keys, "key bigint, class bigint, center bigint"), "groups")
-    sizes = named.select("class", "size")
-    members = groups.select("class").union(groups.select(F.col("center").alias("class"))).distinct()
-    ids = members.join(named.select("class", "doc_id"), "class").select("doc_id")
-    sets = materialize(_shingle_sets(rows, ids).groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
-    full = materialize(
-        groups.select("key", "class").union(groups.select("key", F.col("center").alias("class"))).distinct().join(sizes, "class"), "members"
-    )
-    # the class that each class shares most keys with, of those that come first in a key
-    best = groups.where("class <> center").groupBy("class", "center").agg(F.count(F.lit(1)).alias("n")).groupBy("class").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
-    tried = materialize(best.select(F.least("class", "center").alias("a"), F.greatest("class", "center").alias("b")).distinct(), "pairs")
-    edges = materialize(_linked(tried, sets), "links")
-    comps = connected_components(edges)
-    for turn in range(STAR_ROUNDS + 1):
-        open_rows = _residual(full, comps)
-        minor = open_rows.where("comp <> major").select("key", F.col("class").alias("x"), F.col("size").alias("sx"), F.col("comp").alias("cx"))
-        n = minor.count()
-        if not n:
-            break
-        if turn < STAR_ROUNDS and n > 20_000:
-            # one partner for each class and component: of the major component's classes, that with the smallest hash of this turn
-            heads = open_rows.where("comp = major").groupBy("key").agg(F.min_by(F.struct("class", "size", "comp"), F.xxhash64("class", F.lit(turn))).alias("y"))
-            pairs = minor.join(materialize(heads, "heads"), "key").where(_sizes_fit("sx", "y.size")).groupBy("x", F.col("y.class").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-            pairs = pairs.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y"))
-        else:
-            other = open_rows.select("key", F.col("class").alias("y"), F.col("size").alias("sy"), F.col("comp").alias("cy"))
-            pairs = minor.join(other, "key").where((F.col("cx") != F.col("cy")) & _sizes_fit("sx", "sy")).select("x", "y").distinct()
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(_linked(fresh, sets), "links")
-        tried = tried.union(fresh)
-        edges = edges.union(found)
-        comps = connected_components(edges)
-        if not (turn < STAR_ROUNDS and n > 20_000):
-            break
+    members = materialize(flat.mapInArrow(_shared_keys, "key bigint, class bigint"), "members")
+    ids = materialize(members.select("class").distinct().join(named.select("class", "doc_id"), "class").select("doc_id"), "needed")
+    firsts = [F.first(c).alias(c) for c in ("shingles", *PARITY)]
+    sets = materialize(_shingle_sets(rows, ids).groupBy("class").agg(*firsts).withColumn("size", F.size("shingles")), "sets")
+    dense = sets.select("class", "size", *PARITY)
+    tried = materialize(_star_pairs(members, dense), "pairs")
+    stars = materialize(_linked(tried, sets), "links")
+    fresh = _open_pairs(members, dense, connected_components(stars))
+    fresh = materialize(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
+    comps = connected_components(stars.union(materialize(_linked(fresh, sets), "links")))
     placed = named.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     placed = materialize(placed.select("class", "comp", "doc_id", "rows"), "placed")
     smallest = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.sum("rows").alias("n")).where("n > 1").select("comp", "component_id")
