@@ -1 +1 @@
-"""Catalog cleaning, linking, merging and analysis on Spark DataFrames."""
+"""Readers and writers of catalogs, candidates, labels, tasks, sidecar files and reports."""
