@@ -30,12 +30,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each component whose id names it. Of repeated rows with that id one stays; null ids stay."""
+    """The document of each component whose id names it. Of rows that repeat that id and its text one stays; null ids stay."""
     groups = near_duplicates(docs.select("doc_id", "text"))
     firsts = groups.where("component_id = doc_id").select("doc_id").distinct()
     known = docs.where("doc_id is not null")
-    kept = known.join(materialize(firsts, "firsts"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    kept = known.join(materialize(firsts, "firsts"), "doc_id", "left_semi").withColumn("_hash", F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
