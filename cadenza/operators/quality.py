@@ -124,10 +124,8 @@ def segments(attempts: DataFrame, width: int = 20, order: str = "idx") -> DataFr
 
 def latency_summary(attempts: DataFrame, by: str, rows: int, lanes: Sequence[int] = (1, 2, 4, 8)) -> DataFrame:
     """Mean, upper median (the middle value, or the upper of two) and minutes that ``rows`` would take on so many lanes."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("elapsed", "idx"))
-    count = F.count(F.lit(1)).over(Window.partitionBy(by))
-    marked = attempts.withColumn("_m", F.when(rank == F.floor(count / 2) + 1, F.col("elapsed")))
-    out = marked.groupBy(by).agg(F.round(F.avg("elapsed"), 6).alias("mean"), F.max("_m").alias("upper_median"))
+    upper = F.expr("-percentile_disc(0.5) within group (order by -elapsed)")  # of an even number of values, the larger middle one
+    out = attempts.groupBy(by).agg(F.round(F.avg("elapsed"), 6).alias("mean"), upper.alias("upper_median"))
     return out.withColumns({f"minutes_{k}": F.round(F.col("mean") * rows / 60000 / k, 6) for k in lanes})
 
 
