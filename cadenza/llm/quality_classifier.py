@@ -25,8 +25,8 @@ from cadenza.llm.common import is_held_out, materialize
 DIMS = 32
 #: Labelled rows that are learned from, at most: those of the smallest id hashes.
 SAMPLE_ROWS = 20_000
-#: Word parts that keep a vector, at most: the most frequent in the sample.
-VOCABULARY = 16_384
+#: Word parts that keep a vector: the most frequent in the sample, at most so many, each found so often at least.
+VOCABULARY, LEAST_COUNT = 8192, 4
 _PARTS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 
@@ -51,7 +51,7 @@ def index_vector(part: str) -> np.ndarray:
 class _Rows(dict):
     """Tokens' row numbers in a table of vectors that grows; emptied at ``most`` between batches."""
 
-    def __init__(self, vector_of, dtype, most: int = 400_000):
+    def __init__(self, vector_of, dtype, most: int = 150_000):
         super().__init__()
         self.vector_of, self.most, self.table = vector_of, most, np.zeros((1024, DIMS), dtype)
 
@@ -127,7 +127,7 @@ def fit_vectors(sample: DataFrame, text: str = "text") -> WordVectors:
     sums = ", ".join(f"v{i} bigint" for i in range(DIMS))
     found = sample.select(F.col(text).alias("text")).mapInArrow(_contexts, f"part string, n bigint, {sums}")
     top = found.groupBy("part").agg(F.sum("n").alias("n"), *(F.sum(f"v{i}").alias(f"v{i}") for i in range(DIMS)))
-    rows = top.orderBy(F.desc("n"), "part").limit(VOCABULARY).toPandas()
+    rows = top.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "part").limit(VOCABULARY).toPandas()
     table = rows[[f"v{i}" for i in range(DIMS)]].to_numpy(np.float64).reshape(-1, DIMS)
     table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
     if len(table):
@@ -233,7 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, key:
     """
     known = labels.select(F.col(key), F.col(label).cast("double").alias("_label")).where(F.col("_label").isNotNull() & F.col(key).isNotNull() & ~is_held_out(F.col(key)))
     chosen = known.groupBy(key).agg(F.max("_label").alias("_label")).orderBy(F.xxhash64(key), key).limit(sample_rows)
-    sample = materialize(docs.select(key, text).join(F.broadcast(chosen), key), "labelled")  # at most sample_rows ids
+    found = docs.select(key, text).join(F.broadcast(chosen), key)  # at most sample_rows ids
+    # one text for each id, however often rows repeat it
+    sample = materialize(found.groupBy(key).agg(F.min_by(text, F.xxhash64(text)).alias(text), F.max("_label").alias("_label")), "labelled")
     vectors = fit_vectors(sample, text)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 

@@ -12,6 +12,7 @@ from cadenza.llm.common import is_held_out, read_table
 from cadenza.llm.decontamination import contamination
 from cadenza.llm.jaccard_join import near_duplicates
 from cadenza.llm.mixing import mix
+from cadenza.llm.oracles import archive_sql, contamination_sql, near_duplicates_sql, sharding_sql
 from cadenza.llm.quality_rules import apply_rules, log_ratios, trusted_ids
 from cadenza.llm.sharding import assign_shards
 from cadenza.llm.span_dedup import remove_repeated_spans
@@ -142,6 +143,11 @@ times as (select *, least({MIX_EPOCHS}, whole + (s <= rest)::int) n from summed)
 select doc_id, domain, lang, source, n_tokens, unnest(range(0, n))::int as epoch from times where n > 0"""
 
 
+#: Queries that learn, and op3's spans of varying length, are tested by brute force instead.
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_zstd": archive_sql(),
+    "op2_positional_index_decontamination": contamination_sql(WINDOW_WORDS),
+    "op4_parity_sketch_jaccard": near_duplicates_sql(),
+    "op10_jump_sharding": sharding_sql(SHARDS),
     "op7_hierarchical_mixing": _mixing_sql(),
 }
