@@ -244,9 +244,16 @@ def reconcile(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
     return out
 
 
-def failure_streaks(attempts: DataFrame, order: str = "idx", threshold: int = 3) -> DataFrame:
-    """Runs of failures of a source (source, ok) in order: start, length, and whether the threshold was reached."""
-    w = Window.partitionBy("source").orderBy(order)
-    island = F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = attempts.withColumn("_i", island).where(~F.col("ok")).groupBy("source", "_i").agg(F.min(order).alias("start"), F.count(F.lit(1)).alias("length"))
+def failure_streaks(attempts: DataFrame, order: str = "idx", threshold: int = 3, range_width: int = 100_000) -> DataFrame:
+    """Runs of failures of a source (source, ok) in order: start, length, and whether the threshold was reached.
+
+    Successes before a row name its run. They are counted inside ranges of the integer ``order`` and summed up over the
+    ranges, so that no task holds a whole source.
+    """
+    rows = attempts.select("source", order, F.col("ok").cast("int").alias("_ok"), F.floor(F.col(order) / range_width).alias("_range"))
+    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("source", "_range").agg(F.sum("_ok").alias("_n")).select("source", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("source", "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("_sum", F.sum("_ok").over(inside)).join(offsets, ["source", "_range"]).where("_ok = 0")
+    runs = numbered.groupBy("source", (F.col("_offset") + F.col("_sum")).alias("_run")).agg(F.min(order).alias("start"), F.count(F.lit(1)).alias("length"))
     return runs.select("source", "start", "length", (F.col("length") >= threshold).alias("rotate"))
