@@ -27,12 +27,18 @@ DIMS = 32
 SAMPLE_ROWS = 20_000
 #: Word parts that keep a vector: the most frequent in the sample, at most so many, each found so often at least.
 VOCABULARY, LEAST_COUNT = 8192, 4
+#: Tokens whose vectors are looked up at a time, however long the texts are.
+CHUNK = 1 << 15
 _PARTS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 
 def token_parts(token: bytes) -> list[str]:
     """A token between spaces as its words (lower case), its runs of other signs, and its shape."""
     text = token.decode("utf-8", "replace")
+    bare = text if text.isalpha() else text[:-1] if text[-1] in ",.;:!?" else ""
+    if bare.isalpha():  # most tokens: a word, perhaps with a sign behind it; the same as below
+        shape = "U" if len(bare) > 1 and bare.isupper() else "C" if bare[0].isupper() else "l"
+        return [bare.lower(), "\x01" + shape] if bare is text else [bare.lower(), text[-1], "\x01" + shape]
     parts = [p.lower() for p in _PARTS.findall(text)]
     letters = "".join(c for c in text if c.isalpha())
     shape = "U" if len(letters) > 1 and letters.isupper() else "C" if letters[:1].isupper() else "l" if letters else "n"
@@ -51,7 +57,7 @@ def index_vector(part: str) -> np.ndarray:
 class _Rows(dict):
     """Tokens' row numbers in a table of vectors that grows; emptied at ``most`` between batches."""
 
-    def __init__(self, vector_of, dtype, most: int = 150_000):
+    def __init__(self, vector_of, dtype, most: int = 200_000):
         super().__init__()
         self.vector_of, self.most, self.table = vector_of, most, np.zeros((1024, DIMS), dtype)
 
@@ -81,7 +87,7 @@ def _pieces(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text -> part, n, v0.. : for each word part of a batch, how often it occurs and the sum of its contexts."""
-    rows = _Rows(lambda t: np.sum([index_vector(p) for p in token_parts(t)], axis=0), np.int64)
+    rows = _Rows(lambda t: np.sum([index_vector(p) for p in token_parts(t)], axis=0), np.int32, 100_000)
     names = ["part", "n", *(f"v{i}" for i in range(DIMS))]
     for whole in batches:
         for batch in _pieces(whole, 500):
@@ -90,15 +96,18 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, counts = np.zeros((len(rows), DIMS), np.int64), np.zeros(len(rows), np.int64)
             if each:
                 ids, ends = np.concatenate(each), np.cumsum([len(i) for i in each])
-                own = rows.table[ids]
-                inner = np.ones(len(ids) - 1, bool)
-                inner[ends[:-1] - 1] = False  # neighbours don't cross documents
-                near = own.copy()
-                near[1:] += own[:-1] * inner[:, None]
-                near[:-1] += own[1:] * inner[:, None]
-                order = np.argsort(ids, kind="stable")
-                there, first = np.unique(ids[order], return_index=True)
-                total[there] = np.add.reduceat(near[order], first, axis=0)
+                linked = np.ones(len(ids), np.int32)  # to the next token; not across documents
+                linked[ends - 1] = 0
+                for a in range(0, len(ids), CHUNK):
+                    b, low = min(a + CHUNK, len(ids)), max(a - 1, 0)
+                    own = rows.table[ids[low : b + 1]]
+                    near = own[a - low : b - low].copy()
+                    near[low + 1 - a :] += own[: b - 1 - low] * linked[low : b - 1, None]
+                    behind = own[a - low + 1 :]
+                    near[: len(behind)] += behind * linked[a : a + len(behind), None]
+                    order = np.argsort(ids[a:b], kind="stable")
+                    there, first = np.unique(ids[a:b][order], return_index=True)
+                    total[there] += np.add.reduceat(near[order], first, axis=0)
                 counts = np.bincount(ids, minlength=len(rows))
             by_part: dict[str, list] = {}
             for token, i in rows.items():
@@ -119,7 +128,7 @@ class WordVectors:
 
     def of(self, token: bytes) -> np.ndarray:
         found = [self.words[p] for p in token_parts(token) if p in self.words]
-        return self.table[found].sum(axis=0) if found else np.zeros(DIMS, np.float32)
+        return self.table[found[0]] if len(found) == 1 else self.table[found].sum(axis=0) if found else np.zeros(DIMS, np.float32)
 
 
 def fit_vectors(sample: DataFrame, text: str = "text") -> WordVectors:
@@ -154,7 +163,12 @@ class Pooler:
             starts = np.cumsum(lengths[full]) - lengths[full]
             same = np.r_[False, ids[1:] == ids[:-1]].astype(np.float32)
             same[starts] = 0
-            out[full, :DIMS] = np.add.reduceat(self.rows.table[ids], starts, axis=0) / lengths[full, None]
+            total = np.zeros((len(full), DIMS))
+            for a in range(0, len(ids), CHUNK):
+                here = ids[a : a + CHUNK]
+                one, last = np.searchsorted(starts, (a, a + len(here) - 1), "right") - 1
+                total[one : last + 1] += np.add.reduceat(self.rows.table[here], np.maximum(starts[one : last + 1] - a, 0), axis=0)
+            out[full, :DIMS] = total / lengths[full, None]
             out[full, DIMS] = np.add.reduceat(same, starts) / lengths[full]
             out[full, DIMS + 1] = np.log1p(lengths[full])
         return out
