@@ -20,6 +20,8 @@ from cadenza.llm.warc import archive_round_trip
 
 SHARDS = 40
 WINDOW_WORDS = 10
+#: Words of a span of op3 that needs no three sentences.
+LONG_SPAN_WORDS = 15
 #: Labelled documents, at most, that the trusted multinomial of op9 is counted over.
 TRUSTED_DOCS = 20_000
 LLR_THRESHOLD = -0.3
@@ -41,7 +43,8 @@ def op2_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> Da
 
 
 def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_spans(docs, alone=LONG_SPAN_WORDS).drop("text")
 
 
 def op4_parity_sketch_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-From every sentence of a text starts one span: the shortest run of at least ``sentences`` sentences that has at
-least ``words`` words (so a few one-word sentences don't make a span by themselves). Spans are hashed, equal
+From every sentence of a text starts a span: the shortest run of at least ``sentences`` sentences that has at
+least ``words`` words (so a few one-word sentences don't make a span by themselves). With ``alone`` starts another: the
+shortest run, of one sentence or more, that has at least so many words. It finds passages of few, long sentences and
+those whose ends lie within sentences. Spans are hashed, equal
 hashes are joined over the whole corpus, and each sentence that lies in a repeated span, other than the span's first
 occurrence by (doc_id, text hash, position), is removed. A passage that documents share stays where it comes first.
 """
@@ -30,19 +32,24 @@ def split_sentences(text: str | None) -> list[str]:
     return [p for p in _PIECE.findall(text) if p] if text else []
 
 
-def span_rows(pieces: list[str], sentences: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def span_rows(pieces: list[str], sentences: int, words: int, alone: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes, the first piece and the number of pieces of each span. Pieces without a word don't count as sentences."""
     cut = [p.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() for p in pieces]
     full = np.flatnonzero([bool(c) for c in cut])
-    if len(full) < sentences:
+    if not len(full):
         none = np.zeros(0, np.uint64)
         return none, none, none.astype(np.int32), none.astype(np.int32)
     both = [xxhash.xxh3_128_intdigest(b" ".join(cut[i])) for i in full]
     one, two = (np.array([(h >> s) & (2**64 - 1) for h in both], np.uint64) for s in (0, 64))
     total = np.cumsum([0, *(len(cut[i]) for i in full)])
-    ends = np.maximum(np.searchsorted(total, total[:-1] + words), np.arange(len(full)) + sentences)
+    at = np.arange(len(full))
+    ends = np.maximum(np.searchsorted(total, total[:-1] + words), at + sentences)
     start = np.flatnonzero(ends <= len(full))
     length = ends[start] - start
+    if alone is not None:
+        others = np.maximum(np.searchsorted(total, total[:-1] + alone), at + 1)
+        extra = np.flatnonzero((others <= len(full)) & (others != ends))
+        start, length = np.r_[start, extra], np.r_[length, others[extra] - extra]
     out = [np.full(len(start), _MIX[0]), np.full(len(start), _MIX[1])]
     for k in range(int(length.max()) if len(start) else 0):
         here = np.flatnonzero(length > k)
@@ -53,14 +60,14 @@ def span_rows(pieces: list[str], sentences: int, words: int) -> tuple[np.ndarray
     return out[0], out[1], first.astype(np.int32), (full[start + length - 1] - first + 1).astype(np.int32)
 
 
-def _spans(sentences: int, words: int):
+def _spans(sentences: int, words: int, alone: int | None):
     names = ["doc_id", "th", "h1", "h2", "pos", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 300):
                 batch = whole.slice(start, 300)
-                each = [span_rows(split_sentences(t), sentences, words) for t in batch.column("text").to_pylist()]
+                each = [span_rows(split_sentences(t), sentences, words, alone) for t in batch.column("text").to_pylist()]
                 at = pa.array(np.repeat(np.arange(len(each)), [len(e[0]) for e in each]))
                 flat = [np.concatenate([e[i] for e in each]) for i in range(4)]
                 columns = [batch.column("doc_id").take(at), batch.column("th").take(at), *(pa.array(c.view(np.int64)) for c in flat[:2]), *map(pa.array, flat[2:])]
@@ -69,13 +76,13 @@ def _spans(sentences: int, words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, alone: int | None = None) -> DataFrame:
     """doc_id, th, pos, n of every repeated span but its first occurrence. docs: doc_id, th (hash of the text), text.
 
     A 64-bit hash, counted over the whole corpus, finds the spans that may repeat; a second one tells them apart.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    spans = materialize(docs.mapInArrow(_spans(sentences, words), f"doc_id {id_type}, th bigint, h1 bigint, h2 bigint, pos int, n int"), "spans")
+    spans = materialize(docs.mapInArrow(_spans(sentences, words, alone), f"doc_id {id_type}, th bigint, h1 bigint, h2 bigint, pos int, n int"), "spans")
     twice = materialize(spans.groupBy("h1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1"), "twice")
     # rows that repeat doc_id and text are one document
     again = materialize(spans.join(twice, "h1"), "again")
@@ -105,7 +112,7 @@ def _remove(schema: T.StructType, text: str):
     return run
 
 
-def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, key: str = "doc_id", text: str = "text", alone: int | None = None) -> DataFrame:
     """Rows of ``docs`` with n_sentences, n_removed, removed (ranges of pieces, from 0) and clean_text added.
 
     Words are compared with A-Z lower-cased and white space between them alike. Null texts stay null and empty ones
@@ -115,7 +122,7 @@ def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: in
     added = ("n_sentences", "n_removed", "removed", "clean_text")
     docs = docs.drop(*(c for c in docs.columns if c in added)).withColumn("_th", F.xxhash64(text))
     rows = docs.select(F.col(key).alias("doc_id"), F.col("_th").alias("th"), F.col(text).alias("text"))
-    found = repeated_spans(rows, sentences, words).groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n")).alias("_spans"))
+    found = repeated_spans(rows, sentences, words, alone).groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n")).alias("_spans"))
     found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_other"), "_spans"), "removals")
     marked = docs.join(found, docs[key].eqNullSafe(found["_id"]) & (docs["_th"] == found["_other"]), "left").drop("_id", "_other", "_th")
     schema = T.StructType([f for f in marked.schema if f.name != "_spans"]).add("n_sentences", "long").add("n_removed", "long").add("removed", "string").add("clean_text", "string")

@@ -1,6 +1,7 @@
 import random
 import re
 
+from cadenza.llm import queries
 from cadenza.llm.span_dedup import remove_repeated_spans, split_sentences
 
 
@@ -50,3 +51,46 @@ def test_odd_rows(spark):
 def test_pieces_give_the_text():
     for text in ("a.b. c\n\n d", "\n.x", "no end", "...", " a ! b?\t c"):
         assert "".join(split_sentences(text)) == text
+
+
+def test_passages_of_one_and_two_sentences(spark, tmp_path):
+    rng = random.Random(2)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    one, two, middle = f"{words(51)}. ", f"{words(25)}. {words(26)}. ", f"{words(20)}. "
+    passages = [one, two, f"{words(18)}. {middle}{words(13)}"]  # the last one's ends lie within sentences
+    rows = [(i, f"{words(9)}. {words(7)} {p if i % 3 == 2 else '. ' + p} {words(8)}. Short and alike. Yes. ") for i in range(6) for p in [passages[i % 3]]]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.clean_text for r in queries.op3_sentence_span_dedup(spark, str(tmp_path)).collect()}
+    texts = dict(rows)
+    assert all(got[i] == texts[i] for i in range(3))  # where a passage comes first it stays
+    for i in (3, 4):
+        passage = {p.strip() for p in split_sentences(passages[i % 3])}
+        assert got[i] == "".join(p for p in split_sentences(texts[i]) if p.strip() not in passage) != texts[i]
+    assert middle.strip() not in got[5] and len(got[5].split()) == len(texts[5].split()) - 20
+    assert all("Short and alike. Yes." in t for t in got.values())
+
+
+def brute_with(rows, alone):
+    """The texts by both kinds of span, three sentences and ``alone`` words."""
+    seen, drop = {}, {}
+    for key, text in sorted(rows):
+        pieces = split_sentences(text)
+        full = [i for i, p in enumerate(pieces) if p.split()]
+        norm = [" ".join(re.findall(r"[^\x20\x09-\x0D]+", pieces[i])).lower() for i in full]
+        gone = drop.setdefault(key, set())
+        for a in range(len(full)):
+            for sentences, words in ((3, 10), (1, alone)):
+                b = next((b for b in range(a + sentences, len(full) + 1) if sum(len(x.split()) for x in norm[a:b]) >= words), None)
+                if b and seen.setdefault(tuple(norm[a:b]), (key, a)) != (key, a):
+                    gone |= set(range(full[a], full[b - 1] + 1))
+    return {k: "".join(p for i, p in enumerate(split_sentences(t)) if i not in drop[k]) for k, t in rows}
+
+
+def test_both_kinds_of_span_match_brute_force(spark):
+    rng = random.Random(3)
+    sentence = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.choice([1, 3, 9, 16, 30]))) + ". "
+    shared = ["".join(sentence() for _ in range(rng.choice([1, 1, 2, 4]))) for _ in range(12)]
+    rows = [(i, "".join(sentence() for _ in range(rng.randrange(3))) + rng.choice(shared) + "".join(sentence() for _ in range(rng.randrange(3)))) for i in range(150)]
+    got = {r.doc_id: r.clean_text for r in remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), alone=15).collect()}
+    assert got == brute_with(rows, 15)
+    assert got != brute(rows)
