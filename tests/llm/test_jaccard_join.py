@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from cadenza.llm.components import connected_components
 from cadenza.llm.jaccard_join import _shared_keys, band, bands, most_apart, near_duplicates
 
 
@@ -81,3 +82,36 @@ def test_bound_on_the_difference():
             if least <= small:
                 assert small + large - 2 * least <= most_apart(small)
                 assert band(small) in bands(large) or most_apart(large) == 0
+
+
+def test_chain_of_near_copies(spark):
+    """Each text has the words of the one before but for the first; ids are shuffled, so labels must travel far."""
+    rng, n = random.Random(11), 2000
+    ids = rng.sample(range(10**6), n)
+    texts = [(ids[i], " ".join(f"w{k}" for k in range(4 * i, 4 * i + 60))) for i in range(n)]
+    out = near_duplicates(spark.createDataFrame(rng.sample(texts, n), "doc_id long, text string").repartition(4)).collect()
+    assert len(out) == n and {r.component_id for r in out} == {min(ids)}
+
+
+@pytest.mark.parametrize("kind", ["chain", "sorted", "mixed", "none"])
+def test_components_match_brute_force(spark, kind):
+    rng, n = random.Random(12), 3000
+    ids = [rng.getrandbits(63) - 2**62 for _ in range(n)]
+    ids = sorted(ids) if kind == "sorted" else ids
+    pairs = [(ids[i], ids[i + 1]) for i in range(n - 1)] if kind in ("chain", "sorted") else []
+    if kind == "mixed":
+        pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(n // 2)] + [(ids[0], x) for x in ids[-200:]]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in pairs:
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(4)).collect()
+    want = {x: find(x) for p in pairs if p[0] != p[1] for x in p}
+    assert len(got) == len(want) and {r.node: r.comp for r in got} == want
