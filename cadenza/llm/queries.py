@@ -20,6 +20,8 @@ from cadenza.llm.warc import archive_round_trip
 
 SHARDS = 40
 WINDOW_WORDS = 10
+#: Places that a word of a proximity match of op2 may be off.
+SLOP = 1
 #: Words of a span of op3 that needs no three sentences.
 LONG_SPAN_WORDS = 15
 #: Labelled documents, at most, that the trusted multinomial of op9 is counted over.
@@ -39,7 +41,7 @@ def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contamination(docs, read_table(spark, sf_dir, "benchmark"), WINDOW_WORDS)
+    return contamination(docs, read_table(spark, sf_dir, "benchmark"), WINDOW_WORDS, SLOP)
 
 
 def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

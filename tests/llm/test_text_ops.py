@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import language_id, quality_classifier, quality_rules, secret_scan, sharding
+from cadenza.llm import language_id, quality_classifier, quality_rules, queries, secret_scan, sharding
 from cadenza.llm.common import is_held_out
 from cadenza.llm.decontamination import build_index, contamination, find_matches
 
@@ -75,6 +75,42 @@ def test_proximity(spark):
     assert {r.doc_id: r.exact for r in found} == {1: True, 2: False, 3: False}
 
 
+def brute_near(docs, items, slop):
+    """Proximity matches that aren't exact, by document: places of a window's rarest term with all others near theirs."""
+    texts = {key: WORD.findall(lower(text)) for key, text in docs}
+    counts, out = Counter(x for w in texts.values() for x in w), Counter()
+    for _, text in items:
+        words = WORD.findall(lower(text))
+        for i in range(max(1, len(words) - 9) if words else 0):
+            want = words[i : i + 10]
+            at = min(range(len(want)), key=lambda k: (counts[want[k]], k))
+            for key, w in texts.items():
+                for start in (p - at for p, x in enumerate(w) if x == want[at]):
+                    near = start >= -slop and all(x in w[max(0, start + k - slop) : max(0, start + k + slop + 1)] for k, x in enumerate(want))
+                    out[key] += near and (start < 0 or w[start : start + len(want)] != want)
+    return out
+
+
+def test_op2_counts_proximity_matches(spark, tmp_path):
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([4, 10, 14])))) for i in range(20)]
+    docs = []
+    for i in range(120):
+        part = rng.choice(items)[1].split()
+        k = rng.randrange(len(part) - 1)
+        if i % 3 == 1:
+            part[k : k + 2] = part[k + 1], part[k]
+        elif i % 3 == 2:
+            part.insert(k + 1, "very")
+        docs.append((i, " ".join([f"w{rng.randrange(60)}" for _ in range(rng.randrange(9))] + part + ["end"] * rng.randrange(3))))
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.op2_positional_index_decontamination(spark, str(tmp_path)).collect()
+    want = brute_near(docs, items, queries.SLOP)
+    assert {r.doc_id: r.n_near for r in got} == {k: want[k] for k, _ in docs} and sum(r.n_near > 0 for r in got) > 40
+    assert sorted(tuple(r)[:6] for r in got) == sorted(brute_hits(docs, items))
+
+
 # Quality rules
 
 
