@@ -17,13 +17,15 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the one named by ``spark.checkpoint.dir``; where that is unset (local tests), a new temporary
-    folder becomes the session's checkpoint folder.
+    It is the one named by ``spark.checkpoint.dir``; where that is unset, a new temporary folder becomes the session's
+    checkpoint folder, but only on a local master: a cluster's machines don't share such a folder, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -37,6 +39,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """``df`` with all its columns in one, the struct ``row``, beside ``more``: names of the caller and of an operator can't clash."""
+    return df.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("row"), *more)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model may learn from; a null id is held out too."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

@@ -22,8 +22,6 @@ SHARDS = 40
 WINDOW_WORDS = 10
 #: Places that a word of a proximity match of op2 may be off.
 SLOP = 1
-#: Words of a span of op3 that needs no three sentences.
-LONG_SPAN_WORDS = 15
 #: Labelled documents, at most, that the trusted multinomial of op9 is counted over.
 TRUSTED_DOCS = 20_000
 LLR_THRESHOLD = -0.3
@@ -46,7 +44,7 @@ def op2_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> Da
 
 def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeated_spans(docs, alone=LONG_SPAN_WORDS).drop("text")
+    return remove_repeated_spans(docs).drop("text")
 
 
 def op4_parity_sketch_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

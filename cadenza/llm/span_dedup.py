@@ -1,11 +1,13 @@
 """Substring deduplication by sliding sentence spans.
 
-From every sentence of a text starts a span: the shortest run of at least ``sentences`` sentences that has at
-least ``words`` words (so a few one-word sentences don't make a span by themselves). With ``alone`` starts another: the
-shortest run, of one sentence or more, that has at least so many words. It finds passages of few, long sentences and
-those whose ends lie within sentences. Spans are hashed, equal
-hashes are joined over the whole corpus, and each sentence that lies in a repeated span, other than the span's first
-occurrence by (doc_id, text hash, position), is removed. A passage that documents share stays where it comes first.
+A text is cut into sentences, and those at their commas, semicolons and colons, so that a passage pasted into the middle
+of a sentence shares most of its pieces with its source. Whether a sentence ends somewhere follows from a few words around
+the place alone. From every piece starts a span: the shortest run of at least ``sentences`` pieces that has at least ``words``
+words. Spans are hashed, equal hashes are joined over the whole corpus, and each piece that lies in a span which an
+earlier document (by doc_id, then text hash) has too is removed. A passage that documents share stays where it comes first.
+
+Repeats inside one document are left alone unless ``within`` asks for them: a refrain or a list is that text's own, and quality
+rules count it; here a passage is one that documents share.
 """
 
 from __future__ import annotations
@@ -20,36 +22,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import ASCII_LOWER, materialize
+from cadenza.llm.common import ASCII_LOWER, materialize, packed
 
-SENTENCES, WORDS = 3, 10
-_PIECE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)")
+SENTENCES, WORDS = 2, 24
+#: Pieces of more words are cut further, after words chosen by their hashes, one in STRIDE.
+LONGEST, STRIDE = 16, 8
+_CUT = re.compile(r"[.!?,;:][\"'”’)\]]*\s+|[。！？，；：]\s*|\n\s*")
+_WORD = re.compile(r"\S+\s*")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD))
+ADDED = {"n_sentences": T.LongType(), "n_removed": T.LongType(), "removed": T.StringType(), "clean_text": T.StringType()}
+
+
+def _lower(words: list[str]) -> bytes:
+    return " ".join(words).encode("utf-8", "surrogatepass").translate(ASCII_LOWER)
+
+
+def _cut_long(text: str, start: int, end: int) -> Iterator[tuple[int, list[str]]]:
+    words: list[str] = []
+    for m in _WORD.finditer(text, start, end):
+        words.append(m[0].rstrip())
+        if xxhash.xxh32_intdigest(_lower(words[-1:])) % STRIDE == 0:
+            yield m.end(), words
+            words = []
+    if words:
+        yield end, words
+
+
+def cut_text(text: str | None) -> tuple[list[int], list[list[str]]]:
+    """Where the pieces of a text end, the last one at its end, and their words.
+
+    A mark ends a piece if two or more words stand between it and the mark before: ``Ha!! Ha!! Ha!!`` is no row of sentences.
+    """
+    ends: list[int] = []
+    each: list[list[str]] = []
+    if not text:
+        return ends, each
+    start = last = 0
+    words: list[str] = []
+    marks = [m.end() for m in _CUT.finditer(text)]
+    if not marks or marks[-1] < len(text):
+        marks.append(len(text))
+    for mark in marks:
+        between = text[last:mark].split()
+        words += between
+        last = mark
+        if len(between) < 2 and mark < len(text):
+            continue
+        if len(words) > LONGEST:
+            found = list(_cut_long(text, start, mark))
+            found[-1] = (mark, found[-1][1])
+            ends += [e for e, _ in found]
+            each += [w for _, w in found]
+        else:
+            ends.append(mark)
+            each.append(words)
+        start, words = mark, []
+    return ends, each
 
 
 def split_sentences(text: str | None) -> list[str]:
-    """The text in pieces that end after . ! ? or a line break and the white space behind it; joined they give the text."""
-    return [p for p in _PIECE.findall(text) if p] if text else []
+    """The pieces of a text; joined they give the text."""
+    ends, _ = cut_text(text)
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def span_rows(pieces: list[str], sentences: int, words: int, alone: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes, the first piece and the number of pieces of each span. Pieces without a word don't count as sentences."""
-    cut = [p.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() for p in pieces]
-    full = np.flatnonzero([bool(c) for c in cut])
+def span_rows(each: list[list[str]], sentences: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes, the first piece and the number of pieces of each span, from the pieces' words. Pieces without a word don't count."""
+    full = np.array([i for i, w in enumerate(each) if w], np.int64)
     if not len(full):
         none = np.zeros(0, np.uint64)
         return none, none, none.astype(np.int32), none.astype(np.int32)
-    both = [xxhash.xxh3_128_intdigest(b" ".join(cut[i])) for i in full]
+    both = [xxhash.xxh3_128_intdigest(_lower(each[i])) for i in full]
     one, two = (np.array([(h >> s) & (2**64 - 1) for h in both], np.uint64) for s in (0, 64))
-    total = np.cumsum([0, *(len(cut[i]) for i in full)])
-    at = np.arange(len(full))
-    ends = np.maximum(np.searchsorted(total, total[:-1] + words), at + sentences)
+    total = np.cumsum([0, *(len(each[i]) for i in full)])
+    ends = np.maximum(np.searchsorted(total, total[:-1] + words), np.arange(len(full)) + sentences)
     start = np.flatnonzero(ends <= len(full))
     length = ends[start] - start
-    if alone is not None:
-        others = np.maximum(np.searchsorted(total, total[:-1] + alone), at + 1)
-        extra = np.flatnonzero((others <= len(full)) & (others != ends))
-        start, length = np.r_[start, extra], np.r_[length, others[extra] - extra]
     out = [np.full(len(start), _MIX[0]), np.full(len(start), _MIX[1])]
     for k in range(int(length.max()) if len(start) else 0):
         here = np.flatnonzero(length > k)
@@ -60,14 +108,14 @@ def span_rows(pieces: list[str], sentences: int, words: int, alone: int | None =
     return out[0], out[1], first.astype(np.int32), (full[start + length - 1] - first + 1).astype(np.int32)
 
 
-def _spans(sentences: int, words: int, alone: int | None):
+def _spans(sentences: int, words: int):
     names = ["doc_id", "th", "h1", "h2", "pos", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 300):
                 batch = whole.slice(start, 300)
-                each = [span_rows(split_sentences(t), sentences, words, alone) for t in batch.column("text").to_pylist()]
+                each = [span_rows(cut_text(t)[1], sentences, words) for t in batch.column("text").to_pylist()]
                 at = pa.array(np.repeat(np.arange(len(each)), [len(e[0]) for e in each]))
                 flat = [np.concatenate([e[i] for e in each]) for i in range(4)]
                 columns = [batch.column("doc_id").take(at), batch.column("th").take(at), *(pa.array(c.view(np.int64)) for c in flat[:2]), *map(pa.array, flat[2:])]
@@ -76,18 +124,19 @@ def _spans(sentences: int, words: int, alone: int | None):
     return run
 
 
-def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, alone: int | None = None) -> DataFrame:
-    """doc_id, th, pos, n of every repeated span but its first occurrence. docs: doc_id, th (hash of the text), text.
+def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, within: bool = False) -> DataFrame:
+    """doc_id, th, pos, n of every span that an earlier document has too. docs: doc_id, th (hash of the text), text.
 
-    A 64-bit hash, counted over the whole corpus, finds the spans that may repeat; a second one tells them apart.
+    Rows that repeat doc_id and text are one document. ``within``: and of every later occurrence in the document that has
+    the span first. A 64-bit hash, counted over the whole corpus, finds the spans that may repeat; a second one tells them apart.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    spans = materialize(docs.mapInArrow(_spans(sentences, words, alone), f"doc_id {id_type}, th bigint, h1 bigint, h2 bigint, pos int, n int"), "spans")
+    spans = materialize(docs.mapInArrow(_spans(sentences, words), f"doc_id {id_type}, th bigint, h1 bigint, h2 bigint, pos int, n int"), "spans")
     twice = materialize(spans.groupBy("h1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1"), "twice")
-    # rows that repeat doc_id and text are one document
     again = materialize(spans.join(twice, "h1"), "again")
-    firsts = again.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"))
-    later = again.join(materialize(firsts, "firsts"), ["h1", "h2"]).where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
+    place = ("doc_id", "th", "pos") if within else ("doc_id", "th")
+    firsts = again.groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("first"))
+    later = again.join(materialize(firsts, "firsts"), ["h1", "h2"]).where(~F.struct(*place).eqNullSafe(F.col("first")))
     return later.select("doc_id", "th", "pos", "n")
 
 
@@ -96,34 +145,36 @@ def _remove(schema: T.StructType, text: str):
         for whole in batches:
             for start in range(0, whole.num_rows, 300):
                 batch = whole.slice(start, 300)
+                row = batch.column("row")
                 kept, counts, removed, runs = [], [], [], []
-                for value, spans in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                    pieces = split_sentences(value)
-                    drop = np.zeros(len(pieces) + 1, bool)
+                for value, spans in zip(row.field(text).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                    ends, _ = cut_text(value)
+                    drop = np.zeros(len(ends) + 1, bool)
                     for span in spans or ():
                         drop[span["pos"] : span["pos"] + span["n"]] = True
                     edges = np.flatnonzero(np.diff(np.r_[False, drop])).tolist()
-                    kept.append(None if value is None else value if not spans else "".join(p for p, d in zip(pieces, drop, strict=False) if not d))
-                    counts.append(len(pieces)), removed.append(int(drop.sum()))
+                    kept.append(value if not spans else "".join(value[a:b] for a, b, d in zip([0, *ends], ends, drop, strict=False) if not d))
+                    counts.append(len(ends)), removed.append(int(drop.sum()))
                     runs.append(",".join(f"{a}-{b - 1}" for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                columns = {"n_sentences": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "removed": pa.array(runs, pa.string()), "clean_text": pa.array(kept, pa.string())}
-                yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else batch.column(f.name) for f in schema], schema.names)
+                new = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.string()), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays([*(row.field(i) for i in range(row.type.num_fields)), *new], schema.names)
 
     return run
 
 
-def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, key: str = "doc_id", text: str = "text", alone: int | None = None) -> DataFrame:
-    """Rows of ``docs`` with n_sentences, n_removed, removed (ranges of pieces, from 0) and clean_text added.
+def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, key: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
+    """Rows of ``docs`` with n_sentences (pieces), n_removed, removed (ranges of pieces, from 0) and clean_text added.
 
-    Words are compared with A-Z lower-cased and white space between them alike. Null texts stay null and empty ones
-    empty, with no sentences. Rows that repeat key and text are one document, and all keep or lose the same sentences;
-    rows of a null key are told apart by their texts. Columns named as those added are replaced.
+    Words are cut at white space and compared with A-Z lower-cased. Null texts stay null and empty ones empty, with no
+    sentences. Rows that repeat key and text are one document, and all keep or lose the same pieces; rows of a null key
+    are told apart by their texts. Columns named as those added are replaced; all others come back as they were. An empty
+    table gives an empty one. Texts are read whole, however long.
     """
-    added = ("n_sentences", "n_removed", "removed", "clean_text")
-    docs = docs.drop(*(c for c in docs.columns if c in added)).withColumn("_th", F.xxhash64(text))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col("_th").alias("th"), F.col(text).alias("text"))
-    found = repeated_spans(rows, sentences, words, alone).groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n")).alias("_spans"))
-    found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_other"), "_spans"), "removals")
-    marked = docs.join(found, docs[key].eqNullSafe(found["_id"]) & (docs["_th"] == found["_other"]), "left").drop("_id", "_other", "_th")
-    schema = T.StructType([f for f in marked.schema if f.name != "_spans"]).add("n_sentences", "long").add("n_removed", "long").add("removed", "string").add("clean_text", "string")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    found = repeated_spans(rows, sentences, words, within).groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
+    found = materialize(found.select(F.col("doc_id").alias("other_id"), F.col("th").alias("other_th"), "spans"), "removals")
+    own = packed(docs, F.col(key).alias("own_id"), F.xxhash64(text).alias("own_th"))
+    marked = own.join(found, F.col("own_id").eqNullSafe(F.col("other_id")) & (F.col("own_th") == F.col("other_th")), "left").select("row", "spans")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in ADDED.items())])
     return marked.mapInArrow(_remove(schema, text), schema)

@@ -1,96 +1,127 @@
 import random
 import re
 
-from cadenza.llm import queries
 from cadenza.llm.span_dedup import remove_repeated_spans, split_sentences
 
 
-def brute(rows, sentences=3, words=10):
-    docs, seen, drop = sorted(rows), {}, {}
+def brute(rows, sentences=2, words=24, within=False):
+    """The rule by a plain loop over all runs of pieces, documents in order."""
+    docs, seen, drop = sorted(set(rows)), {}, {}
     for key, text in docs:
         pieces = split_sentences(text)
         full = [i for i, p in enumerate(pieces) if p.split()]
-        norm = [" ".join(re.findall(r"[^\x20\x09-\x0D]+", pieces[i])).lower() for i in full]
-        gone = drop.setdefault(key, set())
+        norm = [" ".join(pieces[i].split()).lower() for i in full]
+        gone = drop.setdefault((key, text), set())
         for a in range(len(full)):
             for b in range(a + sentences, len(full) + 1):
                 if sum(len(x.split()) for x in norm[a:b]) >= words:
-                    if seen.setdefault(tuple(norm[a:b]), (key, a)) != (key, a):
+                    first = seen.setdefault(tuple(norm[a:b]), (key, text, a))
+                    if first != (key, text, a) and (within or first[:2] != (key, text)):
                         gone |= set(range(full[a], full[b - 1] + 1))
                     break
-    return {k: "".join(p for i, p in enumerate(split_sentences(t)) if i not in drop[k]) for k, t in docs}
+    return {(k, t): "".join(p for i, p in enumerate(split_sentences(t)) if i not in gone) for (k, t), gone in drop.items()}
+
+
+def words(rng, n, of=10**9):
+    return " ".join(f"w{rng.randrange(of)}" for _ in range(n))
+
+
+def sentence(rng, of=10**9):
+    """5 to 25 words with commas here and there, as prose has."""
+    parts = [words(rng, rng.randint(2, 9), of) for _ in range(rng.choice([1, 1, 2, 3]))]
+    return ", ".join(parts) + rng.choice([". ", "! ", ".\n", "? "])
+
+
+def cleaned(spark, rows, **more):
+    got = remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), **more).collect()
+    return {(r.doc_id, r.text): r for r in got}
 
 
 def test_matches_brute_force(spark):
     rng = random.Random(1)
-    sentence = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.choice([1, 1, 2, 5, 9, 14]))) + rng.choice([". ", "! ", ".\n", "... "])
-    shared = ["".join(sentence() for _ in range(rng.choice([2, 3, 5, 9]))) for _ in range(6)]
+    shared = ["".join(sentence(rng) for _ in range(rng.choice([1, 2, 3, 5, 9]))) for _ in range(8)]
     rows = []
     for i in range(250):
-        text = "".join(sentence() for _ in range(rng.randrange(12)))
+        text = "".join(sentence(rng) for _ in range(rng.randrange(12)))
         for s in rng.sample(shared, rng.choice([0, 0, 1, 2])):
-            text = text + s + "".join(sentence() for _ in range(rng.randrange(4)))
+            text = text + s + "".join(sentence(rng) for _ in range(rng.randrange(4))) + rng.choice(["", "", s])
         rows.append((i, text))
         if rng.random() < 0.1:
             rows.append((1000 + i, text.upper()))
-    got = remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
-    assert {r.doc_id: r.clean_text for r in got} == brute(rows)
-    assert sum(r.n_removed for r in got) > 100
+    for within in (False, True):
+        got = cleaned(spark, rows, within=within)
+        assert {k: r.clean_text for k, r in got.items()} == brute(rows, within=within)
+        assert sum(r.n_removed for r in got.values()) > 100
+    assert brute(rows) != brute(rows, within=True)
 
 
 def test_odd_rows(spark):
-    long = "One two three four. Five six seven. Eight nine ten eleven. "
-    rows = [(1, None), (2, ""), (3, "..."), (4, long), (4, long), (None, long), (5, long + "More."), (6, "It is. It is. It is.")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, removed string")
-    got = sorted(((r.doc_id, r.clean_text, r.n_sentences, r.n_removed, r.removed) for r in remove_repeated_spans(df).collect()), key=str)
-    want = [(1, None, 0, 0, ""), (2, "", 0, 0, ""), (3, "...", 1, 0, ""), (4, "", 3, 3, "0-2"), (4, "", 3, 3, "0-2"), (None, long, 3, 0, ""), (5, "More.", 4, 3, "0-2"), (6, "It is. It is. It is.", 3, 0, "")]
-    assert got == sorted(want, key=str)
+    long = "One two three four five six seven, eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen seventeen; eighteen nineteen twenty twenty-one two three four. "
+    rows = [(1, None), (2, ""), (3, "..."), (4, long), (4, long), (None, long), (5, long + "And more."), (6, "It is. It is. " * 30), (7, "\n \n")]
+    df = spark.createDataFrame([(*r, "x", 1, 2, 3, 4) for r in rows], "doc_id long, text string, removed string, row int, spans int, own_id int, th int")
+    out = remove_repeated_spans(df)
+    assert out.columns == ["doc_id", "text", "row", "spans", "own_id", "th", "n_sentences", "n_removed", "removed", "clean_text"]
+    got = sorted(((r.doc_id, r.clean_text, r.n_sentences, r.n_removed, r.removed) for r in out.collect()), key=str)
+    want = [(1, None, 0, 0, ""), (2, "", 0, 0, ""), (3, "...", 1, 0, ""), (4, "", 4, 4, "0-3"), (4, "", 4, 4, "0-3"), (None, long, 4, 0, ""), (5, "And more.", 5, 4, "0-3"), (7, "\n \n", 1, 0, "")]
+    assert [g for g in got if g[0] != 6] == sorted(want, key=str)
+    assert {(r.row, r.spans, r.own_id, r.th) for r in out.collect()} == {(1, 2, 3, 4)}
+    assert [g[1:2] + g[3:] for g in got if g[0] == 6] == [("It is. It is. " * 30, 0, "")]
     assert remove_repeated_spans(df.limit(0)).collect() == []
 
 
 def test_pieces_give_the_text():
-    for text in ("a.b. c\n\n d", "\n.x", "no end", "...", " a ! b?\t c"):
+    for text in ("a.b. c\n\n d", "\n.x", "no end", "...", " a ! b?\t c", "word " * 100, "a b, " * 50, "你好。再见，朋友", "\n  ", "x " * 40 + "\n", " " * 30):
         assert "".join(split_sentences(text)) == text
+    assert split_sentences("Ha!! Ha!! Ha!! He went home. He slept.") == ["Ha!! Ha!! Ha!! He went home. ", "He slept."]
 
 
-def test_passages_of_one_and_two_sentences(spark, tmp_path):
-    rng = random.Random(2)
-    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
-    one, two, middle = f"{words(51)}. ", f"{words(25)}. {words(26)}. ", f"{words(20)}. "
-    passages = [one, two, f"{words(18)}. {middle}{words(13)}"]  # the last one's ends lie within sentences
-    rows = [(i, f"{words(9)}. {words(7)} {p if i % 3 == 2 else '. ' + p} {words(8)}. Short and alike. Yes. ") for i in range(6) for p in [passages[i % 3]]]
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.clean_text for r in queries.op3_sentence_span_dedup(spark, str(tmp_path)).collect()}
-    texts = dict(rows)
-    assert all(got[i] == texts[i] for i in range(3))  # where a passage comes first it stays
-    for i in (3, 4):
-        passage = {p.strip() for p in split_sentences(passages[i % 3])}
-        assert got[i] == "".join(p for p in split_sentences(texts[i]) if p.strip() not in passage) != texts[i]
-    assert middle.strip() not in got[5] and len(got[5].split()) == len(texts[5].split()) - 20
-    assert all("Short and alike. Yes." in t for t in got.values())
-
-
-def brute_with(rows, alone):
-    """The texts by both kinds of span, three sentences and ``alone`` words."""
-    seen, drop = {}, {}
-    for key, text in sorted(rows):
-        pieces = split_sentences(text)
-        full = [i for i, p in enumerate(pieces) if p.split()]
-        norm = [" ".join(re.findall(r"[^\x20\x09-\x0D]+", pieces[i])).lower() for i in full]
-        gone = drop.setdefault(key, set())
-        for a in range(len(full)):
-            for sentences, words in ((3, 10), (1, alone)):
-                b = next((b for b in range(a + sentences, len(full) + 1) if sum(len(x.split()) for x in norm[a:b]) >= words), None)
-                if b and seen.setdefault(tuple(norm[a:b]), (key, a)) != (key, a):
-                    gone |= set(range(full[a], full[b - 1] + 1))
-    return {k: "".join(p for i, p in enumerate(split_sentences(t)) if i not in drop[k]) for k, t in rows}
-
-
-def test_both_kinds_of_span_match_brute_force(spark):
-    rng = random.Random(3)
-    sentence = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.choice([1, 3, 9, 16, 30]))) + ". "
-    shared = ["".join(sentence() for _ in range(rng.choice([1, 1, 2, 4]))) for _ in range(12)]
-    rows = [(i, "".join(sentence() for _ in range(rng.randrange(3))) + rng.choice(shared) + "".join(sentence() for _ in range(rng.randrange(3)))) for i in range(150)]
-    got = {r.doc_id: r.clean_text for r in remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), alone=15).collect()}
-    assert got == brute_with(rows, 15)
-    assert got != brute(rows)
+def test_very_long_text(spark):
+    rng = random.Random(5)
+    passage = "".join(sentence(rng) for _ in range(6))
+    long = "".join(sentence(rng) for _ in range(30_000))
+    got = cleaned(spark, [(1, passage), (2, long + passage + "Its end is here."), (3, words(rng, 200_000))])
+    kept = got[2, long + passage + "Its end is here."]
+    assert kept.clean_text == long + "Its end is here." and kept.n_removed == len(split_sentences(passage))
+    assert got[1, passage].n_removed == 0 and sum(r.n_removed for (i, _), r in got.items() if i == 3) == 0
+
+
+def planted(rng, cut_inside):
+    """Texts of which 120 hold passages of 51 to 90 words, three holders each, and 200 hold nothing that others have."""
+    texts = ["".join(sentence(rng) for _ in range(rng.randint(4, 30))) for _ in range(320)]
+    later, rows = {}, dict(enumerate(texts))
+    for p in range(40):
+        source = "".join(sentence(rng) for _ in range(16)).split()
+        a, n = rng.randrange(20) if cut_inside else 0, rng.randint(51, 90)
+        passage = " ".join(source[a : a + n])
+        for i in range(3 * p, 3 * p + 3):
+            own = rows[i].split()
+            at = rng.randrange(len(own))
+            rows[i] = " ".join([*own[:at], passage, *own[at:]])
+            if i > 3 * p:
+                later[i] = (n, len(rows[i].split()))
+    return rows, later
+
+
+def test_planted_passages_are_caught_and_clean_texts_left_alone(spark):
+    rng = random.Random(6)
+    refrain = "".join(sentence(rng) for _ in range(3))
+    for cut_inside in (False, True):
+        rows, later = planted(rng, cut_inside)
+        rows[300] = refrain * 4 + rows[300]  # its own refrain, in no other text
+        rows[301] += "Licensed under the terms of the agreement. All rights are reserved here. "  # a short line of many texts
+        rows[302] += "Licensed under the terms of the agreement. All rights are reserved here. "
+        got = {i: r for (i, _), r in cleaned(spark, list(rows.items())).items()}
+        lost = {i: len(rows[i].split()) - len(got[i].clean_text.split()) for i in rows}
+        assert sum(lost[i] >= 0.5 * n for i, (n, _) in later.items()) >= 0.95 * len(later)
+        assert sum(got[i].n_removed > 0 for i in later) >= 0.98 * len(later)
+        assert all(lost[i] <= n for i, (n, _) in later.items())
+        assert all(lost[i] == 0 for i in rows if i not in later)
+
+
+def test_passage_without_any_mark(spark):
+    rng = random.Random(7)
+    passages = [words(rng, 60) for _ in range(20)]
+    rows = [(i, f"{words(rng, 20)} {passages[i % 20]} {words(rng, 20)}") for i in range(40)]
+    got = {i: r.n_removed for (i, _), r in cleaned(spark, rows).items()}
+    assert sum(got[i] > 0 for i in range(20, 40)) >= 18 and not any(got[i] for i in range(20))
+    assert re.search("w", rows[0][1])
