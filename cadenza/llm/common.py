@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import xxhash
@@ -39,9 +40,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def packed(df: DataFrame, *more: Column) -> DataFrame:
-    """``df`` with all its columns in one, the struct ``row``, beside ``more``: names of the caller and of an operator can't clash."""
-    return df.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("row"), *more)
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, *more: Column, keep: Iterable[str] | None = None) -> DataFrame:
+    """``df`` with its columns (or ``keep``) in one, the struct ``row``, beside ``more``: names of a caller and an operator can't clash."""
+    return df.select(F.struct(*map(named, df.columns if keep is None else keep)).alias("row"), *more)
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -1,34 +1,43 @@
 """Quality rules: counted text rules, then a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
-Two multinomials over hashed uni- and bigrams are counted: one over trusted documents, one over the whole
+Two multinomials over hashed uni- and bigrams are counted: one over all documents labelled as good, one over the whole
 raw corpus. A document's score is the sum of its n-grams' log ratios divided by their number, and a document
 is kept if it passes the counted rules and its score reaches a fixed threshold. Each document's verdict
 follows from its own text and the two tables alone; nothing is drawn at random.
+
+Texts are tokenised once: the rules' counts and each document's n-gram buckets are written to the shared folder, and both
+multinomials and all scores are computed from that table.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import materialize, packed
+
 #: Parts of a text that n-grams are made of: runs of letters, digits and _, and runs of other signs.
 PARTS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
-WORD = r"[^\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SPACE = r"[\x20\x09-\x0D]"
+SYMBOLS = "[#*$%&|<>]"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ADDED = (*COUNTS, "base_failed", "llr", "kept")
 
 
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _text(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def _all_but(hashes: Column, n: int) -> Column:
+    """The array without its last ``n`` elements."""
+    return F.slice(hashes, 1, F.greatest(F.size(hashes) - n, F.lit(0)))
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that the text holds twice or more; windows are compared by a 64-bit hash."""
+def _repeat_words(hashes: Column) -> Column:
+    """Words inside 3-word windows that the text holds twice or more, from the words' 64-bit hashes."""
 
     def counted(windows: Column) -> Column:
         def slow(ordered: Column) -> Column:
@@ -42,80 +51,83 @@ def _repeat_words(words: Column) -> Column:
         tagged = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_let(tagged, slow))
 
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-
-    return _let(words, lambda w: F.when(F.size(w) < 3, F.lit(0)).otherwise(_let(windows(w), counted)))
+    windows = F.transform(_all_but(hashes, 2), lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
+    return _let(windows, counted)
 
 
 def _dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def count_rules(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed. A null text counts as empty."""
-    out = df.withColumn("_words", F.regexp_extract_all(_text(text), F.lit(f"({WORD})"), F.lit(1)))
-    return (
-        out.withColumns(
-            {
-                "n_words": F.size("_words").cast("long"),
-                "word_chars": F.char_length(F.regexp_replace(_text(text), r"[\x20\x09-\x0D]+", "")).cast("long"),
-                "n_symbols": (F.char_length(_text(text)) - F.char_length(F.translate(_text(text), SYMBOLS, ""))).cast("long"),
-                "n_dup_lines": _dup_lines(_text(text)).cast("long"),
-                "n_repeat_words": _repeat_words(F.col("_words")).cast("long"),
-            }
-        )
-        .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        .drop("_words")
-    )
-
-
-def ngram_buckets(text: Column, buckets: int) -> Column:
-    """The bucket numbers of a text's uni- and bigrams, in lower case, with repeats."""
-
-    def both(parts: Column) -> Column:
-        one = F.transform(parts, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-        two = F.transform(parts, lambda x, i: F.pmod(F.xxhash64(x, F.get(parts, i + 1)), F.lit(buckets)).cast("int"))
-        return F.when(F.size(parts) == 0, one).otherwise(F.concat(one, F.slice(two, 1, F.size(parts) - 1)))
-
-    return _let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({PARTS})"), F.lit(1)), both)
-
-
-def trusted_ids(labels: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
-    """At most ``most`` ids of documents labelled as good, those of the smallest hashes: a fixed, bounded sample."""
-    return labels.where("quality = 1").select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(most)
-
-
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 4096, smoothing: float = 1.0, key: str = "doc_id", text: str = "text") -> list[float]:
-    """Log of trusted over raw share of each bucket, with additive smoothing.
-
-    The raw counts are over every document. ``trusted`` is a bounded list of ids (see trusted_ids), so that it can be
-    broadcast. One pass counts both; ``buckets`` numbers come back. Without trusted n-grams all are 0.
+def _buckets(hashes: Column, buckets: int) -> Column:
+    """The bucket numbers of the uni- and bigrams of a text's parts, with repeats, from the parts' hashes."""
+    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    two = F.transform(_all_but(hashes, 1), lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(buckets)).cast("int"))
+    return F.concat(one, two)
+
+
+def count_texts(docs: DataFrame, buckets: int = 4096, key: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """Per row of ``docs``, written to the shared folder: row (the columns ``keep``, all by default), id, the counts, base_failed, grams."""
+    rows = packed(docs, F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), keep=keep)
+    hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    parts = F.regexp_extract_all(F.lower("text"), F.lit(f"({PARTS})"), F.lit(1))
+    # split and array_remove work on whole arrays in generated code; a call for each word is several times slower
+    words = rows.withColumns({"words": F.array_remove(F.split("text", SPACE), ""), "parts": hashes(parts)})
+    words = words.withColumn("hashes", hashes(F.col("words")))
+    counted = words.select(
+        "row", "id",
+        F.size("words").cast("long").alias("n_words"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        _dup_lines(F.col("text")).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col("hashes")).cast("long").alias("n_repeat_words"),
+        _buckets(F.col("parts"), buckets).alias("grams"),
+    )
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return materialize(counted.withColumn("base_failed", failed), "counted")
+
+
+def _totals(counted: DataFrame, buckets: int) -> list[int]:
+    out = [0] * buckets
+    for r in counted.select(F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def log_ratios(counted: DataFrame, trusted: DataFrame, buckets: int = 4096, smoothing: float = 1.0) -> list[float]:
+    """Log of trusted over raw share of each bucket, with additive smoothing. counted: as count_texts gives it.
+
+    The raw counts are over every document, the trusted ones over every row whose id is in the one column of ``trusted``.
+    Only ``buckets`` numbers come back each time. Without trusted n-grams all are 0.
     """
-    marked = docs.select(F.col(key), F.col(text)).join(F.broadcast(trusted.select(F.col(key), F.lit(1).alias("_trusted"))), key, "left")
-    counts = (
-        marked.select("_trusted", F.explode(ngram_buckets(F.col(text), buckets)).alias("bucket"))
-        .groupBy("bucket").agg(F.count("_trusted").alias("t"), F.count(F.lit(1)).alias("r")).collect()
-    )
-    t, r = [0] * buckets, [0] * buckets
-    for row in counts:
-        t[row["bucket"]], r[row["bucket"]] = row["t"], row["r"]
+    ids = trusted.toDF("id").where("id is not null").distinct()
+    t, r = _totals(counted.select("id", "grams").join(ids, "id", "left_semi"), buckets), _totals(counted, buckets)
     if not sum(t):
         return [0.0] * buckets
     whole_t, whole_r = math.log(sum(t) + smoothing * buckets), math.log(sum(r) + smoothing * buckets)
     return [math.log(a + smoothing) - whole_t - math.log(b + smoothing) + whole_r for a, b in zip(t, r, strict=True)]
 
 
-def apply_rules(docs: DataFrame, ratios: list[float], threshold: float, text: str = "text") -> DataFrame:
-    """Adds the counted rules, ``llr`` (mean log ratio of the n-grams, 0 without any) and ``kept``.
+def score_counted(counted: DataFrame, ratios: list[float], threshold: float) -> DataFrame:
+    """The columns of ``row`` with the counts, base_failed, ``llr`` and ``kept``."""
+    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
+    total = F.aggregate("grams", F.lit(0.0), lambda s, x: s + F.get(table, x))
+    llr = F.when(F.size("grams") == 0, F.lit(0.0)).otherwise(total / F.size("grams"))
+    return counted.withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select("row.*", *ADDED)
+
 
-    A document is kept if it doesn't fail the counted rules and ``llr`` is at least ``threshold``. Columns of the same
-    names are replaced. Null and empty texts have no words, fail the counted rules and aren't kept.
+def apply_rules(
+    docs: DataFrame, trusted: DataFrame, threshold: float, buckets: int = 4096, smoothing: float = 1.0, key: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with the counted rules, ``llr`` (mean log ratio of the n-grams, 0
+    without any) and ``kept``: true if a document doesn't fail the counted rules and its ``llr`` is at least ``threshold``.
+
+    ``trusted`` has one column, the ids of documents taken as good; null ids there are left out, an id that several
+    rows have names all of them. Columns of ``docs`` named as those added are replaced. Null and empty texts have no words,
+    fail the counted rules and aren't kept. Repeated rows keep their rows. An empty table gives an empty one. Texts are
+    read whole, however long.
     """
-    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
-    docs = docs.drop(*(c for c in docs.columns if c in added))
-    total = lambda b: F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(table, x))
-    llr = _let(ngram_buckets(F.col(text), len(ratios)), lambda b: F.when(F.size(b) == 0, F.lit(0.0)).otherwise(total(b) / F.size(b)))
-    return count_rules(docs, text).withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
+    counted = count_texts(docs, buckets, key, text, kept)
+    return score_counted(counted, log_ratios(counted, trusted, buckets, smoothing), threshold)

@@ -13,7 +13,7 @@ from cadenza.llm.decontamination import contamination
 from cadenza.llm.jaccard_join import near_duplicates
 from cadenza.llm.mixing import mix
 from cadenza.llm.oracles import archive_sql, contamination_sql, near_duplicates_sql, sharding_sql
-from cadenza.llm.quality_rules import apply_rules, log_ratios, trusted_ids
+from cadenza.llm.quality_rules import apply_rules
 from cadenza.llm.sharding import assign_shards
 from cadenza.llm.span_dedup import remove_repeated_spans
 from cadenza.llm.warc import archive_round_trip
@@ -22,8 +22,6 @@ SHARDS = 40
 WINDOW_WORDS = 10
 #: Places that a word of a proximity match of op2 may be off.
 SLOP = 1
-#: Labelled documents, at most, that the trusted multinomial of op9 is counted over.
-TRUSTED_DOCS = 20_000
 LLR_THRESHOLD = -0.3
 QUALITY_THRESHOLD = 0.3
 #: Of the corpus's tokens, how many the mixture may have; how often a document may be repeated; integer weights.
@@ -85,10 +83,8 @@ def op8_inferred_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ratios = log_ratios(docs, trusted_ids(read_table(spark, sf_dir, "labels"), TRUSTED_DOCS))
-    return apply_rules(docs, ratios, LLR_THRESHOLD).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"
-    )
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return apply_rules(docs, good, LLR_THRESHOLD, keep=["doc_id"])
 
 
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Brute-force checks of the operators that score or search texts."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -118,8 +119,10 @@ def test_rules_match_brute_force(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["ab", "c#", "d", "é", "|"]) + rng.choice(["", "\n", "\n\n", "\t"]) for _ in range(rng.randrange(80))) for _ in range(120)]
     texts += [None, "", " \n ", "x\ny\nx\nx\r\nx", "a b c a b c", "a a a a", "a b", "x " * 20_000]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for r in quality_rules.count_rules(rows).collect():
+    rows = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, id string, words int").repartition(3)
+    found = quality_rules.apply_rules(rows, rows.select("doc_id").limit(0), -0.3)
+    assert found.columns == ["doc_id", "text", "id", "words", *quality_rules.ADDED]
+    for r in found.collect():
         t = texts[r.doc_id] or ""
         w = SPACE.findall(t)
         windows, covered = Counter(zip(w, w[1:], w[2:], strict=False)), set()
@@ -129,6 +132,31 @@ def test_rules_match_brute_force(spark):
         lines = [x for x in t.split("\n") if SPACE.search(x)]
         want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w))
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
+        assert (r.id, r.words, r.llr, r.kept) == ("x", 1, 0.0, not r.base_failed)
+
+
+def test_log_ratio_matches_brute_force(spark):
+    """With so many buckets that n-grams hardly share one, ratios are those of the n-grams themselves."""
+    rng = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(12)] + ["!!", "x_1", "é", "$$"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(30, 110))).upper() for _ in range(60)] + [None, "", "Ab,ab. AB!"]
+    ids = [*range(60), None, 3, 61]  # a null id, and one that two rows have
+    good, buckets = {i for i in range(60) if i % 4 == 3}, 1 << 16
+    grams = []
+    for t in texts:
+        parts = re.findall(r"\w+|[^\w\s]+", (t or "").lower())
+        grams.append([(p,) for p in parts] + list(zip(parts, parts[1:], strict=False)))
+    raw, trusted = Counter(g for x in grams for g in x), Counter(g for i, x in zip(ids, grams, strict=True) if i in good for g in x)
+    whole_r, whole_t = sum(raw.values()) + buckets, sum(trusted.values()) + buckets
+    ratio = {g: math.log((trusted[g] + 1) / whole_t) - math.log((n + 1) / whole_r) for g, n in raw.items()}
+    want = {(i, t): sum(ratio[g] for g in x) / len(x) if x else 0.0 for i, t, x in zip(ids, texts, grams, strict=True)}
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i,) for i in (*good, None)], "n long")
+    got = {(r.doc_id, r.text): r for r in quality_rules.apply_rules(docs, labels, -0.1, buckets).collect()}
+    off = [k for k in want if abs(got[k].llr - want[k]) > 1e-9]
+    assert len(off) <= 2  # two of about 250 n-grams may fall into one bucket
+    assert all(got[k].kept == (not got[k].base_failed and got[k].llr >= -0.1) for k in want)
+    assert {got[k].kept for k in want} == {True, False}
 
 
 def test_log_ratio_verdict(spark):
@@ -137,12 +165,10 @@ def test_log_ratio_verdict(spark):
     bad = lambda: " ".join("buy" + str(rng.randrange(9)) + "!!" for _ in range(80))
     texts = [good() if i % 3 else bad() for i in range(90)]
     docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, kept boolean")
-    labels = spark.createDataFrame([(i, 1) for i in range(90) if i % 3 == 1], "doc_id long, quality int")
-    ratios = quality_rules.log_ratios(docs, quality_rules.trusted_ids(labels, 10), 512)
-    kept = {r.doc_id: r.kept for r in quality_rules.apply_rules(docs, ratios, -0.3).collect()}
+    labels = spark.createDataFrame([(i,) for i in range(90) if i % 3 == 1], "doc_id long")
+    kept = {r.doc_id: r.kept for r in quality_rules.apply_rules(docs, labels, -0.3, 512).collect()}
     assert kept == {i: bool(i % 3) for i in range(90)}
-    assert quality_rules.log_ratios(docs, quality_rules.trusted_ids(labels.limit(0), 10), 16) == [0.0] * 16
-    assert quality_rules.apply_rules(docs.limit(0), ratios, 0.0).collect() == []
+    assert quality_rules.apply_rules(docs.limit(0), labels, 0.0).collect() == []
 
 
 # Classifiers
