@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +38,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that this process wrote to the shared folder and hasn't removed.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession, *needed: DataFrame) -> None:
+    """Removes the tables that ``materialize`` wrote, but for those that the frames ``needed`` read.
+
+    Results of operators read such tables: call this only when they were written elsewhere, or name them.
+    """
+    held = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in needed for f in df.inputFiles()}
+    gone = [p for p in _WRITTEN if p.split(":", 1)[-1].lstrip("/") not in held]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _WRITTEN.remove(path)
+
+
 def named(column: str) -> Column:
     """The column of exactly this name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")
@@ -50,6 +69,15 @@ def packed(df: DataFrame, *more: Column, keep: Iterable[str] | None = None) -> D
     return df.select(F.struct(*map(named, df.columns if keep is None else keep)).alias("row"), *more)
 
 
+def column_at(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column of a batch, or with dots a field of a struct column."""
+    head, *rest = path.split(".")
+    out = batch.column(head)
+    for name in rest:
+        out = out.field(name)
+    return out
+
+
 def is_held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model may learn from; a null id is held out too."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

@@ -23,6 +23,8 @@ from cadenza.llm.common import materialize, packed
 PARTS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
+#: Up to so many ids of trusted documents (8 MB) are broadcast; beyond, the join shuffles ids and n-grams.
+BROADCAST_IDS = 1_000_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ADDED = (*COUNTS, "base_failed", "llr", "kept")
 
@@ -101,7 +103,9 @@ def log_ratios(counted: DataFrame, trusted: DataFrame, buckets: int = 4096, smoo
     The raw counts are over every document, the trusted ones over every row whose id is in the one column of ``trusted``.
     Only ``buckets`` numbers come back each time. Without trusted n-grams all are 0.
     """
-    ids = trusted.toDF("id").where("id is not null").distinct()
+    ids = materialize(trusted.toDF("id").where("id is not null").distinct(), "trusted")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     t, r = _totals(counted.select("id", "grams").join(ids, "id", "left_semi"), buckets), _totals(counted, buckets)
     if not sum(t):
         return [0.0] * buckets
