@@ -1,14 +1,16 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
 Random indexing gives every word a sparse ternary index vector drawn from its hash and adds up, for each
-word, the index vectors of its neighbours. The sums are integers, so they don't depend on how rows are
+word, the index vectors of its neighbours in all documents. The sums are integers, so they don't depend on how rows are
 partitioned. A document is the mean of its words' context vectors; a small numpy network scores it, and
-one temperature of 1 or more, fitted on rows that the network didn't see, calibrates its probabilities.
+one temperature of 1 or more, fitted on rows that the network didn't see, calibrates its probabilities. The vectors need no
+labels and come from the whole corpus; only the network learns from a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,15 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import is_held_out, materialize
+from cadenza.llm.common import column_at, is_held_out, materialize
 
 DIMS = 32
-#: Labelled rows that are learned from, at most: those of the smallest id hashes.
+#: Places of an index vector that aren't 0: one in each such part of it, so that none hits another.
+MARKS = 4
+#: Labelled rows that the network learns from, at most: those of the smallest id hashes.
 SAMPLE_ROWS = 20_000
-#: Word parts that keep a vector: the most frequent in the sample, at most so many, each found so often at least.
+#: Word parts that keep a context vector: the most frequent of the corpus, at most so many, each found so often at least. All
+#: other words count by their index vectors.
 VOCABULARY, LEAST_COUNT = 8192, 4
-#: Tokens whose vectors are looked up at a time, however long the texts are.
-CHUNK = 1 << 15
+#: Tokens whose vectors are looked up at a time, however long the texts are, and tokens that a task remembers.
+CHUNK, REMEMBERED = 1 << 15, 60_000
 _PARTS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 
@@ -45,21 +50,21 @@ def token_parts(token: bytes) -> list[str]:
     return [*parts, "\x01" + shape]
 
 
-@lru_cache(200_000)
+@lru_cache(30_000)
 def index_vector(part: str) -> np.ndarray:
-    """Four places of +1 or -1."""
-    h, out = xxhash.xxh64_intdigest(part.encode("utf-8", "replace")), np.zeros(DIMS, np.int64)
-    for k in range(4):
-        out[(h >> 16 * k) % DIMS] += 1 if (h >> (16 * k + 15)) & 1 else -1
+    """Four places of +1 or -1, one in each quarter."""
+    h, out, wide = xxhash.xxh64_intdigest(part.encode("utf-8", "replace")), np.zeros(DIMS, np.int32), DIMS // MARKS
+    for k in range(MARKS):
+        out[k * wide + (h >> 16 * k) % wide] = 1 if (h >> (16 * k + 15)) & 1 else -1
     return out
 
 
 class _Rows(dict):
-    """Tokens' row numbers in a table of vectors that grows; emptied at ``most`` between batches."""
+    """Tokens' row numbers in a table of vectors that grows."""
 
-    def __init__(self, vector_of, dtype, most: int = 200_000):
+    def __init__(self, vector_of, dtype):
         super().__init__()
-        self.vector_of, self.most, self.table = vector_of, most, np.zeros((1024, DIMS), dtype)
+        self.vector_of, self.table = vector_of, np.zeros((1024, DIMS), dtype)
 
     def __missing__(self, token: bytes) -> int:
         if (n := len(self)) == len(self.table):
@@ -69,11 +74,7 @@ class _Rows(dict):
         return n
 
     def ids(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-
-    def trim(self) -> None:
-        if len(self) >= self.most:
-            self.clear()
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -85,75 +86,139 @@ def _pieces(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> part, n, v0.. : for each word part of a batch, how often it occurs and the sum of its contexts."""
-    rows = _Rows(lambda t: np.sum([index_vector(p) for p in token_parts(t)], axis=0), np.int32, 100_000)
-    names = ["part", "n", *(f"v{i}" for i in range(DIMS))]
+def _part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> part, n: how often the parts of words occur, for each 200,000 distinct tokens or so."""
+    tokens: Counter[bytes] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        parts: dict[str, int] = {}
+        for token, n in tokens.items():
+            for p in token_parts(token):
+                parts[p] = parts.get(p, 0) + n
+        tokens.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array(list(parts.values()), pa.int64())], ["part", "n"])
+
     for whole in batches:
-        for batch in _pieces(whole, 500):
-            rows.trim()
-            each = [i for t in batch.column("text").to_pylist() if len(i := rows.ids(_tokens(t)))]
-            total, counts = np.zeros((len(rows), DIMS), np.int64), np.zeros(len(rows), np.int64)
-            if each:
-                ids, ends = np.concatenate(each), np.cumsum([len(i) for i in each])
-                linked = np.ones(len(ids), np.int32)  # to the next token; not across documents
-                linked[ends - 1] = 0
-                for a in range(0, len(ids), CHUNK):
-                    b, low = min(a + CHUNK, len(ids)), max(a - 1, 0)
-                    own = rows.table[ids[low : b + 1]]
-                    near = own[a - low : b - low].copy()
-                    near[low + 1 - a :] += own[: b - 1 - low] * linked[low : b - 1, None]
-                    behind = own[a - low + 1 :]
-                    near[: len(behind)] += behind * linked[a : a + len(behind), None]
-                    order = np.argsort(ids[a:b], kind="stable")
-                    there, first = np.unique(ids[a:b][order], return_index=True)
-                    total[there] += np.add.reduceat(near[order], first, axis=0)
-                counts = np.bincount(ids, minlength=len(rows))
-            by_part: dict[str, list] = {}
+        for batch in _pieces(whole):
+            for text in batch.column("text").to_pylist():
+                tokens.update(_tokens(text))
+            if len(tokens) >= 200_000:
+                yield flush()
+    yield flush()
+
+
+def _add_contexts(table: np.ndarray, ids: np.ndarray, ends: np.ndarray, total: np.ndarray) -> None:
+    """Adds to ``total[i]`` the vectors of the tokens beside each token i of ``ids``; texts end at ``ends``."""
+    linked = np.ones(len(ids), np.int32)  # to the next token; not across documents
+    linked[ends - 1] = 0
+    for a in range(0, len(ids), CHUNK):
+        b, low = min(a + CHUNK, len(ids)), max(a - 1, 0)
+        own = table[ids[low : b + 1]]
+        near = np.zeros((b - a, DIMS), np.int32)
+        near[low + 1 - a :] += own[: b - 1 - low] * linked[low : b - 1, None]
+        behind = own[a - low + 1 :]
+        near[: len(behind)] += behind * linked[a : a + len(behind), None]
+        order = np.argsort(ids[a:b], kind="stable")
+        there, first = np.unique(ids[a:b][order], return_index=True)
+        total[there] += np.add.reduceat(near[order], first, axis=0)
+
+
+def _contexts(shared):
+    """text -> part (its number in the vocabulary), v0..: the sums of the contexts of a task's words. A word's own parts are its context too."""
+    names = ["part", *(f"v{i}" for i in range(DIMS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = shared.value
+        sums = np.zeros((len(known), DIMS), np.int64)
+        rows = _Rows(lambda t: np.sum([index_vector(p) for p in token_parts(t)], axis=0), np.int32)
+        total, counts = np.zeros((0, DIMS), np.int64), np.zeros(0, np.int64)
+
+        def fold() -> None:
+            """From tokens to the parts that the vocabulary has."""
+            at, part = [], []
             for token, i in rows.items():
-                if counts[i]:
-                    for p in token_parts(token):
-                        held = by_part.setdefault(p, [0, np.zeros(DIMS, np.int64)])
-                        held[0] += counts[i]
-                        held[1] += total[i]
-            table = np.array([v for _, v in by_part.values()], np.int64).reshape(-1, DIMS)
-            columns = [pa.array(list(by_part), pa.string()), pa.array([int(n) for n, _ in by_part.values()], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(table[:, i]) for i in range(DIMS))], names)
+                for p in token_parts(token):
+                    if (k := known.get(p)) is not None:
+                        at.append(i), part.append(k)
+            whole = total + rows.table[: len(total)] * counts[:, None]
+            at, part = np.array(at, np.int64), np.array(part, np.int64)
+            for a in range(0, len(at), CHUNK):
+                np.add.at(sums, part[a : a + CHUNK], whole[at[a : a + CHUNK]])
+
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
+            each = [i for t in batch.column("text").to_pylist() if len(i := rows.ids(_tokens(t)))]
+            if not each:
+                continue
+            grown = len(rows) - len(total)
+            total, counts = np.concatenate([total, np.zeros((grown, DIMS), np.int64)]), np.concatenate([counts, np.zeros(grown, np.int64)])
+            ids = np.concatenate(each)
+            _add_contexts(rows.table, ids, np.cumsum([len(i) for i in each]), total)
+            counts += np.bincount(ids, minlength=len(rows))
+            if len(rows) >= REMEMBERED:
+                fold()
+                rows.clear()
+                total, counts = total[:0], counts[:0]
+        fold()
+        some = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(sums[some, i]) for i in range(DIMS))], names)
+
+    return run
+
+
+def vocabulary_of(docs: DataFrame, size: int = VOCABULARY, least: int = LEAST_COUNT, text: str = "text") -> list[tuple[str, int]]:
+    """The ``size`` most frequent word parts of all documents, and their counts. What is written before it is read has no more rows."""
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(_part_counts, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+    top = materialize(counts.where(F.col("n") >= least).orderBy(F.desc("n"), "part").limit(size), "vocabulary")
+    return sorted(((r["part"], r["n"]) for r in top.collect()), key=lambda r: (-r[1], r[0]))
+
+
+def context_sums(docs: DataFrame, words: list[str], text: str = "text") -> np.ndarray:
+    """The sums of the words' contexts over all documents, a row for each word; so many rows come to the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    columns = [f"v{i}" for i in range(DIMS)]
+    found = docs.select(F.col(text).alias("text")).mapInArrow(_contexts(shared), "part bigint, " + ", ".join(f"{c} bigint" for c in columns))
+    out = np.zeros((len(words), DIMS), np.int64)
+    for r in materialize(found.groupBy("part").agg(*(F.sum(c).alias(c) for c in columns)), "contexts").collect():
+        out[r[0]] = r[1:]
+    return out
 
 
 @dataclass
 class WordVectors:
     words: dict[str, int]
     table: np.ndarray
+    middle: np.ndarray
 
     def of(self, token: bytes) -> np.ndarray:
-        found = [self.words[p] for p in token_parts(token) if p in self.words]
-        return self.table[found[0]] if len(found) == 1 else self.table[found].sum(axis=0) if found else np.zeros(DIMS, np.float32)
+        """The sum of the vectors of a token's parts; of a part without a context vector, its index vector, of length 1."""
+        out = np.zeros(DIMS, np.float32)
+        for p in token_parts(token):
+            i = self.words.get(p)
+            out += self.table[i] if i is not None else index_vector(p) * np.float32(MARKS**-0.5) - self.middle
+        return out
 
 
-def fit_vectors(sample: DataFrame, text: str = "text") -> WordVectors:
-    """Context vectors of the sample's most frequent word parts, of length 1 about their mean."""
-    sums = ", ".join(f"v{i} bigint" for i in range(DIMS))
-    found = sample.select(F.col(text).alias("text")).mapInArrow(_contexts, f"part string, n bigint, {sums}")
-    top = found.groupBy("part").agg(F.sum("n").alias("n"), *(F.sum(f"v{i}").alias(f"v{i}") for i in range(DIMS)))
-    rows = top.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "part").limit(VOCABULARY).toPandas()
-    table = rows[[f"v{i}" for i in range(DIMS)]].to_numpy(np.float64).reshape(-1, DIMS)
+def fit_vectors(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> WordVectors:
+    """Context vectors of the corpus's most frequent word parts, of length 1, about their mean."""
+    found = vocabulary_of(docs, size, text=text)
+    table = context_sums(docs, [p for p, _ in found], text).astype(np.float64)
     table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
-    if len(table):
-        table -= np.average(table, axis=0, weights=rows["n"])
-    return WordVectors({p: i for i, p in enumerate(rows["part"])}, table.astype(np.float32))
+    middle = np.average(table, axis=0, weights=[n for _, n in found]) if found else np.zeros(DIMS)
+    return WordVectors({p: i for i, (p, _) in enumerate(found)}, (table - middle).astype(np.float32), middle.astype(np.float32))
 
 
 class Pooler:
-    """Documents' features: the mean of their tokens' vectors, the share of tokens equal to the one before, log length."""
+    """Documents' features, from their tokens' vectors alone: the mean, and the mean product of vectors that stand side by
+    side, by dimension, which tells running text from repetition. All 0 for a text without tokens."""
 
-    width = DIMS + 2
+    width = 2 * DIMS
 
     def __init__(self, vectors: WordVectors):
         self.rows = _Rows(vectors.of, np.float32)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        self.rows.trim()
+        if len(self.rows) >= 2 * REMEMBERED:
+            self.rows.clear()
         each = [self.rows.ids(_tokens(t)) for t in texts]
         lengths = np.array([len(i) for i in each], np.int64)
         out = np.zeros((len(texts), self.width), np.float32)
@@ -161,16 +226,21 @@ class Pooler:
         if len(full):
             ids = np.concatenate([each[i] for i in full])
             starts = np.cumsum(lengths[full]) - lengths[full]
-            same = np.r_[False, ids[1:] == ids[:-1]].astype(np.float32)
-            same[starts] = 0
-            total = np.zeros((len(full), DIMS))
+            linked = np.ones(len(ids), np.float32)  # to the next token; not across documents
+            linked[starts[1:] - 1] = linked[-1] = 0
+            total = np.zeros((len(full), self.width))
             for a in range(0, len(ids), CHUNK):
-                here = ids[a : a + CHUNK]
-                one, last = np.searchsorted(starts, (a, a + len(here) - 1), "right") - 1
-                total[one : last + 1] += np.add.reduceat(self.rows.table[here], np.maximum(starts[one : last + 1] - a, 0), axis=0)
-            out[full, :DIMS] = total / lengths[full, None]
-            out[full, DIMS] = np.add.reduceat(same, starts) / lengths[full]
-            out[full, DIMS + 1] = np.log1p(lengths[full])
+                own = self.rows.table[ids[a : a + CHUNK + 1]]
+                n = min(CHUNK, len(ids) - a)
+                one, last = np.searchsorted(starts, (a, a + n - 1), "right") - 1
+                cuts = np.maximum(starts[one : last + 1] - a, 0)
+                here, behind = own[:n], own[1 : n + 1]
+                beside = here.copy()
+                beside[: len(behind)] *= behind * linked[a : a + len(behind), None]
+                beside[len(behind) :] = 0
+                for i, part in enumerate((here, beside)):
+                    total[one : last + 1, i * DIMS : (i + 1) * DIMS] += np.add.reduceat(part, cuts, axis=0)
+            out[full] = total / lengths[full, None]
         return out
 
 
@@ -239,18 +309,20 @@ class QualityModel:
     network: Network
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    """Learns from at most ``sample_rows`` labelled documents that aren't held out, those of the smallest id hashes.
+def fit(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality", vocabulary: int = VOCABULARY
+) -> QualityModel:
+    """Vectors of all documents; a network of at most ``sample_rows`` labelled documents that aren't held out.
 
-    Rows whose label or id is null are left out. Only fixed-size numbers come to the driver: the vocabulary's
-    vectors and the sample's features.
+    The labelled rows are those of the smallest id hashes. Rows whose label or id is null are left out. Only fixed-size
+    numbers come to the driver: the vocabulary and its vectors, and the sample's features.
     """
-    known = labels.select(F.col(key), F.col(label).cast("double").alias("_label")).where(F.col("_label").isNotNull() & F.col(key).isNotNull() & ~is_held_out(F.col(key)))
-    chosen = known.groupBy(key).agg(F.max("_label").alias("_label")).orderBy(F.xxhash64(key), key).limit(sample_rows)
-    found = docs.select(key, text).join(F.broadcast(chosen), key)  # at most sample_rows ids
+    vectors = fit_vectors(docs, text, vocabulary)
+    known = labels.select(F.col(key).alias("id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~is_held_out(F.col("id")))
+    chosen = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    found = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows ids
     # one text for each id, however often rows repeat it
-    sample = materialize(found.groupBy(key).agg(F.min_by(text, F.xxhash64(text)).alias(text), F.max("_label").alias("_label")), "labelled")
-    vectors = fit_vectors(sample, text)
+    sample = materialize(found.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y")), "labelled")
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,14 +332,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, key:
                 x = pool(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(list(x), pa.list_(pa.float32()))], ["h", "y", "x"])
 
-    rows = sample.select(F.xxhash64(key, text).alias("h"), F.col("_label").alias("y"), F.col(text).alias("text")).mapInArrow(features, "h bigint, y double, x array<float>")
-    rows = rows.toPandas().sort_values("h", kind="stable")
+    rows = sample.select(F.xxhash64("id", "text").alias("h"), "y", "text").mapInArrow(features, "h bigint, y double, x array<float>").toPandas()
+    rows = rows.sort_values("h", kind="stable")
     x = np.array(rows["x"].tolist(), np.float32).reshape(-1, Pooler.width)
     return QualityModel(vectors, fit_network(x, (rows["y"].to_numpy() > 0.5).astype(np.float64)))
 
 
-def score(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds ``quality_score``, 0 to 1, to every row of ``docs`` (a column of this name is replaced). Null texts count as empty."""
+def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
+    """Adds ``quality_score``, 0 to 1, to every row of ``docs`` (a column of this name is replaced).
+
+    Texts are read whole; null ones count as empty, and all texts without a token have one score. ``text`` may be a field of a struct (``row.text``).
+    """
     docs = docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
@@ -276,7 +351,7 @@ def score(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str =
         pool = Pooler(shared.value.vectors)
         for whole in batches:
             for batch in _pieces(whole):
-                p = shared.value.network.probability(pool(batch.column(text).to_pylist()).astype(np.float64))
+                p = shared.value.network.probability(pool(column_at(batch, text).to_pylist()).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "quality_score"])
 
     return docs.mapInArrow(run, schema)
