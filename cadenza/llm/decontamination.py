@@ -22,6 +22,8 @@ from cadenza.llm.common import TokenHashes, alnum_tokens, materialize
 FILTER_BITS = 22
 #: Up to so many windows (about 100 bytes each) their lookup terms are broadcast; beyond, the join shuffles.
 BROADCAST_WINDOWS = 200_000
+#: Up to so many distinct terms (16 bytes each) their counts are broadcast, so that windows with a common word don't meet in one task.
+BROADCAST_TERMS = 1_000_000
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +109,9 @@ def find_matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFra
     The rarest term of a window is that with the fewest postings in the whole index, then the smallest offset.
     """
     counts = index.select(F.explode(F.arrays_zip("terms", "positions")).alias("p")).groupBy(F.col("p.terms").alias("t")).agg(F.sum(F.size("p.positions")).alias("n"))
+    counts = materialize(counts, "term-counts")
+    if counts.count() <= BROADCAST_TERMS:
+        counts = F.broadcast(counts)
     terms = windows.select("win", F.posexplode("terms").alias("at", "t"))
     rarest = terms.join(counts, "t", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "t")).alias("r")).where("r.n > 0")
     plans = materialize(windows.join(rarest, "win").select("win", "item_id", "terms", F.col("r.t").alias("t"), F.col("r.at").alias("at")), "lookups")
