@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialize
+from cadenza.llm.common import materialize, packed
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,36 +69,46 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str,
     return leaves.join(given.withColumnRenamed("given", "budget"), list(levels))
 
 
+ADDED = ("n_tokens", "epoch")
+
+
 def mix(
-    docs: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], fraction: float, epochs: int, seed: int = 0, key: str = "doc_id", text: str = "text", range_rows: int = 2000
-) -> DataFrame:
-    """Rows of ``docs`` as often as they are selected, with ``n_tokens`` and ``epoch`` (from 0) added.
-
-    ``levels`` are string columns from the root's children down to the leaves, ``weights`` integer weights by level and
-    value (None: any other value; 1 if not given). A null in a level counts as the value ''. A leaf's epochs before the
-    last are whole; of the last, the documents whose running token count stays within the rest are taken, in the
-    order of a digest of seed, epoch and key, then of the key and the token count. Texts that are null or empty have 0
-    tokens; they are ordered like others and cost nothing. Repeated rows count and are selected each by itself. An
-    empty table or a zero budget selects nothing. Columns named as those added are replaced.
+    docs: DataFrame, levels: Mapping[str, Column] | Sequence[str], weights: Mapping[str, Mapping[str, int]], fraction: float, epochs: int, seed: int = 0,
+    key: str = "doc_id", text: str = "text", range_rows: int = 2000, keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """Rows of ``docs`` (their columns ``keep``, all by default) as often as they are selected, with ``n_tokens`` and
+    ``epoch`` (from 0) added; columns of these names are replaced, all others come back as they were.
+
+    ``levels`` are string columns, or names with column expressions, from the root's children down to the leaves, ``weights``
+    integer weights by level and value (None: any other value; 1 if not given). A null in a level counts as the value ''.
+    A leaf's epochs before the last are whole; of the last, the documents whose running token count stays within the rest
+    are taken, in the order of a digest of seed, epoch, key and text, then of the key and the token count. Texts that are
+    null or empty have 0 tokens; they are ordered like others and cost nothing. Repeated rows count and are selected
+    each by itself. An empty table or a zero budget selects nothing.
     """
-    cols = [c for c in docs.columns if c not in ("n_tokens", "epoch")]
-    leaf = [f"_l{i}" for i in range(len(levels))]
-    rows = docs.select(*cols, token_count(F.col(text)).alias("n_tokens"), *(F.coalesce(F.col(c), F.lit("")).alias(x) for c, x in zip(levels, leaf, strict=True)))
-    leaves = materialize(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "leaves")
+    levels = levels if isinstance(levels, Mapping) else {c: F.col(c) for c in levels}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
+    leaf = [f"l{i}" for i in range(len(levels))]
+    tokens = token_count(F.col(text)).alias("n_tokens")
+    nodes = [F.coalesce(c, F.lit("")).alias(x) for c, x in zip(levels.values(), leaf, strict=True)]
+    leaves = materialize(docs.select(tokens, *nodes).groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "leaves")
     named = {x: weights[c] for c, x in zip(levels, leaf, strict=True) if c in weights}
     plan = leaf_budgets(leaves, leaf, named, fraction, epochs)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("int")
-    plan = plan.withColumn("_whole", F.least(whole, F.lit(epochs))).withColumn("_rest", F.col("budget") - F.col("_whole") * F.col("tokens"))
-    plan = plan.withColumn("_ranges", F.greatest(F.lit(1), F.ceil(F.col("rows") / range_rows)))
-    plan = materialize(plan.where("budget > 0").select(*leaf, "_whole", "_rest", "_ranges"), "plan")
-    digest = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8)
-    placed = rows.join(plan, leaf).withColumn("_digest", F.conv(digest, 16, 10).cast("long"))
-    placed = placed.withColumn("_range", F.floor(F.col("_digest") * F.col("_ranges") / F.lit(float(1 << 32))).cast("long"))
-    ranges = placed.groupBy(*leaf, "_range").agg(F.sum("n_tokens").alias("_n"))
-    before = Window.partitionBy(*leaf).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select(*leaf, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*leaf, "_range").orderBy("_digest", key, "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumn("_sum", F.sum("n_tokens").over(inside)).join(offsets, [*leaf, "_range"])
-    times = F.col("_whole") + F.when(F.col("_offset") + F.col("_sum") <= F.col("_rest"), F.lit(1)).otherwise(F.lit(0))
+    plan = plan.withColumn("whole", F.least(whole, F.lit(epochs))).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
+    plan = plan.withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("rows") / range_rows)))
+    plan = materialize(plan.where("budget > 0").select(*leaf, "whole", "rest", "ranges"), "plan")
+    # the text is part of the digest so that rows that repeat a key spread over the ranges
+    texts = F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_md5")
+    rows = packed(docs, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("name"), F.col(key).alias("id"), texts, tokens, *nodes, keep=kept)
+    digest = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), "name", "text_md5")), 1, 8)
+    placed = rows.join(plan, leaf).withColumn("digest", F.conv(digest, 16, 10).cast("long")).drop("name", "text_md5")
+    placed = placed.withColumn("range", F.floor(F.col("digest") * F.col("ranges") / F.lit(float(1 << 32))).cast("long"))
+    ranges = placed.groupBy(*leaf, "range").agg(F.sum("n_tokens").alias("n"))
+    before = Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(*leaf, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*leaf, "range").orderBy("digest", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("sum", F.sum("n_tokens").over(inside)).join(offsets, [*leaf, "range"])
+    times = F.col("whole") + F.when(F.col("offset") + F.col("sum") <= F.col("rest"), F.lit(1)).otherwise(F.lit(0))
     times = F.least(times, F.lit(epochs))
-    return summed.where(times > 0).select(*cols, "n_tokens", F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch"))
+    return summed.where(times > 0).select("row", "n_tokens", F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch")).select("row.*", *ADDED)

@@ -61,4 +61,4 @@ docs as (select doc_id, octet_length(encode(coalesce(text, ''))) + 16 as size, h
 bytes as (select doc_id, size, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, i * 2 + 1, 2))::bigint) as b from docs),
 sums as (select doc_id, size, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(tab[xor(c & 255, x) + 1], c >> 8)), 4294967295::bigint) as text_crc32 from bytes, crc),
 placed as (select doc_id, size::bigint as size, text_crc32, 'key' as law, o.b::int as shard, w.b::int as grown_shard from sums join (select doc_id, b from one where j >= {shards}) o using (doc_id) join (select doc_id, b from two where j >= {shards + 1}) w using (doc_id))
-select *, row_number() over (partition by shard order by substr(md5(doc_id::varchar), 1, 8), doc_id) - 1 as slot from placed"""
+select *, row_number() over (partition by shard order by substr(md5(doc_id::varchar || ':' || text_crc32), 1, 8), doc_id) - 1 as slot from placed"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import language_id, quality_classifier, secret_scan
@@ -64,16 +64,21 @@ def op6_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` mixed by domain (here given by the number in the source's name), language and source."""
-    number = F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0))
-    domain = F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("forums")), number % 3 + 1)
-    return mix(docs.withColumn("domain", domain), MIX_LEVELS, MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED)
+def domain_of(source: Column) -> Column:
+    """The given tables have no domain; the number in a source's name stands for it."""
+    number = F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0))
+    return F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("forums")), number % 3 + 1)
+
+
+def mixed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` mixed by domain, language and source."""
+    levels = {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    return mix(docs, levels, MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED, keep=keep)
 
 
 def op7_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixed(docs).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    return mixed(docs, ["doc_id", "lang", "source"]).select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", "n_tokens", "epoch")
 
 
 def op8_inferred_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +94,7 @@ def op9_ngram_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return assign_shards(docs, SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return assign_shards(docs, SHARDS, keep=["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -128,7 +133,7 @@ def _mixing_sql() -> str:
 
     shares = ",".join(_share_sql(f"s{i}", level, MIX_LEVELS[:i], case(level)) for i, level in enumerate(MIX_LEVELS))
     return f"""with docs as (
-  select doc_id, lang, source, ['web', 'books', 'forums'][coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) as int), 0) % 3 + 1] as domain,
+  select doc_id, lang, source, md5(coalesce(text, '')) text_md5, ['web', 'books', 'forums'][coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) as int), 0) % 3 + 1] as domain,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint n_tokens from documents),
 leaves as (select domain, lang, source, sum(n_tokens)::bigint tokens from docs group by all),
 caps as (select *, tokens * {MIX_EPOCHS} as cap from leaves),
@@ -136,7 +141,7 @@ d0 as (select floor(sum(tokens)::double * {MIX_FRACTION})::bigint given from lea
 plan as (select l.domain, l.lang, l.source, l.tokens, d3.given budget, least({MIX_EPOCHS}, case when tokens > 0 then floor(d3.given / tokens)::int else 0 end) whole
   from leaves l join d3 using (domain, lang, source) where d3.given > 0),
 summed as (select d.*, p.whole, p.budget - p.whole * p.tokens rest, sum(n_tokens) over (partition by d.domain, d.lang, d.source
-  order by substr(md5('{MIX_SEED}:' || p.whole || ':' || doc_id), 1, 8), doc_id, n_tokens rows between unbounded preceding and current row) s
+  order by substr(md5('{MIX_SEED}:' || p.whole || ':' || doc_id || ':' || text_md5), 1, 8), doc_id, n_tokens rows between unbounded preceding and current row) s
   from docs d join plan p using (domain, lang, source)),
 times as (select *, least({MIX_EPOCHS}, whole + (s <= rest)::int) n from summed)
 select doc_id, domain, lang, source, n_tokens, unnest(range(0, n))::int as epoch from times where n > 0"""

@@ -9,10 +9,13 @@ of the ranges are summed up, and each range numbers its own rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import packed
+
 #: Multiplier of the published generator, and its halves.
 MULTIPLIER = 2862933555777941757
 HIGH, LOW, MASK = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF, 0xFFFFFFFF
@@ -70,41 +73,35 @@ def jump_hash(key: Column, shards: int) -> Column:
     return done["b"].cast("int")
 
 
-def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", range_rows: int = 2000) -> DataFrame:
-    """Adds ``size`` (UTF-8 bytes of the text plus 16), ``text_crc32``, ``law`` (always ``key``), ``shard``, ``slot``
-    and ``grown_shard`` (the shard if there were one more); columns of these names in ``df`` are replaced.
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", range_rows: int = 2000, keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df`` (all by default) with ``size`` (UTF-8 bytes of the text plus 16), ``text_crc32``, ``law``
+    (always ``key``), ``shard``, ``slot`` and ``grown_shard`` (the shard if there were one more) added; columns of these
+    names in ``df`` are replaced, all others come back as they were.
 
-    ``slot`` counts each shard's rows from 0 without gaps, in the order of a 32-bit digest of the key, then of the
-    key, then of the text's checksum. ``range_rows`` is about the number of rows that one task numbers at a time; it
-    doesn't change the result. A null text has no bytes and checksum 0, a null key goes where key 0 goes. Repeated
-    rows each get a slot of their own. An empty table gives an empty one.
+    ``slot`` counts each shard's rows from 0 without gaps, in the order of a 32-bit digest of the key and the text's
+    checksum, then of the key, the checksum and the size. ``range_rows`` is about the number of rows that one task numbers at
+    a time; it doesn't change the result. A null text has no bytes and checksum 0, a null key goes where key 0 goes.
+    Repeated rows each get a slot of their own; rows that repeat a key with other texts are numbered in many ranges, though
+    the law puts them all into one shard. An empty table gives an empty one.
     """
-    added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    df = df.drop(*(c for c in df.columns if c in added))
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in ADDED]
     total = df.select(F.lit(1)).count()
     ranges = max(1, math.ceil(total / shards / range_rows))
-    digest = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    placed = df.select(
-        *df.columns,
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
-        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-        F.lit("key").alias("law"),
-        jump_hash(F.col(key), shards).alias("shard"),
-        jump_hash(F.col(key), shards + 1).alias("grown_shard"),
-        digest.alias("_digest"),
-    ).withColumn("_range", F.floor(F.col("_digest") * ranges / F.lit(float(1 << 32))).cast("int"))
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
-        .select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy("shard", "_range").orderBy("_digest", key, "text_crc32", "size")
-    numbered = placed.withColumn("_row", F.row_number().over(inside))
-    return (
-        numbered.join(offsets, ["shard", "_range"])
-        .withColumn("slot", (F.col("_offset") + F.col("_row") - 1).cast("long"))
-        .select(*df.columns, *added)
-    )
+    crc = F.coalesce(F.crc32(text), F.lit(0)).cast("long")
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), crc)), 1, 8), 16, 10).cast("long")
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
+    shard, grown = jump_hash(F.col(key), shards), jump_hash(F.col(key), shards + 1)
+    placed = packed(
+        df, F.col(key).alias("id"), size.alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), shard.alias("shard"), grown.alias("grown_shard"), digest.alias("digest"), keep=kept
+    ).withColumn("range", F.floor(F.col("digest") * ranges / F.lit(float(1 << 32))).cast("int"))
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n")).select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("shard", "range").orderBy("digest", "id", "text_crc32", "size")
+    numbered = placed.withColumn("place", F.row_number().over(inside)).join(offsets, ["shard", "range"])
+    return numbered.withColumn("slot", (F.col("offset") + F.col("place") - 1).cast("long")).select("row.*", *ADDED)
 
 
 def write_shards(df: DataFrame, path: str, shards: int, key: str = "doc_id", text: str = "text", range_rows: int = 100_000) -> None:

@@ -3,9 +3,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadenza.llm import queries
+from cadenza.llm import quality_classifier, queries
 from cadenza.llm.mixing import leaf_budgets, mix
 
 LEVELS = ("domain", "lang", "source")
@@ -62,7 +63,8 @@ def test_budgets_match_brute_force(spark, seed):
 def test_prefixes(spark, fraction, epochs, range_rows):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randrange(9)), rng.choice(["x", "y", None])) for i in range(200)] + [(None, "a b c", "x"), (5, None, "x"), (5, "", "y"), (7, "a a", "z"), (7, "a a", "z")]
-    df = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, source string, epoch string").repartition(3)
+    df = spark.createDataFrame([(*r, "old", 1, 2, 3) for r in rows], "doc_id long, text string, source string, epoch string, digest int, l0 int, `range` int").repartition(3)
+    assert mix(df, ["source"], {}, 0.5, 1).columns == ["doc_id", "text", "source", "digest", "l0", "range", "n_tokens", "epoch"]
     out = mix(df, ["source"], {"source": {"x": 2, "y": 1}}, fraction, epochs, 4, range_rows=range_rows).collect()
     sizes = {}
     for _, t, s in rows:
@@ -74,9 +76,9 @@ def test_prefixes(spark, fraction, epochs, range_rows):
             continue
         whole = min(budgets[s] // n, epochs)
         rest, total = budgets[s] - whole * n, 0
-        own = [(k, len((t or "").split())) for k, t, x in rows if (x or "") == s]
-        own.sort(key=lambda r: (hashlib.md5(f"4:{whole}:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:8], r[0] is not None, r[0] or 0, r[1]))
-        for k, size in own:
+        own = [(k, len((t or "").split()), hashlib.md5((t or "").encode()).hexdigest()) for k, t, x in rows if (x or "") == s]
+        own.sort(key=lambda r: (hashlib.md5(f"4:{whole}:{'' if r[0] is None else r[0]}:{r[2]}".encode()).hexdigest()[:8], r[0] is not None, r[0] or 0, r[1]))
+        for k, size, _ in own:
             total += size
             want += [(k, size, e) for e in range(min(epochs, whole + (total <= rest)))]
     assert sorted(((r.doc_id, r.n_tokens, r.epoch) for r in out), key=str) == sorted(want, key=str)
@@ -123,12 +125,49 @@ def test_null_and_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.keep_first_of_near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id for r in kept), key=str) == [1, 3, None]
+    names = ("domain", "n_tokens", "epoch", "quality_score", "_hash", "row", "k", "shard", "digest")
+    odd = docs.select("*", *(F.lit("mine").alias(c) for c in names))
+    for stage in (corpus_pipeline.keep_first_of_near_duplicates, corpus_pipeline.mix_sources):
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns and {tuple(r)[5:] for r in out.collect()} == {("mine",) * len(names)}
     mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
     assert {r.doc_id for r in mixed} <= {1, 2, 3, None}
     assert corpus_pipeline.shard(spark, docs, "").count() == 5
     assert corpus_pipeline.shard(spark, docs.limit(0), "").count() == 0 and corpus_pipeline.mix_sources(spark, docs.limit(0), "").count() == 0
 
 
+def test_rows_are_told_apart_by_id_and_text(spark, tmp_path):
+    words = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    one, two = words("a"), words("b")
+    rows = [(1, one), (5, one), (5, two), (None, one), (None, one), (None, words("c")), (None, words("c")), (9, two + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("x").alias("quality_score"), F.lit("y").alias("k")).repartition(3)
+    kept = corpus_pipeline.keep_first_of_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, one), (5, two), (None, words("c"))], key=str)
+    spark.createDataFrame([(1, words("q", 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    passage = "so " + words("q", 12) + " it goes"
+    docs = spark.createDataFrame([(None, passage), (8, one), (8, passage), (None, two), (None, None), (3, "")], "doc_id long, text string").select("*", F.lit("x").alias("row"), F.lit("y").alias("k"))
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(8, one), (None, two), (None, None), (3, "")], key=str)
+
+
+def test_quality_stage_matches_the_scores_row_by_row(spark, tmp_path):
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choice("the of and to a in is it".split()) if rng.random() < 0.4 else f"word{rng.randrange(300)}" for _ in range(60))
+    bad = lambda: " ".join(f"WORD{rng.randrange(300)}!!" for _ in range(60))
+    rows = [(i, good() if i % 2 else bad()) for i in range(200)] + [(None, good()), (None, bad()), (7, bad()), (300, None)]
+    spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("mine").alias("quality_score")).repartition(3)
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    scores = quality_classifier.score(docs.drop("quality_score"), model).collect()
+    kept = corpus_pipeline.keep_good(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r.quality_score for r in kept.collect()} == {"mine"}
+    want = [(r.doc_id, r.text) for r in scores if r.quality_score >= queries.QUALITY_THRESHOLD]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert 95 <= len(want) <= 110 and (None, rows[200][1]) in want and (7, rows[202][1]) not in want
+
+
 def test_every_number_has_a_query():
     assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
 

@@ -179,22 +179,82 @@ def test_quality_classifier(spark):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice("the of and to a in is it on as".split()) if rng.random() < 0.4 else f"word{rng.randrange(400)}" for _ in range(60))
     bad = lambda: " ".join(f"WORD{rng.randrange(400)}!!" if rng.random() < 0.9 else "THE!!" for _ in range(60))
-    rows = [(i, good() if i % 2 else bad()) for i in range(400)] + [(1000, None), (1001, ""), (1002, "x" * 200_000)]
+    rows = [(i, good() if i % 2 else bad()) for i in range(400)] + [(1000, None), (1001, ""), (1002, "x" * 200_000), (None, good()), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("quality_score", F.lit("old")).repartition(3)
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(5, None)], "doc_id long, quality int")
     model = quality_classifier.fit(docs, labels)
     out = quality_classifier.score(docs, model).withColumn("held", is_held_out(F.col("doc_id"))).collect()
-    assert len(out) == 403 and all(0 <= r.quality_score <= 1 for r in out)
-    held = [r for r in out if r.held and r.doc_id < 400]
+    assert len(out) == 405 and all(0 <= r.quality_score <= 1 for r in out)
+    held = [r for r in out if r.held and (r.doc_id or 999) < 400]
     assert len(held) > 40 and sum((r.quality_score >= 0.3) == r.doc_id % 2 for r in held) >= 0.97 * len(held)
-    assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
+    assert all(r.held == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
     same = quality_classifier.score(docs.repartition(5), quality_classifier.fit(docs.repartition(5), labels)).collect()
-    assert {r.doc_id: round(r.quality_score, 6) for r in same} == {r.doc_id: round(r.quality_score, 6) for r in out}
+    assert {(r.doc_id, r.text): round(r.quality_score, 6) for r in same} == {(r.doc_id, r.text): round(r.quality_score, 6) for r in out}
     for few in (labels.limit(0), labels.where("quality = 1")):
         scores = {r.quality_score for r in quality_classifier.score(docs, quality_classifier.fit(docs, few)).collect()}
         assert len(scores) == 1
 
 
+def naive_contexts(texts, words):
+    """Of each word part, the sum of the index vectors of all parts of the tokens before, at and after each of its tokens."""
+    sums = {w: [0] * quality_classifier.DIMS for w in words}
+    for text in texts:
+        tokens = (text or "").encode().split()
+        for i, token in enumerate(tokens):
+            near = [p for j in (i - 1, i, i + 1) if 0 <= j < len(tokens) for p in quality_classifier.token_parts(tokens[j])]
+            for part in quality_classifier.token_parts(token):
+                if part in sums:
+                    for p in near:
+                        sums[part] = [a + int(b) for a, b in zip(sums[part], quality_classifier.index_vector(p), strict=True)]
+    return [sums[w] for w in words]
+
+
+def test_random_indexing_matches_naive_loops(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["ab", "Cd,", "EF!!", "g-h", "it's", "x_1", "é"]) for _ in range(rng.randrange(30))) for _ in range(40)] + [None, "", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = Counter(p for t in texts for token in (t or "").encode().split() for p in quality_classifier.token_parts(token))
+    found = quality_classifier.vocabulary_of(docs, 6, 2)
+    assert found == sorted(((p, n) for p, n in counts.items() if n >= 2), key=lambda r: (-r[1], r[0]))[:6]
+    words = [p for p, _ in found]
+    assert quality_classifier.context_sums(docs, words).tolist() == naive_contexts(texts, words)
+    run = lambda: list(quality_classifier._contexts(type("B", (), {"value": {w: i for i, w in enumerate(words)}}))(iter([batch])))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": texts * 5})
+    whole = run()[0].to_pylist()
+    monkeypatch.setattr(quality_classifier, "CHUNK", 7)  # pieces of long texts, and tokens forgotten on the way
+    monkeypatch.setattr(quality_classifier, "REMEMBERED", 2)
+    assert run()[0].to_pylist() == whole
+
+
+def test_index_vectors_have_four_marks():
+    for i in range(200):
+        assert sorted(abs(quality_classifier.index_vector(f"w{i}")).tolist())[-5:] == [0, 1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("chunk", [3, 1 << 15])
+def test_pooling_matches_naive_loops(monkeypatch, chunk):
+    import numpy as np
+
+    monkeypatch.setattr(quality_classifier, "CHUNK", chunk)
+    rng = random.Random(22)
+    table = np.random.default_rng(1).normal(size=(3, quality_classifier.DIMS)).astype(np.float32)
+    vectors = quality_classifier.WordVectors({"ab": 0, "cd": 1, "\x01l": 2}, table, np.full(quality_classifier.DIMS, 0.1, np.float32))
+    texts = [" ".join(rng.choice(["ab", "Cd,", "new", "ab"]) for _ in range(rng.randrange(20))) for _ in range(30)] + [None, "", "ab"]
+    for text, x in zip(texts, quality_classifier.Pooler(vectors)(texts), strict=True):
+        each = []
+        for token in (text or "").encode().split():
+            v = np.zeros(quality_classifier.DIMS)
+            for p in quality_classifier.token_parts(token):
+                v += table[vectors.words[p]] if p in vectors.words else quality_classifier.index_vector(p) / 2 - 0.1
+            each.append(v)
+        want = np.zeros(2 * quality_classifier.DIMS)
+        if each:
+            want = np.r_[np.mean(each, axis=0), np.sum([a * b for a, b in zip(each, each[1:], strict=False)] or [0 * each[0]], axis=0) / len(each)]
+        assert np.allclose(x, want, atol=1e-4)
+
+
 def test_temperature_softens(spark):
     import numpy as np
 
@@ -291,9 +351,10 @@ def test_jump_hash(spark, n):
 
 @pytest.mark.parametrize("range_rows", [3, 2000])
 def test_slots(spark, range_rows):
-    rows = [(i, f"t{i % 7}é") for i in range(500)] + [(3, "t3é"), (3, "other"), (None, None), (None, "x"), (9, "")]
-    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, shard string").repartition(4)
+    rows = [(i, f"t{i % 7}é") for i in range(500)] + [(3, "t3é"), (3, "other"), (None, None), (None, "x"), (9, ""), (10, "long " * 200_000)] + [(11, f"one id {i}") for i in range(200)]
+    df = spark.createDataFrame([(*r, "s", "d", "x") for r in rows], "doc_id long, text string, shard string, digest string, `range` string").repartition(4)
     out = sharding.assign_shards(df, 5, range_rows=range_rows).collect()
+    assert {(r.digest, r.range) for r in out} == {("d", "x")}
     assert len(out) == len(rows)
     for s in range(5):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
