@@ -1,58 +1,66 @@
 """The corpus pipeline: five stages from raw documents to numbered shards.
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and is written as Parquet and
-reread as the next one's input. All but the last return the columns of documents. They call the general operators in
-cadenza.llm; the parameters are those of the queries there.
+reread as the next one's input. All but the last return the columns of documents as they came, whatever their names. They
+call the general operators in cadenza.llm; the parameters are those of the queries there.
 
 Stages: documents that the quality classifier scores below the threshold go; one document of each group of near
 duplicates stays, that with the smallest id; documents with a benchmark window go; sources are mixed to their
 weights, which can drop documents of over-supplied sources and repeat those of scarce ones; every row gets a shard.
-Null texts count as empty; empty tables pass through every stage as empty tables.
+
+Rows are told apart by id and text, not by id alone: an id that several texts have, or none, doesn't mix up their
+verdicts. Rows that repeat id and text are one document. Null texts count as empty; null ids count as larger than all
+others; empty tables pass through every stage as empty tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import quality_classifier
-from cadenza.llm.common import materialize, read_table
+from cadenza.llm.common import materialize, packed, read_table, release
 from cadenza.llm.decontamination import contamination
 from cadenza.llm.jaccard_join import near_duplicates
 from cadenza.llm.queries import QUALITY_THRESHOLD, SHARDS, WINDOW_WORDS, mixed
 from cadenza.llm.sharding import assign_shards
 
 
+def _identity() -> Column:
+    """What makes two rows one document; orders rows by id, null ids last, then by the text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at the threshold or above. The classifier learns from labelled rows of ``docs``."""
     model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).where(F.col("quality_score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    scored = quality_classifier.score(packed(docs), model, text="row.text")
+    return scored.where(F.col("quality_score") >= QUALITY_THRESHOLD).select("row.*")
 
 
 def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each component whose id names it. Of rows that repeat that id and its text one stays; null ids stay."""
-    groups = near_duplicates(docs.select("doc_id", "text"))
-    firsts = groups.where("component_id = doc_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null")
-    kept = known.join(materialize(firsts, "firsts"), "doc_id", "left_semi").withColumn("_hash", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The first document of each component, by id, then by text; one of rows that repeat it. Null ids come last."""
+    groups = near_duplicates(docs.select(_identity().alias("k"), "text"), "k")
+    firsts = materialize(groups.where(F.col("component_id") == F.col("k")).select("k").distinct(), "firsts")
+    rows = packed(docs, _identity().alias("k")).join(firsts, "k", "left_semi")
+    return rows.dropDuplicates(["k"]).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = contamination(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"), WINDOW_WORDS)
-    hit = materialize(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    found = contamination(docs.select(_identity().alias("k"), "text"), read_table(spark, sf_dir, "benchmark"), WINDOW_WORDS, key="k")
+    hit = materialize(found.where("contaminated").select("k").distinct(), "contaminated")
+    return packed(docs, _identity().alias("k")).join(hit, "k", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture selects them."""
-    return mixed(docs).select(*docs.columns)
+    return mixed(packed(docs, *(F.col(c) for c in ("doc_id", "text", "lang", "source"))), keep=["row"]).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id with its size, checksum, shard and slot."""
-    return assign_shards(docs.select("doc_id", "text"), SHARDS).drop("text")
+    return assign_shards(docs, SHARDS, keep=["doc_id"])
 
 
 STAGES = [
@@ -68,7 +76,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What earlier stages wrote to the shared folder is removed when the next stage has been written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, docs)
     return docs
