@@ -94,7 +94,7 @@ ALNUM_LOWER = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128
 class TokenHashes(dict):
     """64-bit hashes of tokens (bytes), kept while there are fewer than ``most``."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
 

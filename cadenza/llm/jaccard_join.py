@@ -9,7 +9,7 @@ the edge of two bands is sketched for both.
 With S of about twice the bound, a document may leave out its blocks that other documents most likely share
 by chance, those of the fewest shingles, and still share a kept block with every partner: both sides rank
 blocks by the same rule, at least S - d blocks agree, and fewer than that are left out. Kept blocks are
-joined on their values. A second, dense sketch of PARITY_BITS bits bounds the difference of such a pair from
+joined on their values. Sets of few shingles meet on shingles instead. A second, dense sketch of PARITY_BITS bits bounds the difference of such a pair from
 below by its Hamming distance and drops pairs that can't link; the others are verified on the shingle sets. Sets
 are compared by 64-bit hashes of their shingles.
 """
@@ -30,6 +30,9 @@ from cadenza.llm.components import connected_components
 WIDTH = 5
 #: Sizes up to SMALLEST_BAND * 2^k share a band.
 SMALLEST_BAND = 4
+#: Sets of up to so many shingles meet on shingles instead of blocks: so few leave most blocks of a sketch empty, and empty
+#: blocks are equal whatever the texts. Two such sets of similarity 4/5 or more share one of the first shingles of each, in hash order.
+SMALL = 12
 #: Bits of the filter, sent to the tasks, on ids of documents whose shingles are needed: 2 MiB at any input size.
 FILTER_BITS = 24
 #: Bits of the dense sketch, held as longs.
@@ -95,6 +98,20 @@ def block_keys(sets: np.ndarray, level: int) -> np.ndarray:
     return keys
 
 
+def prefix_keys(sets: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set of hashes, as many as a linked set can't all lack."""
+    return _mix(sets[: len(sets) - -(-len(sets) * 4 // 5) + 1] ^ _ODD[1])
+
+
+def set_keys(sets: np.ndarray) -> np.ndarray:
+    """The keys of a set, of which two sets that link share one: prefixes of small sets, and of those that can link with a
+    small one; blocks of the others."""
+    found = [block_keys(sets, level) for level in bands(len(sets))] if len(sets) > SMALL else []
+    if -(-len(sets) * 4 // 5) <= SMALL:
+        found.append(prefix_keys(sets))
+    return np.unique(np.concatenate(found))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> doc_id, size, class (hash of the whole set), check (a second one), block keys."""
     hashes, seen = TokenHashes(), set()
@@ -114,10 +131,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if name in seen:  # the task has given this set's keys
                     keys.append([])
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < 200_000:
                     seen.add(name)
-                found = [block_keys(sets, level) for level in bands(len(sets))]
-                keys.append(np.unique(np.concatenate(found)).view(np.int64) if found else [])
+                keys.append(set_keys(sets).view(np.int64) if most_apart(len(sets)) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(checks, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "class", "check", "keys"],

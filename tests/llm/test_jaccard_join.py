@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from cadenza.llm.components import connected_components
-from cadenza.llm.jaccard_join import _shared_keys, band, bands, most_apart, near_duplicates
+from cadenza.llm.jaccard_join import SMALL, _shared_keys, band, bands, most_apart, near_duplicates, set_keys
 
 
 def brute(texts):
@@ -115,3 +115,19 @@ def test_components_match_brute_force(spark, kind):
     got = connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(4)).collect()
     want = {x: find(x) for p in pairs if p[0] != p[1] for x in p}
     assert len(got) == len(want) and {r.node: r.comp for r in got} == want
+
+
+def test_linked_sets_share_a_key_and_small_unlike_ones_hardly_do():
+    rng = np.random.default_rng(4)
+    draw = lambda n: np.unique(rng.integers(0, 2**64, n, np.uint64))
+    for n in [*range(4, SMALL + 8), 40, 300]:
+        for _ in range(60):
+            a = draw(n)
+            keep = rng.permutation(a)[: len(a) - rng.integers(0, len(a) // 5 + 1)]
+            b = np.unique(np.r_[keep, draw(rng.integers(0, 4))])
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert len(np.intersect1d(set_keys(a), set_keys(b))) or most_apart(len(a)) == 0
+    # 4,000 sets of 4 to 12 unlike shingles: no key brings even three of them together
+    keys = np.concatenate([set_keys(draw(rng.integers(4, SMALL + 1))) for _ in range(4000)])
+    assert np.unique(keys, return_counts=True)[1].max() <= 2
