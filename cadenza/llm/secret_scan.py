@@ -3,8 +3,9 @@
 The patterns find the base spans. Their matches in a bounded sample of documents are the labelled credentials
 of each kind; ordinary long tokens of the sample are the contrast. For every kind, and for the contrast, a prefix tree of
 character classes is turned into a small probabilistic automaton by merging states whose futures are
-statistically compatible (ALERGIA with Hoeffding bounds). Every candidate token of every text is then scored by the
-automata; those that fit a credential format far better than ordinary tokens become further spans.
+statistically compatible (ALERGIA with Hoeffding bounds). Every candidate of every text is then scored by the
+automata, the patterns' matches too: its likelihood is that of the best kind's automaton over that of ordinary tokens. Candidates
+outside the base spans that fit a credential format far better than ordinary tokens become further spans.
 """
 
 from __future__ import annotations
@@ -156,17 +157,30 @@ class FormatModel:
     kinds: list[Automaton]
     ordinary: Automaton | None
 
-    def accepts(self, words: list[bytes]) -> np.ndarray:
-        """Which words fit a credential format; none before anything was learned."""
-        out = np.zeros(len(words), bool)
-        if self.ordinary is None or not words:
-            return out
+    def judge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How much likelier the best kind's automaton makes each word than ordinary tokens' does (natural log per symbol), and
+        whether it fits that format. NaN and False before anything was learned."""
+        gain, fits = np.full(len(words), np.nan), np.zeros(len(words), bool)
+        if self.ordinary is None or not words or not self.kinds:
+            return gain, fits
         packed = _pack(words)
         plain = self.ordinary.mean_logs(*packed)
         for automaton in self.kinds:
             score = automaton.mean_logs(*packed)
-            out |= (score >= automaton.least) & (score - plain >= MARGIN)
-        return out
+            gain = np.fmax(gain, score - plain)
+            fits |= (score >= automaton.least) & (score - plain >= MARGIN)
+        return gain, fits
+
+
+def other_candidates(text: str, base: list[tuple[int, int, str, str]]) -> Iterator[re.Match]:
+    """Candidates that overlap no base span. Both are in order of their starts, so one pass over each does it."""
+    at = reach = 0  # the end of all base spans that begin before a candidate's end
+    for m in _CANDIDATE.finditer(text):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start():
+            yield m
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +192,8 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             for _, kind, _, value in base:
                 kinds.append(kind), values.append(value)
-            for m in _CANDIDATE.finditer(text):
-                if not any(s < m.end() and m.start() < e for s, _, e, _ in base):
-                    kinds.append(3), values.append(m[0])
+            for m in other_candidates(text, base):
+                kinds.append(3), values.append(m[0])
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], ["kind", "value"])
 
 
@@ -189,7 +202,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> FormatModel
     SAMPLE_DOCS documents; both those of the smallest hashes. A kind without credentials has no automaton."""
     whole = docs.select(F.lit(1)).count()
     share = min(1.0, SAMPLE_DOCS / max(1, whole))
-    some = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(1 << 20)) <= int(share * (1 << 20)))
+    # by id and text: rows that share an id, or have none, are drawn one by one
+    some = docs.where(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 20)) <= int(share * (1 << 20)))
     found = materialize(some.select(F.col(text).alias("text")).mapInArrow(_labelled, "kind int, value string").distinct(), "credentials")
     words: list[list[bytes]] = []
     for kind in range(4):
@@ -211,13 +225,19 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, model: FormatModel, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` with n_assign, n_access, n_hex, base_sha256, spans and n_format added (such columns are replaced).
+    """Rows of ``docs`` with n_assign, n_access, n_hex, base_sha256, spans, n_format, n_candidates, best_likelihood and
+    likelihoods added (such columns are replaced).
 
     Spans are kind:start:end in code points, the end exclusive, by start, then by kind as listed (format last), then by
-    end, comma-joined. Null texts count as empty, and empty ones have no spans. Format spans don't overlap base spans.
+    end, comma-joined. Format spans don't overlap base spans. n_candidates counts what was scored: the base spans'
+    credentials and all other candidates; best_likelihood is their highest likelihood (null without any), and
+    likelihoods those of the spans, to 3 digits, in the spans' order. Null texts count as empty; empty ones have no spans.
     """
-    added = {"n_assign": T.LongType(), "n_access": T.LongType(), "n_hex": T.LongType(), "base_sha256": T.StringType(), "spans": T.StringType(), "n_format": T.LongType()}
-    docs = docs.drop(*(c for c in docs.columns if c in added))
+    added = {
+        "n_assign": T.LongType(), "n_access": T.LongType(), "n_hex": T.LongType(), "base_sha256": T.StringType(), "spans": T.StringType(), "n_format": T.LongType(),
+        "n_candidates": T.LongType(), "best_likelihood": T.DoubleType(), "likelihoods": T.StringType(),
+    }
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in added))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in added.items())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -225,20 +245,27 @@ def scan(docs: DataFrame, model: FormatModel, text: str = "text") -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                base, places, words = [], [], []
-                for i, value in enumerate(batch.column(text).to_pylist()):
+                places, words, first = [], [], [0]  # of all candidates: (start, kind, end) and credential; where texts begin
+                for value in batch.column(text).to_pylist():
                     found = base_spans(value or "")
-                    base.append([(s, k, e) for s, k, e, _ in found])
-                    for m in _CANDIDATE.finditer(value or ""):
-                        if not any(s < m.end() and m.start() < e for s, _, e, _ in found):
-                            places.append((i, m.start(), m.end())), words.append(m[0].encode())
-                extra: list[list] = [[] for _ in base]
-                for j in np.flatnonzero(shared.value.accepts(words)).tolist():
-                    i, s, e = places[j]
-                    extra[i].append((s, 3, e))
-                n = [[sum(k == kind for _, k, _ in b) for b in base] for kind in range(3)]
-                hashed = [hashlib.sha256(_join(b).encode()).hexdigest() for b in base]
-                new = [*(pa.array(x, pa.int64()) for x in n), pa.array(hashed), pa.array([_join(b + x) for b, x in zip(base, extra, strict=True)], pa.string()), pa.array([len(x) for x in extra], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
+                    for s, k, e, credential in found:
+                        places.append((s, k, e)), words.append(credential.encode())
+                    for m in other_candidates(value or "", found):
+                        places.append((m.start(), 3, m.end())), words.append(m[0].encode())
+                    first.append(len(places))
+                gain, fits = shared.value.judge(words)
+                rows: list[list] = [[] for _ in added]
+                for a, b in zip(first, first[1:], strict=False):
+                    base = [p for p in places[a:b] if p[1] < 3]
+                    spans = sorted((places[j], gain[j]) for j in range(a, b) if places[j][1] < 3 or fits[j])
+                    best = float(np.max(gain[a:b])) if b > a else None
+                    one = [
+                        *(sum(k == kind for _, k, _ in base) for kind in range(3)), hashlib.sha256(_join(base).encode()).hexdigest(), _join([p for p, _ in spans]), len(spans) - len(base),
+                        b - a, None if best is None or math.isnan(best) else best, ",".join("" if math.isnan(g) else f"{g:.3f}" for _, g in spans),
+                    ]
+                    for held, x in zip(rows, one, strict=True):
+                        held.append(x)
+                kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.DoubleType(): pa.float64()}
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, kinds[t]) for x, t in zip(rows, added.values(), strict=True))], schema.names)
 
     return docs.mapInArrow(run, schema)
