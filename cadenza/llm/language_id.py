@@ -22,9 +22,8 @@ from cadenza.llm.common import is_held_out, materialize
 LENGTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDED = 8, 8
-#: Documents of each language, at most, that are learned from, and windows of each.
-DOCS_EACH, WINDOWS_EACH = 1500, 3
-LANGUAGES = 200
+#: Documents of each language, at most, that are learned from, and windows of each; documents of all languages together.
+DOCS_EACH, WINDOWS_EACH, DOCS_IN_ALL = 1500, 3, 60_000
 UNKNOWN = "und"
 
 
@@ -147,19 +146,23 @@ def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["h", "lang", "window"])
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNetwork | None:
-    """Learns from at most DOCS_EACH documents of each of the LANGUAGES most frequent languages, those of the smallest id hashes.
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_each: int = DOCS_EACH, docs_in_all: int = DOCS_IN_ALL) -> ByteNetwork | None:
+    """Learns from at most ``docs_each`` documents of each language, and fewer if all languages together would give more than
+    ``docs_in_all`` (then each has an equal share, one document at least): those of the smallest id hashes. Every language
+    of the labelled documents can be predicted.
 
     Rows with a null language, id or text and held-out rows are left out. None if nothing is left. Only the sample's windows,
-    of fixed size and number, come to the driver.
+    three of a fixed size for each document, come to the driver.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("k").isNotNull() & ~is_held_out(F.col("k")))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("k").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("k")))
+    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    each = max(1, min(docs_each, docs_in_all // max(1, counts.count())))
     h = F.xxhash64("k")
-    part = F.least(F.lit(1.0), F.lit(2.0 * DOCS_EACH) / F.col("n"))  # twice as many as needed, so that hardly a language falls short
-    some = rows.where("text is not null").join(F.broadcast(counts), "lang").where(F.pmod(h, F.lit(1 << 20)) < part * (1 << 20))
+    part = F.least(F.lit(1.0), F.lit(2.0 * each + 20) / F.col("n"))  # more than twice as many as needed, so that hardly a language falls short
+    some = rows.join(counts, "lang").where(F.pmod(h, F.lit(1 << 20)) < part * (1 << 20))
     some = materialize(some.select(h.alias("h"), "lang", "text"), "language-sample")
-    first = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= DOCS_EACH)
+    first = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= each)
     held = first.select("h", "lang", "text").mapInArrow(_sample_windows, "h bigint, lang string, window binary").toPandas()
     if not len(held):
         return None
