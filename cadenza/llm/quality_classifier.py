@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
 Random indexing gives every word a sparse ternary index vector drawn from its hash and adds up, for each
-word, the index vectors of its neighbours in all documents. The sums are integers, so they don't depend on how rows are
+word, its own index vector and those of its neighbours in all documents. The sums are integers, so they don't depend on how rows are
 partitioned. A document is the mean of its words' context vectors; a small numpy network scores it, and
 one temperature of 1 or more, fitted on rows that the network didn't see, calibrates its probabilities. The vectors need no
 labels and come from the whole corpus; only the network learns from a bounded sample of labelled rows.
@@ -13,7 +13,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,56 +28,53 @@ DIMS = 32
 MARKS = 4
 #: Labelled rows that the network learns from, at most: those of the smallest id hashes.
 SAMPLE_ROWS = 20_000
-#: Word parts that keep a context vector: the most frequent of the corpus, at most so many, each found so often at least. All
-#: other words count by their index vectors.
-VOCABULARY, LEAST_COUNT = 8192, 4
-#: Tokens whose vectors are looked up at a time, however long the texts are, and tokens that a task remembers.
-CHUNK, REMEMBERED = 1 << 15, 60_000
-_PARTS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-
-
-def token_parts(token: bytes) -> list[str]:
-    """A token between spaces as its words (lower case), its runs of other signs, and its shape."""
-    text = token.decode("utf-8", "replace")
-    bare = text if text.isalpha() else text[:-1] if text[-1] in ",.;:!?" else ""
-    if bare.isalpha():  # most tokens: a word, perhaps with a sign behind it; the same as below
-        shape = "U" if len(bare) > 1 and bare.isupper() else "C" if bare[0].isupper() else "l"
-        return [bare.lower(), "\x01" + shape] if bare is text else [bare.lower(), text[-1], "\x01" + shape]
-    parts = [p.lower() for p in _PARTS.findall(text)]
-    letters = "".join(c for c in text if c.isalpha())
-    shape = "U" if len(letters) > 1 and letters.isupper() else "C" if letters[:1].isupper() else "l" if letters else "n"
-    return [*parts, "\x01" + shape]
-
-
-@lru_cache(30_000)
-def index_vector(part: str) -> np.ndarray:
+#: Words with a vector of their own: the most frequent of the corpus, at most so many, each found so often at least. All others
+#: share vectors with others of their shape (see shape_of) and hash, of SPREAD hashes, in so many buckets; so every word of every
+#: text has a vector, and two unlike words next to each other hardly ever the same.
+VOCABULARY, LEAST_COUNT, SHAPES, SPREAD = 8192, 4, 4096, 16
+#: Words whose vectors are looked up at a time, however long the texts are, and words whose numbers a task remembers.
+CHUNK, REMEMBERED = 1 << 15, 300_000
+_CLASS = bytes(97 if c >= 128 or 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
+
+
+def shape_of(word: bytes) -> bytes:
+    """A word with a for each run of small letters and signs beyond ASCII, A for one of capitals, 0 for one of digits; runs of a sign become one."""
+    return _RUN.sub(rb"\1", word.translate(_CLASS))
+
+
+def index_vector(name: bytes) -> np.ndarray:
     """Four places of +1 or -1, one in each quarter."""
-    h, out, wide = xxhash.xxh64_intdigest(part.encode("utf-8", "replace")), np.zeros(DIMS, np.int32), DIMS // MARKS
+    h, out, wide = xxhash.xxh64_intdigest(name), np.zeros(DIMS, np.int32), DIMS // MARKS
     for k in range(MARKS):
         out[k * wide + (h >> 16 * k) % wide] = 1 if (h >> (16 * k + 15)) & 1 else -1
     return out
 
 
-class _Rows(dict):
-    """Tokens' row numbers in a table of vectors that grows."""
+class Numbers(dict):
+    """Words' numbers: their place in the vocabulary, or behind it the bucket of their shape and hash."""
 
-    def __init__(self, vector_of, dtype):
-        super().__init__()
-        self.vector_of, self.table = vector_of, np.zeros((1024, DIMS), dtype)
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.words = words
 
-    def __missing__(self, token: bytes) -> int:
-        if (n := len(self)) == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[n] = self.vector_of(token)
-        self[token] = n
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.words) + xxhash.xxh32_intdigest(shape_of(word), xxhash.xxh32_intdigest(word) % SPREAD) % SHAPES
         return n
 
-    def ids(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+    def of(self, text: str | None) -> np.ndarray:
+        words = text.encode("utf-8", "surrogatepass").split() if text else []
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
+    def trim(self) -> None:
+        if len(self) >= REMEMBERED:
+            self.clear()
+            self.update(zip(self.words, range(len(self.words)), strict=True))
 
-def _tokens(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+
+def index_table(words: list[bytes]) -> np.ndarray:
+    """The index vectors of all numbers."""
+    return np.array([index_vector(w) for w in [*words, *(b"\0shape %d" % i for i in range(SHAPES))]], np.int32)
 
 
 def _pieces(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
@@ -86,35 +82,33 @@ def _pieces(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
-def _part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> part, n: how often the parts of words occur, for each 200,000 distinct tokens or so."""
-    tokens: Counter[bytes] = Counter()
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> word, n: how often words occur, for each 200,000 distinct words or so."""
+    words: Counter[bytes] = Counter()
 
     def flush() -> pa.RecordBatch:
-        parts: dict[str, int] = {}
-        for token, n in tokens.items():
-            for p in token_parts(token):
-                parts[p] = parts.get(p, 0) + n
-        tokens.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array(list(parts.values()), pa.int64())], ["part", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+        words.clear()
+        return out
 
     for whole in batches:
         for batch in _pieces(whole):
             for text in batch.column("text").to_pylist():
-                tokens.update(_tokens(text))
-            if len(tokens) >= 200_000:
+                if text:
+                    words.update(text.encode("utf-8", "surrogatepass").split())
+            if len(words) >= 200_000:
                 yield flush()
     yield flush()
 
 
-def _add_contexts(table: np.ndarray, ids: np.ndarray, ends: np.ndarray, total: np.ndarray) -> None:
-    """Adds to ``total[i]`` the vectors of the tokens beside each token i of ``ids``; texts end at ``ends``."""
-    linked = np.ones(len(ids), np.int32)  # to the next token; not across documents
+def add_contexts(table: np.ndarray, ids: np.ndarray, ends: np.ndarray, total: np.ndarray) -> None:
+    """Adds to ``total[i]`` the vectors of the words before, at and after each word i of ``ids``; texts end at ``ends``."""
+    linked = np.ones(len(ids), np.int32)  # to the next word; not across documents
     linked[ends - 1] = 0
     for a in range(0, len(ids), CHUNK):
         b, low = min(a + CHUNK, len(ids)), max(a - 1, 0)
         own = table[ids[low : b + 1]]
-        near = np.zeros((b - a, DIMS), np.int32)
+        near = own[a - low : b - low].copy()
         near[low + 1 - a :] += own[: b - 1 - low] * linked[low : b - 1, None]
         behind = own[a - low + 1 :]
         near[: len(behind)] += behind * linked[a : a + len(behind), None]
@@ -124,113 +118,79 @@ def _add_contexts(table: np.ndarray, ids: np.ndarray, ends: np.ndarray, total: n
 
 
 def _contexts(shared):
-    """text -> part (its number in the vocabulary), v0..: the sums of the contexts of a task's words. A word's own parts are its context too."""
-    names = ["part", *(f"v{i}" for i in range(DIMS))]
+    """text -> number, v0..: the sums of the contexts of a task's words."""
+    names = ["number", *(f"v{i}" for i in range(DIMS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = shared.value
-        sums = np.zeros((len(known), DIMS), np.int64)
-        rows = _Rows(lambda t: np.sum([index_vector(p) for p in token_parts(t)], axis=0), np.int32)
-        total, counts = np.zeros((0, DIMS), np.int64), np.zeros(0, np.int64)
-
-        def fold() -> None:
-            """From tokens to the parts that the vocabulary has."""
-            at, part = [], []
-            for token, i in rows.items():
-                for p in token_parts(token):
-                    if (k := known.get(p)) is not None:
-                        at.append(i), part.append(k)
-            whole = total + rows.table[: len(total)] * counts[:, None]
-            at, part = np.array(at, np.int64), np.array(part, np.int64)
-            for a in range(0, len(at), CHUNK):
-                np.add.at(sums, part[a : a + CHUNK], whole[at[a : a + CHUNK]])
-
+        numbers, table = Numbers(shared.value), index_table(shared.value)
+        total = np.zeros(table.shape, np.int64)
         for batch in (piece for whole in batches for piece in _pieces(whole)):
-            each = [i for t in batch.column("text").to_pylist() if len(i := rows.ids(_tokens(t)))]
-            if not each:
-                continue
-            grown = len(rows) - len(total)
-            total, counts = np.concatenate([total, np.zeros((grown, DIMS), np.int64)]), np.concatenate([counts, np.zeros(grown, np.int64)])
-            ids = np.concatenate(each)
-            _add_contexts(rows.table, ids, np.cumsum([len(i) for i in each]), total)
-            counts += np.bincount(ids, minlength=len(rows))
-            if len(rows) >= REMEMBERED:
-                fold()
-                rows.clear()
-                total, counts = total[:0], counts[:0]
-        fold()
-        some = np.flatnonzero(sums.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(sums[some, i]) for i in range(DIMS))], names)
+            each = [i for t in batch.column("text").to_pylist() if len(i := numbers.of(t))]
+            if each:
+                add_contexts(table, np.concatenate(each), np.cumsum([len(i) for i in each]), total)
+            numbers.trim()
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, i]) for i in range(DIMS))], names)
 
     return run
 
 
-def vocabulary_of(docs: DataFrame, size: int = VOCABULARY, least: int = LEAST_COUNT, text: str = "text") -> list[tuple[str, int]]:
-    """The ``size`` most frequent word parts of all documents, and their counts. What is written before it is read has no more rows."""
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(_part_counts, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
-    top = materialize(counts.where(F.col("n") >= least).orderBy(F.desc("n"), "part").limit(size), "vocabulary")
-    return sorted(((r["part"], r["n"]) for r in top.collect()), key=lambda r: (-r[1], r[0]))
+def vocabulary_of(docs: DataFrame, size: int = VOCABULARY, least: int = LEAST_COUNT, text: str = "text") -> list[bytes]:
+    """The ``size`` most frequent words of all documents. They are written before they are read, so that no more rows come to the driver."""
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(_word_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    top = materialize(counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size), "vocabulary")
+    return [w for _, w in sorted((-r["n"], bytes(r["word"])) for r in top.collect())]
 
 
-def context_sums(docs: DataFrame, words: list[str], text: str = "text") -> np.ndarray:
-    """The sums of the words' contexts over all documents, a row for each word; so many rows come to the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+def context_sums(docs: DataFrame, words: list[bytes], text: str = "text") -> np.ndarray:
+    """The sums of the contexts of all numbers over all documents; so many rows come to the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
     columns = [f"v{i}" for i in range(DIMS)]
-    found = docs.select(F.col(text).alias("text")).mapInArrow(_contexts(shared), "part bigint, " + ", ".join(f"{c} bigint" for c in columns))
-    out = np.zeros((len(words), DIMS), np.int64)
-    for r in materialize(found.groupBy("part").agg(*(F.sum(c).alias(c) for c in columns)), "contexts").collect():
+    found = docs.select(F.col(text).alias("text")).mapInArrow(_contexts(shared), "number bigint, " + ", ".join(f"{c} bigint" for c in columns))
+    out = np.zeros((len(words) + SHAPES, DIMS), np.int64)
+    for r in materialize(found.groupBy("number").agg(*(F.sum(c).alias(c) for c in columns)), "contexts").collect():
         out[r[0]] = r[1:]
     return out
 
 
 @dataclass
 class WordVectors:
-    words: dict[str, int]
+    words: list[bytes]
     table: np.ndarray
-    middle: np.ndarray
-
-    def of(self, token: bytes) -> np.ndarray:
-        """The sum of the vectors of a token's parts; of a part without a context vector, its index vector, of length 1."""
-        out = np.zeros(DIMS, np.float32)
-        for p in token_parts(token):
-            i = self.words.get(p)
-            out += self.table[i] if i is not None else index_vector(p) * np.float32(MARKS**-0.5) - self.middle
-        return out
 
 
 def fit_vectors(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> WordVectors:
-    """Context vectors of the corpus's most frequent word parts, of length 1, about their mean."""
-    found = vocabulary_of(docs, size, text=text)
-    table = context_sums(docs, [p for p, _ in found], text).astype(np.float64)
-    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
-    middle = np.average(table, axis=0, weights=[n for _, n in found]) if found else np.zeros(DIMS)
-    return WordVectors({p: i for i, (p, _) in enumerate(found)}, (table - middle).astype(np.float32), middle.astype(np.float32))
+    """Context vectors of the corpus's words, of length 1, about their mean. What no document has keeps its index vector."""
+    words = vocabulary_of(docs, size, text=text)
+    sums = context_sums(docs, words, text)
+    table = np.where(sums.any(axis=1, keepdims=True), sums, index_table(words)).astype(np.float64)
+    table /= np.linalg.norm(table, axis=1, keepdims=True)
+    return WordVectors(words, (table - table[: len(words) or None].mean(axis=0)).astype(np.float32))
 
 
 class Pooler:
-    """Documents' features, from their tokens' vectors alone: the mean, and the mean product of vectors that stand side by
-    side, by dimension, which tells running text from repetition. All 0 for a text without tokens."""
+    """Documents' features, from their words' vectors alone: the mean, and the mean product of vectors that stand side by
+    side, by dimension, which tells running text from repetition. All 0 for a text without words."""
 
     width = 2 * DIMS
 
     def __init__(self, vectors: WordVectors):
-        self.rows = _Rows(vectors.of, np.float32)
+        self.numbers, self.table = Numbers(vectors.words), vectors.table
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.rows) >= 2 * REMEMBERED:
-            self.rows.clear()
-        each = [self.rows.ids(_tokens(t)) for t in texts]
+        self.numbers.trim()
+        each = [self.numbers.of(t) for t in texts]
         lengths = np.array([len(i) for i in each], np.int64)
         out = np.zeros((len(texts), self.width), np.float32)
         full = np.flatnonzero(lengths)
         if len(full):
             ids = np.concatenate([each[i] for i in full])
             starts = np.cumsum(lengths[full]) - lengths[full]
-            linked = np.ones(len(ids), np.float32)  # to the next token; not across documents
+            linked = np.ones(len(ids), np.float32)  # to the next word; not across documents
             linked[starts[1:] - 1] = linked[-1] = 0
             total = np.zeros((len(full), self.width))
             for a in range(0, len(ids), CHUNK):
-                own = self.rows.table[ids[a : a + CHUNK + 1]]
+                own = self.table[ids[a : a + CHUNK + 1]]
                 n = min(CHUNK, len(ids) - a)
                 one, last = np.searchsorted(starts, (a, a + n - 1), "right") - 1
                 cuts = np.maximum(starts[one : last + 1] - a, 0)
@@ -341,7 +301,7 @@ def fit(
 def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """Adds ``quality_score``, 0 to 1, to every row of ``docs`` (a column of this name is replaced).
 
-    Texts are read whole; null ones count as empty, and all texts without a token have one score. ``text`` may be a field of a struct (``row.text``).
+    Texts are read whole; null ones count as empty, and all texts without a word have one score. ``text`` may be a field of a struct (``row.text``).
     """
     docs = docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -195,42 +195,38 @@ def test_quality_classifier(spark):
         assert len(scores) == 1
 
 
-def naive_contexts(texts, words):
-    """Of each word part, the sum of the index vectors of all parts of the tokens before, at and after each of its tokens."""
-    sums = {w: [0] * quality_classifier.DIMS for w in words}
-    for text in texts:
-        tokens = (text or "").encode().split()
-        for i, token in enumerate(tokens):
-            near = [p for j in (i - 1, i, i + 1) if 0 <= j < len(tokens) for p in quality_classifier.token_parts(tokens[j])]
-            for part in quality_classifier.token_parts(token):
-                if part in sums:
-                    for p in near:
-                        sums[part] = [a + int(b) for a, b in zip(sums[part], quality_classifier.index_vector(p), strict=True)]
-    return [sums[w] for w in words]
-
-
 def test_random_indexing_matches_naive_loops(spark, monkeypatch):
+    import numpy as np
+
     rng = random.Random(21)
-    texts = [" ".join(rng.choice(["ab", "Cd,", "EF!!", "g-h", "it's", "x_1", "é"]) for _ in range(rng.randrange(30))) for _ in range(40)] + [None, "", "one"]
+    texts = [" ".join(rng.choice(["ab", "ab", "Cd,", "EF!!", "g-h", "it's", "x_1", "é", "FF!", "cd,"]) for _ in range(rng.randrange(30))) for _ in range(40)] + [None, "", "one"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    counts = Counter(p for t in texts for token in (t or "").encode().split() for p in quality_classifier.token_parts(token))
-    found = quality_classifier.vocabulary_of(docs, 6, 2)
-    assert found == sorted(((p, n) for p, n in counts.items() if n >= 2), key=lambda r: (-r[1], r[0]))[:6]
-    words = [p for p, _ in found]
-    assert quality_classifier.context_sums(docs, words).tolist() == naive_contexts(texts, words)
-    run = lambda: list(quality_classifier._contexts(type("B", (), {"value": {w: i for i, w in enumerate(words)}}))(iter([batch])))
+    counts = Counter(w for t in texts for w in (t or "").encode().split())
+    words = quality_classifier.vocabulary_of(docs, 4, 2)
+    assert words == [w for w, n in sorted(counts.items(), key=lambda r: (-r[1], r[0])) if n >= 2][:4]
+    numbers, table = quality_classifier.Numbers(words), quality_classifier.index_table(words)
+    want = np.zeros(table.shape, np.int64)
+    for text in texts:
+        w = (text or "").encode().split()
+        for i, word in enumerate(w):
+            for j in (i - 1, i, i + 1):
+                if 0 <= j < len(w):
+                    want[numbers[word]] += table[numbers[w[j]]]
+    assert (quality_classifier.context_sums(docs, words) == want).all()
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"text": texts * 5})
-    whole = run()[0].to_pylist()
-    monkeypatch.setattr(quality_classifier, "CHUNK", 7)  # pieces of long texts, and tokens forgotten on the way
-    monkeypatch.setattr(quality_classifier, "REMEMBERED", 2)
-    assert run()[0].to_pylist() == whole
+    monkeypatch.setattr(quality_classifier, "CHUNK", 7)  # pieces of long texts, and words forgotten on the way
+    monkeypatch.setattr(quality_classifier, "REMEMBERED", 6)
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    (out,) = quality_classifier._contexts(type("B", (), {"value": words}))(iter([batch, batch]))
+    assert {r["number"]: [r[f"v{i}"] for i in range(quality_classifier.DIMS)] for r in out.to_pylist()} == {i: (2 * v).tolist() for i, v in enumerate(want) if v.any()}
 
 
-def test_index_vectors_have_four_marks():
+def test_index_vectors_and_shapes():
     for i in range(200):
-        assert sorted(abs(quality_classifier.index_vector(f"w{i}")).tolist())[-5:] == [0, 1, 1, 1, 1]
+        assert sorted(abs(quality_classifier.index_vector(b"w%d" % i)).tolist())[-5:] == [0, 1, 1, 1, 1]
+    shapes = {b"word": b"a", "Été,".encode(): b"a,", b"Word.": b"Aa.", b"WORD!!": b"A!", b"x_123***": b"a_0*", b"": b""}
+    assert {w: quality_classifier.shape_of(w) for w in shapes} == shapes
 
 
 @pytest.mark.parametrize("chunk", [3, 1 << 15])
@@ -239,16 +235,12 @@ def test_pooling_matches_naive_loops(monkeypatch, chunk):
 
     monkeypatch.setattr(quality_classifier, "CHUNK", chunk)
     rng = random.Random(22)
-    table = np.random.default_rng(1).normal(size=(3, quality_classifier.DIMS)).astype(np.float32)
-    vectors = quality_classifier.WordVectors({"ab": 0, "cd": 1, "\x01l": 2}, table, np.full(quality_classifier.DIMS, 0.1, np.float32))
-    texts = [" ".join(rng.choice(["ab", "Cd,", "new", "ab"]) for _ in range(rng.randrange(20))) for _ in range(30)] + [None, "", "ab"]
-    for text, x in zip(texts, quality_classifier.Pooler(vectors)(texts), strict=True):
-        each = []
-        for token in (text or "").encode().split():
-            v = np.zeros(quality_classifier.DIMS)
-            for p in quality_classifier.token_parts(token):
-                v += table[vectors.words[p]] if p in vectors.words else quality_classifier.index_vector(p) / 2 - 0.1
-            each.append(v)
+    words = [b"ab", b"Cd,"]
+    table = np.random.default_rng(1).normal(size=(2 + quality_classifier.SHAPES, quality_classifier.DIMS)).astype(np.float32)
+    texts = [" ".join(rng.choice(["ab", "Cd,", "new", "ab", "X!"]) for _ in range(rng.randrange(20))) for _ in range(30)] + [None, "", "ab"]
+    numbers = quality_classifier.Numbers(words)
+    for text, x in zip(texts, quality_classifier.Pooler(quality_classifier.WordVectors(words, table))(texts), strict=True):
+        each = [table[numbers[w]].astype(float) for w in (text or "").encode().split()]
         want = np.zeros(2 * quality_classifier.DIMS)
         if each:
             want = np.r_[np.mean(each, axis=0), np.sum([a * b for a, b in zip(each, each[1:], strict=False)] or [0 * each[0]], axis=0) / len(each)]
@@ -331,6 +323,58 @@ def test_inferred_formats_find_look_alikes(spark):
     assert sum(out[i].n_format == 1 for i, _ in look) >= 18 and sum(out[i].n_format for i, _ in rows) <= 2
 
 
+def test_every_candidate_is_scored(spark):
+    """Likelihoods against a plain walk through the automata, for base spans and all other candidates."""
+    rng = random.Random(11)
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [f"{word(14)} {key()} token: {word(13)}9 {word(3)} {'%032x' % rng.getrandbits(128)} {word(20)}" for _ in range(60)] + [None, "", "short words only", word(50_000)]
+    docs = spark.createDataFrame([(i if i < 60 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    model = secret_scan.fit(docs)
+
+    def log_likelihood(automaton, value):
+        state, total = 0, 0.0
+        for c in value.encode():
+            k = secret_scan._CLASS_OF[c]
+            total, state = total + automaton.logs[state, k], automaton.step[state, k]
+        return (total + automaton.logs[state, secret_scan.END]) / (len(value) + 1)
+
+    gain = lambda v: max(log_likelihood(a, v) for a in model.kinds) - log_likelihood(model.ordinary, v)
+    for r in secret_scan.scan(docs, model).collect():
+        text = r.text or ""
+        found = secret_scan.base_spans(text)
+        inside = lambda m: any(s < m.end() and m.start() < e for s, _, e, _ in found)  # noqa: B023, E731
+        others = [m for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", text) if not inside(m)]
+        assert r.n_candidates == len(found) + len(others)
+        gains = [gain(v) for *_, v in found] + [gain(m[0]) for m in others]
+        assert r.best_likelihood is None if not gains else abs(r.best_likelihood - max(gains)) < 1e-9
+        spans = [tuple(x.split(":")) for x in r.spans.split(",") if x]
+        stated = [float(x) for x in r.likelihoods.split(",") if x]
+        assert len(stated) == len(spans)
+        want = {(k, s, e): gain(v) for s, k, e, v in found} | {(3, m.start(), m.end()): gain(m[0]) for m in others}
+        for (kind, s, e), g in zip(spans, stated, strict=True):
+            assert abs(g - want[(*secret_scan.KINDS, secret_scan.ADDED).index(kind), int(s), int(e)]) < 6e-4
+
+
+def test_state_merging_on_a_small_language():
+    """Words (ab)^n: the merged automaton goes round, and gives longer words of the language more than others."""
+    automaton = secret_scan.infer([b"+/" * n for n in (1, 1, 1, 1, 2, 2, 2, 3, 3, 4)] * 20)
+    assert len(automaton.step) <= 4
+    assert abs(automaton.step[automaton.step[0, secret_scan.CLASSES.index("+")], secret_scan.CLASSES.index("/")]) in range(len(automaton.step) - 1)
+    scores = automaton.mean_logs(*secret_scan._pack([b"+/" * 9, b"+/" * 8 + b"++", b"/+" * 9]))
+    assert scores[0] > scores[1] + 0.1 and scores[0] > scores[2] + 0.1
+    assert (abs(1 - __import__("numpy").exp(automaton.logs).sum(axis=1)) < 1e-9).all()
+
+
+def test_more_languages_than_documents_for_all(spark):
+    rows = [(i, f"word{i % 7} " * 20, f"l{i % 7}") for i in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    net = language_id.fit(docs, docs_in_all=5)
+    assert net.languages == [f"l{i}" for i in range(7)]
+    out = language_id.predict(spark.createDataFrame([(None, "word1 " * 9), (None, None)], "doc_id long, text string"), net).collect()
+    assert [r.lang_pred in net.languages for r in out] == [True, False]
+
+
 # Sharding
 
 
