@@ -33,6 +33,8 @@ FLAG_PATTERNS = {
     "isCover": "(?i)(翻唱|cover by|cover版)",
 }
 
+# Longest folder names that count as an artist and an album; bracket signs; CJK blocks; what joins artists' names.
+ARTIST_LENGTH, ALBUM_LENGTH = 40, 60
 _OPEN, _CLOSE = r"【\[（(《<「『〔", r"】\]）)》>」』〕"
 _BRACKET = r"[【】\[\]（）()《》<>「」『』〔〕]"
 _GROUP = rf"[{_OPEN}][^{_CLOSE}]*[{_CLOSE}]"
@@ -102,22 +104,29 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def normalize(c: Column, fold: bool = True) -> Column:
-    """For comparing: compatibility forms folded, lower case, no brackets, one space for runs of other than letters and digits.
+def _compatible_form(c: Column) -> Column:
+    """NFKC; Python sees only texts with a character beyond ASCII, the others are in that form."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c))).otherwise(c)
 
-    ``fold=False`` folds full-width ASCII only and needs no Python step.
+
+def normalize(c: Column, fold: bool = True, repair: bool = True) -> Column:
+    """For comparing: broken encodings repaired, compatibility forms folded, lower case, no brackets, one space for runs of
+    other than letters and digits.
+
+    ``fold=False`` folds full-width ASCII only; with ``repair=False`` besides, for text that is repaired, there is no Python step.
     """
-    s = nfkc(blank(c)) if fold else F.translate(blank(c), _WIDE, _NARROW)
+    s = blank(repair_mojibake(c) if repair else c)
+    s = _compatible_form(s) if fold else F.translate(s, _WIDE, _NARROW)
     s = F.regexp_replace(F.lower(s), _BRACKET, " ")
     return F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " "))
 
 
-def squeeze(c: Column, fold: bool = True) -> Column:
-    return F.replace(normalize(c, fold), F.lit(" "), F.lit(""))
+def squeeze(c: Column, fold: bool = True, repair: bool = True) -> Column:
+    return F.replace(normalize(c, fold, repair), F.lit(" "), F.lit(""))
 
 
-def is_promo(c: Column) -> Column:
-    return blank(c).rlike(_quoted(PROMO_PHRASES))
+def is_promo(c: Column, repair: bool = True) -> Column:
+    return blank(repair_mojibake(c) if repair else c).rlike(_quoted(PROMO_PHRASES))
 
 
 def is_unknown(c: Column) -> Column:
@@ -150,8 +159,8 @@ def _cut_at(s: Column, sep: str) -> tuple[Column, Column, Column]:
     return (at > 1) & (left != "") & (right != ""), left, right
 
 
-def has_separator(c: Column) -> Column:
-    s = blank(c)
+def has_separator(c: Column, repair: bool = True) -> Column:
+    s = blank(repair_mojibake(c) if repair else c)
     found = F.lit(False)
     for sep in SEPARATORS:
         found = found | _cut_at(s, sep)[0]
@@ -176,9 +185,9 @@ def strip_trailing_groups(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(blank(c)), rf"(?:\s*{_GROUP}){{1,6}}\s*$", ""))
 
 
-def split_title(c: Column, known: Column | None = None) -> Column:
+def split_title(c: Column, known: Column | None = None, repair: bool = True) -> Column:
     """struct(titles, artists): ordered guesses from a raw title; ``known`` is an artist to look for on either side."""
-    raw = strip_brackets(c)
+    raw = strip_brackets(repair_mojibake(c) if repair else c)
     ranked = sorted(range(len(SEPARATORS)), key=lambda i: (-len(SEPARATORS[i]), i))
     left = right = F.lit(None).cast("string")
     for i in reversed(ranked):
@@ -188,8 +197,8 @@ def split_title(c: Column, known: Column | None = None) -> Column:
     def guess(x: Column) -> Column:
         bare = strip_track_number(x["left"])
         number = x["left"].rlike(r"^[.\-_\s]*\d{1,3}[.\-_]?$") | x["left"].rlike(r"^\d{1,3}[.\-_]")
-        want = squeeze(known, False) if known is not None else F.lit("")
-        is_left, is_right = (want != "") & (squeeze(bare, False) == want), (want != "") & (squeeze(x["right"], False) == want)
+        want = squeeze(known, False, False) if known is not None else F.lit("")
+        is_left, is_right = (want != "") & (squeeze(bare, False, False) == want), (want != "") & (squeeze(x["right"], False, False) == want)
         none = F.array().cast("array<string>")
         titles = (
             F.when(x["left"].isNull(), F.array(x["raw"])).when(number, F.array(x["right"], x["raw"])).when(is_left, F.array(x["right"], x["raw"]))
@@ -202,9 +211,10 @@ def split_title(c: Column, known: Column | None = None) -> Column:
     return F.element_at(F.transform(F.array(F.struct(raw.alias("raw"), left.alias("left"), right.alias("right"))), guess), 1)
 
 
-def title_queries(title: Column, artist: Column) -> Column:
+def title_queries(title: Column, artist: Column, repair: bool = True) -> Column:
     """array<struct(strategy, q)>: S1 the best cleaned title, S2 with the artist, S3 the other forms."""
-    usable = ~is_promo(artist) & ~is_unknown(artist)
+    title, artist = (repair_mojibake(title), repair_mojibake(artist)) if repair else (title, artist)
+    usable = ~is_promo(artist, False) & ~is_unknown(artist)
     known = F.when(usable, F.trim(artist)).otherwise(F.lit(""))
     tidy = lambda s: F.trim(F.regexp_replace(F.regexp_replace(squash(s), r"^[\s\-–—_|/·、.]+", ""), r"[\s\-–—_|/·]+$", ""))
 
@@ -214,7 +224,7 @@ def title_queries(title: Column, artist: Column) -> Column:
         return F.array(tidy(bare), tidy(lead), tidy(strip_trailing_groups(lead)))
 
     lead = strip_leading_groups(title)
-    variants = lambda t: F.flatten(F.transform(split_title(t, known)["titles"], forms))
+    variants = lambda t: F.flatten(F.transform(split_title(t, known, False)["titles"], forms))
     first = F.when((lead != "") & (lead != blank(title)), variants(lead)).otherwise(F.array().cast("array<string>"))
     candidates = F.array_distinct(F.filter(F.concat(first, variants(title)), lambda t: t != ""))
 
@@ -246,24 +256,26 @@ def artist_parts(c: Column) -> Column:
 
 def artist_similarity(a: Column, b: Column) -> Column:
     """The best similarity of any two parts of names joined by / 、 & , ; feat. or ft. (without compatibility folding)."""
-    bare = lambda x: squeeze(x, False)
+    bare = lambda x: squeeze(x, False, False)
     pairs = F.flatten(F.transform(artist_parts(a), lambda x: F.transform(artist_parts(b), lambda y: title_similarity(bare(x), bare(y)))))
     return F.coalesce(F.array_max(pairs), F.lit(0.0))
 
 
 @F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence."""
+    """Length of the longest common subsequence; a row of the usual table is the bits of one number."""
 
     def one(x, y):
         if not x or not y:
             return 0
-        row = [0] * (len(y) + 1)
-        for c in x:
-            last = 0
-            for j, d in enumerate(y, 1):
-                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
-        return row[-1]
+        places: dict[str, int] = {}
+        for i, c in enumerate(x):
+            places[c] = places.get(c, 0) | 1 << i
+        row = full = (1 << len(x)) - 1
+        for d in y:
+            same = row & places.get(d, 0)
+            row = (row + same) | (row - same)
+        return len(x) - (row & full).bit_count()
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
@@ -295,7 +307,7 @@ def compare_artists(a: Column, b: Column) -> Column:
 
 def artist_verdict(a: Column, b: Column) -> Column:
     """exact, near or none for the best pair of parts: equal; one holds the other; close spellings."""
-    bare = lambda x: squeeze(x, False)
+    bare = lambda x: squeeze(x, False, False)
 
     def pair(x: Column, y: Column) -> Column:
         p, q = bare(x), bare(y)
@@ -348,8 +360,8 @@ def infer_from_path(path: Column, depth: Column, least_depth: int = 2) -> Column
     parts = path_parts(path)
     deep = (F.size(parts) >= 3) & (depth >= least_depth)
     a, b = F.trim(F.get(parts, 0)), F.trim(F.get(parts, 1))
-    artist = F.when(deep & ~is_pseudo_artist(a) & ~is_promo(a) & (F.char_length(a) <= 40), a)
-    album = F.when(deep & (b != "") & ~is_placeholder_album(b) & (F.char_length(b) <= 60), b)
+    artist = F.when(deep & ~is_pseudo_artist(a) & ~is_promo(a, False) & (F.char_length(a) <= ARTIST_LENGTH), a)
+    album = F.when(deep & (b != "") & ~is_placeholder_album(b) & (F.char_length(b) <= ALBUM_LENGTH), b)
     return F.struct(artist.alias("artist"), album.alias("album"))
 
 

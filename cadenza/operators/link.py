@@ -1,7 +1,8 @@
 """Record linkage: blocking, pair scores, best candidates, library matching, change detection and joins of records.
 
-Pairs come from equi-joins on blocking keys only. A key shared by very many rows is left to Spark's skew handling, which
-splits it; nothing is capped.
+Pairs come from equi-joins on keys as long as what they stand for: whole titles, titles less one character, whole prefixes and
+suffixes, or the rarest 3-gram of the inner text. So pairs grow with the rows and their true matches, not with the square
+of a block; nothing is capped.
 """
 
 from __future__ import annotations
@@ -74,15 +75,46 @@ def best_source_tier(scored: DataFrame, track: str) -> DataFrame:
 
 def block_and_score(local: DataFrame, candidates: DataFrame, keys: str = "keys", track: str = "track_id", cand: str = "cand_id") -> DataFrame:
     """Pairs that share a blocking key, each once, scored. Both sides carry ``keys``; the candidates' columns begin with c_."""
-    left = local.withColumn("_k", F.explode(F.array_distinct(keys))).drop(keys)
-    right = candidates.withColumn("_k", F.explode(F.array_distinct(keys))).drop(keys)
-    pairs = left.select(track, "_k").join(right.select(F.col("c_" + cand), "_k"), "_k").select(track, "c_" + cand).distinct()
-    return pair_score(pairs.join(local.drop(keys), track).join(candidates.drop(keys), "c_" + cand))
+    return pair_score(_keyed_pairs(local, candidates, keys, track, cand).join(local.drop(keys), track).join(candidates.drop(keys), "c_" + cand))
 
 
-def block_keys(title_key: Column, grams: int = 3) -> Column:
-    """The squeezed title, its first and last characters: keys that a title with small changes still shares."""
-    return F.array(F.concat(F.lit("="), title_key), F.concat(F.lit("^"), F.substring(title_key, 1, 2 * grams)), F.concat(F.lit("$"), F.right(title_key, F.lit(2 * grams))))
+def _keyed_pairs(local: DataFrame, candidates: DataFrame, keys: str, track: str, cand: str) -> DataFrame:
+    left = local.select(track, F.explode(F.array_distinct(keys)).alias("_k"))
+    right = candidates.select("c_" + cand, F.explode(F.array_distinct(keys)).alias("_k"))
+    return left.join(right, "_k").select(track, "c_" + cand).distinct()
+
+
+#: Characters of the shorter of two titles, at least, of which one may begin or end with the other.
+LEAST_HELD = 4
+
+
+def title_keys(title: Column, whole: str = "<", parts: str = ">") -> Column:
+    """Keys of a squeezed title, such that two titles share one if they are one edit apart or one begins or ends with the other.
+
+    A title without each of its characters finds titles one edit away. Every prefix and suffix meets whole titles: the two
+    sides of a join name ``whole`` and ``parts`` the other way round.
+    """
+    n, none = F.char_length(title), F.array().cast("array<string>")
+    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    without = F.transform(at, lambda i: F.concat(F.lit("-"), F.substring(title, F.lit(1), i - 1), F.substring(title, i + 1, n)))
+    ends = F.sequence(F.lit(LEAST_HELD), F.greatest(n, F.lit(LEAST_HELD)))
+    prefixes = F.transform(ends, lambda i: F.concat(F.lit("^" + parts), F.substring(title, F.lit(1), i)))
+    suffixes = F.transform(ends, lambda i: F.concat(F.lit("$" + parts), F.substring(title, n - i + 1, i)))
+    held = F.concat(prefixes, suffixes, F.array(F.concat(F.lit("^" + whole), title), F.concat(F.lit("$" + whole), title)))
+    return F.when(n == 0, none).otherwise(F.concat(F.array(F.concat(F.lit("-"), title)), without, F.when(n >= LEAST_HELD, held).otherwise(none)))
+
+
+def near_titles(a: Column, b: Column) -> Column:
+    """Whether two squeezed titles are at most one edit apart, or one, of LEAST_HELD characters or more, begins or ends the other."""
+    short = F.least(F.char_length(a), F.char_length(b)) >= LEAST_HELD
+    return (F.levenshtein(a, b, 1) >= 0) | (short & (F.startswith(a, b) | F.startswith(b, a) | F.endswith(a, b) | F.endswith(b, a)))
+
+
+def match_and_score(local: DataFrame, candidates: DataFrame, title: str = "title_key", track: str = "track_id", cand: str = "cand_id") -> DataFrame:
+    """Every pair of near titles (see near_titles), scored; none is missed, and no key is shorter than a whole title but one character."""
+    left, right = local.withColumn("_keys", title_keys(F.col(title))), candidates.withColumn("_keys", title_keys(F.col("c_" + title), ">", "<"))
+    pairs = _keyed_pairs(left.where(F.col(title) != ""), right.where(F.col("c_" + title) != ""), "_keys", track, cand).join(local, track).join(candidates, "c_" + cand)
+    return pair_score(pairs.where(near_titles(F.col(title), F.col("c_" + title))))
 
 
 # Library matching in three stages
@@ -97,22 +129,50 @@ def library_match(items: DataFrame, library: DataFrame) -> DataFrame:
     """items (item, name, artist) with the first library row (id, title, artist, fileName, seq) of the first stage that finds one.
 
     Stage 1: equal loose titles. 2: one title holds the other. 3: equal file-name keys, or one begins with the other. In
-    each the artists must be compatible; in stage 3 the file name may hold the artist instead. Stages 2 and 3 find their
-    pairs by equi-joins, on the rarest 3-gram of the shorter text and on a fixed-length prefix, and then test them.
+    each the artists must be compatible; in stage 3 the file name may hold the artist instead. Stages 2 and 3 look only at
+    items that stage 1 left, and find their pairs by equi-joins, on the rarest 3-gram of the shorter text and on whole
+    prefixes.
     """
+    want, have = _library_sides(items, library)
+    one = _exact_titles(want, have)
+    rest = want.join(one.select("item").distinct(), "item", "left_anti")
+    every = one.unionByName(_contained_titles(rest, have)).unionByName(_file_names(rest, have))
+    return every.groupBy("item").agg(F.min(F.struct("stage", "seq", "id")).alias("m")).select("item", "m.stage", "m.id")
+
+
+def exact_titles(items: DataFrame, library: DataFrame) -> DataFrame:
+    """item and id of stage 1 alone."""
+    return _exact_titles(*_library_sides(items, library)).groupBy("item").agg(F.min_by("id", F.struct("seq", "id")).alias("id"))
+
+
+def _library_sides(items: DataFrame, library: DataFrame) -> tuple[DataFrame, DataFrame]:
     want = items.select("item", loose_name(F.col("name")).alias("n"), loose_name(F.col("artist")).alias("a")).where("n <> ''")
     have = library.select("id", "seq", loose_name(F.col("title")).alias("t"), loose_name(F.col("artist")).alias("b"), loose_name(file_title(F.col("fileName"))).alias("f"), loose_name(file_core(F.col("fileName"))).alias("core"))
-    ok = _compatible(F.col("a"), F.col("b"))
-    one = want.join(have, F.col("n") == F.col("t")).where(ok).select("item", F.lit(1).alias("stage"), "id", "seq")
+    return want, have
+
+
+def _exact_titles(want: DataFrame, have: DataFrame) -> DataFrame:
+    return want.join(have, F.col("n") == F.col("t")).where(_compatible(F.col("a"), F.col("b"))).select("item", F.lit(1).alias("stage"), "id", "seq")
+
+
+def _contained_titles(want: DataFrame, have: DataFrame) -> DataFrame:
     two = contained_pairs(want.select(F.col("item").alias("l"), F.col("n").alias("x")), have.select(F.col("id").alias("r"), F.col("t").alias("y")))
-    two = two.select(F.col("l").alias("item"), F.col("r").alias("id")).join(want, "item").join(have, "id").where(ok).select("item", F.lit(2).alias("stage"), "id", "seq")
-    head = lambda c: F.substring(c, 1, 3)
-    begins = (F.length("n") >= 3) & (F.length("f") >= 3) & (F.startswith(F.col("n"), F.col("f")) | F.startswith(F.col("f"), F.col("n")))
-    in_file = ok | ((F.col("a") != "") & F.contains("core", "a"))
-    near = want.join(have.where("f <> ''"), head(F.col("n")) == head(F.col("f")))
-    three = near.where(((F.col("n") == F.col("f")) | begins) & in_file).select("item", F.lit(3).alias("stage"), "id", "seq")
-    every = one.unionByName(two).unionByName(three)
-    return every.groupBy("item").agg(F.min(F.struct("stage", "seq", "id")).alias("m")).select("item", "m.stage", "m.id")
+    near = two.select(F.col("l").alias("item"), F.col("r").alias("id")).join(want, "item").join(have, "id")
+    return near.where(_compatible(F.col("a"), F.col("b"))).select("item", F.lit(2).alias("stage"), "id", "seq")
+
+
+def _prefixes(c: str) -> Column:
+    """The text itself, and its prefixes of 3 characters or more."""
+    return F.transform(F.sequence(F.least(F.lit(3), F.char_length(c)), F.char_length(c)), lambda i: F.substring(F.col(c), F.lit(1), i))
+
+
+def _file_names(want: DataFrame, have: DataFrame) -> DataFrame:
+    """Equal keys, or of 3 characters or more where one begins with the other: each side's prefixes meet the other's whole key."""
+    have = have.where("f <> ''")
+    one = want.select("*", F.explode(_prefixes("n")).alias("p")).join(have, F.col("p") == F.col("f")).drop("p")
+    two = have.select("*", F.explode(_prefixes("f")).alias("p")).join(want, F.col("p") == F.col("n")).drop("p")
+    in_file = _compatible(F.col("a"), F.col("b")) | ((F.col("a") != "") & F.contains("core", "a"))
+    return one.unionByName(two.select(*one.columns)).where(in_file).select("item", F.lit(3).alias("stage"), "id", "seq")
 
 
 def grams(c: Column, n: int = 3) -> Column:
@@ -126,13 +186,13 @@ def contained_pairs(left: DataFrame, right: DataFrame, n: int = 3) -> DataFrame:
 
     def inside(inner: DataFrame, a: str, s: str, outer: DataFrame, b: str, t: str) -> DataFrame:
         spread = outer.select(b, F.explode(grams(F.col(t), n)).alias("g"))
-        # texts shorter than n characters are looked up by their first character
-        short = outer.select(b, F.explode(F.array_distinct(F.split(F.col(t), ""))).alias("g"))
         seen = spread.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
         own = inner.where(F.char_length(s) >= n).select(a, F.explode(grams(F.col(s), n)).alias("g")).join(seen, "g", "left")
         rare = own.groupBy(a).agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g")).alias("m")).where("m.c > 0").select(a, F.col("m.g").alias("g"))
         long_pairs = rare.join(spread, "g")
-        tiny = inner.where((F.char_length(s) < n) & (F.col(s) != "")).select(a, F.substring(s, 1, 1).alias("g")).join(short, "g")
+        # a text shorter than n characters is itself one of the outer text's grams of its length
+        short = outer.select(b, F.explode(F.array_distinct(F.concat(*(grams(F.col(t), k) for k in range(1, n))))).alias("g"))
+        tiny = inner.where((F.char_length(s) < n) & (F.col(s) != "")).select(a, F.col(s).alias("g")).join(short, "g")
         return long_pairs.unionByName(tiny).select(a, b).distinct()
 
     pairs = inside(left, "l", "x", right, "r", "y").unionByName(inside(right, "r", "y", left, "l", "x").select("l", "r")).distinct()

@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.text import has_cjk, has_separator, is_garbled, is_promo, repair_mojibake
+
 
 def percent(n: Column, of: Column, digits: int = 1) -> Column:
     return F.round(100 * n / F.greatest(F.lit(1), of), digits)
@@ -171,6 +173,13 @@ def assign_layer(df: DataFrame, rules: Sequence[tuple[str, Column]], otherwise:
     return df.withColumn("layer", out.otherwise(F.lit(otherwise)))
 
 
+def sampler_rules(title: Column) -> list[tuple[str, Column]]:
+    """The layers of a catalog's sample, by title: A in a broken encoding, B promotion, C with a separator, D without CJK
+    characters; the first that holds. All others are layer E."""
+    repaired = repair_mojibake(title)
+    return [("A", is_garbled(title)), ("B", is_promo(repaired, False)), ("C", has_separator(repaired, False)), ("D", ~has_cjk(repaired))]
+
+
 # Rows of each layer in a sample of 100.
 QUOTAS = {"A": 20, "B": 15, "C": 25, "D": 15, "E": 25}
 

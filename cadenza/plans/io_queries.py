@@ -52,12 +52,12 @@ def _stage(spark, sf, n: int):
     return L.library_match(_items(spark, sf), _library(spark, sf)).where(F.col("stage") == n).select("item", "id")
 
 
-_WANT = "want as (select p_partkey as item, replace(lower(case p_partkey % 3 when 0 then p_name || ' ' || p_partkey when 1 then 'The ' || p_name || ' ' || p_partkey else p_name || '_' || p_partkey end), ' ', '') as n, lower(p_brand) as a from part where p_partkey % 5 = 0)"
+_WANT = "want as (select p_partkey as item, replace(lower(case p_partkey % 3 when 0 then p_name || ' ' || p_partkey when 1 then 'The ' || p_name || ' ' || p_partkey else p_name || '_' || p_partkey end), ' ', '') as n, lower(p_brand) as a from part)"
 
 
 @query("j2_exact_titles", f"with {_WANT}, have as (select p_partkey as id, replace(lower(p_name || ' ' || p_partkey), ' ', '') as t, lower(p_brand) as b from part) select item, min(id) as id from want join have on n = t where contains(a, b) or contains(b, a) group by 1")
 def _j2(spark, sf):
-    return _stage(spark, sf, 1)
+    return L.exact_titles(_items(spark, sf), _library(spark, sf))
 
 
 @query("j4_file_names", f"with {_WANT}, have as (select p_partkey as id, replace(lower(p_name || ' ' || p_partkey), ' ', '') as t, lower(p_brand) as b, replace(lower(p_name || '_' || p_partkey), ' ', '') as f from part), early as (select distinct item from want join have on contains(n, t) or contains(t, n) where contains(a, b) or contains(b, a)) select item, min(id) as id from want join have on n = f or starts_with(n, f) or starts_with(f, n) where (contains(a, b) or contains(b, a) or contains(f || '-' || b, a)) and item not in (select item from early) group by 1")
@@ -65,10 +65,10 @@ def _j4(spark, sf):
     return _stage(spark, sf, 3)
 
 
-@query("m1_apply_one_field", "select p_partkey as id, case when p_partkey % 13 = 0 then p_name when p_partkey % 3 = 2 then p_type when p_partkey % 3 = 1 then p_type else p_name end as value from part where p_partkey % 2 = 0")
+@query("m1_apply_one_field", "select p_partkey as id, case when p_partkey % 13 = 0 or p_partkey % 2 = 1 then p_name when p_partkey % 3 = 2 then p_type when p_partkey % 3 = 1 then p_type else p_name end as value from part")
 def _m1(spark, sf):
     one = _candidates(spark, sf).where("seq = 1")
-    return M.merge_fields(_current(spark, sf).where("id % 2 = 0"), one, NOW).select("id", "value")
+    return M.merge_fields(_current(spark, sf), one, NOW).select("id", "value")
 
 
 @query("t2_play_history_stream", f"with {PLAYS_SQL} select track_id, max(played_at) as played_at, count(*) as plays from plays group by 1")

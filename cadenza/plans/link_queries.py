@@ -15,17 +15,20 @@ def _local(spark, sf):
     return df.withColumn("title_key", squeeze(F.col("title"), False))
 
 
+#: Under one title in four stands a sign more, under one in seven something before it, under one in nine something behind.
+_CANDIDATE_TITLE = "case when p_partkey % 4 = 0 then p_name || ' x' || p_partkey when p_partkey % 7 = 0 then 'The ' || p_name || ' ' || p_partkey when p_partkey % 9 = 0 then p_name || ' ' || p_partkey || ' live' else p_name || ' ' || p_partkey end"
+
+
 def _candidates(spark, sf):
-    df = tables(spark, sf, "part").where("p_partkey % 2 = 0").selectExpr(
-        "p_partkey as c_cand_id", "p_partkey as seq", "case when p_partkey % 3 = 0 then 'netease' else 'musicbrainz' end as source", "case when p_partkey % 4 = 0 then p_name || ' x' || p_partkey else p_name || ' ' || p_partkey end as c_title",
+    df = tables(spark, sf, "part").selectExpr(
+        "p_partkey as c_cand_id", "p_partkey as seq", "case when p_partkey % 3 = 0 then 'netease' else 'musicbrainz' end as source", f"{_CANDIDATE_TITLE} as c_title",
         "case when p_partkey % 10 = 0 then '' else p_brand end as c_artist", "cast(p_size * 10 + p_partkey % 40 as int) as c_seconds",
     )
     return df.withColumn("c_title_key", squeeze(F.col("c_title"), False))
 
 
 def _scored(spark, sf):
-    key = lambda c: F.array(F.concat(F.lit("="), F.col(c)), F.concat(F.lit("^"), F.substring(c, 1, 6)))
-    return L.block_and_score(_local(spark, sf).withColumn("keys", key("title_key")), _candidates(spark, sf).withColumn("keys", key("c_title_key")))
+    return L.match_and_score(_local(spark, sf), _candidates(spark, sf))
 
 
 _SIM = """case when title_key = c_title_key then 1.0 when length(title_key) >= 2 and length(c_title_key) >= 2 and (contains(title_key, c_title_key) or contains(c_title_key, title_key))
@@ -35,8 +38,9 @@ _ASIM = """case when not artist_usable or c_artist = '' then 0.0 when a = ca the
  else 1 - levenshtein(a, ca)::double / greatest(length(a), length(ca)) end"""
 SCORED_SQL = f"""local as (select p_partkey as track_id, p_brand as artist, p_partkey % 9 <> 0 as artist_usable, (p_size * 10)::int as seconds, regexp_replace(lower(p_name || ' ' || p_partkey), '[^a-z0-9]+', '', 'g') as title_key, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') as a from part),
 cand as (select p_partkey as c_cand_id, p_partkey as seq, case when p_partkey % 3 = 0 then 'netease' else 'musicbrainz' end as source, case when p_partkey % 10 = 0 then '' else p_brand end as c_artist, regexp_replace(lower(case when p_partkey % 10 = 0 then '' else p_brand end), '[^a-z0-9]+', '', 'g') as ca,
- (p_size * 10 + p_partkey % 40)::int as c_seconds, regexp_replace(lower(case when p_partkey % 4 = 0 then p_name || ' x' || p_partkey else p_name || ' ' || p_partkey end), '[^a-z0-9]+', '', 'g') as c_title_key from part where p_partkey % 2 = 0),
-p0 as (select *, {_SIM} as t, {_ASIM} as ar, abs(seconds - c_seconds) as gap from local join cand on substr(title_key, 1, 6) = substr(c_title_key, 1, 6)),
+ (p_size * 10 + p_partkey % 40)::int as c_seconds, regexp_replace(lower({_CANDIDATE_TITLE}), '[^a-z0-9]+', '', 'g') as c_title_key from part),
+p0 as (select *, {_SIM} as t, {_ASIM} as ar, abs(seconds - c_seconds) as gap from local join cand on abs(length(title_key) - length(c_title_key)) <= 1 and levenshtein(title_key, c_title_key) <= 1
+ or least(length(title_key), length(c_title_key)) >= 4 and (starts_with(title_key, c_title_key) or starts_with(c_title_key, title_key) or ends_with(title_key, c_title_key) or ends_with(c_title_key, title_key))),
 p1 as (select *, case when gap > 30 then 0.5 when gap > 15 then 0.85 else 1.0 end as f, gap > 30 as hard, gap > 30 and greatest(seconds, c_seconds) >= 600 and t >= 0.95 as forgiven from p0),
 p2 as (select *, hard and not forgiven as conflict, case when forgiven then 1.0 else f end as used, case when artist_usable then 0.6::double * t + 0.4::double * ar else 0.8::double * t + case when c_artist <> '' then 0.12 else 0 end end as base from p1),
 p3 as (select *, case when conflict then least(base * used, 0.5) else base * used end as s, case when conflict then least(t * used, 0.5) else t * used end as r from p2),
@@ -83,14 +87,14 @@ def _w7(spark, sf):
 
 
 def _items(spark, sf):
-    return tables(spark, sf, "part").where("p_partkey % 5 = 0").selectExpr("p_partkey as item", "case p_partkey % 3 when 0 then p_name || ' ' || p_partkey when 1 then 'The ' || p_name || ' ' || p_partkey else p_name || '_' || p_partkey end as name", "p_brand as artist")
+    return tables(spark, sf, "part").selectExpr("p_partkey as item", "case p_partkey % 3 when 0 then p_name || ' ' || p_partkey when 1 then 'The ' || p_name || ' ' || p_partkey else p_name || '_' || p_partkey end as name", "p_brand as artist")
 
 
 def _library(spark, sf):
     return tables(spark, sf, "part").selectExpr("p_partkey as id", "p_partkey as seq", "p_name || ' ' || p_partkey as title", "p_brand as artist", "p_name || '_' || p_partkey || ' - ' || p_brand || '.mp3' as fileName")
 
 
-_LIBRARY_SQL = """want as (select p_partkey as item, replace(lower(case p_partkey % 3 when 0 then p_name || ' ' || p_partkey when 1 then 'The ' || p_name || ' ' || p_partkey else p_name || '_' || p_partkey end), ' ', '') as n, lower(p_brand) as a from part where p_partkey % 5 = 0),
+_LIBRARY_SQL = """want as (select p_partkey as item, replace(lower(case p_partkey % 3 when 0 then p_name || ' ' || p_partkey when 1 then 'The ' || p_name || ' ' || p_partkey else p_name || '_' || p_partkey end), ' ', '') as n, lower(p_brand) as a from part),
 have as (select p_partkey as id, replace(lower(p_name || ' ' || p_partkey), ' ', '') as t, lower(p_brand) as b, replace(lower(p_name || '_' || p_partkey), ' ', '') as f, replace(lower(p_name || '_' || p_partkey || ' - ' || p_brand), ' ', '') as core from part),
 every as (select item, 1 as stage, id from want join have on n = t where contains(a, b) or contains(b, a)
  union all select item, 2, id from want join have on contains(n, t) or contains(t, n) where contains(a, b) or contains(b, a)

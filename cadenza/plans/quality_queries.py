@@ -266,6 +266,17 @@ def _q1(spark, sf):
     return _layers(spark, sf)
 
 
+#: Titles of all layers: a broken encoding (also of promotion, which comes second), promotion, a separator, none, CJK.
+_BROKEN = "江智民".encode("gb18030").decode("latin-1")
+_LAYERED = f"case p_partkey % 5 when 0 then '{_BROKEN}' when 1 then '加群 ' || p_partkey when 2 then p_name || ' - ' || p_brand when 3 then p_name else '晴天' end"
+
+
+@query("q1_sampler_layers", "select p_partkey as id, ['A', 'B', 'C', 'D', 'E'][p_partkey % 5 + 1] as layer from part")
+def _q1s(spark, sf):
+    titles = tables(spark, sf, "part").selectExpr("p_partkey as id", f"{_LAYERED} as title")
+    return Q.assign_layer(titles, Q.sampler_rules(F.col("title")), "E").select("id", "layer")
+
+
 _SAMPLE = f"""{_LAYERS}, r as (select *, row_number() over (partition by layer order by md5('7:' || id), id) as r, case layer when 'A' then 40 when 'B' then 30 when 'C' then 50 when 'D' then 30 else 50 end as q from layers),
 sample as (select id, layer, case when r <= q then 'quota' else 'fill' end as picked from r order by (r <= q) desc, md5('7:' || id), id limit 200)"""
 

@@ -15,6 +15,19 @@ def _docs(spark, sf):
     return tables(spark, sf, "documents")
 
 
+#: Names in the right encoding, and as they look when their GB18030 bytes are read as Latin-1.
+_FIXED = ("江智民", "律动车载音乐")
+_BROKEN = tuple(x.encode("gb18030").decode("latin-1") for x in _FIXED)
+_MIXED = f"case doc_id % 5 when 0 then '{_BROKEN[0]}' when 1 then '{_BROKEN[1]}' when 2 then 'Björk Guðmundsdóttir' when 3 then '晴天' else text end"
+_REPAIRED = f"case doc_id % 5 when 0 then '{_FIXED[0]}' when 1 then '{_FIXED[1]}' when 2 then 'Björk Guðmundsdóttir' when 3 then '晴天' else text end"
+_PROMO = "公众号关注".encode("gb18030").decode("latin-1")
+
+
+def _mixed(spark, sf):
+    """Texts of documents, in four of five rows names in right and broken encodings."""
+    return _docs(spark, sf).selectExpr("doc_id", f"{_MIXED} as text")
+
+
 def _titles(spark, sf):
     """Titles of several shapes, made from the parts."""
     shape = "case p_partkey % 6 when 0 then p_name || '-' || p_brand when 1 then '0' || (p_partkey % 9) || ' - ' || p_name when 2 then '[HD] ' || p_name when 3 then p_name || ' (live ' || p_size || ')' when 4 then p_name || '_' || p_type else p_name end"
@@ -24,37 +37,38 @@ def _titles(spark, sf):
 _TITLES = "titles as (select p_partkey as id, case p_partkey % 6 when 0 then p_name || '-' || p_brand when 1 then '0' || (p_partkey % 9) || ' - ' || p_name when 2 then '[HD] ' || p_name when 3 then p_name || ' (live ' || p_size || ')' when 4 then p_name || '_' || p_type else p_name end as title, p_brand as artist from part)"
 
 
-@query("p1_cjk_count", "select doc_id, len(regexp_extract_all(text, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]')) as n, false as has from documents")
+@query("p1_cjk_count", f"select doc_id, case doc_id % 5 when 3 then 2 else 0 end as n, doc_id % 5 = 3 as has from documents")
 def _p1(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.cjk_count(F.col("text")).alias("n"), X.has_cjk(F.col("text")).alias("has"))
+    return _mixed(spark, sf).select("doc_id", X.cjk_count(F.col("text")).alias("n"), X.has_cjk(F.col("text")).alias("has"))
 
 
-@query("p2_garbled_flag", "select doc_id, false as garbled from documents")
+@query("p2_garbled_flag", "select doc_id, doc_id % 5 in (0, 1) as garbled from documents")
 def _p2(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.is_garbled(F.col("text")).alias("garbled"))
+    return _mixed(spark, sf).select("doc_id", X.is_garbled(F.col("text")).alias("garbled"))
 
 
-@query("p3_mojibake_repair", "select doc_id, text as repaired from documents")
+@query("p3_mojibake_repair", f"select doc_id, {_REPAIRED} as repaired from documents")
 def _p3(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.repair_mojibake(F.col("text")).alias("repaired"))
+    return _mixed(spark, sf).select("doc_id", X.repair_mojibake(F.col("text")).alias("repaired"))
 
 
 _NORMAL = "trim(regexp_replace(regexp_replace(lower({0}), '[\\[\\]()<>]', ' ', 'g'), '[^a-z0-9\\pL\\pN]+', ' ', 'g'))"
 
 
-@query("p4_normalize", f"select doc_id, {_NORMAL.format('text')} as key from documents")
+@query("p4_normalize", f"select doc_id, {_NORMAL.format('text')} as key from (select doc_id, {_REPAIRED} as text from documents)")
 def _p4(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.normalize(F.col("text")).alias("key"))
+    return _mixed(spark, sf).select("doc_id", X.normalize(F.col("text")).alias("key"))
 
 
-@query("p5_squeeze", f"select doc_id, md5(replace({_NORMAL.format('text')}, ' ', '')) as key from documents")
+@query("p5_squeeze", f"select doc_id, md5(replace({_NORMAL.format('text')}, ' ', '')) as key from (select doc_id, {_REPAIRED} as text from documents)")
 def _p5(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.md5(X.squeeze(F.col("text"), False)).alias("key"))
+    return _mixed(spark, sf).select("doc_id", F.md5(X.squeeze(F.col("text"), False)).alias("key"))
 
 
-@query("p6_promo_flag", "select page_id, contains(html, 'http') or contains(html, 'www.') or contains(html, 'vx') or contains(html, 'VX') as promo from pages")
+@query("p6_promo_flag", "select page_id, case page_id % 4 when 0 then true when 1 then false else contains(html, 'http') or contains(html, 'www.') or contains(html, 'vx') or contains(html, 'VX') end as promo from pages")
 def _p6(spark, sf):
-    return tables(spark, sf, "pages").select("page_id", X.is_promo(F.col("html")).alias("promo"))
+    pages = tables(spark, sf, "pages").selectExpr("page_id", f"case page_id % 4 when 0 then '{_PROMO}' when 1 then 'a plain name' else html end as html")
+    return pages.select("page_id", X.is_promo(F.col("html")).alias("promo"))
 
 
 @query("p7_unknown_flag", "select p_partkey as id, p_partkey % 4 in (0, 1) as unknown from part")
