@@ -197,7 +197,7 @@ def split_title(c: Column, known: Column | None = None, repair: bool = True) ->
     def guess(x: Column) -> Column:
         bare = strip_track_number(x["left"])
         number = x["left"].rlike(r"^[.\-_\s]*\d{1,3}[.\-_]?$") | x["left"].rlike(r"^\d{1,3}[.\-_]")
-        want = squeeze(known, False, False) if known is not None else F.lit("")
+        want = x["want"]
         is_left, is_right = (want != "") & (squeeze(bare, False, False) == want), (want != "") & (squeeze(x["right"], False, False) == want)
         none = F.array().cast("array<string>")
         titles = (
@@ -208,7 +208,10 @@ def split_title(c: Column, known: Column | None = None, repair: bool = True) ->
         tidy = lambda a: F.array_distinct(F.filter(a, lambda t: t != ""))
         return F.struct(tidy(titles).alias("titles"), tidy(artists).alias("artists"))
 
-    return F.element_at(F.transform(F.array(F.struct(raw.alias("raw"), left.alias("left"), right.alias("right"))), guess), 1)
+    # what a Python step may have made comes in through the struct: a lambda can't hold such a step
+    want = squeeze(known, False, False) if known is not None else F.lit("")
+    given = F.struct(raw.alias("raw"), left.alias("left"), right.alias("right"), want.alias("want"))
+    return F.element_at(F.transform(F.array(given), guess), 1)
 
 
 def title_queries(title: Column, artist: Column, repair: bool = True) -> Column:
@@ -228,7 +231,8 @@ def title_queries(title: Column, artist: Column, repair: bool = True) -> Column:
     first = F.when((lead != "") & (lead != blank(title)), variants(lead)).otherwise(F.array().cast("array<string>"))
     candidates = F.array_distinct(F.filter(F.concat(first, variants(title)), lambda t: t != ""))
 
-    def queries(cs: Column) -> Column:
+    def queries(x: Column) -> Column:
+        cs, usable, known = x["cs"], x["usable"], x["known"]
         one = F.coalesce(F.get(cs, 0), F.lit(""))
         rest = F.slice(cs, 2, F.greatest(F.size(cs), F.lit(1)))
         query = lambda s, q: F.struct(F.lit(s).alias("strategy"), squash(q).alias("q"))
@@ -239,7 +243,8 @@ def title_queries(title: Column, artist: Column, repair: bool = True) -> Column:
         )
         return F.array_distinct(F.filter(out, lambda x: x["q"] != ""))
 
-    return F.element_at(F.transform(F.array(candidates), queries), 1)
+    given = F.struct(candidates.alias("cs"), usable.alias("usable"), known.alias("known"))
+    return F.element_at(F.transform(F.array(given), queries), 1)
 
 
 def title_similarity(a: Column, b: Column) -> Column:
