@@ -189,10 +189,13 @@ def split_title(c: Column, known: Column | None = None, repair: bool = True) ->
     """struct(titles, artists): ordered guesses from a raw title; ``known`` is an artist to look for on either side."""
     raw = strip_brackets(repair_mojibake(c) if repair else c)
     ranked = sorted(range(len(SEPARATORS)), key=lambda i: (-len(SEPARATORS[i]), i))
-    left = right = F.lit(None).cast("string")
-    for i in reversed(ranked):
-        usable, a, b = _cut_at(raw, SEPARATORS[i])
-        left, right = F.when(usable, a).otherwise(left), F.when(usable, b).otherwise(right)
+
+    def cut(x: Column) -> Column:
+        left = right = F.lit(None).cast("string")
+        for i in reversed(ranked):
+            usable, a, b = _cut_at(x["raw"], SEPARATORS[i])
+            left, right = F.when(usable, a).otherwise(left), F.when(usable, b).otherwise(right)
+        return F.struct(x["raw"].alias("raw"), left.alias("left"), right.alias("right"), x["want"].alias("want"))
 
     def guess(x: Column) -> Column:
         bare = strip_track_number(x["left"])
@@ -208,15 +211,17 @@ def split_title(c: Column, known: Column | None = None, repair: bool = True) ->
         tidy = lambda a: F.array_distinct(F.filter(a, lambda t: t != ""))
         return F.struct(tidy(titles).alias("titles"), tidy(artists).alias("artists"))
 
-    # what a Python step may have made comes in through the struct: a lambda can't hold such a step
+    # what a Python step may have made comes in through the struct, once: a lambda can't hold such a step
     want = squeeze(known, False, False) if known is not None else F.lit("")
-    given = F.struct(raw.alias("raw"), left.alias("left"), right.alias("right"), want.alias("want"))
-    return F.element_at(F.transform(F.array(given), guess), 1)
+    given = F.struct(raw.alias("raw"), want.alias("want"))
+    return F.element_at(F.transform(F.transform(F.array(given), cut), guess), 1)
 
 
 def title_queries(title: Column, artist: Column, repair: bool = True) -> Column:
     """array<struct(strategy, q)>: S1 the best cleaned title, S2 with the artist, S3 the other forms."""
-    title, artist = (repair_mojibake(title), repair_mojibake(artist)) if repair else (title, artist)
+    if repair:  # once, outside of what uses it many times
+        given = F.struct(repair_mojibake(title).alias("title"), repair_mojibake(artist).alias("artist"))
+        return F.element_at(F.transform(F.array(given), lambda x: title_queries(x["title"], x["artist"], False)), 1)
     usable = ~is_promo(artist, False) & ~is_unknown(artist)
     known = F.when(usable, F.trim(artist)).otherwise(F.lit(""))
     tidy = lambda s: F.trim(F.regexp_replace(F.regexp_replace(squash(s), r"^[\s\-–—_|/·、.]+", ""), r"[\s\-–—_|/·]+$", ""))
