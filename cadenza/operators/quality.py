@@ -124,10 +124,31 @@ def segments(attempts: DataFrame, width: int = 20, order: str = "idx") -> DataFr
     )
 
 
+def upper_median(df: DataFrame, by: str, value: str, ranges: int = 4096) -> DataFrame:
+    """by, upper_median: the middle value of each group, or the upper of two; nulls don't count.
+
+    Values are counted first, then summed up over ranges between a group's least and largest value; only the range that
+    holds the middle is put in order, so no task holds all values of a group.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_k"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ends = counted.groupBy(F.col("_k").alias("_e")).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.floor(F.sum("_n") / 2).alias("_before"))
+    part = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * ranges)).otherwise(F.lit(0))
+    placed = counted.join(ends, F.col("_k").eqNullSafe(F.col("_e"))).select("_k", "_v", "_n", "_before", part.cast("long").alias("_range"))
+    sums = placed.groupBy(F.col("_k").alias("_e"), F.col("_range").alias("_r")).agg(F.sum("_n").alias("_all"), F.first("_before").alias("_b"))
+    w = Window.partitionBy("_e").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    upto = sums.withColumn("_offset", F.sum("_all").over(w) - F.col("_all"))
+    middle = upto.where((F.col("_offset") <= F.col("_b")) & (F.col("_offset") + F.col("_all") > F.col("_b"))).select("_e", "_r", "_offset")
+    inside = placed.join(middle, F.col("_k").eqNullSafe(F.col("_e")) & (F.col("_range") == F.col("_r")))
+    order = Window.partitionBy("_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = inside.withColumn("_sum", F.col("_offset") + F.sum("_n").over(order)).where("_sum > _before")
+    return reached.groupBy(F.col("_k").alias(by)).agg(F.min("_v").alias("upper_median"))
+
+
 def latency_summary(attempts: DataFrame, by: str, rows: int, lanes: Sequence[int] = (1, 2, 4, 8)) -> DataFrame:
     """Mean, upper median (the middle value, or the upper of two) and minutes that ``rows`` would take on so many lanes."""
-    upper = F.expr("-percentile_disc(0.5) within group (order by -elapsed)")  # of an even number of values, the larger middle one
-    out = attempts.groupBy(by).agg(F.round(F.avg("elapsed"), 6).alias("mean"), upper.alias("upper_median"))
+    means = attempts.groupBy(by).agg(F.round(F.avg("elapsed"), 6).alias("mean"))
+    medians = upper_median(attempts, by, "elapsed").withColumnRenamed(by, "_by")
+    out = means.join(medians, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
     return out.withColumns({f"minutes_{k}": F.round(F.col("mean") * rows / 60000 / k, 6) for k in lanes})
 
 
@@ -154,12 +175,19 @@ def ambiguous_titles(df: DataFrame, segment: str, name: str, least: int = 4) ->
     return df.join(frequent, F.col(segment) == F.col("_name")).drop("_name")
 
 
-def run_progress(log: DataFrame, total: int) -> DataFrame:
-    """log (second, done) with the running percent, the rate so far and the seconds that remain. Windows run over seconds, not rows."""
-    by_second = log.groupBy("second").agg(F.sum("done").alias("n"))
-    w = Window.orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.first("second").over(w)
-    out = by_second.withColumn("done", F.sum("n").over(w)).withColumn("rate", F.round(F.col("done") / (F.col("second") - start + 1), 6))
+def run_progress(log: DataFrame, total: int, range_width: int = 100_000) -> DataFrame:
+    """log (second, done) with the running percent, the rate so far and the seconds that remain.
+
+    Sums run over seconds inside ranges of ``range_width`` seconds, offset by the ranges before; one task orders the ranges, none the seconds.
+    """
+    by_second = log.groupBy("second").agg(F.sum("done").alias("n")).withColumn("_range", F.floor(F.col("second") / range_width))
+    ranges = by_second.groupBy("_range").agg(F.sum("n").alias("_n"), F.min("second").alias("_first"))
+    w = Window.orderBy("_range")
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.select("_range", before.alias("_before"), F.first("_first").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
+    out = by_second.withColumn("_sum", F.sum("n").over(inside)).join(offsets, "_range").withColumn("done", F.col("_before") + F.col("_sum"))
+    out = out.withColumn("rate", F.round(F.col("done") / (F.col("second") - F.col("_start") + 1), 6))
     return out.select("second", "done", percent(F.col("done"), F.lit(total)).alias("percent"), "rate", F.when(F.col("rate") > 0, F.round((total - F.col("done")) / F.col("rate"), 3)).alias("eta"))
 
 

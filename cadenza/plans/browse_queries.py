@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import browse as B
+from cadenza.operators import merge as M
 from cadenza.plans.registry import query
 from cadenza.plans.views import FAVORITES_SQL, PLAYS_SQL, TRACKS_SQL, favorites, plays, tables, tracks
 
@@ -187,17 +188,20 @@ def _a4(spark, sf):
     return tracks(spark, sf).select("id", B.need_review().alias("review"))
 
 
-@query(
-    "a5_overall_confidence",
-    _tracks(
-        """select id, round(((cleanArtist is not null)::int * 0.9 * 3 + 0.5 * 2 + (year <> 0)::int * 0.5 * 2 + (genre is not null)::int * 0.7 * 2 + 0.5 * 1.5 + 0.5 + 0.5 * 2 + (coverId <> '')::int * 0.5 + (lyrics is not null)::int * 0.5)::double
- / ((cleanArtist is not null)::int * 3 + 2 + (year <> 0)::int * 2 + (genre is not null)::int * 2 + 1.5 + 1 + 2 + (coverId <> '')::int + (lyrics is not null)::int)::double, 3) as confidence from tracks"""
-    ),
-)
+_CONFIDENCE = """round(((cleanArtist is not null)::int * 0.9 * 3 + 0.5 * 2 + (year <> 0)::int * 0.5 * 2 + (genre is not null)::int * 0.7 * 2 + 0.5 * 1.5 + 0.5 + 0.5 * 2 + (coverId <> '')::int * 0.5 + (lyrics is not null)::int * 0.5)::double
+ / ((cleanArtist is not null)::int * 3 + 2 + (year <> 0)::int * 2 + (genre is not null)::int * 2 + 1.5 + 1 + 2 + (coverId <> '')::int + (lyrics is not null)::int)::double, 3)"""
+
+
+@query("a5_overall_confidence", _tracks(f"select id, {_CONFIDENCE} as confidence from tracks"))
 def _a5(spark, sf):
     return tracks(spark, sf).select("id", B.overall_confidence().alias("confidence"))
 
 
+@query("m12_finalize", _tracks(f"select id, confidence, {_LEVEL} as \"qualityLevel\", {_REVIEW} as \"needReview\", '2024-01-01' as \"updatedAt\" from done", f"done as (select * exclude (confidence), {_CONFIDENCE} as confidence from tracks)"))
+def _m12(spark, sf):
+    return M.finalize(tracks(spark, sf), "2024-01-01").select("id", "confidence", "qualityLevel", "needReview", "updatedAt")
+
+
 @query("a6_album_rollup", _tracks("select * from albums", _ALBUMS))
 def _a6(spark, sf):
     return B.albums(tracks(spark, sf))

@@ -10,7 +10,7 @@ from cadenza.plans.link_queries import _items, _library
 from cadenza.plans.merge_queries import NOW, _candidates, _current
 from cadenza.plans.registry import query
 from cadenza.plans.views import PLAYS_SQL, TRACKS_SQL, tables, tracks
-from cadenza.sources import sinks
+from cadenza.sources import ingest, sinks
 from cadenza.sources.shared import work_folder
 from cadenza.streaming import jobs
 
@@ -21,9 +21,12 @@ def _stream(spark, sf, name: str):
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
-@query("s16_json_export", f"with {TRACKS_SQL} select count(*) as total from tracks")
+@query("s16_json_export", f"with {TRACKS_SQL} select id, title, cleanArtist as \"cleanArtist\", year, mood[1] as mood from tracks")
 def _s16(spark, sf):
-    return sinks.export_json(tracks(spark, sf), work_folder(spark, "export"))
+    path = work_folder(spark, "export")
+    sinks.export_json(tracks(spark, sf), path)
+    back = spark.read.schema("id string, title string, cleanArtist string, year int, mood array<string>").json(path)
+    return back.select("id", "title", "cleanArtist", "year", F.get("mood", 0).alias("mood"))
 
 
 @query("s17_catalog_round_trip", f"with {TRACKS_SQL} select id, filePath as \"filePath\", title, year from tracks")
@@ -40,12 +43,14 @@ def _s19(spark, sf):
     return spark.read.option("header", True).schema("filePath string, stage string, reason string").csv(path)
 
 
-@query("s13_sidecar_lyrics", f"with {TRACKS_SQL} select id, 'words of ' || id as lyrics from tracks where partkey % 200 = 0")
+@query("s13_sidecar_lyrics", f"with {TRACKS_SQL} select id, 'words of ' || id || chr(10) || title || chr(10) as lyrics from tracks where partkey % 200 = 0")
 def _s13(spark, sf):
-    # stems and texts as the reader of sidecar files gives them, joined on the track's stem
-    t = tracks(spark, sf).select("id", "partkey", F.regexp_replace("filePath", r"\.[^.]+$", "").alias("stem"))
-    sidecar = t.where("partkey % 200 = 0").select("stem", F.concat(F.lit("words of "), "id").alias("lyrics"))
-    return t.join(sidecar, "stem").select("id", "lyrics")
+    # one text file for each 200th track, as few tracks have one, in a folder named by the track
+    root = work_folder(spark, "sidecar")
+    t = tracks(spark, sf).select("id", "title", "partkey")
+    t.where("partkey % 200 = 0").select("id", F.concat_ws("\n", F.concat(F.lit("words of "), "id"), "title").alias("value")).write.partitionBy("id").text(root)
+    sidecar = ingest.sidecar_lyrics(spark, root, "*.txt").select(F.regexp_extract("stem", "id=([^/]+)/[^/]+$", 1).alias("id"), "lyrics")
+    return t.join(sidecar, "id").select("id", "lyrics")
 
 
 def _stage(spark, sf, n: int):
@@ -76,13 +81,35 @@ def _t2(spark, sf):
     plays = _stream(spark, sf, "lineitem").selectExpr("'tp_' || l_partkey as track_id", "l_shipdate as played_at", "cast(l_quantity as int) as duration_sec")
     out, marks = work_folder(spark, "history"), work_folder(spark, "history-state")
 
-    def keep(batch, number):  # a batch holds all tracks so far; the last one is the result
+    def keep(batch, number):  # a batch holds the tracks that it changed, and writes the same rows when it is run again
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    jobs.play_history(plays).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-    every = spark.read.parquet(out)
-    last = every.agg(F.max("batch").alias("batch"))
-    return every.join(F.broadcast(last), "batch").select("track_id", "played_at", "plays")  # one row
+    jobs.play_history(plays).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("track_id").agg(F.max_by(F.struct("played_at", "plays"), "batch").alias("r"))
+    return last.select("track_id", "r.played_at", "r.plays")
+
+
+def _in_turn(spark, sf, name: str, parts):
+    """A stream that reads one part of a table after the other, each a batch; the parts are written as files first."""
+    folder = work_folder(spark, name)
+    for part in parts:  # one file a part, so that a batch takes a whole part
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query(
+    "t3_new_completions_stream",
+    """with done as (select o_orderpriority as source, year(o_orderdate) as y, o_orderdate as ts from orders where o_orderstatus = 'F')
+ select source, epoch_ms(max(ts)) as at, count(*) as completed from done where y >= 1997 group by source, (y >= 1999)""",
+)
+def _t3(spark, sf):
+    # three polls by the year of the order; the tasks of 1996 and 1998 come twice, and aren't new the second time
+    tasks = tables(spark, sf, "orders").selectExpr("o_orderpriority as source", "o_orderkey as id", "case o_orderstatus when 'F' then 'success' else 'running' end as status", "cast(o_orderdate as timestamp) as ts", "year(o_orderdate) as y")
+    polls = [tasks.where(rule).drop("y") for rule in ("y < 1997", "y between 1996 and 1998", "y >= 1998")]
+    out = work_folder(spark, "signals")
+    signals = jobs.new_completions(_in_turn(spark, sf, "polls", polls)).writeStream.format("parquet").option("path", out).option("checkpointLocation", work_folder(spark, "signals-state"))
+    signals.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("source string, at long, completed long").parquet(out)
 
 
 @query("t4_telemetry_stream", "with w as (select time_bucket(interval '1 hour', ts) as start, event_type as source, event_type <> 'error' as ok from events) select start, source, count(*) as n, count(*) filter (where not ok) as failed from w where start + interval '1 hour' <= (select max(ts) - interval '1 hour' from events) group by 1, 2")
@@ -93,10 +120,13 @@ def _t4(spark, sf):
     return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "source", "n", "failed")
 
 
-@query("t1_catalog_refresh_stream", "select 'f' || p_partkey as \"filePath\", p_partkey % 97 as mtime, p_size::bigint as size from part")
+@query("t1_catalog_refresh_stream", "select 'f' || p_partkey as \"filePath\", case when p_partkey % 3 = 0 then p_partkey % 97 + 1 else p_partkey % 97 end as mtime, p_size::bigint as size from part where p_partkey % 5 <> 0")
 def _t1(spark, sf):
-    listing = _stream(spark, sf, "part").selectExpr("'f' || p_partkey as filePath", "p_partkey % 97 as mtime", "cast(p_size as bigint) as size")
+    # two enumerations: in the second a fifth of the files is gone and a third of the rest has changed
+    files = tables(spark, sf, "part").selectExpr("'f' || p_partkey as filePath", "p_partkey % 97 as mtime", "cast(p_size as bigint) as size", "p_partkey as k")
+    again = files.where("k % 5 <> 0").withColumn("mtime", F.expr("case when k % 3 = 0 then mtime + 1 else mtime end"))
     catalog = work_folder(spark, "versions")
-    jobs.refresh_catalog(listing, spark, catalog, work_folder(spark, "versions-state")).awaitTermination()
+    listings = _in_turn(spark, sf, "listings", [files.drop("k"), again.drop("k")])
+    jobs.refresh_catalog(listings, spark, catalog, work_folder(spark, "versions-state"), whole=True).awaitTermination()
     every = spark.read.parquet(catalog)
     return every.join(F.broadcast(every.agg(F.max("version").alias("version"))), "version").select("filePath", "mtime", "size")  # one row

@@ -138,11 +138,6 @@ def _m13(spark, sf):
     return M.backfill_era(tracks(spark, sf).withColumn("era", F.expr("case when partkey % 2 = 0 then '' else '90s' end")).withColumn("era", F.expr("case when partkey % 2 = 0 and year = 0 then '未知' else era end"))).select("id", "era")
 
 
-@query("m12_finalize", None)
-def _m12(spark, sf):
-    return M.finalize(tracks(spark, sf), "2024-01-01").select("id", "confidence", "qualityLevel", "needReview", "updatedAt")
-
-
 @query("m15_cover_dedup", "select 'cv_' || substr(sha1(html), 1, 12) as \"coverId\", count(*) as owners, max(octet_length(encode(html)))::int as bytes from pages where octet_length(encode(html)) >= 512 and sha1(html) not in (select sha1(html) from pages where page_id % 50 = 0) group by html")
 def _m15(spark, sf):
     pages = tables(spark, sf, "pages").select(F.col("page_id").alias("owner"), F.col("html").cast("binary").alias("content"), "page_id")
@@ -166,7 +161,7 @@ def _j16(spark, sf):
     return M.unknown_words(p, p.where("id < 3")).select("id", "dim", "value")
 
 
-@query("m17_rerun_labels", None)
+@query("m17_rerun_labels", f"with {_VALID}, n as (select id, case when ok and id % 7 <> 0 then g end as g from o) select id, coalesce(g, 'old') as value, case when g is null then 'path' else 'llm' end as source, case when g is null then 0.6 else 0.9 end::double as confidence from n")
 def _m17(spark, sf):
     labels = M.label_candidates(_labels(spark, sf).withColumn("confidence", F.lit("0.9"))).where("field = 'genre'")
     current = tables(spark, sf, "part").selectExpr("p_partkey as id", "'genre' as field", "'old' as value", "'path' as source", "0.6D as confidence", "p_partkey % 7 = 0 as locked")

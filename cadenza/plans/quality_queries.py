@@ -10,6 +10,7 @@ from cadenza.operators import link as L
 from cadenza.operators import quality as Q
 from cadenza.plans.link_queries import SCORED_SQL, _scored
 from cadenza.plans.registry import query
+from cadenza.plans.text_queries import audit_sql
 from cadenza.plans.views import ATTEMPTS_SQL, TASKS_SQL, TRACKS_SQL, attempts, tables, tasks, tracks
 
 _NAMES = "['miss', 'weak', 'likely', 'exact']"
@@ -199,17 +200,24 @@ def _a37(spark, sf):
     return Q.rate_table(t, {"union": F.col("u")}, by=["layer"])
 
 
-@query("a38_profile_differences", f"with {_BEST_SQL} select source, tier, rtier, count(*) as n, count(distinct track_id) as tracks from best where (tier in ('exact', 'likely')) <> (rtier in ('exact', 'likely')) group by all")
+@query("a38_profile_differences", f"with {_BEST_SQL} select source, track_id, c_cand_id, tier, rtier, ss as strict_score, rs as relaxed_score from best where (tier in ('exact', 'likely')) <> (rtier in ('exact', 'likely'))")
 def _a38(spark, sf):
     flags = _hit_flags()
-    return _best(spark, sf).where(flags["strict"] != flags["relaxed"]).groupBy("source", "tier", "rtier").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("track_id").alias("tracks"))
+    return _best(spark, sf).where(flags["strict"] != flags["relaxed"]).select("source", "track_id", "c_cand_id", "tier", "rtier", F.col("strict.score").alias("strict_score"), F.col("relaxed.score").alias("relaxed_score"))
 
 
-@query("a39_second_opinion", None)
+_HIT_PAIRS = "hits as (select track_id || ' ' || best.source as id, title_key as a, c_title_key as b from best join local using (track_id) join cand using (c_cand_id) where tier in ('exact', 'likely'))"
+
+
+@query(
+    "a39_second_opinion",
+    f"""with recursive {_BEST_SQL}, {_HIT_PAIRS}, {audit_sql('hits')}, j as (select best.source, titleSim, round(s, 3) as second from best join audited on audited.id = track_id || ' ' || best.source)
+ select source, case when second >= 0.85 then 'A' when second >= 0.7 then 'B' else 'C' end as verdict, count(*) as n, round(max(abs(second - titleSim)), 3)::double as largest_gap from j group by all""",
+)
 def _a39(spark, sf):
     b = _best(spark, sf).where(Q.is_hit(F.col("tier"))).withColumn("second", F.round(X.audit_similarity(F.col("title_key"), F.col("c_title_key")), 3))
     verdict = F.when(F.col("second") >= 0.85, "A").when(F.col("second") >= 0.7, "B").otherwise("C")
-    return b.groupBy("source", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("second") - F.col("titleSim"))).alias("largest_gap"))
+    return b.groupBy("source", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(F.col("second") - F.col("titleSim"))), 3).alias("largest_gap"))
 
 
 @query("a40_write_safety", f"with {_BEST_SQL} select case when tier not in ('exact', 'likely') then 'none' when tier = 'exact' and track_id % 5 <> 0 then 'overwrite' when track_id % 2 = 1 and track_id % 5 <> 0 then 'fill' when track_id % 2 = 1 then 'fill-review' else 'keep' end as bucket, count(*) as n from best group by 1")
@@ -228,11 +236,16 @@ def _a43(spark, sf):
     return Q.prefix_histogram(tables(spark, sf, "part").selectExpr("case when p_partkey % 9 = 0 then '' else lower(p_type) end as c"), "c", "e")
 
 
-@query("a44_match_audit", f"with {_BEST_SQL} select case when tier in ('exact', 'likely') then 'hit' when rtier in ('exact', 'likely') then 'relaxed only' when tier = 'weak' then 'near miss' else 'miss' end as list, source, count(*) as n from best group by 1, 2")
+@query(
+    "a44_match_audit",
+    f"""with {_BEST_SQL} select case when tier in ('exact', 'likely') then 'hit' when rtier in ('exact', 'likely') then 'relaxed only' when tier = 'weak' then 'near miss' else 'miss' end as list,
+ source, track_id, c_cand_id, titleSim as "titleSim", artistSim as "artistSim", durDiff as "durDiff", conflict, ss as strict_score, rs as relaxed_score from best""",
+)
 def _a44(spark, sf):
     flags = _hit_flags()
     name = F.when(flags["strict"], "hit").when(flags["relaxed"], "relaxed only").when(F.col("tier") == "weak", "near miss").otherwise("miss")
-    return _best(spark, sf).groupBy(name.alias("list"), "source").agg(F.count(F.lit(1)).alias("n"))
+    scores = (F.col("strict.score").alias("strict_score"), F.col("relaxed.score").alias("relaxed_score"))
+    return _best(spark, sf).select(name.alias("list"), "source", "track_id", "c_cand_id", "titleSim", "artistSim", "durDiff", "conflict", *scores)
 
 
 @query("a12_run_report", "select 'labels' as report, metric, n::double as value from (" + _rates({"good": "quality = 1", "toxic": "toxic = 1"}, "labels") + ")")

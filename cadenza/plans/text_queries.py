@@ -155,7 +155,22 @@ def _p20(spark, sf):
     return p.select("id", F.when(s < 0.5, 0.0).otherwise(s).alias("s"))
 
 
-@query("p21_audit_similarity", None)
+_NEIGHBOURS_SQL = "n as (select a.p_partkey as id, replace(a.p_name, ' ', '') as a, case when b.p_partkey % 3 = 0 then substr(replace(b.p_name, ' ', ''), 1, 4) else replace(b.p_name, ' ', '') end as b from part a join part b on b.p_partkey = a.p_partkey + 1)"
+
+
+def audit_sql(pairs: str) -> str:
+    """CTEs, for ``with recursive``, that end in audited (id, s): the second opinion on the texts a and b of the CTE ``pairs``.
+
+    lcs holds the last row of the table of common subsequences, one character of a further in each step; no text is empty.
+    """
+    times = "len(list_filter(string_split({0}, ''), lambda d: d = c))"
+    return f"""lcs as (select id, a, b, 0 as i, list_transform(range(length(b) + 1), lambda j: 0) as l from {pairs}
+ union all select id, a, b, i + 1, [0] || list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(l[k + 1], l[k] + (substr(a, i + 1, 1) = substr(b, k, 1))::int)))) from lcs where i < length(a)),
+ends as (select id, a, b, l[-1] as common, list_sum(list_transform(list_distinct(string_split(a, '')), lambda c: least({times.format('a')}, {times.format('b')}))) as shared, least(length(a), length(b)) as shorter, greatest(length(a), length(b)) as longer from lcs where i = length(a)),
+audited as (select id, case when a = b then 1.0 else greatest(common::double / longer, shared::double / (length(a) + length(b) - shared), case when contains(a, b) or contains(b, a) then 0.72::double + 0.28::double * (shorter::double / longer) else 0 end) end::double as s from ends)"""
+
+
+@query("p21_audit_similarity", f"with recursive {_NEIGHBOURS_SQL}, {audit_sql('n')} select id, round(s, 9) as s from audited")
 def _p21(spark, sf):
     return _neighbours(spark, sf).select("id", F.round(X.audit_similarity(F.col("a"), F.col("b")), 9).alias("s"))
 
@@ -363,10 +378,14 @@ def _s10(spark, sf):
     return labels.select(F.col("id").cast("long").alias("id"), "genre")
 
 
-@query("s11_label_batches", "with r as (select substr(md5(p_partkey::varchar), 1, 3) as part, count(*) as n from part group by 1) select sum(n)::bigint as rows, sum(ceil(n / 8.0))::bigint as batches from r")
+@query(
+    "s11_label_batches",
+    """with r as (select *, substr(md5(p_partkey::varchar), 1, 3) as part from part), n as (select *, row_number() over (partition by part order by p_partkey) - 1 as k from r)
+ select part || '-' || (k // 8) as batch, '[' || string_agg('{"id":' || p_partkey || ',"title":"' || p_name || '","artist":"' || p_brand || '","album":"' || p_type || '","year":' || p_size || '}', ',' order by p_partkey) || ']' as payload, count(*) as rows from n group by 1""",
+)
 def _s11(spark, sf):
     t = tables(spark, sf, "part").selectExpr("p_partkey as id", "p_name as title", "p_brand as artist", "p_type as album", "p_size as year")
-    return ingest.label_batches(t).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("batches"))
+    return ingest.label_batches(t)
 
 
 @query("s12_legacy_lines", "select 'l' || p_partkey as legacy_id, p_brand || ',' || p_name as file_path from part")

@@ -163,9 +163,9 @@ def read_legacy_ids(spark: SparkSession, path: str) -> DataFrame:
     return legacy_ids(spark.read.text(path))
 
 
-def sidecar_lyrics(spark: SparkSession, root: str) -> DataFrame:
-    """stem (path without extension) and text of .lrc files."""
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[lL][rR][cC]").text(root, wholetext=True)
+def sidecar_lyrics(spark: SparkSession, root: str, names: str = "*.[lL][rR][cC]") -> DataFrame:
+    """stem (path without extension) and whole text of the files of such names, .lrc ones as a rule."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).text(root, wholetext=True)
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     return found.select(F.regexp_replace(path, r"\.[^.]+$", "").alias("stem"), F.col("value").alias("lyrics"))
 

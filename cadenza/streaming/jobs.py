@@ -12,28 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cadenza.operators.link import changed_files, upsert
+from cadenza.operators.link import changed_files, deletions, remove, upsert
 
 LATE = "1 hour"
 COOLDOWN_MS = 60_000
 
 
-def refresh_catalog(listing: DataFrame, spark: SparkSession, catalog: str, checkpoint: str) -> StreamingQuery:
+def refresh_catalog(listing: DataFrame, spark: SparkSession, catalog: str, checkpoint: str, *, whole: bool = False, most: float = 0.5) -> StreamingQuery:
     """Files of a stream (filePath, mtime, size) into versions of a catalog, under ``catalog/version=N``, changed ones only.
 
-    Each batch writes a new version from the latest one; a batch that is run again writes the same version again.
+    Each batch writes a new version from the latest one; a batch that is run again writes the same version again. Versions
+    that no batch can need any more, all but the last two, are removed. If a batch is a ``whole`` enumeration, known
+    files that it lacks go, unless it is empty or lacks more than the share ``most`` of them.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         fresh = batch.groupBy("filePath").agg(F.max_by(F.struct("mtime", "size"), F.struct("mtime", "size")).alias("f")).select("filePath", "f.mtime", "f.size")
         known = spark.read.schema(fresh.schema).parquet(f"{catalog}/version={number - 1}") if number else fresh.limit(0)
-        upsert(known, changed_files(fresh, known).drop("reason"), "filePath").write.mode("overwrite").parquet(f"{catalog}/version={number}")
+        kept = remove(known, deletions(known, fresh, most=most).where("verdict = 'removed'"), "filePath") if whole and number else known
+        upsert(kept, changed_files(fresh, known).drop("reason"), "filePath").write.mode("overwrite").parquet(f"{catalog}/version={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{catalog}/version={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return listing.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def play_history(plays: DataFrame) -> DataFrame:
-    """Running latest play, its duration and number of plays of each track; update or complete mode."""
+    """Running latest play, its duration and number of plays of each track; in update mode a batch holds the tracks that it changed."""
     return plays.groupBy("track_id").agg(F.max("played_at").alias("played_at"), F.max_by("duration_sec", F.struct("played_at", "duration_sec")).alias("duration_sec"), F.count(F.lit(1)).alias("plays"))
 
 

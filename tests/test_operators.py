@@ -129,3 +129,15 @@ def test_entry_points():
 
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 150
+
+
+def test_medians_and_progress_by_ranges(spark):
+    values = {"a": [5.0, 1.0, 9.0, 9.0], "b": [2.5], "c": [7.0] * 6, None: [1.0, 1e12, 3.0, -2.0, 3.5], "d": [float(i * i % 89) for i in range(200)]}
+    rows = [(k, v) for k, vs in values.items() for v in (*vs, None)] + [("e", None)]
+    df = spark.createDataFrame(rows, "source string, elapsed double")
+    got = {r[0]: r[1] for r in Q.upper_median(df, "source", "elapsed", ranges=7).collect()}
+    assert got == {k: sorted(vs)[len(vs) // 2] for k, vs in values.items()}
+    assert {r.source: r.upper_median for r in Q.latency_summary(df, "source", 10).collect()} == got | {"e": None}
+    log = spark.createDataFrame([(s, 2) for s in (1, 5, 5, 12, 30, 31)], "second long, done long")
+    got = sorted((r.second, r.done, r.rate) for r in Q.run_progress(log, 12, range_width=10).collect())
+    assert got == [(1, 2, 2.0), (5, 6, 1.2), (12, 8, round(8 / 12, 6)), (30, 10, round(10 / 30, 6)), (31, 12, round(12 / 31, 6))]

@@ -104,3 +104,21 @@ def test_refresh(spark, tmp_path):
     jobs.refresh_catalog(stream, spark, str(tmp_path / "catalog"), str(tmp_path / "check")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "catalog" / "version=1")).collect()
     assert sorted(tuple(r) for r in got) == [("a", 2, 5), ("b", 1, 1), ("c", 1, 1)]
+
+
+def test_whole_listings_delete_under_guards(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame(list(rows), "filePath string, mtime long, size long")
+    stream = batches_of(spark, tmp_path, make(("a", 1, 1), ("b", 1, 1), ("c", 1, 1)), make(("a", 2, 5), ("b", 1, 1)), make(("d", 1, 1)))
+    jobs.refresh_catalog(stream, spark, str(tmp_path / "catalog"), str(tmp_path / "check"), whole=True).awaitTermination()
+    rows = lambda n: sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "catalog" / f"version={n}")).collect())
+    assert rows(1) == [("a", 2, 5), ("b", 1, 1)]
+    assert rows(2) == [("a", 2, 5), ("b", 1, 1), ("d", 1, 1)]  # two of two gone are too many
+    assert not (tmp_path / "catalog" / "version=0").exists()
+
+
+def test_sidecar_files(spark, tmp_path):
+    (tmp_path / "s" / "x").mkdir(parents=True)
+    (tmp_path / "s" / "x" / "one.LRC").write_text("la\nla")
+    (tmp_path / "s" / "two.txt").write_text("no")
+    got = ingest.sidecar_lyrics(spark, str(tmp_path / "s")).collect()
+    assert [(r.stem.rsplit("/", 2)[1:], r.lyrics) for r in got] == [(["x", "one"], "la\nla")]
