@@ -15,6 +15,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -55,18 +56,23 @@ def _line(value: str) -> str:
     return "".join(c if c.isprintable() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in value)
 
 
+def _name(page_id) -> str:
+    """An id as a URN; percent signs stand for all but letters, digits and ``_.-~``, so that any id can be read back."""
+    return "urn:page:" + quote(str(page_id), safe="", errors="surrogatepass")
+
+
 def make_record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     """A response record, or, if ``refers_to`` isn't None, a revisit record without the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    name = f"urn:page:{_line(str(page_id))}" if page_id is not None else f"urn:uuid:{uuid.uuid4()}"
+    name = _name(page_id) if page_id is not None else f"urn:uuid:{uuid.uuid4()}"
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {_line(url or '')}", f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{_line(str(refers_to))}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: <{_name(refers_to)}>", f"WARC-Profile: {PROFILE}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -136,9 +142,11 @@ def read_frames(path: str) -> Iterator[tuple[int, bytes | None, str | None]]:
         buffer, base, at, unpacker = bytearray(), 0, 0, zstandard.ZstdDecompressor()
 
         def more() -> bool:
-            nonlocal buffer, base, at
+            nonlocal base, at, buffer
             chunk = source.read(CHUNK)
-            buffer, base, at = bytearray(buffer[at:]) + chunk, base + at, 0
+            del buffer[:at]  # moves nothing
+            buffer += chunk
+            base, at = base + at, 0
             return bool(chunk)
 
         while len(buffer) < 8 and more():
@@ -198,8 +206,8 @@ def parse_record(record: bytes) -> dict:
         if missing := [x for x in ("warc-type", "warc-record-id", "warc-date", "content-length") if x not in fields]:
             raise ValueError("missing header " + ", ".join(missing))
         out |= {
-            "record_id": fields["warc-record-id"].strip("<>"), "record_type": fields["warc-type"], "date": fields["warc-date"], "target_uri": fields.get("warc-target-uri"),
-            "refers_to_id": fields.get("warc-refers-to", "").strip("<>") or None, "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+            "record_id": fields["warc-record-id"].removeprefix("<").removesuffix(">"), "record_type": fields["warc-type"], "date": fields["warc-date"], "target_uri": fields.get("warc-target-uri"),
+            "refers_to_id": fields.get("warc-refers-to", "").removeprefix("<").removesuffix(">") or None, "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
         }
         if not re.fullmatch("[0-9]+", fields["content-length"]) or int(fields["content-length"]) != len(rest) - 4 or rest[-4:] != b"\r\n\r\n":
             raise ValueError("block length differs from Content-Length")
@@ -304,9 +312,9 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes ``pages`` to archives in the shared folder and reads them back; rows as RECORDS says, and page_id, refers_to."""
+    """Writes ``pages`` to archives in the shared folder and reads them back; rows as RECORDS says, and page_id, refers_to. Ids come back as they were, whatever is in them."""
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     id_type = pages.schema["page_id"].dataType
-    named = lambda c: F.nullif(F.regexp_extract(F.coalesce(F.col(c), F.lit("")), "^urn:page:(.*)$", 1), F.lit("")).cast(id_type)
+    named = lambda c: F.when(F.col(c).startswith("urn:page:"), F.try_url_decode(F.substring(c, 10, 1 << 30))).cast(id_type)
     back = read_archives(write_archives(pages, folder, least_bytes))
     return back.withColumn("page_id", named("record_id")).withColumn("refers_to", named("refers_to_id"))

@@ -82,3 +82,24 @@ def test_damage_is_reported(spark, tmp_path):
         with open(tmp_path / "c.warc.zst", "wb") as out:
             out.write(whole[:cut])
         assert list(warc.read_frames(str(tmp_path / "c.warc.zst")))[-1][2]
+
+
+def test_any_id_comes_back(spark):
+    ids = ["", " ", "a b", "x>", "<x>", "50%", "%41", "a+b", "line\r\nWARC-Type: x", "tab\t", "é中", "urn:page:1"]
+    df = spark.createDataFrame([(i, "u", h) for i in ids for h in (f"own {i!r}", "shared")], "page_id string, url string, html string")
+    got = warc.archive_round_trip(df).collect()
+    assert all(r.problem is None for r in got)
+    assert sorted(r.page_id for r in got) == sorted(ids * 2)
+    assert {(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"} == {(i, max(ids)) for i in ids if i != max(ids)}
+
+
+def test_records_longer_than_a_chunk(spark, tmp_path):
+    noise = os.urandom(5 * warc.CHUNK + 17)
+    records = [warc.make_record(1, "u", b"short", None), warc.make_record(2, "u", noise, None), warc.make_record(3, "u", b"", None), warc.make_record(4, "u", noise[::-1], None)]
+    path = str(tmp_path / "long.warc.zst")
+    warc.write_file(path, iter(records))
+    found = list(warc.read_frames(path))
+    assert [r for _, r, _ in found] == records and [p for *_, p in found] == [None] * 4
+    assert warc.parse_record(found[1][1])["payload"] == noise
+    data = open(path, "rb").read()
+    assert all(data[offset : offset + 4] == struct.pack("<I", warc.FRAME_MAGIC) for offset, *_ in found)
