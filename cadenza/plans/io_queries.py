@@ -89,12 +89,12 @@ def _t2(spark, sf):
     return last.select("track_id", "r.played_at", "r.plays")
 
 
-def _in_turn(spark, sf, name: str, parts):
-    """A stream that reads one part of a table after the other, each a batch; the parts are written as files first."""
+def _in_turn(spark, name: str, parts, run):
+    """Writes one part after the other to a folder and lets the stream of its files take each up; ``run`` starts the stream where it left off."""
     folder = work_folder(spark, name)
-    for part in parts:  # one file a part, so that a batch takes a whole part
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        run(spark.readStream.schema(part.schema).parquet(folder)).awaitTermination()
 
 
 @query(
@@ -106,9 +106,8 @@ def _t3(spark, sf):
     # three polls by the year of the order; the tasks of 1996 and 1998 come twice, and aren't new the second time
     tasks = tables(spark, sf, "orders").selectExpr("o_orderpriority as source", "o_orderkey as id", "case o_orderstatus when 'F' then 'success' else 'running' end as status", "cast(o_orderdate as timestamp) as ts", "year(o_orderdate) as y")
     polls = [tasks.where(rule).drop("y") for rule in ("y < 1997", "y between 1996 and 1998", "y >= 1998")]
-    out = work_folder(spark, "signals")
-    signals = jobs.new_completions(_in_turn(spark, sf, "polls", polls)).writeStream.format("parquet").option("path", out).option("checkpointLocation", work_folder(spark, "signals-state"))
-    signals.trigger(availableNow=True).start().awaitTermination()
+    out, marks = work_folder(spark, "signals"), work_folder(spark, "signals-state")
+    _in_turn(spark, "polls", polls, lambda s: jobs.new_completions(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start())
     return spark.read.schema("source string, at long, completed long").parquet(out)
 
 
@@ -125,8 +124,7 @@ def _t1(spark, sf):
     # two enumerations: in the second a fifth of the files is gone and a third of the rest has changed
     files = tables(spark, sf, "part").selectExpr("'f' || p_partkey as filePath", "p_partkey % 97 as mtime", "cast(p_size as bigint) as size", "p_partkey as k")
     again = files.where("k % 5 <> 0").withColumn("mtime", F.expr("case when k % 3 = 0 then mtime + 1 else mtime end"))
-    catalog = work_folder(spark, "versions")
-    listings = _in_turn(spark, sf, "listings", [files.drop("k"), again.drop("k")])
-    jobs.refresh_catalog(listings, spark, catalog, work_folder(spark, "versions-state"), whole=True).awaitTermination()
+    catalog, marks = work_folder(spark, "versions"), work_folder(spark, "versions-state")
+    _in_turn(spark, "listings", [files.drop("k"), again.drop("k")], lambda s: jobs.refresh_catalog(s, spark, catalog, marks, whole=True))
     every = spark.read.parquet(catalog)
     return every.join(F.broadcast(every.agg(F.max("version").alias("version"))), "version").select("filePath", "mtime", "size")  # one row
