@@ -110,6 +110,11 @@ def test_op2_counts_proximity_matches(spark, tmp_path):
     want = brute_near(docs, items, queries.SLOP)
     assert {r.doc_id: r.n_near for r in got} == {k: want[k] for k, _ in docs} and sum(r.n_near > 0 for r in got) > 40
     assert sorted(tuple(r)[:6] for r in got) == sorted(brute_hits(docs, items))
+    duck = pytest.importorskip("duckdb").connect()
+    for name in ("documents", "benchmark"):
+        duck.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    found = duck.execute(queries.ORACLE_SQL["op2_positional_index_decontamination"])
+    assert [c[0] for c in found.description] == got[0].__fields__ and sorted(found.fetchall()) == sorted(map(tuple, got))
 
 
 # Quality rules
