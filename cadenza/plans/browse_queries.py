@@ -27,9 +27,9 @@ def _f1(spark, sf):
     return B.filter_tracks(tracks(spark, sf), q="RING", genre="SMALL", mood="red", need_review=False, source="netease").select(*LITE)
 
 
-@query("f2_artist_album_filter", _tracks(f"select {_LITE} from tracks where lower({_NAME}) = 'brand#3' and lower(album) = 'promo 4'"))
+@query("f2_artist_album_filter", _tracks(f"select {_LITE} from tracks where lower({_NAME}) = 'brand#19' and lower(album) = 'medium 6'"))
 def _f2(spark, sf):
-    return B.filter_tracks(tracks(spark, sf), artist="BRAND#3", album="promo 4").select(*LITE)
+    return B.filter_tracks(tracks(spark, sf), artist="BRAND#19", album="medium 6").select(*LITE)
 
 
 _ALBUMS = f"""albums as (select coalesce({_REAL}, 'unknown') as album, count(*) as tracks, arg_min(nullif(coverId, ''), filePath || id) filter (where coverId <> '') as "coverId",

@@ -9,7 +9,7 @@ from cadenza.plans import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["a1_facets", "a2_coverage", "a6_album_rollup", "a24_weighted_rates", "a34_segments", "f1_catalog_filter", "j1_match_join", "j5_library_match", "j8_deletions", "m2_merge_fields", "m6_validate_labels", "o6_home_blocks", "o7_search", "p17_query_forms", "p34_sanitize", "p48_clean_tracks", "q2_stratified_sample", "s9_unwrap", "w11_failure_streaks"]
+NAMES = ["a1_facets", "a2_coverage", "a6_album_rollup", "a24_weighted_rates", "a34_segments", "f1_catalog_filter", "f2_artist_album_filter", "j1_match_join", "j5_library_match", "j8_deletions", "m2_merge_fields", "m6_validate_labels", "o6_home_blocks", "o7_search", "p17_query_forms", "p34_sanitize", "p48_clean_tracks", "q2_stratified_sample", "s9_unwrap", "t1_catalog_refresh_stream", "t3_new_completions_stream", "w11_failure_streaks"]
 
 
 def plain(value):
