@@ -274,15 +274,17 @@ def fit(
 ) -> QualityModel:
     """Vectors of all documents; a network of at most ``sample_rows`` labelled documents that aren't held out.
 
-    The labelled rows are those of the smallest id hashes. Rows whose label or id is null are left out. Only fixed-size
-    numbers come to the driver: the vocabulary and its vectors, and the sample's features.
+    The labelled rows are those of the smallest id hashes. Rows whose label or id is null are left out, and so are ids that
+    rows with different texts share, since their label doesn't say which text it is of. Only fixed-size numbers come to the driver: the vocabulary and its vectors, and the sample's features.
     """
     vectors = fit_vectors(docs, text, vocabulary)
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~is_held_out(F.col("id")))
     chosen = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     found = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows ids
-    # one text for each id, however often rows repeat it
-    sample = materialize(found.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y")), "labelled")
+    # one text for each id, however often rows repeat it; a label doesn't say which of several texts it is of
+    whole = F.coalesce("text", F.lit(""))
+    each = found.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"), (F.min(whole) == F.max(whole)).alias("one"))
+    sample = materialize(each.where("one").drop("one"), "labelled")
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
