@@ -72,3 +72,33 @@ bytes as (select doc_id, size, list_transform(range(length(h) // 2), lambda i: (
 sums as (select doc_id, size, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(tab[xor(c & 255, x) + 1], c >> 8)), 4294967295::bigint) as text_crc32 from bytes, crc),
 placed as (select doc_id, size::bigint as size, text_crc32, 'key' as law, o.b::int as shard, w.b::int as grown_shard from sums join (select doc_id, b from one where j >= {shards}) o using (doc_id) join (select doc_id, b from two where j >= {shards + 1}) w using (doc_id))
 select *, row_number() over (partition by shard order by substr(md5(doc_id::varchar || ':' || text_crc32), 1, 8), doc_id) - 1 as slot from placed"""
+
+
+def hard_negatives_sql() -> str:
+    return """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+ where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_inner_product(a.e, b.e)::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+n as (select p.*, s.other as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.other) as r
+ from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, r::int as rank, negative_id, positive_score, negative_score from n where r <= 10"""
+
+
+def divergence_sql(least_docs: int, term_ranks: int) -> str:
+    """Every pair of sources over every kept term, without a tree."""
+    words = f"regexp_extract_all({lower_sql('text')}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    share = "(1 + (1000000000::hugeint * ({0} + 1)) // ({1} + v))"
+    apart = "(({0} - {1}) * ({0} - {1})) // {1}"
+    return f"""with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, {words} as w, row_number() over () as row from documents),
+t as (select lang, source, row, unnest(w) as term from d),
+kept as (select lang, term, count(*) as total from t group by 1, 2 having count(distinct row) >= {least_docs}),
+vs as (select lang, count(*)::hugeint as v, sum(total)::hugeint as lang_n from kept group by 1),
+c as (select lang, source, term, count(*) as c from t semi join kept using (lang, term) group by 1, 2, 3),
+ns as (select lang, source, sum(c)::hugeint as n from c group by 1, 2),
+g as (select lang, source, coalesce(v, 0) as v, coalesce(n, 0) as n, coalesce(lang_n, 0) as lang_n from (select distinct lang, source from d) left join vs using (lang) left join ns using (lang, source)),
+cells as (select g.lang, g.source, term, coalesce(c, 0)::hugeint as c, total, v, lang_n, {share.format('coalesce(c, 0)', 'n')} as p from g join kept using (lang) left join c using (lang, source, term)),
+sums as (select a.lang, a.source, b.source as item, sum({apart.format('a.p', 'b.p')})::bigint as value from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join sums on sums.lang = a.lang and sums.source = a.source and sums.item = b.source),
+shares as (select lang, source, term, p, {share.format('total', 'lang_n')} as q from cells where c > 0),
+terms as (select lang, source, 'term' as part, term as item, ({apart.format('p', 'q')})::bigint as value from shares where p > q)
+select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (from pairs union all from terms) qualify part = 'pair' or rank <= {term_ranks}"""

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import language_id, quality_classifier, secret_scan
+from cadenza.llm import language_id, packing, quality_classifier, secret_scan
 from cadenza.llm.common import is_held_out, read_table
 from cadenza.llm.decontamination import contamination
+from cadenza.llm.divergence import audit
+from cadenza.llm.hard_negatives import hard_negatives
 from cadenza.llm.jaccard_join import near_duplicates
 from cadenza.llm.mixing import mix
-from cadenza.llm.oracles import archive_sql, contamination_sql, near_duplicates_sql, sharding_sql
+from cadenza.llm.oracles import archive_sql, contamination_sql, divergence_sql, hard_negatives_sql, near_duplicates_sql, sharding_sql
 from cadenza.llm.quality_rules import apply_rules
 from cadenza.llm.sharding import assign_shards
 from cadenza.llm.span_dedup import remove_repeated_spans
@@ -26,6 +28,8 @@ LLR_THRESHOLD = -0.3
 QUALITY_THRESHOLD = 0.3
 #: Of the corpus's tokens, how many the mixture may have; how often a document may be repeated; integer weights.
 MIX_FRACTION, MIX_EPOCHS, MIX_SEED = 0.75, 2, 17
+#: Documents of a language that a term of the audit must stand in, and how many terms are listed for a source.
+AUDIT_DOCS, AUDIT_RANKS = 3, 200
 MIX_LEVELS = ("domain", "lang", "source")
 MIX_WEIGHTS = {"domain": {"books": 3, "forums": 2, "web": 5}, "lang": {"en": 45, "de": 20, "fr": 20, "es": 15}}
 
@@ -97,6 +101,20 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(docs, SHARDS, keep=["doc_id"])
 
 
+def op11_one_bit_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+def op12_pattern_tree_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read_table(spark, sf_dir, "documents"), AUDIT_DOCS, AUDIT_RANKS)
+
+
+def op13_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, **packing.vocabulary_files())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": op1_warc_zstd,
     "op2_positional_index_decontamination": op2_positional_index_decontamination,
@@ -108,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_inferred_secret_formats": op8_inferred_secret_formats,
     "op9_ngram_llr_rules": op9_ngram_llr_rules,
     "op10_jump_sharding": op10_jump_sharding,
+    "op11_one_bit_hard_negatives": op11_one_bit_hard_negatives,
+    "op12_pattern_tree_divergence": op12_pattern_tree_divergence,
+    "op13_linear_grouping_packing": op13_linear_grouping_packing,
 }
 
 def _share_sql(name: str, level: str, parents: tuple[str, ...], weight: str) -> str:
@@ -147,11 +168,13 @@ times as (select *, least({MIX_EPOCHS}, whole + (s <= rest)::int) n from summed)
 select doc_id, domain, lang, source, n_tokens, unnest(range(0, n))::int as epoch from times where n > 0"""
 
 
-#: Queries that learn, and op3's spans of varying length, are tested by brute force instead.
+#: Queries that learn, op3's spans of varying length and op13's ids are tested by brute force instead.
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_zstd": archive_sql(),
     "op2_positional_index_decontamination": contamination_sql(WINDOW_WORDS, SLOP),
     "op4_parity_sketch_jaccard": near_duplicates_sql(),
     "op10_jump_sharding": sharding_sql(SHARDS),
     "op7_hierarchical_mixing": _mixing_sql(),
+    "op11_one_bit_hard_negatives": hard_negatives_sql(),
+    "op12_pattern_tree_divergence": divergence_sql(AUDIT_DOCS, AUDIT_RANKS),
 }
