@@ -29,6 +29,8 @@ from cadenza.llm.common import materialize, named
 PLANES = 8
 #: Rows and anchors of a block at most (about); rows of one where there are few, so that all cores have work.
 BLOCK_ROWS, BLOCK_ANCHORS, FEW_ROWS = 65_536, 16_384, 4_096
+#: Rows of the highest estimates, for each one asked for, that are scored first to find what the others must reach.
+SEEDS = 4
 #: What rounding of doubles may do to an interval, as a share of the norms' product.
 SLACK = 1e-9
 
@@ -114,8 +116,15 @@ def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _kth_largest(values: np.ndarray, k: int) -> float:
-    return float(np.partition(values, -k)[-k]) if len(values) >= k else -np.inf
+def _sure(block: Block, rows: np.ndarray, middle: np.ndarray, anchor: np.ndarray, k: int, a: float = -np.inf, b: float = np.inf) -> float:
+    """A score that ``k`` of ``rows`` have or exceed within a and b, for certain: the k-th of those that are scored because
+    their estimates ``middle`` are the highest there. Rows whose intervals end below it can't be among the first k."""
+    near = np.flatnonzero((middle >= a) & (middle <= b))
+    if len(near) > SEEDS * k:
+        near = near[np.argpartition(middle[near], -SEEDS * k)[-SEEDS * k :]]
+    score = block.score(rows[near], anchor)
+    score = score[(score >= a) & (score <= b)]
+    return float(np.partition(score, -k)[-k]) if len(score) >= k else -np.inf
 
 
 def _positives(turned, dims: int, k: int):
@@ -131,7 +140,7 @@ def _positives(turned, dims: int, k: int):
                 same = by_label.get(asked.label[i], np.zeros(0, np.int64))
                 same = same[block.vec_id[same] != asked.vec_id[i]]
                 low, high = block.intervals(anchor, turn)
-                same = same[high[same] >= _kth_largest(low[same], k)]
+                same = same[high[same] >= _sure(block, same, (low[same] + high[same]) / 2, anchor, k)]
                 score = block.score(same, anchor)
                 out += [(uid, int(block.vec_id[same[j]]), int(score[j])) for j in _first(score, block.vec_id[same], k)]
         return pa.table({c: pa.array([o[i] for o in out], pa.int64()) for i, c in enumerate(("uid", "positive_id", "positive_score"))})
@@ -151,11 +160,11 @@ def _negatives(turned, dims: int, k: int, least: int, most: int):
                 anchor, other = asked.ints[i].astype(np.int64), others[asked.label[i]]
                 low, high = block.intervals(anchor, turn)
                 low, high = low[other], high[other]
+                middle = (low + high) / 2
                 bounds = [(-(-least * p["positive_score"] // 100), most * p["positive_score"] // 100) for p in found]
                 open_ = np.zeros(len(other), bool)
                 for a, b in set(bounds):
-                    sure = _kth_largest(low[(low >= a) & (high <= b)], k)  # so many rows lie in the window for certain
-                    open_ |= (high >= max(a, sure)) & (low <= b)
+                    open_ |= (high >= max(a, _sure(block, other, middle, anchor, k, a, b))) & (low <= b)
                 near = other[open_]
                 score = block.score(near, anchor)
                 for p, (a, b) in zip(found, bounds, strict=True):
