@@ -1,8 +1,7 @@
-"""Record linkage: blocking, pair scores, best candidates, library matching, change detection and joins of records.
+"""Record linkage: the match join, pair scores, best candidates, library matching, change detection and joins of records.
 
-Pairs come from equi-joins on keys as long as what they stand for: whole titles, titles less one character, whole prefixes and
-suffixes, or the rarest 3-gram of the inner text. So pairs grow with the rows and their true matches, not with the square
-of a block; nothing is capped.
+The match join finds all hits: pairs come from similarity joins of titles and of artists within ranges of durations
+(see similar.py), so they grow with the rows that could match, not with the square of the tables; nothing is capped.
 """
 
 from __future__ import annotations
@@ -10,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import artist_similarity, blank, file_core, file_title, loose_name, title_similarity
+from cadenza.functions.text import artist_parts, artist_similarity, blank, file_core, file_title, loose_name, squeeze, title_similarity
+from cadenza.operators.similar import char_mask, contained_pairs, edits_allowed, may_be_near, near_pairs, spread, within
+from cadenza.sources.shared import written
 
 # Ranks of the match tiers, and the score thresholds of the two profiles.
 TIERS = ("miss", "weak", "likely", "exact")
@@ -84,37 +85,82 @@ def _keyed_pairs(local: DataFrame, candidates: DataFrame, keys: str, track: str,
     return left.join(right, "_k").select(track, "c_" + cand).distinct()
 
 
-#: Characters of the shorter of two titles, at least, of which one may begin or end with the other.
-LEAST_HELD = 4
+# The match join
 
+#: Two artists of this similarity or more make a pair by themselves; with less, the titles must be similar.
+ALIKE_ARTISTS = 0.6
+#: Least title similarity of a hit: with artists less alike, and without a usable artist. Both follow from the scores:
+#: 0.6 t + 0.4 a and 0.8 t + 0.12 must reach the bar of a likely match.
+LEAST_TITLE = min((STRICT[1] - 0.4 * ALIKE_ARTISTS) / 0.6, (STRICT[1] - 0.12) / 0.8)
+#: The edit distance alone tells nearly equal titles of long sets: a title that holds another is as near as 0.95 with this ratio.
+LONG_FORM_TITLE = 0.8
+_ANY, _MISSING = -1, -2
 
-def title_keys(title: Column, whole: str = "<", parts: str = ">") -> Column:
-    """Keys of a squeezed title, such that two titles share one if they are one edit apart or one begins or ends with the other.
 
-    A title without each of its characters finds titles one edit away. Every prefix and suffix meets whole titles: the two
-    sides of a join name ``whole`` and ``parts`` the other way round.
+def _duration_blocks(seconds: Column, candidate: bool) -> Column:
+    """Values of which a track and a candidate share exactly one if their durations are at most HARD_SECONDS apart or one is missing."""
+    known, at = F.coalesce(seconds, F.lit(0)) > 0, F.floor(seconds / (HARD_SECONDS + 1)).cast("int")
+    if candidate:
+        return F.when(known, F.array(at, at - 1, at + 1, F.lit(_ANY))).otherwise(F.array(F.lit(_MISSING)))
+    return F.when(known, F.array(at, F.lit(_MISSING))).otherwise(F.array(F.lit(_ANY), F.lit(_MISSING)))
+
+
+def alike_artists(left: DataFrame, right: DataFrame, least: float = ALIKE_ARTISTS) -> DataFrame:
+    """(artist, c_artist, alike): the pairs of distinct names, of columns of these names, whose artist_similarity is ``least`` or more."""
+    parts = lambda df, c: df.select(c).distinct().select(c, F.explode(artist_parts(F.col(c))).alias("part")).select(c, squeeze(F.col("part"), False, False).alias("part")).where("part <> ''").distinct()
+    one, two = parts(left, "artist"), parts(right, "c_artist")
+    texts = lambda df, k, t: df.select(F.col("part").alias(k), F.col("part").alias(t)).distinct()
+    a, b = texts(one, "l", "x"), texts(two, "r", "y")
+    near = near_pairs(a, b, least).unionByName(contained_pairs(a, b)).distinct()
+    pairs = near.join(one.withColumnRenamed("part", "l"), "l").join(two.withColumnRenamed("part", "r"), "r").select("artist", "c_artist").distinct()
+    return pairs.withColumn("alike", artist_similarity(F.col("artist"), F.col("c_artist"))).where(F.col("alike") >= least)
+
+
+def _by_artist(local: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(l, r) of alike artists, compatible durations and titles similar enough for a hit with that artist."""
+    names = alike_artists(local.where("usable"), candidates)
+    one = local.where("usable").join(names, "artist").select("l", "x", "x_n", "x_mask", "c_artist", ((STRICT[1] - 0.4 * F.col("alike")) / 0.6).alias("need"), F.explode("b").alias("b"))
+    two = candidates.select("r", "y", "y_n", "y_mask", "c_artist", F.explode("b").alias("b"))
+    most = edits_allowed(F.greatest("x_n", "y_n"), F.col("need"))
+    held = (F.least("x_n", "y_n") >= 2) & (F.contains("x", "y") | F.contains("y", "x"))
+    met = spread(one, "c_artist", "b").join(spread(two, "c_artist", "b"), ["c_artist", "b"])
+    return met.where((may_be_near("x_", "y_", most) & within(F.col("x"), F.col("y"), most)) | held).select("l", "r")
+
+
+def hit_pairs(local: DataFrame, candidates: DataFrame, title: str = "title_key", artist: str = "artist", usable: str = "artist_usable", seconds: str = "seconds", track: str = "track_id", cand: str = "cand_id") -> DataFrame:
+    """(track, c_cand), each once: a superset of the pairs whose strict or relaxed tier is likely or exact, found without all pairs.
+
+    A hit's durations don't conflict, or one is missing, or it is a long set of nearly equal titles. Beyond that, its
+    artists are alike (ALIKE_ARTISTS), or its titles are (LEAST_TITLE). Each of these is a join of its own: of alike
+    artists within ranges of durations; of titles by prefix filter and by containment within ranges of durations; of
+    the titles of long sets.
     """
-    n, none = F.char_length(title), F.array().cast("array<string>")
-    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    without = F.transform(at, lambda i: F.concat(F.lit("-"), F.substring(title, F.lit(1), i - 1), F.substring(title, i + 1, n)))
-    ends = F.sequence(F.lit(LEAST_HELD), F.greatest(n, F.lit(LEAST_HELD)))
-    prefixes = F.transform(ends, lambda i: F.concat(F.lit("^" + parts), F.substring(title, F.lit(1), i)))
-    suffixes = F.transform(ends, lambda i: F.concat(F.lit("$" + parts), F.substring(title, n - i + 1, i)))
-    held = F.concat(prefixes, suffixes, F.array(F.concat(F.lit("^" + whole), title), F.concat(F.lit("$" + whole), title)))
-    return F.when(n == 0, none).otherwise(F.concat(F.array(F.concat(F.lit("-"), title)), without, F.when(n >= LEAST_HELD, held).otherwise(none)))
 
+    def side(df: DataFrame, key: str, text: str, artist: str, seconds: str, out: str, x: str, *more: Column) -> DataFrame:
+        names = F.coalesce(F.col(artist), F.lit("")).alias("artist" if more else "c_artist")
+        known = df.select(F.col(key).alias(out), F.col(text).alias(x), names, F.col(seconds).alias("s"), *more).where(F.col(x) != "")
+        shaped = known.withColumns({x + "_n": F.char_length(x), x + "_mask": char_mask(F.col(x)), "b": _duration_blocks(F.col("s"), not more)})
+        return written(shaped, "match-side")
 
-def near_titles(a: Column, b: Column) -> Column:
-    """Whether two squeezed titles are at most one edit apart, or one, of LEAST_HELD characters or more, begins or ends the other."""
-    short = F.least(F.char_length(a), F.char_length(b)) >= LEAST_HELD
-    return (F.levenshtein(a, b, 1) >= 0) | (short & (F.startswith(a, b) | F.startswith(b, a) | F.endswith(a, b) | F.endswith(b, a)))
+    one = side(local, track, title, artist, seconds, "l", "x", F.coalesce(F.col(usable), F.lit(False)).alias("usable"))
+    two = side(candidates, "c_" + cand, "c_" + title, "c_" + artist, "c_" + seconds, "r", "y")
+    titles = lambda a, b, *more: (a.select("l", "x", *more), b.select("r", "y", *more))
+    found = near_pairs(*titles(one, two, "b"), LEAST_TITLE).unionByName(contained_pairs(*titles(one, two, "b"))).unionByName(_by_artist(one, two))
+    long_set = F.coalesce(F.col("s"), F.lit(0)) >= LONG_FORM_SECONDS
+    for a, b in ((one.where(long_set), two), (one.where(~long_set), two.where(long_set))):
+        found = found.unionByName(near_pairs(*titles(a, b), LONG_FORM_TITLE))
+    return found.distinct().select(F.col("l").alias(track), F.col("r").alias("c_" + cand))
 
 
-def match_and_score(local: DataFrame, candidates: DataFrame, title: str = "title_key", track: str = "track_id", cand: str = "cand_id") -> DataFrame:
-    """Every pair of near titles (see near_titles), scored; none is missed, and no key is shorter than a whole title but one character."""
-    left, right = local.withColumn("_keys", title_keys(F.col(title))), candidates.withColumn("_keys", title_keys(F.col("c_" + title), ">", "<"))
-    pairs = _keyed_pairs(left.where(F.col(title) != ""), right.where(F.col("c_" + title) != ""), "_keys", track, cand).join(local, track).join(candidates, "c_" + cand)
-    return pair_score(pairs.where(near_titles(F.col(title), F.col("c_" + title))))
+def match_and_score(local: DataFrame, candidates: DataFrame, title: str = "title_key", artist: str = "artist", usable: str = "artist_usable", seconds: str = "seconds", track: str = "track_id", cand: str = "cand_id") -> DataFrame:
+    """Every hit, scored: the pairs whose strict or relaxed tier is likely or exact. None is missed; weaker pairs aren't given.
+
+    Empty titles match nothing. Repeated ids would repeat pairs; both sides need ids of their own.
+    """
+    local, candidates = written(local, "match-local"), written(candidates, "match-candidates")
+    pairs = hit_pairs(local, candidates, title, artist, usable, seconds, track, cand)
+    scored = pair_score(pairs.join(local, track).join(candidates, "c_" + cand), title, artist, usable, seconds)
+    return scored.where(F.col("strict.tier").isin("likely", "exact") | F.col("relaxed.tier").isin("likely", "exact"))
 
 
 # Library matching in three stages
@@ -175,30 +221,6 @@ def _file_names(want: DataFrame, have: DataFrame) -> DataFrame:
     return one.unionByName(two.select(*one.columns)).where(in_file).select("item", F.lit(3).alias("stage"), "id", "seq")
 
 
-def grams(c: Column, n: int = 3) -> Column:
-    """Distinct n-grams; a shorter text is its own gram."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.array_distinct(runs)
-
-
-def contained_pairs(left: DataFrame, right: DataFrame, n: int = 3) -> DataFrame:
-    """(l, r) where the texts x and y, both non-empty, hold one another. The rarest gram of the inner text must be among the outer one's."""
-
-    def inside(inner: DataFrame, a: str, s: str, outer: DataFrame, b: str, t: str) -> DataFrame:
-        spread = outer.select(b, F.explode(grams(F.col(t), n)).alias("g"))
-        seen = spread.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-        own = inner.where(F.char_length(s) >= n).select(a, F.explode(grams(F.col(s), n)).alias("g")).join(seen, "g", "left")
-        rare = own.groupBy(a).agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g")).alias("m")).where("m.c > 0").select(a, F.col("m.g").alias("g"))
-        long_pairs = rare.join(spread, "g")
-        # a text shorter than n characters is itself one of the outer text's grams of its length
-        short = outer.select(b, F.explode(F.array_distinct(F.concat(*(grams(F.col(t), k) for k in range(1, n))))).alias("g"))
-        tiny = inner.where((F.char_length(s) < n) & (F.col(s) != "")).select(a, F.col(s).alias("g")).join(short, "g")
-        return long_pairs.unionByName(tiny).select(a, b).distinct()
-
-    pairs = inside(left, "l", "x", right, "r", "y").unionByName(inside(right, "r", "y", left, "l", "x").select("l", "r")).distinct()
-    return pairs.join(left, "l").join(right, "r").where(F.contains("x", "y") | F.contains("y", "x")).where("x <> '' and y <> ''").select("l", "r")
-
-
 def downloaded_report(items: DataFrame, library: DataFrame) -> DataFrame:
     """items with the matched track's id and stage, and whether there is one."""
     return items.join(library_match(items, library), "item", "left").withColumn("inLibrary", F.col("id").isNotNull())

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.text import loose_name, squeeze
 from cadenza.operators import link as L
+from cadenza.operators.similar import contained_pairs
 from cadenza.plans.registry import query
-from cadenza.plans.views import ATTEMPTS_SQL, attempts, tables
+from cadenza.plans.views import ATTEMPTS_SQL, attempts, stored, tables
 
 
 def _local(spark, sf):
@@ -28,7 +29,8 @@ def _candidates(spark, sf):
 
 
 def _scored(spark, sf):
-    return L.match_and_score(_local(spark, sf), _candidates(spark, sf))
+    """The hits of all tracks and candidates. They are matched once; all queries on them read the stored table."""
+    return stored(spark, sf, "scored", lambda: L.match_and_score(_local(spark, sf), _candidates(spark, sf)))
 
 
 _SIM = """case when title_key = c_title_key then 1.0 when length(title_key) >= 2 and length(c_title_key) >= 2 and (contains(title_key, c_title_key) or contains(c_title_key, title_key))
@@ -39,13 +41,12 @@ _ASIM = """case when not artist_usable or c_artist = '' then 0.0 when a = ca the
 SCORED_SQL = f"""local as (select p_partkey as track_id, p_brand as artist, p_partkey % 9 <> 0 as artist_usable, (p_size * 10)::int as seconds, regexp_replace(lower(p_name || ' ' || p_partkey), '[^a-z0-9]+', '', 'g') as title_key, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') as a from part),
 cand as (select p_partkey as c_cand_id, p_partkey as seq, case when p_partkey % 3 = 0 then 'netease' else 'musicbrainz' end as source, case when p_partkey % 10 = 0 then '' else p_brand end as c_artist, regexp_replace(lower(case when p_partkey % 10 = 0 then '' else p_brand end), '[^a-z0-9]+', '', 'g') as ca,
  (p_size * 10 + p_partkey % 40)::int as c_seconds, regexp_replace(lower({_CANDIDATE_TITLE}), '[^a-z0-9]+', '', 'g') as c_title_key from part),
-p0 as (select *, {_SIM} as t, {_ASIM} as ar, abs(seconds - c_seconds) as gap from local join cand on abs(length(title_key) - length(c_title_key)) <= 1 and levenshtein(title_key, c_title_key) <= 1
- or least(length(title_key), length(c_title_key)) >= 4 and (starts_with(title_key, c_title_key) or starts_with(c_title_key, title_key) or ends_with(title_key, c_title_key) or ends_with(c_title_key, title_key))),
+p0 as (select *, {_SIM} as t, {_ASIM} as ar, abs(seconds - c_seconds) as gap from local join cand on true),
 p1 as (select *, case when gap > 30 then 0.5 when gap > 15 then 0.85 else 1.0 end as f, gap > 30 as hard, gap > 30 and greatest(seconds, c_seconds) >= 600 and t >= 0.95 as forgiven from p0),
 p2 as (select *, hard and not forgiven as conflict, case when forgiven then 1.0 else f end as used, case when artist_usable then 0.6::double * t + 0.4::double * ar else 0.8::double * t + case when c_artist <> '' then 0.12 else 0 end end as base from p1),
 p3 as (select *, case when conflict then least(base * used, 0.5) else base * used end as s, case when conflict then least(t * used, 0.5) else t * used end as r from p2),
 scored as (select track_id, c_cand_id, seq, source, conflict, round(t, 3) as titleSim, round(ar, 3) as artistSim, gap as durDiff, f::double as durFactor, round(s, 3) as ss, round(r, 3) as rs,
- case when s >= 0.85 and not conflict then 3 when s >= 0.65 and not conflict then 2 when s >= 0.45 then 1 else 0 end as st, case when r >= 0.92 and not conflict then 3 when r >= 0.8 and not conflict then 2 when r >= 0.6 then 1 else 0 end as rt from p3)"""
+ case when s >= 0.85 and not conflict then 3 when s >= 0.65 and not conflict then 2 when s >= 0.45 then 1 else 0 end as st, case when r >= 0.92 and not conflict then 3 when r >= 0.8 and not conflict then 2 when r >= 0.6 then 1 else 0 end as rt from p3 where not conflict and (s >= 0.65 or r >= 0.8))"""
 _NAMES = "['miss', 'weak', 'likely', 'exact']"
 _BEST = "order by st desc, ss desc, rt desc, rs desc, seq"
 
@@ -111,7 +112,7 @@ def _j5(spark, sf):
 def _j3(spark, sf):
     one = tables(spark, sf, "customer").selectExpr("c_mktsegment || (c_custkey % 20) as l").distinct().selectExpr("l", "lower(l) as x")
     two = tables(spark, sf, "part").selectExpr("p_type || (p_size % 12) as r").distinct().selectExpr("r", "lower(substr(r, 1, 1 + length(r) % 4)) as y")
-    return L.contained_pairs(one, two)
+    return contained_pairs(one, two)
 
 
 @query("j6_downloaded_report", f"with {_LIBRARY_SQL} select m is not null as \"inLibrary\", count(*) as n from want left join matched using (item) group by 1")

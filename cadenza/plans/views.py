@@ -5,9 +5,13 @@ Each view is stated once for Spark and once for DuckDB; most expressions are the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.sources.shared import path_exists, work_folder
+
 ERA_SQL = "case when year <= 0 then '未知' when year < 1990 then '80s及更早' when year < 2000 then '90s' when year < 2010 then '2000s' when year < 2020 then '2010s' else '2020s' end"
 
 _TRACK = {
@@ -39,6 +43,21 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where this process has stored tables that several queries share: (application, name, folder of the tables) -> path.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` that ``build`` derives from the tables of ``sf_dir``: written to the shared folder once, read by all later queries."""
+    known = (spark.sparkContext.applicationId, name, sf_dir)
+    path = _STORED.get(known)
+    if path is None or not path_exists(spark, f"{path}/_SUCCESS"):
+        path = work_folder(spark, name)
+        build().write.parquet(path)
+        _STORED[known] = path
+    return spark.read.parquet(path)
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = tables(spark, sf_dir, "part").selectExpr(*(f"{v} as {k}" for k, v in _TRACK.items()), "p_name", "p_type")
     return base.selectExpr(

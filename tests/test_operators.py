@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import browse as B
+from cadenza.operators.similar import contained_pairs
 from cadenza.operators import link as L
 from cadenza.operators import merge as M
 from cadenza.operators import quality as Q
@@ -91,7 +92,7 @@ def test_containment_join_is_complete(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
     left, right = [(i, word()) for i in range(60)] + [(99, "")], [(i, word()) for i in range(60)] + [(98, "")]
-    got = {(r.l, r.r) for r in L.contained_pairs(spark.createDataFrame(left, "l int, x string"), spark.createDataFrame(right, "r int, y string")).collect()}
+    got = {(r.l, r.r) for r in contained_pairs(spark.createDataFrame(left, "l int, x string"), spark.createDataFrame(right, "r int, y string")).collect()}
     assert got == {(i, j) for i, x in left for j, y in right if x and y and (x in y or y in x)}
 
 
