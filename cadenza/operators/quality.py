@@ -152,6 +152,12 @@ def latency_summary(attempts: DataFrame, by: str, rows: int, lanes: Sequence[int
     return out.withColumns({f"minutes_{k}": F.round(F.col("mean") * rows / 60000 / k, 6) for k in lanes})
 
 
+def strategy_comparison(best_by_query: DataFrame, track: str) -> DataFrame:
+    """Of each query strategy: how many queries found anything, for how many tracks, and how many of their best candidates are hits."""
+    hits, n = F.count_if(is_hit(F.col("strict.tier"))), F.count(F.lit(1))
+    return best_by_query.groupBy("strategy").agg(n.alias("issued"), F.count_distinct(track).alias("tracks"), hits.alias("hits"), percent(hits, n).alias("percent"))
+
+
 def truncation(scored: DataFrame, by: str, most: int) -> DataFrame:
     """How large the candidate pools are, and how many a cap would cut."""
     sizes = scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import loose_name, squeeze
+from cadenza.functions.text import loose_name, squeeze, title_queries
 from cadenza.operators import link as L
+from cadenza.operators.retrieve import build_index, retrieve
 from cadenza.operators.similar import contained_pairs
 from cadenza.plans.registry import query
 from cadenza.plans.views import ATTEMPTS_SQL, attempts, stored, tables
+from cadenza.sources.shared import written
 
 
 def _local(spark, sf):
@@ -48,6 +50,41 @@ p3 as (select *, case when conflict then least(base * used, 0.5) else base * use
 scored as (select track_id, c_cand_id, seq, source, conflict, round(t, 3) as titleSim, round(ar, 3) as artistSim, gap as durDiff, f::double as durFactor, round(s, 3) as ss, round(r, 3) as rs,
  case when s >= 0.85 and not conflict then 3 when s >= 0.65 and not conflict then 2 when s >= 0.45 then 1 else 0 end as st, case when r >= 0.92 and not conflict then 3 when r >= 0.8 and not conflict then 2 when r >= 0.6 then 1 else 0 end as rt from p3 where not conflict and (s >= 0.65 or r >= 0.8))"""
 _NAMES = "['miss', 'weak', 'likely', 'exact']"
+
+#: What a track asks the sources for, in order: three queries of title_queries at most, and the candidates of each.
+QUERIES_EACH, FOUND_EACH = 3, 8
+
+
+def _queries(spark, sf):
+    """track_id, query_no, strategy, q. One title in four names its artist too, so there are queries of each strategy."""
+    asked = _local(spark, sf).withColumn("asked", F.when(F.col("track_id") % 4 == 1, F.concat("title", F.lit(" - "), "artist")).otherwise(F.col("title")))
+    forms = F.slice(title_queries(F.col("asked"), F.when(F.col("artist_usable"), F.col("artist"))), 1, QUERIES_EACH)
+    return asked.select("track_id", F.posexplode(forms).alias("query_no", "form")).select("track_id", "query_no", "form.strategy", "form.q")
+
+
+def _pooled(spark, sf):
+    """The candidates that the queries of each track find, scored: track_id, query_no, strategy and the columns of a pair."""
+
+    def build():
+        local, cands, asked = _local(spark, sf), _candidates(spark, sf), written(_queries(spark, sf), "asked")
+        found = retrieve(asked, build_index(cands, "c_cand_id", F.concat_ws(" ", "c_title", "c_artist")), FOUND_EACH)
+        found = found.join(asked, ["track_id", "query_no"]).select("track_id", "query_no", "strategy", F.col("id").alias("c_cand_id"), "relevance", "rank")
+        return L.pair_score(found.join(local, "track_id").join(cands, "c_cand_id"))
+
+    return stored(spark, sf, "pooled", build)
+
+
+_POOL_PAIRS = SCORED_SQL.replace("from local join cand on true", "from (select distinct track_id, c_cand_id from pool) join local using (track_id) join cand using (c_cand_id)").replace("from p3 where not conflict and (s >= 0.65 or r >= 0.8)", "from p3")
+POOLED_SQL = f"""said as (select p_partkey as track_id, p_name || ' ' || p_partkey as title, p_brand as artist, p_partkey % 9 <> 0 as usable, p_partkey % 4 = 1 as named from part),
+forms as (select track_id, case when named and usable then [title, title || ' ' || artist, title || ' - ' || artist] when named then [title, artist, title || ' - ' || artist] when usable then [title, title || ' ' || artist] else [title] end as f,
+ case when named and not usable then ['S1', 'S3', 'S3'] else ['S1', 'S2', 'S3'] end as s from said),
+queries as (select track_id, unnest(range(len(f)))::int as query_no, unnest(s[:len(f)]) as strategy, unnest(f) as q from forms),
+holds as (select p_partkey as id, list_distinct(regexp_extract_all(lower({_CANDIDATE_TITLE} || ' ' || case when p_partkey % 10 = 0 then '' else p_brand end), '[a-z0-9]+')) as ts from part),
+posts as (select id, unnest(ts) as term from holds), weights as (select term, count(*) as df, round(1000 * ln(1 + (select count(*) from holds) / count(*)))::bigint as weight from posts group by 1),
+words as (select track_id, query_no, term, df, weight from (select track_id, query_no, unnest(list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+'))) as term from queries) join weights using (term)
+ qualify row_number() over (partition by track_id, query_no order by df, term) <= 4),
+ranked as (select track_id, query_no, id as c_cand_id, sum(weight)::bigint as relevance from words join posts using (term) group by 1, 2, 3 qualify row_number() over (partition by track_id, query_no order by sum(weight) desc, id) <= {FOUND_EACH}),
+pool as (select * from ranked join queries using (track_id, query_no)), {_POOL_PAIRS}, pooled as (select pool.query_no, pool.strategy, pool.relevance, scored.* from pool join scored using (track_id, c_cand_id))"""
 _BEST = "order by st desc, ss desc, rt desc, rs desc, seq"
 
 
@@ -76,9 +113,14 @@ def _w4(spark, sf):
     return L.top_candidates(_scored(spark, sf), 20, "track_id").select("track_id", "c_cand_id", "rank")
 
 
-@query("w6_early_stop", f"with {SCORED_SQL}, q as (select *, seq % 3 as query_no from scored), b as (select * from q qualify row_number() over (partition by track_id, query_no {_BEST}) = 1) select track_id, query_no, c_cand_id from b qualify row_number() over (partition by track_id order by st >= 2 desc, query_no) = 1")
+@query("p17_retrieved", f"with {POOLED_SQL} select track_id, query_no, strategy, c_cand_id, relevance, row_number() over (partition by track_id, query_no order by relevance desc, c_cand_id)::int as rank from pooled")
+def _p17r(spark, sf):
+    return _pooled(spark, sf).select("track_id", "query_no", "strategy", "c_cand_id", "relevance", "rank")
+
+
+@query("w6_early_stop", f"with {POOLED_SQL}, b as (select * from pooled qualify row_number() over (partition by track_id, query_no {_BEST}) = 1) select track_id, query_no, c_cand_id from b qualify row_number() over (partition by track_id order by st >= 2 desc, query_no) = 1")
 def _w6(spark, sf):
-    per_query = L.best_candidate(_scored(spark, sf).withColumn("query_no", F.col("seq") % 3), "track_id", "query_no")
+    per_query = L.best_candidate(_pooled(spark, sf), "track_id", "query_no")
     return L.early_stop(per_query, "track_id").select("track_id", "query_no", "c_cand_id")
 
 

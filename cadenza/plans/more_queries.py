@@ -9,7 +9,7 @@ from cadenza.functions import values as V
 from cadenza.operators import clean as C
 from cadenza.operators import link as L
 from cadenza.operators import quality as Q
-from cadenza.plans.link_queries import _BEST, _NAMES, SCORED_SQL, _scored
+from cadenza.plans.link_queries import _BEST, _NAMES, POOLED_SQL, SCORED_SQL, _pooled, _scored
 from cadenza.plans.registry import query
 from cadenza.plans.views import tables
 from cadenza.sources import ingest
@@ -42,10 +42,10 @@ def _a42(spark, sf):
     return C.stage_counters(C.clean_tracks(_files(spark, sf), "2024-01-01"))
 
 
-@query("w5_best_by_strategy", f"with {SCORED_SQL}, q as (select *, 'S' || (seq % 3 + 1) as strategy from scored) select track_id, source, strategy, c_cand_id from q qualify row_number() over (partition by track_id, source, strategy {_BEST}) = 1")
+@query("w5_best_by_strategy", f"with {POOLED_SQL} select track_id, source, strategy, c_cand_id from pooled qualify row_number() over (partition by track_id, source, strategy {_BEST}, query_no) = 1")
 def _w5(spark, sf):
-    q = _scored(spark, sf).withColumn("strategy", F.concat(F.lit("S"), F.col("seq") % 3 + 1))
-    return L.best_candidate(q, "track_id", "source", "strategy").select("track_id", "source", "strategy", "c_cand_id")
+    best = L.best_candidate(_pooled(spark, sf), "track_id", "source", "strategy")
+    return best.select("track_id", "source", "strategy", "c_cand_id")
 
 
 @query("u5_rescored_changes", f"with {SCORED_SQL}, b as (select * from scored qualify row_number() over (partition by track_id {_BEST}) = 1), s as (select track_id, {_NAMES}[st + 1] as now, case when track_id % 4 = 0 then 'weak' else {_NAMES}[st + 1] end as stored from b) select * from s where now <> stored")

@@ -8,7 +8,7 @@ from cadenza.functions import text as X
 from cadenza.functions import values as V
 from cadenza.operators import link as L
 from cadenza.operators import quality as Q
-from cadenza.plans.link_queries import SCORED_SQL, _scored
+from cadenza.plans.link_queries import POOLED_SQL, SCORED_SQL, _pooled, _scored
 from cadenza.plans.registry import query
 from cadenza.plans.text_queries import audit_sql
 from cadenza.plans.views import ATTEMPTS_SQL, TASKS_SQL, TRACKS_SQL, attempts, tables, tasks, tracks
@@ -96,11 +96,13 @@ def _a22(spark, sf):
     return Q.rate_table(_best(spark, sf).where(Q.is_hit(F.col("tier"))), {"artist": F.col("c_artist") != "", "duration": F.coalesce(F.col("durDiff") <= 15, F.lit(False))})
 
 
-@query("a23_strategy_comparison", f"with {SCORED_SQL}, q as (select *, 'S' || (seq % 3 + 1) as strategy from scored) select strategy, count(*) as issued, count(distinct track_id) as tracks, count(*) filter (where st >= 2) as hits, round(100.0 * count(*) filter (where st >= 2) / count(*), 1)::double as percent from q group by 1")
+@query(
+    "a23_strategy_comparison",
+    f"""with {POOLED_SQL}, q as (select track_id, query_no, strategy, max(st) as st from pooled group by all)
+ select strategy, count(*) as issued, count(distinct track_id) as tracks, count(*) filter (where st >= 2) as hits, round(100.0 * count(*) filter (where st >= 2) / count(*), 1)::double as percent from q group by 1""",
+)
 def _a23(spark, sf):
-    q = _scored(spark, sf).withColumn("strategy", F.concat(F.lit("S"), F.col("seq") % 3 + 1))
-    hits = F.count_if(Q.is_hit(F.col("strict.tier")))
-    return q.groupBy("strategy").agg(F.count(F.lit(1)).alias("issued"), F.count_distinct("track_id").alias("tracks"), hits.alias("hits"), Q.percent(hits, F.count(F.lit(1))).alias("percent"))
+    return Q.strategy_comparison(L.best_candidate(_pooled(spark, sf), "track_id", "query_no", "strategy"), "track_id")
 
 
 _WEIGHTED = """sizes as (select case when p_partkey % 3 = 0 then 'A' when p_partkey % 3 = 1 then 'B' else 'C' end as layer, count(*) * case when p_partkey % 3 = 0 then 3 else 1 end as size from part group by p_partkey % 3)"""
@@ -188,9 +190,9 @@ def _a35(spark, sf):
     return Q.latency_summary(attempts(spark, sf), "source", 2903)
 
 
-@query("a36_pool_sizes", f"with {SCORED_SQL}, s as (select track_id, count(*) as n from scored group by 1) select round(avg(n), 3) as mean, max(n) as largest, count(*) filter (where n > 20) as cut, count(*) as pools from s")
+@query("a36_pool_sizes", f"with {POOLED_SQL}, s as (select track_id, count(distinct c_cand_id) as n from pooled group by 1) select round(avg(n), 3) as mean, max(n) as largest, count(*) filter (where n > 12) as cut, count(*) as pools from s")
 def _a36(spark, sf):
-    return Q.truncation(_scored(spark, sf), "track_id", 20)
+    return Q.truncation(_pooled(spark, sf).select("track_id", "c_cand_id").distinct(), "track_id", 12)
 
 
 @query("a37_profile_union", f"with {_BEST_SQL}, t as (select track_id, layer, bool_or(tier in ('exact', 'likely') or rtier in ('exact', 'likely')) as u from best group by all) " + _rates({"union": "u"}, "t", "layer"))

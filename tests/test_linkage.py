@@ -1,11 +1,13 @@
 """Title matching and repair before comparing, against plain loops over all pairs."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as X
 from cadenza.operators import link as L
+from cadenza.operators import retrieve as R
 from cadenza.operators import similar as S
 
 
@@ -113,3 +115,25 @@ def test_common_subsequence(spark):
 
     got = spark.createDataFrame(rows, "a string, b string").select("a", "b", X.lcs_length(F.col("a"), F.col("b")).alias("n")).collect()
     assert all(r.n == plain(r.a, r.b) for r in got)
+
+
+def test_retrieval_ranks_as_if_all_candidates_were_scored(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(12)] + ["the"] * 6 + ["Song"] * 4
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    cands, asked = [(i, text(9)) for i in range(150)], [(i, j, text(7) + " unseen") for i in range(25) for j in range(2)]
+    tokens = lambda t: set(t.lower().split())
+    df = {}
+    for _, t in cands:
+        for w in tokens(t):
+            df[w] = df.get(w, 0) + 1
+    weight = {w: round(1000 * math.log(1 + len(cands) / n)) for w, n in df.items()}
+    want = set()
+    for i, j, q in asked:
+        rare = sorted((w for w in tokens(q) if w in df), key=lambda w: (df[w], w))[: R.QUERY_TERMS]
+        scores = sorted((-sum(weight[w] for w in rare if w in tokens(t)), c) for c, t in cands if any(w in tokens(t) for w in rare))
+        want |= {(i, j, c, -s, n) for n, (s, c) in enumerate(scores[:5], 1)}
+    index = R.build_index(spark.createDataFrame(cands, "c long, t string"), "c", F.col("t"))
+    got = R.retrieve(spark.createDataFrame(asked, "track_id long, query_no int, q string"), index, 5)
+    assert {(r.track_id, r.query_no, r.id, r.relevance, r.rank) for r in got.collect()} == want
+    assert R.retrieve(spark.createDataFrame([(1, 0, None), (2, 0, "unseen")], "track_id long, query_no int, q string"), index).count() == 0
