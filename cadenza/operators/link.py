@@ -339,3 +339,33 @@ def failure_streaks(attempts: DataFrame, order: str = "idx", threshold: int = 3,
     numbered = rows.withColumn("_sum", F.sum("_ok").over(inside)).join(offsets, ["source", "_range"]).where("_ok = 0")
     runs = numbered.groupBy("source", (F.col("_offset") + F.col("_sum")).alias("_run")).agg(F.min(order).alias("start"), F.count(F.lit(1)).alias("length"))
     return runs.select("source", "start", "length", (F.col("length") >= threshold).alias("rotate"))
+
+
+# Stored results
+
+
+def stored_results(asked: DataFrame, results: DataFrame, keys: list[str], ts: str, ttl: int, payload: list[str]) -> DataFrame:
+    """``asked`` with the newest earlier result of the same ``keys``: ``stored_at``, its ``payload`` columns and ``ask``, whether to ask again.
+
+    Times are integers, such as seconds; a result, empty ones too, serves for ``ttl`` of them. Both sides fall into
+    spans of that length, so what serves lies in the same span or the one before: inside a span a window carries the newest
+    result along, and each span's last one is handed to the next. No task holds all times of a key. Results of the
+    same time as the question don't count as earlier.
+    """
+    span = F.floor(F.col(ts) / ttl)
+    held = F.struct(F.col(ts).alias("at"), *payload)
+    left = asked.select(*asked.columns, span.alias("_span"), F.lit(None).cast(results.select(held.alias("h")).schema["h"].dataType).alias("_held"), F.lit(0).alias("_kind"))
+    right = results.select(*keys, F.col(ts), span.alias("_span"), held.alias("_held"), F.lit(1).alias("_kind"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_span").orderBy(ts).rangeBetween(Window.unboundedPreceding, -1)
+    rows = both.withColumn("_own", F.max("_held").over(inside)).where("_kind = 0")
+    last = right.groupBy(*keys, (F.col("_span") + 1).alias("_span")).agg(F.max("_held").alias("_before"))
+    found = rows.join(last, [*keys, "_span"], "left").withColumn("_held", F.coalesce("_own", "_before"))
+    fresh = F.coalesce(F.col(ts) - F.col("_held.at") <= ttl, F.lit(False))
+    kept = [F.when(fresh, F.col(f"_held.{c}")).alias(f"stored_{c}") for c in payload]
+    return found.select(*asked.columns, F.when(fresh, F.col("_held.at")).alias("stored_at"), *kept, (~fresh).alias("ask"))
+
+
+def first_page_rows(rows: DataFrame, key: str, page: str, order: str) -> DataFrame:
+    """Whole rows of the first page that has an id, the first of that page."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(page, order))).where("_n = 1").drop("_n")

@@ -5,12 +5,14 @@ Reports are long tables (metric, n, of, percent), made by conditional counts in
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import has_cjk, has_separator, is_garbled, is_promo, repair_mojibake
+from cadenza.functions.text import has_cjk, has_separator, infer_from_path, is_garbled, is_promo, is_unknown, repair_mojibake
+from cadenza.functions.values import is_real_cover
 
 
 def percent(n: Column, of: Column, digits: int = 1) -> Column:
@@ -45,10 +47,12 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def depth_report(paths: DataFrame, path: str = "path") -> DataFrame:
-    """depth, files, top_dirs, share of all files, by the number of folders of a path."""
+    """depth, files, top_dirs, inferred and share of all files, by the number of folders of a path; inferred counts the files whose folders name an artist or album."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    rows = paths.select((F.size(parts) - 1).alias("depth"), F.get(parts, 0).alias("top"))
-    out = rows.groupBy("depth").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("top").alias("top_dirs"))
+    rows = paths.select(path, (F.size(parts) - 1).alias("depth"), F.get(parts, 0).alias("top"))
+    guess = infer_from_path(F.col(path), F.col("depth"))
+    inferred = F.count_if(guess["artist"].isNotNull() | guess["album"].isNotNull())
+    out = rows.groupBy("depth").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("top").alias("top_dirs"), inferred.alias("inferred"))
     return out.withColumn("percent", percent(F.col("files"), F.sum("files").over(Window.partitionBy())))
 
 
@@ -111,10 +115,51 @@ def swapped_suspects(df: DataFrame, title: str, artist: str) -> DataFrame:
     return df.where((F.char_length(title) <= 4) & (F.char_length(artist) >= 5))
 
 
-def source_health(attempts: DataFrame) -> DataFrame:
-    """source, outcome, n with totals by source and over all."""
+def source_health(attempts: DataFrame, dimensions: Sequence[str] = ("code", "status", "transport", "endpoint")) -> DataFrame:
+    """source, dimension, value, n, percent of the source: outcomes, and the values of each column of ``dimensions``; nulls as 'null'."""
     outcome = F.when(~F.col("ok"), "not ok").when(F.col("n_found").isNull(), "no count").when(F.col("n_found") == 0, "empty").otherwise("found")
-    return attempts.withColumn("outcome", outcome).rollup("source", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    named = [F.struct(F.lit(d).alias("dimension"), F.coalesce(c.cast("string"), F.lit("null")).alias("value")) for d, c in (("outcome", outcome), *((d, F.col(d)) for d in dimensions))]
+    counts = attempts.select("source", F.explode(F.array(*named)).alias("d")).groupBy("source", "d.dimension", "d.value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("percent", percent(F.col("n"), F.sum("n").over(Window.partitionBy("source", "dimension"))))
+
+
+def dirt_flags(title: Column, artist: Column, album: Column, path: Column, cover: Column, seconds: Column) -> dict[str, Column]:
+    """What is wrong with a track's own tags, before any repair."""
+    garbled = {f"garbled_{k}": is_garbled(c) for k, c in (("title", title), ("artist", artist), ("album", album), ("path", path))}
+    promo = {f"promo_{k}": is_promo(c, False) for k, c in (("title", title), ("artist", artist), ("album", album))}
+    any_of = lambda d: functools.reduce(lambda x, y: x | y, d.values())
+    return {
+        "garbled_any": any_of(garbled), **garbled, "promo_any": any_of(promo), **promo, "title_has_separator": has_separator(title, False), "artist_unknown": is_unknown(artist), "album_unknown": is_unknown(album),
+        "cover_placeholder": ~is_real_cover(cover), "no_duration": F.coalesce(seconds, F.lit(0)) <= 0,
+    }
+
+
+def usable(c: Column) -> Column:
+    """Whether a tag can be shown as it is."""
+    return ~is_garbled(c) & ~is_promo(c, False) & ~is_unknown(c)
+
+
+def rescued_by_repair(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """metric, before, after, rescued: tags that are usable as they stand, and after their encodings are repaired."""
+    return rescued(df, {c: (usable(F.col(c)), usable(repair_mojibake(F.col(c)))) for c in columns})
+
+
+def run_report(tracks: DataFrame, covered: Mapping[str, Column], log: DataFrame, population: int | None = None) -> DataFrame:
+    """metric, value of a run: how many tracks each field covers (percent), quality levels, time for a row, and an estimate for all.
+
+    log: started_at, finished_at (milliseconds) and done, one row for each part of the run; ``population`` rows are
+    estimated for, by default as many as there are tracks.
+    """
+    n = F.count(F.lit(1))
+    shares = {f"coverage_{k}": percent(F.count_if(c), n).cast("double") for k, c in covered.items()}
+    levels = {f"quality_{q}": F.count_if(F.col("qualityLevel") == q).cast("double") for q in ("high", "medium", "low")}
+    one = tracks.agg(n.alias("rows"), *(c.alias(k) for k, c in {**shares, **levels}.items()))
+    ran = log.agg((F.max("finished_at") - F.min("started_at")).alias("elapsed_ms"), F.sum("done").alias("done"))
+    # two rows of counts
+    both = one.crossJoin(F.broadcast(ran)).withColumn("per_row", F.col("elapsed_ms") / F.nullif(F.col("done"), F.lit(0)))
+    every = F.lit(population) if population is not None else F.col("rows")
+    numbers = {"population": every, "processed": F.col("done"), **{k: F.col(k) for k in (*shares, *levels)}, "elapsed_ms": F.col("elapsed_ms"), "ms_per_row": F.round("per_row", 3), "estimate_ms": F.round(F.col("per_row") * every)}
+    return both.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.coalesce(c.cast("double"), F.lit(0.0)).alias("value")) for k, c in numbers.items()))).alias("m")).select("m.*")
 
 
 def segments(attempts: DataFrame, width: int = 20, order: str = "idx") -> DataFrame:
@@ -145,8 +190,9 @@ def upper_median(df: DataFrame, by: str, value: str, ranges: int = 4096) -> Data
 
 
 def latency_summary(attempts: DataFrame, by: str, rows: int, lanes: Sequence[int] = (1, 2, 4, 8)) -> DataFrame:
-    """Mean, upper median (the middle value, or the upper of two) and minutes that ``rows`` would take on so many lanes."""
-    means = attempts.groupBy(by).agg(F.round(F.avg("elapsed"), 6).alias("mean"))
+    """Mean, requests for each distinct query ``q``, upper median (the middle value, or the upper of two) and minutes that ``rows`` would take on so many lanes."""
+    asked = F.round(F.count(F.lit(1)) / F.greatest(F.lit(1), F.count_distinct("q")), 3)
+    means = attempts.groupBy(by).agg(F.round(F.avg("elapsed"), 6).alias("mean"), asked.alias("requests_each"))
     medians = upper_median(attempts, by, "elapsed").withColumnRenamed(by, "_by")
     out = means.join(medians, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
     return out.withColumns({f"minutes_{k}": F.round(F.col("mean") * rows / 60000 / k, 6) for k in lanes})

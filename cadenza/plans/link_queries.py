@@ -257,26 +257,37 @@ def _u1(spark, sf):
     return L.upsert(new, old, "id")
 
 
-@query("u4_fresh_over_cache", "with c as (select o_custkey as k, max(o_orderkey) as v from orders where o_orderkey % 2 = 0 group by 1), f as (select o_custkey as k, max(o_orderkey) as v from orders where o_orderkey % 5 = 1 group by 1) select * from f union all select * from c where k not in (select k from f)")
+@query("u4_fresh_over_cache", "with c as (select o_custkey as k, max(o_orderkey) as v from orders where o_orderkey % 5 <> 1 group by 1), f as (select o_custkey as k, max(o_orderkey) as v from orders where o_orderkey % 5 = 1 group by 1) select * from f union all select * from c where k not in (select k from f)")
 def _u4(spark, sf):
-    cache, fresh = (tables(spark, sf, "orders").where(c).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("v")) for c in ("o_orderkey % 2 = 0", "o_orderkey % 5 = 1"))
+    cache, fresh = (tables(spark, sf, "orders").where(c).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("v")) for c in ("o_orderkey % 5 <> 1", "o_orderkey % 5 = 1"))
     return L.upsert(cache, fresh, "k")
 
 
-@query("u6_new_task_ids", "select o_orderkey as id from orders where o_orderkey % 3 = 0 and o_orderkey not in (select o_orderkey from orders where o_custkey % 2 = 0)")
+@query("u6_new_task_ids", "select o_orderkey as id from orders where o_orderkey not in (select o_orderkey from orders where o_custkey % 2 = 0)")
 def _u6(spark, sf):
     o = tables(spark, sf, "orders")
-    return L.remove(o.where("o_orderkey % 3 = 0").selectExpr("o_orderkey as id"), o.where("o_custkey % 2 = 0").selectExpr("o_orderkey as id"), "id")
+    return L.remove(o.selectExpr("o_orderkey as id"), o.where("o_custkey % 2 = 0").selectExpr("o_orderkey as id"), "id")
 
 
-@query("u7_query_dedup", f"with {ATTEMPTS_SQL} select q, source, min(idx) as first_idx, count(*) as asked from attempts group by all")
+#: Seconds for which a stored result of a query serves.
+STORED_SECONDS = 6 * 3600
+
+
+@query(
+    "u7_query_dedup",
+    f"""with {ATTEMPTS_SQL}, a as (select idx, q, source, epoch_us(ts) // 1000000 as asked_at, n_found from attempts), r as (select q, source, asked_at, max(n_found) as n_found from a group by all)
+ select a.idx, a.q, a.source, a.asked_at, case when a.asked_at - r.asked_at <= {STORED_SECONDS} then r.asked_at end as stored_at, case when a.asked_at - r.asked_at <= {STORED_SECONDS} then r.n_found end as stored_n_found, coalesce(a.asked_at - r.asked_at > {STORED_SECONDS}, true) as ask
+ from a asof left join r on a.q = r.q and a.source = r.source and a.asked_at > r.asked_at""",
+)
 def _u7(spark, sf):
-    return attempts(spark, sf).groupBy("q", "source").agg(F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("asked"))
+    asked = attempts(spark, sf).select("idx", "q", "source", F.unix_seconds(F.col("ts").cast("timestamp")).alias("asked_at"), "n_found")
+    return L.stored_results(asked.drop("n_found"), asked.select("q", "source", "asked_at", "n_found"), ["q", "source"], "asked_at", STORED_SECONDS, ["n_found"])
 
 
-@query("u8_first_page_wins", "select o_custkey as id, min(o_orderkey % 50) as page from orders group by 1")
+@query("u8_first_page_wins", "select o_custkey as id, o_orderkey % 50 as page, o_orderkey as place, o_orderstatus as status from orders qualify row_number() over (partition by o_custkey order by o_orderkey % 50, o_orderkey) = 1")
 def _u8(spark, sf):
-    return tables(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min(F.col("o_orderkey") % 50).alias("page"))
+    rows = tables(spark, sf, "orders").selectExpr("o_custkey as id", "o_orderkey % 50 as page", "o_orderkey as place", "o_orderstatus as status")
+    return L.first_page_rows(rows, "id", "page", "place")
 
 
 @query("u2_corrections", f"with {SCORED_SQL}, b as (select track_id, max(st) as st from scored where seq % 4 <> 0 group by 1), a as (select track_id, max(st) as st from scored group by 1) select track_id, {_NAMES}[coalesce(b.st, 0) + 1] as tier_before, {_NAMES}[a.st + 1] as tier_after from a left join b using (track_id) where a.st > coalesce(b.st, 0)")

@@ -8,10 +8,12 @@ from cadenza.functions import text as X
 from cadenza.functions import values as V
 from cadenza.operators import link as L
 from cadenza.operators import quality as Q
+from cadenza.operators import sketches as K
 from cadenza.plans.link_queries import POOLED_SQL, SCORED_SQL, _pooled, _scored
 from cadenza.plans.registry import query
 from cadenza.plans.text_queries import audit_sql
 from cadenza.plans.views import ATTEMPTS_SQL, TASKS_SQL, TRACKS_SQL, attempts, tables, tasks, tracks
+from cadenza.sources.shared import written
 
 _NAMES = "['miss', 'weak', 'likely', 'exact']"
 _BEST_SQL = f"{SCORED_SQL}, best as (select *, {_NAMES}[st + 1] as tier, {_NAMES}[rt + 1] as rtier, case when track_id % 3 = 0 then 'A' when track_id % 3 = 1 then 'B' else 'C' end as layer from scored qualify row_number() over (partition by track_id, source order by st desc, ss desc, rt desc, rs desc, seq) = 1)"
@@ -29,7 +31,11 @@ def _rates(flags: dict[str, str], source: str, by: str = "") -> str:
     return "select *, round(100.0 * n / greatest(1, \"of\"), 1)::double as percent from (" + " union all ".join(parts) + ")"
 
 
-@query("a11_depth_report", "with p as (select array_length(list_filter(string_split(url, '/'), lambda x: x <> '')) - 1 as depth, list_filter(string_split(url, '/'), lambda x: x <> '')[1] as top from pages), g as (select depth, count(*) as files, count(distinct top) as top_dirs from p group by 1) select *, round(100.0 * files / sum(files) over (), 1)::double as percent from g")
+@query(
+    "a11_depth_report",
+    """with p as (select list_filter(string_split(url, '/'), lambda x: x <> '') as parts from pages), g as (select len(parts) - 1 as depth, count(*) as files, count(distinct parts[1]) as top_dirs, count(*) filter (where len(parts) >= 3 and length(parts[2]) <= 60) as inferred from p group by 1)
+ select *, round(100.0 * files / sum(files) over (), 1)::double as percent from g""",
+)
 def _a11(spark, sf):
     return Q.depth_report(tables(spark, sf, "pages").selectExpr("url as path"))
 
@@ -45,16 +51,42 @@ def _a16(spark, sf):
     return Q.rate_table(d, {"title": F.char_length("text") > 0, "lang": F.col("lang").isNotNull(), "long": F.col("n_chars") > 500})
 
 
-@query("a16_before_and_after", f"with {TRACKS_SQL} select unnest([{{'metric': 'artist', 'before': count(cleanArtist), 'after': count(*), 'rescued': count(*) filter (where cleanArtist is null)}}, {{'metric': 'album', 'before': count(*) filter (where album <> ''), 'after': count(*) filter (where album <> '' or partkey % 2 = 0), 'rescued': count(*) filter (where album = '' and partkey % 2 = 0)}}], recursive := true) from tracks")
+#: Tags of files, a part of them in a broken encoding, promotional, stand-ins or missing.
+_BROKEN = "江智民".encode("gb18030").decode("latin-1")
+_TAGS = {
+    "title": f"case p_partkey % 5 when 0 then '{_BROKEN}' when 1 then '加群 ' || p_partkey when 2 then p_name || ' - ' || p_brand else p_name end",
+    "artist": f"case p_partkey % 7 when 0 then '{_BROKEN}' when 1 then '未知' when 2 then '加群' else p_brand end",
+    "album": f"case p_partkey % 4 when 0 then '{_BROKEN}' when 1 then '' else p_type end",
+    "path": f"case p_partkey % 9 when 0 then '{_BROKEN}' else p_brand end || '/' || p_name",
+    "cover": "case when p_partkey % 3 = 0 then 'tr-' else 'al-' end || p_partkey",
+    "seconds": "case when p_size < 6 then 0 else p_size end",
+}
+
+
+def _tags(spark, sf):
+    return tables(spark, sf, "part").selectExpr("p_partkey as id", *(f"{v} as {k}" for k, v in _TAGS.items()))
+
+
+@query(
+    "a16_before_and_after",
+    """select unnest([{'metric': 'title', 'before': count(*) filter (where p_partkey % 5 not in (0, 1)), 'after': count(*) filter (where p_partkey % 5 <> 1), 'rescued': count(*) filter (where p_partkey % 5 = 0)},
+ {'metric': 'artist', 'before': count(*) filter (where p_partkey % 7 > 2), 'after': count(*) filter (where p_partkey % 7 not in (1, 2)), 'rescued': count(*) filter (where p_partkey % 7 = 0)},
+ {'metric': 'album', 'before': count(*) filter (where p_partkey % 4 > 1), 'after': count(*) filter (where p_partkey % 4 <> 1), 'rescued': count(*) filter (where p_partkey % 4 = 0)}], recursive := true) from part""",
+)
 def _a16b(spark, sf):
-    t = tracks(spark, sf)
-    return Q.rescued(t, {"artist": (F.col("cleanArtist").isNotNull(), F.lit(True)), "album": (F.col("album") != "", (F.col("album") != "") | (F.col("partkey") % 2 == 0))})
+    return Q.rescued_by_repair(_tags(spark, sf), ("title", "artist", "album"))
+
 
+_DIRT = {
+    "garbled_any": "p_partkey % 5 = 0 or p_partkey % 7 = 0 or p_partkey % 4 = 0 or p_partkey % 9 = 0", "garbled_title": "p_partkey % 5 = 0", "garbled_artist": "p_partkey % 7 = 0", "garbled_album": "p_partkey % 4 = 0", "garbled_path": "p_partkey % 9 = 0",
+    "promo_any": "p_partkey % 5 = 1 or p_partkey % 7 = 2", "promo_title": "p_partkey % 5 = 1", "promo_artist": "p_partkey % 7 = 2", "promo_album": "false", "title_has_separator": "p_partkey % 5 = 2",
+    "artist_unknown": "p_partkey % 7 = 1", "album_unknown": "p_partkey % 4 = 1", "cover_placeholder": "p_partkey % 3 = 0", "no_duration": "p_size < 6",
+}
 
-@query("a17_dirtiness", "select metric, n, \"of\", percent from (with d as (select * from documents) " + _rates({"digits": "regexp_matches(text, '[0-9]')", "symbols": "regexp_matches(text, '[*$%&|]')", "promo": "contains(text, 'http') or contains(text, 'www.') or contains(text, 'vx') or contains(text, 'VX')", "brackets": "regexp_matches(text, '[()\\[\\]]')"}, "d") + ")")
+
+@query("a17_dirtiness", _rates(_DIRT, "part"))
 def _a17(spark, sf):
-    t = F.col("text")
-    return Q.rate_table(tables(spark, sf, "documents"), {"digits": t.rlike("[0-9]"), "symbols": t.rlike("[*$%&|]"), "promo": X.is_promo(t), "brackets": t.rlike(r"[()\[\]]")})
+    return Q.rate_table(_tags(spark, sf), Q.dirt_flags(*map(F.col, ("title", "artist", "album", "path", "cover", "seconds"))))
 
 
 @query("a18_agreement", f"with {TRACKS_SQL} select 'artist' as metric, count(*) filter (where cleanArtist is not null and cleanArtist = artist and partkey % 4 <> 0) as n, count(cleanArtist) as \"of\", round(100.0 * count(*) filter (where cleanArtist is not null and cleanArtist = artist and partkey % 4 <> 0) / count(cleanArtist), 1)::double as percent from tracks")
@@ -175,9 +207,17 @@ def _a32(spark, sf):
     return Q.swapped_suspects(t, "t", "p_brand").where(F.char_length("p_brand") >= 8).select("p_partkey")
 
 
-@query("a33_source_health", f"with {ATTEMPTS_SQL}, o as (select source, case when not ok then 'not ok' when n_found = 0 then 'empty' else 'found' end as outcome from attempts) select source, outcome, count(*) as n from o group by rollup (source, outcome)")
+_REPLIES = {"status": "case when code >= 90 then 503 when code >= 80 then 429 else 200 end", "transport": "case when idx % 3 = 0 then 'proxy' else 'direct' end", "endpoint": "case when code % 2 = 0 then 'search' else 'lyrics' end"}
+
+
+@query(
+    "a33_source_health",
+    f"""with {ATTEMPTS_SQL}, r as (select *, {", ".join(f"{v} as {k}" for k, v in _REPLIES.items())}, case when not ok then 'not ok' when n_found = 0 then 'empty' else 'found' end as outcome from attempts),
+ d as ({" union all ".join(f"select source, '{k}' as dimension, {k}::varchar as value, count(*) as n from r group by all" for k in ("outcome", "code", *_REPLIES))})
+ select *, round(100.0 * n / sum(n) over (partition by source, dimension), 1)::double as percent from d""",
+)
 def _a33(spark, sf):
-    return Q.source_health(attempts(spark, sf))
+    return Q.source_health(attempts(spark, sf).selectExpr("*", *(f"{v} as {k}" for k, v in _REPLIES.items())))
 
 
 @query("a34_segments", f"with {ATTEMPTS_SQL} select (idx // 20)::bigint as segment, round(avg(elapsed), 6) as mean, max(elapsed) as max, round(100.0 * count(*) filter (where n_found = 0) / count(*), 1)::double as zero_percent, round(100.0 * count(*) filter (where ok) / count(*), 1)::double as ok_percent from attempts group by 1")
@@ -185,7 +225,7 @@ def _a34(spark, sf):
     return Q.segments(attempts(spark, sf))
 
 
-@query("a35_latency_summary", f"with {ATTEMPTS_SQL}, r as (select *, row_number() over (partition by source order by elapsed, idx) as r, count(*) over (partition by source) as c from attempts), g as (select source, round(avg(elapsed), 6) as mean, max(elapsed) filter (where r = c // 2 + 1) as upper_median from r group by 1) select *, round(mean * 2903 / 60000 / 1, 6) as minutes_1, round(mean * 2903 / 60000 / 2, 6) as minutes_2, round(mean * 2903 / 60000 / 4, 6) as minutes_4, round(mean * 2903 / 60000 / 8, 6) as minutes_8 from g")
+@query("a35_latency_summary", f"with {ATTEMPTS_SQL}, r as (select *, row_number() over (partition by source order by elapsed, idx) as r, count(*) over (partition by source) as c from attempts), g as (select source, round(avg(elapsed), 6) as mean, round(count(*) / count(distinct q), 3)::double as requests_each, max(elapsed) filter (where r = c // 2 + 1) as upper_median from r group by 1) select *, round(mean * 2903 / 60000 / 1, 6) as minutes_1, round(mean * 2903 / 60000 / 2, 6) as minutes_2, round(mean * 2903 / 60000 / 4, 6) as minutes_4, round(mean * 2903 / 60000 / 8, 6) as minutes_8 from g")
 def _a35(spark, sf):
     return Q.latency_summary(attempts(spark, sf), "source", 2903)
 
@@ -222,9 +262,20 @@ def _a39(spark, sf):
     return b.groupBy("source", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(F.col("second") - F.col("titleSim"))), 3).alias("largest_gap"))
 
 
-@query("a40_write_safety", f"with {_BEST_SQL} select case when tier not in ('exact', 'likely') then 'none' when tier = 'exact' and track_id % 5 <> 0 then 'overwrite' when track_id % 2 = 1 and track_id % 5 <> 0 then 'fill' when track_id % 2 = 1 then 'fill-review' else 'keep' end as bucket, count(*) as n from best group by 1")
+_SEGMENTS = "case when p_partkey % 3 = 0 then split_part(p_name, ' ', 1) else p_name || ' ' || p_partkey end"
+
+
+@query(
+    "a40_write_safety",
+    f"""with {_BEST_SQL}, seg as (select p_partkey as track_id, split_part(p_name, ' ', 1) as segment, {_SEGMENTS} as name from part), often as (select name from seg group by 1 having count(*) >= 4),
+ amb as (select track_id, segment in (select name from often) as ambiguous from seg)
+ select case when tier not in ('exact', 'likely') then 'none' when tier = 'exact' and not ambiguous then 'overwrite' when track_id % 2 = 1 and not ambiguous then 'fill' when track_id % 2 = 1 then 'fill-review' else 'keep' end as bucket, count(*) as n from best join amb using (track_id) group by 1""",
+)
 def _a40(spark, sf):
-    return Q.write_safety(_best(spark, sf), Q.is_hit(F.col("tier")), F.col("tier") == "exact", F.col("track_id") % 5 == 0, F.col("track_id") % 2 == 0)
+    names = tables(spark, sf, "part").selectExpr("p_partkey as track_id", "split_part(p_name, ' ', 1) as segment", f"{_SEGMENTS} as name")
+    ambiguous = Q.ambiguous_titles(names, "segment", "name").select("track_id", F.lit(True).alias("ambiguous"))
+    best = _best(spark, sf).join(ambiguous, "track_id", "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
+    return Q.write_safety(best, Q.is_hit(F.col("tier")), F.col("tier") == "exact", F.col("ambiguous"), F.col("track_id") % 2 == 0)
 
 
 @query("a41_label_quality", "with j as (select quality, toxic, n_chars from labels join documents using (doc_id)) " + _rates({"parsed": "quality is not null", "good": "quality = 1", "toxic": "toxic = 1", "short": "n_chars < 200"}, "j"))
@@ -250,9 +301,35 @@ def _a44(spark, sf):
     return _best(spark, sf).select(name.alias("list"), "source", "track_id", "c_cand_id", "titleSim", "artistSim", "durDiff", "conflict", *scores)
 
 
-@query("a12_run_report", "select 'labels' as report, metric, n::double as value from (" + _rates({"good": "quality = 1", "toxic": "toxic = 1"}, "labels") + ")")
+_COVERED = {"artist": "cleanArtist is not null", "album": "album <> ''", "genre": "genre is not null", "year": "year > 0", "lyrics": "lyrics is not null", "cover": "coverId <> ''"}
+
+
+@query(
+    "a12_run_report",
+    f"""with {TRACKS_SQL}, {ATTEMPTS_SQL}, t as (select count(*) as rows, {", ".join(f"round(100.0 * count(*) filter (where {v}) / count(*), 1) as {k}" for k, v in _COVERED.items())},
+ {", ".join(f"count(*) filter (where qualityLevel = '{q}') as q_{q}" for q in ("high", "medium", "low"))} from tracks),
+ r as (select max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000) as ms, count(*) as done from attempts)
+ select unnest([{{'metric': 'population', 'value': rows::double}}, {{'metric': 'processed', 'value': done::double}}, {", ".join(f"{{'metric': 'coverage_{k}', 'value': {k}::double}}" for k in _COVERED)},
+ {", ".join(f"{{'metric': 'quality_{q}', 'value': q_{q}::double}}" for q in ("high", "medium", "low"))},
+ {{'metric': 'elapsed_ms', 'value': ms::double}}, {{'metric': 'ms_per_row', 'value': round(ms::double / done, 3)}}, {{'metric': 'estimate_ms', 'value': round(ms::double / done * rows)}}], recursive := true) from t, r""",
+)
 def _a12(spark, sf):
-    return Q.to_metrics("labels", Q.rate_table(tables(spark, sf, "labels"), {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}), "metric", "n")
+    log = attempts(spark, sf).select(F.unix_millis(F.col("ts").cast("timestamp")).alias("started_at"), F.unix_millis(F.col("ts").cast("timestamp")).alias("finished_at"), F.lit(1).alias("done"))
+    return Q.run_report(tracks(spark, sf), {k: F.expr(v) for k, v in _COVERED.items()}, log)
+
+
+@query(
+    "a19_stored_sketches",
+    f"""with {ATTEMPTS_SQL} select source, count(*) as rows, true as distinct_near, true as median_near, true as p90_near from attempts group by 1""",
+)
+def _a19s(spark, sf):
+    """Sketches of each day, stored and merged, against the exact figures: whether they keep to their error bounds."""
+    rows = attempts(spark, sf)
+    parts = written(K.build_sketches(rows, F.to_date("ts"), ("q",), ("elapsed",), ("source",)), "sketches")
+    merged = K.merge_sketches(parts, ("source",))
+    rank = lambda c, s: F.abs(F.count_if(F.col("elapsed") <= F.col(c)) / F.count(F.lit(1)) - s) <= K.RANK_ERROR + 1 / F.count(F.lit(1))
+    both = rows.join(merged.drop("rows"), "source").groupBy("source")
+    return both.agg(F.count(F.lit(1)).alias("rows"), K.distinct_is_within(F.first("distinct_q"), F.count_distinct("q")).alias("distinct_near"), rank("elapsed_p50", 0.5).alias("median_near"), rank("elapsed_p90", 0.9).alias("p90_near"))
 
 
 @query("o10_ambiguous_titles", "with t as (select p_partkey as id, split_part(p_name, ' ', 1) as segment, split_part(p_name, ' ', 2) as name from part), f as (select name, count(*) as times from (select id, case when id % 3 = 0 then segment else name end as name from t) group by 1 having count(*) >= 4) select id, segment, times from t join f on segment = f.name")
@@ -282,7 +359,6 @@ def _q1(spark, sf):
 
 
 #: Titles of all layers: a broken encoding (also of promotion, which comes second), promotion, a separator, none, CJK.
-_BROKEN = "江智民".encode("gb18030").decode("latin-1")
 _LAYERED = f"case p_partkey % 5 when 0 then '{_BROKEN}' when 1 then '加群 ' || p_partkey when 2 then p_name || ' - ' || p_brand when 3 then p_name else '晴天' end"
 
 
