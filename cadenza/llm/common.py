@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,30 +35,51 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that later stages don't recompute its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Tables:
+    """The tables that ``materialize`` wrote inside one ``owned`` block; only their owner removes them."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def remove(self, spark: SparkSession, *needed: DataFrame) -> None:
+        """Removes these tables, but for those that the frames ``needed`` read."""
+        plain = lambda p: p.split(":", 1)[-1].lstrip("/")
+        held = {plain(f.rsplit("/", 1)[0]) for df in needed for f in df.inputFiles()}
+        for path in [p for p in self.paths if plain(p) not in held]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            self.paths.remove(path)
 
 
-#: Tables that this process wrote to the shared folder and hasn't removed.
-_WRITTEN: list[str] = []
+_OWNER: ContextVar[Tables | None] = ContextVar("owner of the tables", default=None)
 
 
-def release(spark: SparkSession, *needed: DataFrame) -> None:
-    """Removes the tables that ``materialize`` wrote, but for those that the frames ``needed`` read.
+@contextmanager
+def owned() -> Iterator[Tables]:
+    """Tables written inside belong to this block; what it hasn't removed at its end goes to the block around it, if any.
 
-    Results of operators read such tables: call this only when they were written elsewhere, or name them.
+    Results of operators read such tables: remove them only when the results were written elsewhere, or name them.
+    Tables written outside of any block belong to nobody and are never removed by this library.
     """
-    held = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in needed for f in df.inputFiles()}
-    gone = [p for p in _WRITTEN if p.split(":", 1)[-1].lstrip("/") not in held]
-    for path in gone:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        _WRITTEN.remove(path)
+    tables, outer = Tables(), _OWNER.get()
+    token = _OWNER.set(tables)
+    try:
+        yield tables
+    finally:
+        _OWNER.reset(token)
+        if outer is not None:
+            outer.paths += tables.paths
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that later stages don't recompute its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    owner = _OWNER.get()
+    if owner is not None:
+        owner.paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def named(column: str) -> Column:

@@ -106,7 +106,9 @@ def build_index(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
 def find_matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     """All matches: row, item_id, start, width, exact (false: a proximity match).
 
-    The rarest term of a window is that with the fewest postings in the whole index, then the smallest offset.
+    A window lies near a start if each of its terms stands within ``slop`` places of where it would stand there. Starts
+    that follow one another are one proximity match, unless one of them is exact. Which term is the rarest (that with
+    the fewest postings in the whole index, then the smallest offset) only decides where matches are looked for.
     """
     counts = index.select(F.explode(F.arrays_zip("terms", "positions")).alias("p")).groupBy(F.col("p.terms").alias("t")).agg(F.sum(F.size("p.positions")).alias("n"))
     counts = materialize(counts, "term-counts")
@@ -124,8 +126,8 @@ def find_matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFra
     placed = (
         found.join(detail, "win")
         .join(index.select("row", lists.alias("lists")), "row")
-        .select("row", "item_id", "want", "lists", F.explode(F.transform(F.element_at("lists", F.col("t")), lambda p: p - F.col("at"))).alias("start"))
-        .where(F.col("start") >= (0 if slop == 0 else -slop))
+        .select("row", "win", "item_id", "want", "lists", F.explode(F.transform(F.element_at("lists", F.col("t")), lambda p: p - F.col("at"))).alias("start"))
+        .where(F.col("start") >= -2 * slop)
     )
 
     def term_near(reach: int):
@@ -139,7 +141,16 @@ def find_matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFra
     exact = placed.withColumn("width", F.size("want")).withColumn("exact", term_near(0))
     if slop == 0:
         return exact.where("exact").select("row", "item_id", "start", "width", "exact")
-    return exact.where(F.col("exact") | term_near(slop)).select("row", "item_id", "start", "width", "exact")
+    # the rarest term may itself be displaced: around a start where all terms are within twice the slop, try all starts
+    close = materialize(exact.where(F.col("exact") | term_near(2 * slop)), "close")
+    tried = close.withColumn("exact_start", F.when(F.col("exact"), F.col("start")))
+    tried = tried.withColumn("start", F.explode(F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.col("start") + d))).where(term_near(slop))
+    starts = tried.groupBy("row", "win", "item_id", "width").agg(F.array_sort(F.collect_set("start")).alias("near"), F.collect_set("exact_start").alias("exact"))
+    heads = F.filter("near", lambda s: ~F.array_contains("near", s - 1))
+    own = lambda f: F.exists("exact", lambda e: (e >= f) & ~F.exists("heads", lambda g: (g > f) & (g <= e)))
+    runs = starts.withColumn("heads", heads).select("row", "item_id", F.explode(F.filter("heads", lambda f: ~own(f))).alias("start"), "width")
+    exact_rows = close.where("exact").select("row", "item_id", "start", "width", "exact")
+    return exact_rows.unionByName(runs.withColumn("exact", F.lit(False)).select(*exact_rows.columns))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -21,14 +21,14 @@ select page_id, octet_length(encode(html))::bigint as payload_bytes, digest as p
 
 
 def contamination_sql(width: int, slop: int) -> str:
-    """Exact hits by joins on whole windows; n_near from the places of each window's rarest term, as find_matches states it."""
+    """Exact hits by joins on whole windows; n_near from all starts about the places of each window's rarest term."""
     words = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return f"""with docs as (select doc_id, {words.format(lower_sql('text'))} as w from documents),
 items as (select item_id, {words.format(lower_sql('text'))} as w from benchmark),
 wins as (select distinct item_id, w[i + 1 : i + least({width}, len(w))] as t from (select item_id, w, unnest(range(greatest(1, len(w) - {width - 1}))) as i from items where len(w) > 0)),
 sizes as (select distinct len(t) as n from wins),
-runs as (select doc_id, n, i, w[i + 1 : i + n] as t from (select doc_id, w, n, unnest(range(len(w) - n + 1)) as i from docs join sizes on len(w) >= n)),
-hits as (select doc_id, i, n, item_id from runs join wins using (t)),
+spans as (select doc_id, n, i, w[i + 1 : i + n] as t from (select doc_id, w, n, unnest(range(len(w) - n + 1)) as i from docs join sizes on len(w) >= n)),
+hits as (select doc_id, i, n, item_id from spans join wins using (t)),
 places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by 1),
 found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item_id::varchar as item from hits) group by 1),
 want as (select win, unnest(range(len(t))) as k, unnest(t) as x from (select row_number() over () as win, w[i + 1 : i + least({width}, len(w))] as t
@@ -36,10 +36,11 @@ want as (select win, unnest(range(len(t))) as k, unnest(t) as x from (select row
 posts as (select doc_id, x, list(p) as places from (select doc_id, unnest(w) as x, unnest(range(len(w))) as p from docs) where x in (select x from want) group by 1, 2),
 counts as (select x, sum(len(places)) as c from posts group by 1),
 rare as (select win, arg_min({{'k': k, 'x': x}}, (coalesce(c, 0), k)) as r from want left join counts using (x) group by 1 having min(coalesce(c, 0)) > 0),
-starts as (select win, doc_id, unnest(places) - r.k as s from rare join posts on posts.x = r.x),
+starts as (select distinct win, doc_id, p - r.k + unnest(range(-{slop}, {slop + 1})) as s from (select win, r, doc_id, unnest(places) as p from rare join posts on posts.x = r.x)),
 tried as (select win, doc_id, s, bool_and(coalesce(list_contains(places, s + k), false)) as exact, bool_and(coalesce(len(list_filter(places, lambda p: abs(p - s - k) <= {slop})) > 0, false)) as near
- from starts join want using (win) left join posts using (doc_id, x) where s >= -{slop} group by all),
-nears as (select doc_id, count(*) as n_near from tried where near and not exact group by 1)
+ from starts join want using (win) left join posts using (doc_id, x) group by all),
+runs as (select win, doc_id, exact, s - row_number() over (partition by win, doc_id order by s) as run from tried where near),
+nears as (select doc_id, count(*) as n_near from (select win, doc_id, run from runs group by all having not bool_or(exact)) group by 1)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0)::bigint as n_near
 from docs left join places using (doc_id) left join found using (doc_id) left join nears using (doc_id)"""
 

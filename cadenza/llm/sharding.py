@@ -13,8 +13,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cadenza.llm.common import packed
+from cadenza.llm.common import named, packed
 
 #: Multiplier of the published generator, and its halves.
 MULTIPLIER = 2862933555777941757
@@ -73,6 +74,14 @@ def jump_hash(key: Column, shards: int) -> Column:
     return done["b"].cast("int")
 
 
+def shard_key(df: DataFrame, key: str) -> Column:
+    """Integer keys as they are; any other key as the 64-bit hash of its text. A null key stays null."""
+    column = named(key)
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        return column.cast("long")
+    return F.when(column.isNotNull(), F.xxhash64(column.cast("string")))
+
+
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -83,7 +92,8 @@ def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "
 
     ``slot`` counts each shard's rows from 0 without gaps, in the order of a 32-bit digest of the key and the text's
     checksum, then of the key, the checksum and the size. ``range_rows`` is about the number of rows that one task numbers at
-    a time; it doesn't change the result. A null text has no bytes and checksum 0, a null key goes where key 0 goes.
+    a time; it doesn't change the result. A null text has no bytes and checksum 0, a null key goes where key 0 goes. Keys that
+    aren't integers, such as strings, are hashed to 64 bits first.
     Repeated rows each get a slot of their own; rows that repeat a key with other texts are numbered in many ranges, though
     the law puts them all into one shard. An empty table gives an empty one.
     """
@@ -93,7 +103,8 @@ def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "
     crc = F.coalesce(F.crc32(text), F.lit(0)).cast("long")
     digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), crc)), 1, 8), 16, 10).cast("long")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
-    shard, grown = jump_hash(F.col(key), shards), jump_hash(F.col(key), shards + 1)
+    placed_by = shard_key(df, key)
+    shard, grown = jump_hash(placed_by, shards), jump_hash(placed_by, shards + 1)
     placed = packed(
         df, F.col(key).alias("id"), size.alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), shard.alias("shard"), grown.alias("grown_shard"), digest.alias("digest"), keep=kept
     ).withColumn("range", F.floor(F.col("digest") * ranges / F.lit(float(1 << 32))).cast("int"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import quality_classifier
-from cadenza.llm.common import materialize, packed, read_table, release
+from cadenza.llm.common import materialize, owned, packed, read_table
 from cadenza.llm.decontamination import contamination
 from cadenza.llm.jaccard_join import near_duplicates
 from cadenza.llm.queries import QUALITY_THRESHOLD, SHARDS, WINDOW_WORDS, mixed
@@ -76,9 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What earlier stages wrote to the shared folder is removed when the next stage has been written."""
+    """The last stage's rows. What earlier stages of this call wrote to the shared folder is removed when the next stage has been written."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-        release(spark, docs)
+    with owned() as tables:
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            tables.remove(spark, docs)
     return docs

@@ -172,3 +172,31 @@ def test_every_number_has_a_query():
     assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
 
 
+
+
+def test_tables_are_removed_by_their_owner_only(spark):
+    from cadenza.llm.common import materialize, owned
+
+    loose = materialize(spark.range(5).toDF("a"), "loose")
+    with owned() as outer:
+        mine = materialize(spark.range(6).toDF("a"), "mine")
+        with owned() as inner:
+            kept, gone = materialize(spark.range(7).toDF("a"), "kept"), materialize(spark.range(8).toDF("a"), "gone")
+            inner.remove(spark, kept)
+            assert kept.count() == 7 and mine.count() == 6 and len(inner.paths) == 1
+            with pytest.raises(Exception, match="(?i)not.exist|not found|FILE_NOT_EXIST"):
+                gone.count()
+        assert len(outer.paths) == 2
+        outer.remove(spark)
+    assert loose.count() == 5
+
+
+def test_a_lazy_result_outlives_the_pipeline(spark, tmp_path):
+    from cadenza.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the given tables aren't here")
+    early = queries.op3_sentence_span_dedup(spark, folder)
+    done = corpus_pipeline.run(spark, folder)
+    assert early.count() == 200 and done.count() > 0

@@ -77,21 +77,36 @@ def test_proximity(spark):
 
 
 def brute_near(docs, items, slop):
-    """Proximity matches that aren't exact, by document: places of a window's rarest term with all others near theirs."""
-    texts = {key: WORD.findall(lower(text)) for key, text in docs}
-    counts, out = Counter(x for w in texts.values() for x in w), Counter()
-    for _, text in items:
-        words = WORD.findall(lower(text))
-        for i in range(max(1, len(words) - 9) if words else 0):
-            want = words[i : i + 10]
-            at = min(range(len(want)), key=lambda k: (counts[want[k]], k))
-            for key, w in texts.items():
-                for start in (p - at for p, x in enumerate(w) if x == want[at]):
-                    near = start >= -slop and all(x in w[max(0, start + k - slop) : max(0, start + k + slop + 1)] for k, x in enumerate(want))
-                    out[key] += near and (start < 0 or w[start : start + len(want)] != want)
+    """Proximity matches by document: runs of starts at which each word of a window stands within slop of its place, none of them exact."""
+    out = Counter()
+    for key, text in docs:
+        w = WORD.findall(lower(text))
+        for _, item in items:
+            words = WORD.findall(lower(item))
+            for i in range(max(1, len(words) - 9) if words else 0):
+                want = words[i : i + 10]
+                near = [s for s in range(-slop, len(w) + slop) if all(x in w[max(0, s + k - slop) : max(0, s + k + slop + 1)] for k, x in enumerate(want))]
+                runs = []
+                for s in near:
+                    if not runs or runs[-1][-1] != s - 1:
+                        runs.append([])
+                    runs[-1].append(s)
+                out[key] += sum(all(s < 0 or w[s : s + len(want)] != want for s in run) for run in runs)
     return out
 
 
+def test_proximity_matches_do_not_depend_on_other_documents(spark):
+    words = [f"w{i}" for i in range(10)]
+    swapped = words[:1] + [words[2], words[1]] + words[3:]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = [(1, " ".join(swapped)), (2, " ".join(words)), (3, " ".join(["x", *words[:4], "very", *words[4:]]))]
+    more = [(10 + i, " ".join(w for w in words if w != rare)) for i, rare in enumerate(words[1:4])]  # each makes another word the rarest
+    for others in ([], *([m] * 5 for m in more)):
+        others = [(100 + i, t) for i, (_, t) in enumerate(others)]
+        found = contamination(spark.createDataFrame(docs + others, "doc_id long, text string"), items, 10, 1)
+        assert {r.doc_id: r.n_near for r in found.collect() if r.doc_id < 100} == {1: 1, 2: 0, 3: 1}
+
+
 def test_op2_counts_proximity_matches(spark, tmp_path):
     rng = random.Random(7)
     items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([4, 10, 14])))) for i in range(20)]
@@ -412,3 +427,11 @@ def test_slots(spark, range_rows):
         assert (r.size, r.text_crc32, r.law) == (len(data) + 16, zlib.crc32(data), "key") and r.shard == jump(r.doc_id or 0, 5)
         assert r.grown_shard in (r.shard, 5)
     assert sharding.assign_shards(df.limit(0), 5).collect() == []
+
+
+def test_keys_that_are_no_integers_are_hashed(spark):
+    df = spark.createDataFrame([(f"doc-{i % 90}", f"t{i}") for i in range(200)] + [(None, "x"), ("7", None)], "doc_id string, text string").repartition(3)
+    out = sharding.assign_shards(df, 6).collect()
+    assert len(out) == 202 and all(sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out))) for s in range(6))
+    assert all(len({r.shard for r in out if r.doc_id == k}) == 1 and r.grown_shard in (r.shard, 6) for r in out for k in [r.doc_id])
+    assert len({r.shard for r in out}) == 6 and next(r.shard for r in out if r.doc_id is None) == 0
