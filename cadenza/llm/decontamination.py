@@ -131,18 +131,18 @@ def find_matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFra
     )
 
     def term_near(reach: int):
-        def at(t, i):
-            places = F.element_at("lists", t)
+        def at(i):
+            places = F.element_at("lists", F.element_at("want", i + 1))
             here = F.array_contains(places, (F.col("start") + i).cast("int")) if reach == 0 else F.exists(places, lambda p: F.abs(p - F.col("start") - i) <= reach)
             return F.coalesce(here, F.lit(False))
 
-        return F.forall(F.transform("want", at), lambda x: x)
+        return F.forall(F.sequence(F.lit(0), F.size("want") - 1), at)  # ends at the first term that isn't there
 
-    exact = placed.withColumn("width", F.size("want")).withColumn("exact", term_near(0))
+    placed = placed.withColumn("width", F.size("want"))
     if slop == 0:
-        return exact.where("exact").select("row", "item_id", "start", "width", "exact")
+        return placed.where(term_near(0)).select("row", "item_id", "start", "width", F.lit(True).alias("exact"))
     # the rarest term may itself be displaced: around a start where all terms are within twice the slop, try all starts
-    close = materialize(exact.where(F.col("exact") | term_near(2 * slop)), "close")
+    close = materialize(placed.where(term_near(2 * slop)).withColumn("exact", term_near(0)), "close")
     tried = close.withColumn("exact_start", F.when(F.col("exact"), F.col("start")))
     tried = tried.withColumn("start", F.explode(F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.col("start") + d))).where(term_near(slop))
     starts = tried.groupBy("row", "win", "item_id", "width").agg(F.array_sort(F.collect_set("start")).alias("near"), F.collect_set("exact_start").alias("exact"))
