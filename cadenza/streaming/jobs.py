@@ -51,13 +51,14 @@ def live_telemetry(attempts: DataFrame, width: str = "1 hour") -> DataFrame:
 
 def _refreshes(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """First batch of a source: baseline only. Then one signal for a batch with new completions, a minute apart at least."""
-    frame = pd.concat(list(batches))
+    now, completed = 0, 0
+    for rows in batches:  # one piece at a time: a source's batch is never held as a whole
+        now, completed = max(now, int(rows["at"].max())), completed + len(rows)
     baseline, last = state.get if state.exists else (False, 0)
-    now = int(frame["at"].max())
     fire = bool(baseline) and now - last >= COOLDOWN_MS
     state.update((True, now if fire else last))
     if fire:
-        yield pd.DataFrame({"source": [key[0]], "at": [now], "completed": [len(frame)]})
+        yield pd.DataFrame({"source": [key[0]], "at": [now], "completed": [completed]})
 
 
 def new_completions(tasks: DataFrame) -> DataFrame:
