@@ -8,32 +8,87 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cadenza.operators.link import changed_files, deletions, remove, upsert
+from cadenza.sources.shared import path_exists
 
 LATE = "1 hour"
 COOLDOWN_MS = 60_000
 
 
+#: Buckets of paths that a catalog is stored in; a batch rewrites those that it changes.
+BUCKETS = 256
+
+
+def _bucket(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+
+
+def _manifest(spark: SparkSession, catalog: str, version: int) -> dict[int, str]:
+    """bucket -> folder of one version of a catalog; at most BUCKETS rows."""
+    if version < 0:
+        return {}
+    rows = spark.read.schema("bucket int, path string").parquet(f"{catalog}/manifest/version={version}").collect()
+    return {r["bucket"]: r["path"] for r in rows}
+
+
+def _buckets(spark: SparkSession, manifest: dict[int, str], schema: str, wanted: set[int] | None = None) -> DataFrame:
+    paths = [p for k, p in sorted(manifest.items()) if wanted is None or k in wanted]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+CATALOG = "filePath string, mtime long, size long"
+
+
+def read_catalog(spark: SparkSession, catalog: str, version: int | None = None) -> DataFrame:
+    """The files of a version of a catalog, by default the newest."""
+    if version is None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{catalog}/manifest")
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+        version = max((int(x.getPath().getName().split("=")[1]) for x in there if x.isDirectory()), default=-1)
+    return _buckets(spark, _manifest(spark, catalog, version), CATALOG)
+
+
 def refresh_catalog(listing: DataFrame, spark: SparkSession, catalog: str, checkpoint: str, *, whole: bool = False, most: float = 0.5) -> StreamingQuery:
-    """Files of a stream (filePath, mtime, size) into versions of a catalog, under ``catalog/version=N``, changed ones only.
+    """Files of a stream (filePath, mtime, size) into versions of a catalog, changed ones only; ``read_catalog`` gives a version.
 
-    Each batch writes a new version from the latest one; a batch that is run again writes the same version again. Versions
-    that no batch can need any more, all but the last two, are removed. If a batch is a ``whole`` enumeration, known
-    files that it lacks go, unless it is empty or lacks more than the share ``most`` of them.
+    A version is a manifest that names a folder for each bucket of paths. A batch reads the buckets that its paths fall
+    into, writes those in which something changed, and a manifest that names the old folders for all others; one that
+    changes nothing writes a manifest only. A batch that is run again starts from the same version and writes the same.
+    Manifests but the last two, and folders that only they name, are removed. If a batch is a ``whole`` enumeration,
+    known files that it lacks go, unless it is empty or lacks more than the share ``most`` of them; it reads all buckets.
     """
 
+    def delete(path: str) -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
     def apply(batch: DataFrame, number: int) -> None:
-        fresh = batch.groupBy("filePath").agg(F.max_by(F.struct("mtime", "size"), F.struct("mtime", "size")).alias("f")).select("filePath", "f.mtime", "f.size")
-        known = spark.read.schema(fresh.schema).parquet(f"{catalog}/version={number - 1}") if number else fresh.limit(0)
-        kept = remove(known, deletions(known, fresh, most=most).where("verdict = 'removed'"), "filePath") if whole and number else known
-        upsert(kept, changed_files(fresh, known).drop("reason"), "filePath").write.mode("overwrite").parquet(f"{catalog}/version={number}")
+        session, base = batch.sparkSession, _manifest(spark, catalog, number - 1)
+        kinds = [F.col(c).cast(t).alias(c) for c, t in (x.split() for x in CATALOG.split(", "))]
+        fresh = batch.groupBy("filePath").agg(F.max_by(F.struct("mtime", "size"), F.struct("mtime", "size")).alias("f")).select("filePath", "f.mtime", "f.size").select(*kinds)
+        at = _bucket(F.col("filePath")).alias("bucket")
+        numbers = lambda df: {r["bucket"] for r in df.select(at).distinct().collect()}  # noqa: E731  at most BUCKETS
+        known = _buckets(session, base, CATALOG, None if whole else numbers(fresh))
+        changed = changed_files(fresh, known).drop("reason")
+        gone = deletions(known, fresh, most=most).where("verdict = 'removed'").select("filePath") if whole and number else known.select("filePath").limit(0)
+        touched = numbers(changed.select("filePath").unionByName(gone))
+        if touched:
+            kept = remove(_buckets(session, base, CATALOG, touched), gone, "filePath")
+            new = upsert(kept, changed, "filePath").withColumn("bucket", at)
+            new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{catalog}/data/version={number}")
+        left = numbers(session.read.schema(CATALOG).parquet(f"{catalog}/data/version={number}")) if touched else set()
+        named = {k: p for k, p in base.items() if k not in touched} | {k: f"{catalog}/data/version={number}/bucket={k}" for k in left}
+        rows = session.createDataFrame(sorted(named.items()), "bucket int, path string")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{catalog}/manifest/version={number}")
         if number > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{catalog}/version={number - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            before = _manifest(spark, catalog, number - 2) if path_exists(spark, f"{catalog}/manifest/version={number - 2}") else {}
+            for path in set(before.values()) - set(base.values()) - set(named.values()):
+                delete(path)
+            delete(f"{catalog}/manifest/version={number - 2}")
 
     return listing.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

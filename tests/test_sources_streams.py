@@ -102,7 +102,7 @@ def test_refresh(spark, tmp_path):
     make = lambda *rows: spark.createDataFrame(list(rows), "filePath string, mtime long, size long")
     stream = batches_of(spark, tmp_path, make(("a", 1, 1), ("b", 1, 1)), make(("a", 2, 5), ("c", 1, 1)))
     jobs.refresh_catalog(stream, spark, str(tmp_path / "catalog"), str(tmp_path / "check")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "catalog" / "version=1")).collect()
+    got = jobs.read_catalog(spark, str(tmp_path / "catalog")).collect()
     assert sorted(tuple(r) for r in got) == [("a", 2, 5), ("b", 1, 1), ("c", 1, 1)]
 
 
@@ -110,10 +110,24 @@ def test_whole_listings_delete_under_guards(spark, tmp_path):
     make = lambda *rows: spark.createDataFrame(list(rows), "filePath string, mtime long, size long")
     stream = batches_of(spark, tmp_path, make(("a", 1, 1), ("b", 1, 1), ("c", 1, 1)), make(("a", 2, 5), ("b", 1, 1)), make(("d", 1, 1)))
     jobs.refresh_catalog(stream, spark, str(tmp_path / "catalog"), str(tmp_path / "check"), whole=True).awaitTermination()
-    rows = lambda n: sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "catalog" / f"version={n}")).collect())
+    rows = lambda n: sorted(tuple(r) for r in jobs.read_catalog(spark, str(tmp_path / "catalog"), n).collect())
     assert rows(1) == [("a", 2, 5), ("b", 1, 1)]
     assert rows(2) == [("a", 2, 5), ("b", 1, 1), ("d", 1, 1)]  # two of two gone are too many
-    assert not (tmp_path / "catalog" / "version=0").exists()
+    assert not (tmp_path / "catalog" / "manifest" / "version=0").exists()
+
+
+def test_a_batch_writes_only_the_buckets_that_it_changes(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(list(rows), "filePath string, mtime long, size long")
+    every = [(f"f{i}", 1, 1) for i in range(600)]
+    stream = batches_of(spark, tmp_path, make(every), make([("f5", 2, 1), ("f6", 1, 1), ("new", 1, 1)]), make(every[10:20]))
+    folder = tmp_path / "catalog"
+    jobs.refresh_catalog(stream, spark, str(folder), str(tmp_path / "check")).awaitTermination()
+    written = sorted(p.name for p in (folder / "data" / "version=1").iterdir() if p.is_dir())
+    touched = {r.b for r in spark.createDataFrame([("f5",), ("new",)], "p string").select(jobs._bucket(F.col("p")).alias("b")).collect()}
+    assert written == sorted(f"bucket={b}" for b in touched)
+    assert not (folder / "data" / "version=2").exists()  # nothing changed
+    want = [("f5", 2, 1) if r[0] == "f5" else r for r in every] + [("new", 1, 1)]
+    assert sorted(map(tuple, jobs.read_catalog(spark, str(folder)).collect())) == sorted(want)
 
 
 def test_sidecar_files(spark, tmp_path):
