@@ -19,16 +19,16 @@ LATE = "1 hour"
 COOLDOWN_MS = 60_000
 
 
-#: Buckets of paths that a catalog is stored in; a batch rewrites those that it changes.
-BUCKETS = 256
+#: Buckets of paths that a catalog is stored in, unless a caller says more; a batch rewrites those that it changes.
+BUCKETS = 64
 
 
-def _bucket(path: Column) -> Column:
-    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+def _bucket(path: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
 def _manifest(spark: SparkSession, catalog: str, version: int) -> dict[int, str]:
-    """bucket -> folder of one version of a catalog; at most BUCKETS rows."""
+    """bucket -> folder of one version of a catalog; at most a row for each bucket."""
     if version < 0:
         return {}
     rows = spark.read.schema("bucket int, path string").parquet(f"{catalog}/manifest/version={version}").collect()
@@ -52,7 +52,7 @@ def read_catalog(spark: SparkSession, catalog: str, version: int | None = None)
     return _buckets(spark, _manifest(spark, catalog, version), CATALOG)
 
 
-def refresh_catalog(listing: DataFrame, spark: SparkSession, catalog: str, checkpoint: str, *, whole: bool = False, most: float = 0.5) -> StreamingQuery:
+def refresh_catalog(listing: DataFrame, spark: SparkSession, catalog: str, checkpoint: str, *, whole: bool = False, most: float = 0.5, buckets: int = BUCKETS) -> StreamingQuery:
     """Files of a stream (filePath, mtime, size) into versions of a catalog, changed ones only; ``read_catalog`` gives a version.
 
     A version is a manifest that names a folder for each bucket of paths. A batch reads the buckets that its paths fall
@@ -60,6 +60,7 @@ def refresh_catalog(listing: DataFrame, spark: SparkSession, catalog: str, check
     changes nothing writes a manifest only. A batch that is run again starts from the same version and writes the same.
     Manifests but the last two, and folders that only they name, are removed. If a batch is a ``whole`` enumeration,
     known files that it lacks go, unless it is empty or lacks more than the share ``most`` of them; it reads all buckets.
+    ``buckets`` is fixed for the life of a catalog: the more there are, the less a batch of few paths rewrites.
     """
 
     def delete(path: str) -> None:
@@ -70,8 +71,8 @@ def refresh_catalog(listing: DataFrame, spark: SparkSession, catalog: str, check
         session, base = batch.sparkSession, _manifest(spark, catalog, number - 1)
         kinds = [F.col(c).cast(t).alias(c) for c, t in (x.split() for x in CATALOG.split(", "))]
         fresh = batch.groupBy("filePath").agg(F.max_by(F.struct("mtime", "size"), F.struct("mtime", "size")).alias("f")).select("filePath", "f.mtime", "f.size").select(*kinds)
-        at = _bucket(F.col("filePath")).alias("bucket")
-        numbers = lambda df: {r["bucket"] for r in df.select(at).distinct().collect()}  # noqa: E731  at most BUCKETS
+        at = _bucket(F.col("filePath"), buckets).alias("bucket")
+        numbers = lambda df: {r["bucket"] for r in df.select(at).distinct().collect()}  # noqa: E731  at most ``buckets``
         known = _buckets(session, base, CATALOG, None if whole else numbers(fresh))
         changed = changed_files(fresh, known).drop("reason")
         gone = deletions(known, fresh, most=most).where("verdict = 'removed'").select("filePath") if whole and number else known.select("filePath").limit(0)
