@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.text import blank
 from cadenza.operators import browse as B
 from cadenza.operators import merge as M
-from cadenza.plans.registry import query
+from cadenza.operators import substring as S
+from cadenza.plans.registry import ORACLE_SQL, query
 from cadenza.plans.views import FAVORITES_SQL, PLAYS_SQL, TRACKS_SQL, favorites, plays, tables, tracks
+from cadenza.sources.shared import path_exists
 
 LITE = ("id", "title", "artist", "album", "year", "durationSec")
 _LITE = ", ".join(f'"{c}"' for c in LITE)
@@ -285,3 +288,51 @@ def _p8(spark, sf):
 @query("p43_lite_projection", _tracks(f"select id, coalesce(nullif(cleanTitle, ''), title) as title, {_NAME} as artist, case when coverId <> '' then '/cover/' || coverId end as cover, durationSec as \"durationSec\" from tracks"))
 def _p43(spark, sf):
     return tracks(spark, sf).select("id", B.display("cleanTitle", "title").alias("title"), B.display("cleanArtist", "artist").alias("artist"), F.when(F.col("coverId") != "", F.concat(F.lit("/cover/"), "coverId")).alias("cover"), "durationSec")
+
+
+# Substring search by a stored index
+
+#: Indexes that this process has stored: (application, what, folder of the tables) -> index.
+_INDEXES: dict[tuple[str, str, str], S.SearchIndex] = {}
+_FREE = "lower(title || cleanTitle || artist || coalesce(cleanArtist, '') || album)"
+
+
+def _index(spark, sf: str, what: str) -> S.SearchIndex:
+    known = (spark.sparkContext.applicationId, what, sf)
+    found = _INDEXES.get(known)
+    if found is None or not path_exists(spark, f"{found.grams}/_SUCCESS"):
+        joined = lambda *names: F.concat(*(blank(F.col(c)) for c in names))
+        build = {
+            "tracks": lambda: S.build_search_index(tracks(spark, sf), joined(*B.FREE_TEXT), ["artist", "album", "title", "id"]),
+            "artists": lambda: S.build_search_index(B.artists(tracks(spark, sf)), F.col("name"), ["name"]),
+            "albums": lambda: S.build_search_index(B.albums(tracks(spark, sf)), joined("album", "artist"), ["album"]),
+        }
+        found = _INDEXES[known] = build[what]()
+    return found
+
+
+@query("f1_indexed_filter", _tracks(f"select {_LITE} from tracks where contains({_FREE}, '#1medium') and lang = 'en' and contains(src, 'netease')"))
+def _f1i(spark, sf):
+    # the text searched runs from the artist into the album
+    found = S.search_index(spark, _index(spark, sf, "tracks"), "#1MEDIUM")
+    return B.filter_tracks(found, lang="en", source="netease").select(*LITE)
+
+
+@query("f1_indexed_short", _tracks(f"select {_LITE} from tracks where contains({_FREE}, '7e')"))
+def _f1s(spark, sf):
+    return S.search_index(spark, _index(spark, sf, "tracks"), "7E").select(*LITE)
+
+
+@query("f1_index_blocks", _tracks(f"select artist, count(*) as found from tracks where contains({_FREE}, 'brand#3') group by 1"))
+def _f1b(spark, sf):
+    # the blocks that the bitmaps name hold every row found
+    index = _index(spark, sf, "tracks")
+    named = index.table(spark).join(S.blocks_of(spark, index, "Brand#3"), ["_zone", "_block"], "left_semi")
+    return named.where(F.contains(F.lower(index.text), F.lit("brand#3"))).groupBy("artist").agg(F.count(F.lit(1)).alias("found"))
+
+
+@query("o7_indexed_search", ORACLE_SQL["o7_search"].replace("brand#2", "brand#3"))
+def _o7i(spark, sf):
+    hits = {what: S.search_index(spark, _index(spark, sf, what), "Brand#3") for what in ("tracks", "artists", "albums")}
+    pages = [S.page_of(hits["tracks"], "track", "id", 10), S.page_of(hits["artists"], "artist", "name", 8), S.page_of(hits["albums"].where("album <> 'unknown'"), "album", "album", 8)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
