@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import loose_name, squeeze, title_queries
+from cadenza.operators import digest_tree as D
 from cadenza.operators import link as L
 from cadenza.operators.retrieve import build_index, retrieve
 from cadenza.operators.similar import contained_pairs
@@ -186,6 +187,36 @@ def _j8(spark, sf):
     return L.deletions(_old(spark, sf), _new(spark, sf))
 
 
+# a listing with folders, of which a few lost, gained and changed files
+_PLACE = "p_brand || '/' || p_type || '/' || p_name || ' ' || p_partkey"
+_TREE = f"""told as (select {_PLACE} || '.mp3' as "filePath", p_partkey % 97 as mtime, p_size as size from part where not (p_brand = 'Brand#7' and p_partkey % 10 = 1)),
+ seen as (select {_PLACE} || '.mp3' as "filePath", p_partkey % 97 as mtime, case when p_brand = 'Brand#9' and p_partkey % 3 = 0 then p_size + 1 else p_size end as size from part where not (p_brand = 'Brand#12' and p_size % 4 = 0))"""
+
+
+def _listings(spark, sf):
+    place = F.expr(f"{_PLACE} || '.mp3'").alias("filePath")
+    part, mtime = tables(spark, sf, "part"), F.expr("p_partkey % 97 as mtime")
+    told = part.where("not (p_brand = 'Brand#7' and p_partkey % 10 = 1)").select(place, mtime, F.col("p_size").alias("size"))
+    size = F.expr("case when p_brand = 'Brand#9' and p_partkey % 3 = 0 then p_size + 1 else p_size end as size")
+    return told, part.where("not (p_brand = 'Brand#12' and p_size % 4 = 0)").select(place, mtime, size)
+
+
+@query("j8_tree_deletions", f"with {_TREE} select filePath as \"filePath\", 'removed' as verdict from told where filePath not in (select filePath from seen)")
+def _j8t(spark, sf):
+    sides = _listings(spark, sf)
+    return D.tree_deletions(*sides, *(D.build_tree(s) for s in sides))
+
+
+@query(
+    "j19_tree_changes",
+    f"""with {_TREE} select coalesce(a.filePath, b.filePath) as "filePath", case when a.filePath is null then 'added' when b.filePath is null then 'removed' else 'changed' end as change
+ from told a full join seen b on a.filePath = b.filePath where a.filePath is null or b.filePath is null or a.mtime <> b.mtime or a.size <> b.size""",
+)
+def _j19t(spark, sf):
+    sides = _listings(spark, sf)
+    return D.file_changes(*sides, D.changed_folders(*(D.build_tree(s) for s in sides)))
+
+
 @query("m14_upsert", f"with {_FILES_SQL} select filePath as \"filePath\", mtime, size from new union all select filePath, mtime, size from old where filePath not in (select filePath from new)")
 def _m14(spark, sf):
     return L.upsert(_old(spark, sf), _new(spark, sf), "filePath")
