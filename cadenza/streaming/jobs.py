@@ -6,17 +6,20 @@ State lives in Spark's checkpointed state store; late rows are dropped an hour b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from cadenza.operators.link import changed_files, deletions, remove, upsert
 from cadenza.sources.shared import path_exists
 
 LATE = "1 hour"
 COOLDOWN_MS = 60_000
+#: Ids of a source that are remembered.
+SEEN = 5000
 
 
 #: Buckets of paths that a catalog is stored in, unless a caller says more; a batch rewrites those that it changes.
@@ -105,23 +108,77 @@ def live_telemetry(attempts: DataFrame, width: str = "1 hour") -> DataFrame:
     return attempts.withWatermark("ts", LATE).groupBy(w.alias("w"), "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("failed"), F.avg("elapsed").alias("mean")).select(F.col("w.start").alias("start"), "source", "n", "failed", "mean")
 
 
-def _refreshes(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """First batch of a source: baseline only. Then one signal for a batch with new completions, a minute apart at least."""
-    now, completed = 0, 0
-    for rows in batches:  # one piece at a time: a source's batch is never held as a whole
-        now, completed = max(now, int(rows["at"].max())), completed + len(rows)
-    baseline, last = state.get if state.exists else (False, 0)
-    fire = bool(baseline) and now - last >= COOLDOWN_MS
-    state.update((True, now if fire else last))
-    if fire:
-        yield pd.DataFrame({"source": [key[0]], "at": [now], "completed": [completed]})
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which map state and times to live need; others are as before."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def new_completions(tasks: DataFrame) -> DataFrame:
-    """Refresh signals (source, at, completed) of a stream of tasks (source, id, status, ts): finished ids seen for the first time.
+class Completions(StatefulProcessor):
+    """One source's baseline, seen ids and cool-down.
 
-    Ids are kept an hour behind the newest time, so the set of seen ones is bounded.
+    The first batch of a source is its baseline. After it, a batch in which ids finished that weren't seen before gives a
+    signal with the newest of their times, at least ``cooldown`` ms after the last. Ids are numbered as they come. At the end of a batch, while over
+    ``most`` are known, the older half of ``most`` is forgotten; with a ``ttl``, ids that no batch held for so many ms go too.
     """
-    done = tasks.where("status = 'success'").withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["source", "id"])
-    rows = done.select("source", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
-    return rows.groupBy("source").applyInPandasWithState(_refreshes, "source string, at long, completed long", "baseline boolean, last long", "append", "NoTimeout")
+
+    def __init__(self, most: int, cooldown: int, ttl: int | None):
+        self.most, self.cooldown, self.ttl = most, cooldown, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "id string", "number long", self.ttl)
+        self.order = handle.getMapState("order", "number long", "id string", self.ttl)
+        self.known = handle.getValueState("known", "first long, next long, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        primed = self.known.exists()
+        first, start, last = self.known.get() if primed else (0, 0, 0)
+        number, now, fresh = start, 0, 0
+        for piece in rows:  # one piece at a time: neither a source's batch nor its ids are held as a whole
+            finished = piece[piece["done"] & piece["id"].notna()].groupby("id", sort=False)["at"].max()
+            for id_, ended in finished.items():
+                old = self.seen.getValue((id_,))
+                at = number if old is None else old[0]
+                if at >= start:  # new in this batch
+                    now = max(now, int(ended))
+                    if old is not None:
+                        continue
+                    number, fresh = number + 1, fresh + 1
+                self.seen.updateValue((id_,), (at,))
+                self.order.updateValue((at,), (id_,))
+        while number - first > self.most:
+            cut = min(first + (self.most + 1) // 2, number)
+            for n in range(first, cut):
+                id_ = self.order.getValue((n,))
+                if id_ is not None:
+                    self.order.removeKey((n,))
+                    if self.seen.getValue(id_) == (n,):
+                        self.seen.removeKey(id_)
+            first = cut
+        fire = primed and fresh > 0 and now - last >= self.cooldown
+        self.known.update((first, number, now if fire else last))
+        if fire:
+            yield pd.DataFrame({"source": [key[0]], "at": [now], "completed": [fresh]})
+
+    def close(self) -> None:
+        pass
+
+
+def new_completions(tasks: DataFrame, most: int = SEEN, cooldown: int = COOLDOWN_MS, ttl: int | None = None) -> DataFrame:
+    """Refresh signals (source, at, completed) of a stream of tasks (source, id, status, ts): ids that finished since the batch before.
+
+    One stateful operator (``Completions``); start the stream inside ``keyed_state``. Polls that repeat all finished tasks
+    are the expected input: ids are forgotten by number and by age only, never while ``most`` of them are fewer. Within
+    one batch the order of ids is that of its rows after the shuffle. Rows of a null id or status only make the baseline;
+    those of a null ts count as old. A ``ttl`` is in ms of the machine's time; Spark then runs batches without data as well, so
+    that a stream with the trigger ``availableNow`` wouldn't end: give such a stream a trigger by time.
+    """
+    at = F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")), F.lit(0).cast("bigint"))
+    rows = tasks.select("source", F.col("id").cast("string").alias("id"), at.alias("at"), F.coalesce(F.col("status") == "success", F.lit(False)).alias("done"))
+    return rows.groupBy("source").transformWithStateInPandas(Completions(most, cooldown, ttl), "source string, at long, completed long", "append", "none" if ttl is None else "processingTime")

@@ -1,4 +1,5 @@
 import json
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -94,8 +95,46 @@ def test_history_and_telemetry(spark, tmp_path):
 
 def test_completions(spark, tmp_path):
     make = lambda minute, *ids: spark.createDataFrame([("s", i, "success", f"2024-01-01 00:{minute:02d}:00") for i in ids], "source string, id string, status string, t string").selectExpr("source", "id", "status", "cast(t as timestamp) as ts")
-    got = memory(spark, jobs.new_completions(batches_of(spark, tmp_path, make(0, "a", "b"), make(5, "b", "c"), make(5, "d"), make(9, "e", "f"))), "append").collect()
+    with jobs.keyed_state(spark):
+        got = memory(spark, jobs.new_completions(batches_of(spark, tmp_path, make(0, "a", "b"), make(5, "b", "c"), make(5, "d"), make(9, "e", "f", "e"))), "append").collect()
     assert [(r.at % 3_600_000 // 60_000, r.completed) for r in sorted(got)] == [(5, 1), (9, 2)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_completions_are_forgotten_after_a_time(spark, tmp_path):
+    make = lambda minute, *ids: spark.createDataFrame([("s", i, "success", f"2024-01-01 00:{minute:02d}:00") for i in ids], "source string, id string, status string, t string").selectExpr("source", "id", "status", "cast(t as timestamp) as ts")
+    folder, name = tmp_path / "polls", "m" + uuid.uuid4().hex
+    make(0, "a", "b").coalesce(1).write.mode("append").json(str(folder))
+    stream = jobs.new_completions(spark.readStream.schema("source string, id string, status string, ts timestamp").json(str(folder)), ttl=1000)
+    with jobs.keyed_state(spark):
+        run = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(processingTime="200 milliseconds").start()
+    def wait(done):
+        deadline = time.time() + 40
+        while not done() and time.time() < deadline:
+            time.sleep(0.3)
+
+    try:
+        wait(lambda: sum(p.numInputRows for p in run.recentProgress) >= 2)
+        time.sleep(3)
+        make(5, "a", "b").coalesce(1).write.mode("append").json(str(folder))  # the same ids, new since they were forgotten
+        wait(lambda: spark.table(name).count())
+    finally:
+        run.stop()
+    assert [r.completed for r in spark.table(name).collect()] == [2]
+
+
+def test_completions_are_remembered_up_to_a_number(spark, tmp_path):
+    def poll(minute, ids, status="success"):
+        return spark.createDataFrame([("s", i, status, f"2024-01-01 00:{minute:02d}:00") for i in ids], "source string, id string, status string, t string").selectExpr("source", "id", "status", "cast(t as timestamp) as ts")
+
+    many = [f"x{i}" for i in range(6000)]
+    polls = [poll(0, ["a"], "running"), poll(5, many), poll(6, many[3000:]), poll(10, many), poll(20, [None, "b"], None), poll(30, ["b"])]
+    with jobs.keyed_state(spark):
+        got = memory(spark, jobs.new_completions(batches_of(spark, tmp_path, *polls)), "append").collect()
+    # the first poll is the baseline, though nothing had finished; of 6000 ids the oldest 2500 were forgotten, in the order of the rows
+    assert [(r.at % 3_600_000 // 60_000, r.completed) for r in sorted(got)][0] == (5, 6000)
+    later = {r.at % 3_600_000 // 60_000: r.completed for r in got}
+    assert sum(later.get(m, 0) for m in (6, 10)) >= 2500 and 20 not in later and later[30] == 1
 
 
 def test_refresh(spark, tmp_path):
