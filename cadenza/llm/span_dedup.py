@@ -29,6 +29,11 @@ SENTENCES, WORDS = 2, 24
 LONGEST, STRIDE = 16, 8
 _CUT = re.compile(r"[.!?,;:][\"'”’)\]]*\s+|[。！？，；：]\s*|\n\s*")
 _WORD = re.compile(r"\S+\s*")
+#: Letters of scripts that are written without spaces between words: each is a word. Thai to Lao, Tibetan,
+#: Burmese, Khmer, kana, and the blocks of Han characters.
+_SPACELESS = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_SPACELESS = re.compile(f"[{_SPACELESS}]")
+_MIXED_WORD = re.compile(rf"(?:[{_SPACELESS}]|[^\s{_SPACELESS}]+)\s*")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD))
 ADDED = {"n_sentences": T.LongType(), "n_removed": T.LongType(), "removed": T.StringType(), "clean_text": T.StringType()}
 
@@ -37,9 +42,9 @@ def _lower(words: list[str]) -> bytes:
     return " ".join(words).encode("utf-8", "surrogatepass").translate(ASCII_LOWER)
 
 
-def _cut_long(text: str, start: int, end: int) -> Iterator[tuple[int, list[str]]]:
+def _cut_long(text: str, start: int, end: int, word: re.Pattern[str]) -> Iterator[tuple[int, list[str]]]:
     words: list[str] = []
-    for m in _WORD.finditer(text, start, end):
+    for m in word.finditer(text, start, end):
         words.append(m[0].rstrip())
         if xxhash.xxh32_intdigest(_lower(words[-1:])) % STRIDE == 0:
             yield m.end(), words
@@ -59,17 +64,19 @@ def cut_text(text: str | None) -> tuple[list[int], list[list[str]]]:
         return ends, each
     start = last = 0
     words: list[str] = []
+    mixed = not text.isascii() and _HAS_SPACELESS.search(text) is not None
+    word = _MIXED_WORD if mixed else _WORD
     marks = [m.end() for m in _CUT.finditer(text)]
     if not marks or marks[-1] < len(text):
         marks.append(len(text))
     for mark in marks:
-        between = text[last:mark].split()
+        between = [w.rstrip() for w in word.findall(text, last, mark)] if mixed else text[last:mark].split()
         words += between
         last = mark
         if len(between) < 2 and mark < len(text):
             continue
         if len(words) > LONGEST:
-            found = list(_cut_long(text, start, mark))
+            found = list(_cut_long(text, start, mark, word))
             found[-1] = (mark, found[-1][1])
             ends += [e for e, _ in found]
             each += [w for _, w in found]
@@ -165,9 +172,9 @@ def _remove(schema: T.StructType, text: str):
 def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, key: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
     """Rows of ``docs`` with n_sentences (pieces), n_removed, removed (ranges of pieces, from 0) and clean_text added.
 
-    Words are cut at white space and compared with A-Z lower-cased. Null texts stay null and empty ones empty, with no
+    Words are cut at white space, and each letter of a script without spaces is one; they are compared with A-Z lower-cased. Null texts stay null and empty ones empty, with no
     sentences. Rows that repeat key and text are one document, and all keep or lose the same pieces; rows of a null key
-    are told apart by their texts. Columns named as those added are replaced; all others come back as they were. An empty
+    are told apart by their texts and come before all others, so that a passage they hold stays with them. Columns named as those added are replaced; all others come back as they were. An empty
     table gives an empty one. Texts are read whole, however long.
     """
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))

@@ -1,7 +1,7 @@
 import random
 import re
 
-from cadenza.llm.span_dedup import remove_repeated_spans, split_sentences
+from cadenza.llm.span_dedup import cut_text, remove_repeated_spans, split_sentences
 
 
 def brute(rows, sentences=2, words=24, within=False):
@@ -125,3 +125,46 @@ def test_passage_without_any_mark(spark):
     got = {i: r.n_removed for (i, _), r in cleaned(spark, rows).items()}
     assert sum(got[i] > 0 for i in range(20, 40)) >= 18 and not any(got[i] for i in range(20))
     assert re.search("w", rows[0][1])
+
+
+def han(rng, n, marks="，。"):
+    """n characters with a mark after every 5 to 20 of them."""
+    out = []
+    while sum(map(len, out)) < n:
+        out.append("".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(rng.randint(5, 20))) + (rng.choice(marks) if marks else ""))
+    return "".join(out)
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(8)
+    shared, plain, thai = han(rng, 600), han(rng, 600, ""), "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(600))
+    rows = []
+    for k, passage in enumerate((shared, plain, thai)):
+        rows += [(10 * k + i, han(rng, 200) + passage + han(rng, 200)) for i in range(3)]
+    rows += [(90 + i, han(rng, 900)) for i in range(4)] + [(95, "mixed 中文 words, and more 日本語 text here. " * 3)]
+    got = {i: r for (i, _), r in cleaned(spark, rows).items()}
+    text = dict(rows)
+    for k, passage in enumerate((shared, plain, thai)):
+        assert got[10 * k].clean_text == text[10 * k]
+        for i in (1, 2):
+            lost = len(text[10 * k + i]) - len(got[10 * k + i].clean_text)
+            assert 0.85 * len(passage) <= lost <= len(passage)
+    assert all(got[i].n_removed == 0 for i in got if i >= 90)
+
+
+def test_words_of_mixed_scripts():
+    ends, each = cut_text("ab 中文c, ด x")
+    assert [w for words in each for w in words] == ["ab", "中", "文", "c,", "ด", "x"] and ends[-1] == len("ab 中文c, ด x")
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice(["中", "文", "ก", "a", "bc", " ", "\n", "。", "，", ". ", ", ", "\u3000", "é"]) for _ in range(rng.randrange(60)))
+        assert "".join(split_sentences(text)) == text
+        ends, each = cut_text(text)
+        assert "".join("".join(w) for w in each) == "".join(text.split()) and len(ends) == len(each)
+
+
+def test_null_ids_come_first(spark):
+    rng = random.Random(10)
+    passage = "".join(sentence(rng) for _ in range(6))
+    got = cleaned(spark, [(1, passage + "Its own end."), (None, passage)])
+    assert got[None, passage].n_removed == 0 and got[1, passage + "Its own end."].clean_text == "Its own end."
