@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as X
@@ -65,10 +65,24 @@ def clean_tracks(files: DataFrame, updated_at, path_depth: int = 2) -> DataFrame
     return finalize(df.drop("_title", "_artist", "_album", "_named", "_usable", "_split", "_path"), updated_at)
 
 
-def stage_counters(tracks: DataFrame) -> DataFrame:
-    """One row: rows, repaired, promotional, from file names, from paths, with lyrics."""
+def _counters() -> list[Column]:
     source = lambda f, v: F.count_if(F.coalesce(F.element_at("sourceMap", f) == v, F.lit(False)))
-    return tracks.agg(
+    return [
         F.count(F.lit(1)).alias("done"), F.count_if("isGarbled").alias("repaired"), F.count_if("isAd").alias("promotional"), source("cleanTitle", "filename").alias("title_from_name"), source("cleanArtist", "filename").alias("artist_from_title"),
         source("cleanArtist", "path").alias("artist_from_path"), F.count_if(F.col("lyrics").isNotNull()).alias("lyrics"),
-    )
+    ]
+
+
+def stage_counters(tracks: DataFrame) -> DataFrame:
+    """One row: rows, repaired, promotional, from file names, from paths, with lyrics."""
+    return tracks.agg(*_counters())
+
+
+def write_counted(tracks: DataFrame, path: str) -> dict[str, int]:
+    """Writes tracks and gives the counters of ``stage_counters``, observed by the job that writes: no pass of their own.
+
+    An empty table is written as such and counts nothing.
+    """
+    seen = Observation("stages")
+    tracks.observe(seen, *_counters()).write.parquet(path)
+    return {k: v or 0 for k, v in seen.get.items()}

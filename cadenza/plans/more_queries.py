@@ -10,9 +10,10 @@ from cadenza.operators import clean as C
 from cadenza.operators import link as L
 from cadenza.operators import quality as Q
 from cadenza.plans.link_queries import _BEST, _NAMES, POOLED_SQL, SCORED_SQL, _pooled, _scored
-from cadenza.plans.registry import query
+from cadenza.plans.registry import ORACLE_SQL, query
 from cadenza.plans.views import tables
 from cadenza.sources import ingest
+from cadenza.sources.shared import work_folder
 
 
 def _files(spark, sf):
@@ -42,6 +43,13 @@ def _a42(spark, sf):
     return C.stage_counters(C.clean_tracks(_files(spark, sf), "2024-01-01"))
 
 
+@query("a42_observed_counters", ORACLE_SQL["a42_stage_counters"])
+def _a42o(spark, sf):
+    # the run that writes the tracks counts them
+    counts = C.write_counted(C.clean_tracks(_files(spark, sf), "2024-01-01"), work_folder(spark, "tracks"))
+    return spark.createDataFrame([counts], ", ".join(f"{k} long" for k in counts))
+
+
 @query("w5_best_by_strategy", f"with {POOLED_SQL} select track_id, source, strategy, c_cand_id from pooled qualify row_number() over (partition by track_id, source, strategy {_BEST}, query_no) = 1")
 def _w5(spark, sf):
     best = L.best_candidate(_pooled(spark, sf), "track_id", "source", "strategy")

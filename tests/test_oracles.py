@@ -9,7 +9,7 @@ from cadenza.plans import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["a1_facets", "a2_coverage", "a6_album_rollup", "a24_weighted_rates", "a34_segments", "f1_catalog_filter", "f1_index_blocks", "f1_indexed_filter", "f1_indexed_short", "f2_artist_album_filter", "j1_match_join", "j5_library_match", "j19_tree_changes", "j8_deletions", "j8_tree_deletions", "m2_merge_fields", "m6_validate_labels", "o6_home_blocks", "o7_indexed_search", "o7_search", "p17_query_forms", "p17_retrieved", "w6_early_stop", "p34_sanitize", "p48_clean_tracks", "q2_stratified_sample", "s9_unwrap", "t1_catalog_refresh_stream", "t3_new_completions_stream", "w11_failure_streaks"]
+NAMES = ["a1_facets", "a2_coverage", "a6_album_rollup", "a24_weighted_rates", "a34_segments", "a42_observed_counters", "a42_stage_counters", "f1_catalog_filter", "f1_index_blocks", "f1_indexed_filter", "f1_indexed_short", "f2_artist_album_filter", "j1_match_join", "j5_library_match", "j19_tree_changes", "j8_deletions", "j8_tree_deletions", "m2_merge_fields", "m6_validate_labels", "o6_home_blocks", "o7_indexed_search", "o7_search", "p17_query_forms", "p17_retrieved", "w6_early_stop", "p34_sanitize", "p48_clean_tracks", "q2_stratified_sample", "s9_unwrap", "t1_catalog_refresh_stream", "t3_new_completions_stream", "w11_failure_streaks"]
 
 
 def plain(value):
