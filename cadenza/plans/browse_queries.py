@@ -311,11 +311,11 @@ def _index(spark, sf: str, what: str) -> S.SearchIndex:
     return found
 
 
-@query("f1_indexed_filter", _tracks(f"select {_LITE} from tracks where contains({_FREE}, '#1medium') and lang = 'en' and contains(src, 'netease')"))
+@query("f1_indexed_filter", _tracks(f"select {_LITE} from tracks where contains({_FREE}, '1medium') and contains(src, 'netease')"))
 def _f1i(spark, sf):
     # the text searched runs from the artist into the album
-    found = S.search_index(spark, _index(spark, sf, "tracks"), "#1MEDIUM")
-    return B.filter_tracks(found, lang="en", source="netease").select(*LITE)
+    found = S.search_index(spark, _index(spark, sf, "tracks"), "1MEDIUM")
+    return B.filter_tracks(found, source="netease").select(*LITE)
 
 
 @query("f1_indexed_short", _tracks(f"select {_LITE} from tracks where contains({_FREE}, '7e')"))
