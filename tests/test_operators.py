@@ -138,7 +138,9 @@ def test_medians_and_progress_by_ranges(spark):
     df = spark.createDataFrame(rows, "source string, elapsed double")
     got = {r[0]: r[1] for r in Q.upper_median(df, "source", "elapsed", ranges=7).collect()}
     assert got == {k: sorted(vs)[len(vs) // 2] for k, vs in values.items()}
-    assert {r.source: r.upper_median for r in Q.latency_summary(df, "source", 10).collect()} == got | {"e": None}
+    summary = Q.latency_summary(df.withColumn("q", F.expr("case when elapsed > 3 then 'x' end")), "source", 10).collect()
+    assert {r.source: r.upper_median for r in summary} == got | {"e": None}
+    assert {r.source: r.requests_each for r in summary} == {k: len(vs) + 1 for k, vs in values.items()} | {"e": 1}
     log = spark.createDataFrame([(s, 2) for s in (1, 5, 5, 12, 30, 31)], "second long, done long")
     got = sorted((r.second, r.done, r.rate) for r in Q.run_progress(log, 12, range_width=10).collect())
     assert got == [(1, 2, 2.0), (5, 6, 1.2), (12, 8, round(8 / 12, 6)), (30, 10, round(10 / 30, 6)), (31, 12, round(12 / 31, 6))]
