@@ -77,3 +77,9 @@ def test_values(spark):
         assert one(spark, V.response_verdict(F.lit(status), F.lit(body))) == want
     png = bytes.fromhex("89504e470d0a1a0a0000000d49484452") + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
     assert tuple(one(spark, V.sniff_image(F.col("b")), b=bytearray(png))) == ("image/png", 640, 480)
+
+
+def test_accents_in_pairs_are_no_broken_encoding(spark):
+    whole = ["Outionch ouoneux éçon, ééon.", "Éçon ééon", "onéé onéé", "crééon, suppléé"]
+    many(spark, X.repair_mojibake, [(s, s) for s in whole] + [("ÇçÌìlive", "晴天live")])
+    many(spark, X.is_garbled, [(s, False) for s in whole] + [("ÇçÌìlive", True)])
