@@ -137,3 +137,26 @@ def test_retrieval_ranks_as_if_all_candidates_were_scored(spark):
     got = R.retrieve(spark.createDataFrame(asked, "track_id long, query_no int, q string"), index, 5)
     assert {(r.track_id, r.query_no, r.id, r.relevance, r.rank) for r in got.collect()} == want
     assert R.retrieve(spark.createDataFrame([(1, 0, None), (2, 0, "unseen")], "track_id long, query_no int, q string"), index).count() == 0
+
+
+def joins_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_side_that_grows_is_broadcast(spark):
+    """Sizes of compressed files say little about rows in the driver's memory."""
+    local = spark.createDataFrame([(i, f"red ring {i}", "Brand", True, 60) for i in range(20)], "track_id long, title_key string, artist string, artist_usable boolean, seconds int")
+    cands = local.selectExpr("track_id as c_cand_id", "title_key as c_title_key", "artist as c_artist", "seconds as c_seconds")
+    plan = joins_of(L.match_and_score(local, cands))
+    # the table of frequencies, joined by id, has a fixed size
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "[id#" not in x] and "SortMergeJoin" in plan
+    items = local.selectExpr("track_id as item", "title_key as name", "artist")
+    library = local.selectExpr("track_id as id", "track_id as seq", "title_key as title", "artist", "title_key || '.mp3' as fileName")
+    assert "BroadcastHashJoin" not in joins_of(L.downloaded_report(items, library))
+
+
+def test_retrieval_broadcasts_no_side_that_grows(spark):
+    cands = spark.createDataFrame([(i, f"red ring {i}") for i in range(20)], "id long, t string").coalesce(1)
+    asked = cands.selectExpr("id as track_id", "0 as query_no", "t as q")
+    assert "BroadcastHashJoin" not in joins_of(R.retrieve(asked, R.build_index(cands, "id", F.col("t"))))
