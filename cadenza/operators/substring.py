@@ -1,7 +1,7 @@
 """Substring search: a stored index of 3-grams with bitmaps of row blocks.
 
 Rows are stored in order of given columns, in zones (folders) of about ``ZONE_ROWS`` rows, and inside a zone in blocks of
-``BLOCK_ROWS``. For each gram of the folded text the index has a bitmap of the blocks of a zone that hold it. A search
+``BLOCK_ROWS``. A task sorts one zone, or counts the grams of one, so zones bound its memory. For each gram of the folded text the index has a bitmap of the blocks of a zone that hold it. A search
 meets the bitmaps of its grams, reads the blocks that are left, and verifies each row by ``contains``; so its rows are those
 of a scan. Texts that repeat from row to row, as names of artists and albums do, share blocks when they are in the order.
 
@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from cadenza.sources.shared import work_folder
 
 GRAM = 3
-BLOCK_ROWS, ZONE_ROWS = 64, 1 << 20
+BLOCK_ROWS, ZONE_ROWS = 64, 1 << 16
 #: Up to so many blocks are named to the scan as values; more are met by a join.
 LISTED = 1000
 _PLACE = ("_zone", "_block")
 #: A block's number is its zone times this plus its number in the zone, from 1 as bitmaps count.
 _APART = 1 << 33
+#: Bytes of a whole bitmap.
+_BYTES = 4096
 
 
 @dataclass(frozen=True)
@@ -66,7 +68,10 @@ def build_search_index(df: DataFrame, text: Column, order: Sequence[str], zone_r
     placed.write.option("parquet.page.row.count.limit", block_rows).partitionBy("_zone").parquet(index.rows)
     held = index.table(spark).select(*_PLACE, F.explode(grams(text)).alias("gram"))
     block = F.col("_block") - F.col("_zone") * F.lit(_APART)
-    bits = held.groupBy("gram", "_zone", F.bitmap_bucket_number(block).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(block)).alias("blocks"))
+    bit = F.bitmap_bit_position(block)
+    bits = held.groupBy("gram", "_zone", F.bitmap_bucket_number(block).alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("blocks"), F.max(bit).alias("last"))
+    # without the empty bytes behind the last block: a zone fills a small part of a bitmap's 4096
+    bits = bits.select("gram", "_zone", "bucket", F.substring("blocks", F.lit(1), (F.floor(F.col("last") / 8) + 1).cast("int")).alias("blocks"))
     bits.repartitionByRange("gram").sortWithinPartitions("gram", "_zone").write.parquet(index.grams)
     return index
 
@@ -76,7 +81,7 @@ def blocks_of(spark: SparkSession, index: SearchIndex, q: str) -> DataFrame:
     low = q.lower()
     wanted = sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
     known = spark.read.schema("gram string, _zone int, bucket bigint, blocks binary").parquet(index.grams).where(F.col("gram").isin(wanted))
-    both = known.groupBy("_zone", "bucket").agg(F.bitmap_and_agg("blocks").alias("blocks"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
+    both = known.groupBy("_zone", "bucket").agg(F.bitmap_and_agg(F.rpad("blocks", _BYTES, F.lit(b"\0"))).alias("blocks"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
     digits = F.hex("blocks")
     value = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")  # noqa: E731  byte i
     filled = F.filter(F.sequence(F.lit(0), F.length("blocks") - 1), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)) != "00")

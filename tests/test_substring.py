@@ -50,3 +50,10 @@ def test_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "id long, t string")
     index = S.build_search_index(empty, F.col("t"), ["t"], folder=str(tmp_path / "i"))
     assert S.search_index(spark, index, "abc").collect() == [] and S.search_index(spark, index, "a").collect() == []
+
+
+def test_bitmaps_end_with_their_last_block(spark, index):
+    """A zone of few rows holds few blocks; whole bitmaps of 4096 bytes for each gram of each zone would outweigh the rows."""
+    assert S.ZONE_ROWS <= 1 << 16
+    stored = spark.read.parquet(index.grams).agg(F.max(F.length("blocks")).alias("most"), F.min(F.length("blocks")).alias("least")).first()
+    assert 1 <= stored.least and stored.most < 4096
