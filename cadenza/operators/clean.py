@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import text as X
 from cadenza.functions.values import stable_id, year_to_era
 from cadenza.operators.merge import finalize
+from cadenza.sources.shared import dealt
 
 LEAST_LYRICS = 10
 
@@ -24,7 +25,7 @@ def clean_tracks(files: DataFrame, updated_at, path_depth: int = 2) -> DataFrame
         if name not in files.columns:
             files = files.withColumn(name, F.lit(None).cast(kind))
     raw = {c: F.col(c) for c in ("title", "artist", "album")}
-    df = files.withColumns({f"_{c}": F.trim(X.blank(X.repair_mojibake(v))) for c, v in raw.items()})
+    df = dealt(files).withColumns({f"_{c}": F.trim(X.blank(X.repair_mojibake(v))) for c, v in raw.items()})
     garbled = [F.coalesce(F.col(f"_{c}") != F.trim(X.blank(v)), F.lit(False)) for c, v in raw.items()]
     named = F.col("_title") == ""
     usable = ~X.is_pseudo_artist(F.col("_artist")) & ~X.is_promo(F.col("_artist"))
