@@ -9,6 +9,7 @@ from cadenza.functions import values as V
 from cadenza.plans.registry import query
 from cadenza.plans.views import TASKS_SQL, tables, tasks
 from cadenza.sources import ingest, sinks
+from cadenza.sources.shared import dealt
 
 
 def _docs(spark, sf):
@@ -152,7 +153,7 @@ def _p19(spark, sf):
 def _p20(spark, sf):
     p = tables(spark, sf, "part").selectExpr("p_partkey as id", "p_name || ' feat. ' || p_brand as a", "case when p_partkey % 2 = 0 then p_brand || ' & zzz' else '12345' end as b")
     s = X.artist_similarity(F.col("a"), F.col("b"))
-    return p.select("id", F.when(s < 0.5, 0.0).otherwise(s).alias("s"))
+    return dealt(p).select("id", F.when(s < 0.5, 0.0).otherwise(s).alias("s"))
 
 
 _NEIGHBOURS_SQL = "n as (select a.p_partkey as id, replace(a.p_name, ' ', '') as a, case when b.p_partkey % 3 = 0 then substr(replace(b.p_name, ' ', ''), 1, 4) else replace(b.p_name, ' ', '') end as b from part a join part b on b.p_partkey = a.p_partkey + 1)"
