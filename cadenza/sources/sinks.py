@@ -36,8 +36,10 @@ def export_json(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_catalog(df: DataFrame, path: str, order: str = "filePath") -> None:
-    """Parquet with rows in the order of their paths inside each file, which lets readers skip by path."""
-    df.sortWithinPartitions(order, "id").write.parquet(path)
+    """Parquet in ranges of paths, with rows in the order of their paths inside each file, which lets readers skip by path."""
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    df.repartitionByRange(ranges, order, "id").sortWithinPartitions(order, "id").write.parquet(path)
 
 
 def write_report(metrics: DataFrame, path: str) -> None:

@@ -175,3 +175,18 @@ def test_sidecar_files(spark, tmp_path):
     (tmp_path / "s" / "two.txt").write_text("no")
     got = ingest.sidecar_lyrics(spark, str(tmp_path / "s")).collect()
     assert [(r.stem.rsplit("/", 2)[1:], r.lyrics) for r in got] == [(["x", "one"], "la\nla")]
+
+
+def test_one_small_file_is_worked_on_in_many_tasks(spark, tmp_path):
+    """A file of a few MB is one split, whatever the rows cost."""
+    from cadenza.operators.clean import clean_tracks
+    from cadenza.plans import QUERIES
+
+    names = "filePath string, fileName string, dirDepth int, title string, artist string, album string, year int, lyrics string, durationSec int"
+    files = spark.createDataFrame([(f"a/b/{i}.mp3", f"{i}.mp3", 2, f"t{i}", "x", "y", 2000, None, 100) for i in range(200)], names).coalesce(1)
+    assert clean_tracks(files, "2024-01-01").rdd.getNumPartitions() > 1
+    spark.range(200).selectExpr("id as p_partkey", "'red ring' as p_name", "'Brand#1' as p_brand").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert QUERIES["p20_artist_similarity"](spark, str(tmp_path)).rdd.getNumPartitions() > 1
+    sinks.write_catalog(spark.range(2000).selectExpr("cast(id as string) as id", "concat('f', id) as filePath").coalesce(1), str(tmp_path / "catalog"))
+    kept = spark.read.parquet(str(tmp_path / "catalog")).groupBy(F.input_file_name()).agg(F.min("filePath").alias("a"), F.max("filePath").alias("b")).orderBy("a").collect()
+    assert len(kept) > 1 and all(x.b < y.a for x, y in zip(kept, kept[1:]))
