@@ -83,3 +83,10 @@ def test_accents_in_pairs_are_no_broken_encoding(spark):
     whole = ["Outionch ouoneux éçon, ééon.", "Éçon ééon", "onéé onéé", "crééon, suppléé"]
     many(spark, X.repair_mojibake, [(s, s) for s in whole] + [("ÇçÌìlive", "晴天live")])
     many(spark, X.is_garbled, [(s, False) for s in whole] + [("ÇçÌìlive", True)])
+
+
+def test_words_of_accents_alone_are_no_broken_encoding(spark):
+    whole = ["reelle reelle çê, çê, çê.", "au èè èè èè", "Çê çê. Çê", "éèçê éèçê"]
+    broken = [("ÖÐ ¹ú", "中 国"), ("Áõçæ", "刘珂")]
+    many(spark, X.repair_mojibake, [(s, s) for s in whole] + broken)
+    many(spark, X.is_garbled, [(s, False) for s in whole] + [(s, True) for s, _ in broken])
