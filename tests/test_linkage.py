@@ -160,3 +160,17 @@ def test_retrieval_broadcasts_no_side_that_grows(spark):
     cands = spark.createDataFrame([(i, f"red ring {i}") for i in range(20)], "id long, t string").coalesce(1)
     asked = cands.selectExpr("id as track_id", "0 as query_no", "t as q")
     assert "BroadcastHashJoin" not in joins_of(R.retrieve(asked, R.build_index(cands, "id", F.col("t"))))
+
+
+def test_best_without_hit_sees_weak_pairs_conflicts_and_misses(spark):
+    rng = random.Random(3)
+    titles = ["bluesong", "bluesing", "redsong", "greenhill", "a", "nightsky", "nightskies"]
+    one = [(i, rng.choice(titles) + "xyz"[: i % 4], rng.choice(("ann", "bob & zed", "")), i % 4 > 0, rng.choice((0, 100, 170, 700))) for i in range(30)]
+    two = [(i, 90 - i, rng.choice("mn"), rng.choice(titles), rng.choice(("anne", "zed / ann", "")), rng.choice((0, 110, 200, 790))) for i in range(40)]
+    local = spark.createDataFrame(one, "track_id long, title_key string, artist string, artist_usable boolean, seconds int")
+    cands = spark.createDataFrame(two, "c_cand_id long, seq long, source string, c_title_key string, c_artist string, c_seconds int")
+    every = L.best_candidate(L.pair_score(local.crossJoin(cands)), "track_id", "source").where("strict.tier not in ('likely', 'exact')")
+    plain = lambda df: sorted((r.track_id, r.source, r.c_cand_id, r.conflict, r.titleSim, r.artistSim, r.strict, r.relaxed) for r in df.collect())
+    got, want = plain(L.best_without_hit(local, cands, L.match_and_score(local, cands))), plain(every)
+    assert got == want
+    assert {x[6].tier for x in want} == {"weak", "miss"} and any(x[3] for x in want)
