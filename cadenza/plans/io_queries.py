@@ -97,6 +97,10 @@ def _in_turn(spark, name: str, parts, run):
         run(spark.readStream.schema(part.schema).parquet(folder)).awaitTermination()
 
 
+#: States over which the ids of a source are spread.
+SLOTS = 32
+
+
 @query(
     "t3_new_completions_stream",
     """with done as (select o_orderpriority as source, year(o_orderdate) as y, o_orderdate as ts from orders where o_orderstatus = 'F')
@@ -109,7 +113,7 @@ def _t3(spark, sf):
     out, marks = work_folder(spark, "signals"), work_folder(spark, "signals-state")
     # the ids of each poll may be more than are remembered by default
     with jobs.keyed_state(spark):
-        _in_turn(spark, "polls", polls, lambda s: jobs.new_completions(s, most=1 << 40).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start())
+        _in_turn(spark, "polls", polls, lambda s: jobs.new_completions(s, most=1 << 40, slots=SLOTS).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start())
     return spark.read.schema("source string, at long, completed long").parquet(out)
 
 

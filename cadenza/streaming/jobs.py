@@ -136,9 +136,9 @@ class Completions(StatefulProcessor):
         self.order = handle.getMapState("order", "number long", "id string", self.ttl)
         self.known = handle.getValueState("known", "first long, next long, last long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        primed = self.known.exists()
-        first, start, last = self.known.get() if primed else (0, 0, 0)
+    def remember(self, rows: Iterator[pd.DataFrame]) -> tuple[int, int, int, int]:
+        """The new ids' number and newest time, and the numbers of the first known id and the next."""
+        first, start, _ = self.known.get() if self.known.exists() else (0, 0, 0)
         number, now, fresh = start, 0, 0
         for piece in rows:  # one piece at a time: neither a source's batch nor its ids are held as a whole
             finished = piece[piece["done"] & piece["id"].notna()].groupby("id", sort=False)["at"].max()
@@ -161,6 +161,12 @@ class Completions(StatefulProcessor):
                     if self.seen.getValue(id_) == (n,):
                         self.seen.removeKey(id_)
             first = cut
+        return fresh, now, first, number
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        primed = self.known.exists()
+        last = self.known.get()[2] if primed else 0
+        fresh, now, first, number = self.remember(rows)
         fire = primed and fresh > 0 and now - last >= self.cooldown
         self.known.update((first, number, now if fire else last))
         if fire:
@@ -170,7 +176,39 @@ class Completions(StatefulProcessor):
         pass
 
 
-def new_completions(tasks: DataFrame, most: int = SEEN, cooldown: int = COOLDOWN_MS, ttl: int | None = None) -> DataFrame:
+class SlotCompletions(Completions):
+    """The seen ids of one slot of a source: in every batch their new number and newest time, for ``Signals``."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh, now, first, number = self.remember(rows)
+        self.known.update((first, number, 0))
+        yield pd.DataFrame({"source": [key[0]], "at": [now], "completed": [fresh]})
+
+
+class Signals(StatefulProcessor):
+    """One source's baseline and cool-down over what its slots found, a row for each slot."""
+
+    def __init__(self, cooldown: int):
+        self.cooldown = cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        primed = self.last.exists()
+        last, now, fresh = self.last.get()[0] if primed else 0, 0, 0
+        for piece in rows:
+            now, fresh = max(now, int(piece["at"].max())), fresh + int(piece["completed"].sum())
+        fire = primed and fresh > 0 and now - last >= self.cooldown
+        self.last.update((now if fire else last,))
+        if fire:
+            yield pd.DataFrame({"source": [key[0]], "at": [now], "completed": [fresh]})
+
+    def close(self) -> None:
+        pass
+
+
+def new_completions(tasks: DataFrame, most: int = SEEN, cooldown: int = COOLDOWN_MS, ttl: int | None = None, slots: int = 1) -> DataFrame:
     """Refresh signals (source, at, completed) of a stream of tasks (source, id, status, ts): ids that finished since the batch before.
 
     One stateful operator (``Completions``); start the stream inside ``keyed_state``. Polls that repeat all finished tasks
@@ -178,7 +216,14 @@ def new_completions(tasks: DataFrame, most: int = SEEN, cooldown: int = COOLDOWN
     one batch the order of ids is that of its rows after the shuffle. Rows of a null id or status only make the baseline;
     those of a null ts count as old. A ``ttl`` is in ms of the machine's time; Spark then runs batches without data as well, so
     that a stream with the trigger ``availableNow`` wouldn't end: give such a stream a trigger by time.
+
+    With ``slots`` the ids of a source are spread by hash over so many states and tasks, and a second operator has its baseline and
+    cool-down. Each slot then forgets by itself, while over ``most`` / ``slots`` of its ids are known.
     """
     at = F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")), F.lit(0).cast("bigint"))
     rows = tasks.select("source", F.col("id").cast("string").alias("id"), at.alias("at"), F.coalesce(F.col("status") == "success", F.lit(False)).alias("done"))
-    return rows.groupBy("source").transformWithStateInPandas(Completions(most, cooldown, ttl), "source string, at long, completed long", "append", "none" if ttl is None else "processingTime")
+    found, mode = "source string, at long, completed long", "none" if ttl is None else "processingTime"
+    if slots == 1:
+        return rows.groupBy("source").transformWithStateInPandas(Completions(most, cooldown, ttl), found, "append", mode)
+    each = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots))).groupBy("source", "slot").transformWithStateInPandas(SlotCompletions(-(-most // slots), cooldown, ttl), found, "append", mode)
+    return each.groupBy("source").transformWithStateInPandas(Signals(cooldown), found, "append", mode)

@@ -190,3 +190,17 @@ def test_one_small_file_is_worked_on_in_many_tasks(spark, tmp_path):
     sinks.write_catalog(spark.range(2000).selectExpr("cast(id as string) as id", "concat('f', id) as filePath").coalesce(1), str(tmp_path / "catalog"))
     kept = spark.read.parquet(str(tmp_path / "catalog")).groupBy(F.input_file_name()).agg(F.min("filePath").alias("a"), F.max("filePath").alias("b")).orderBy("a").collect()
     assert len(kept) > 1 and all(x.b < y.a for x, y in zip(kept, kept[1:]))
+
+
+def test_completions_in_slots_give_the_same_signals(spark, tmp_path):
+    def poll(minute, source, ids, status="success"):
+        return spark.createDataFrame([(source, i, status, f"2024-01-01 00:{minute:02d}:00") for i in ids], "source string, id string, status string, t string").selectExpr("source", "id", "status", "cast(t as timestamp) as ts")
+
+    ids = [f"x{i}" for i in range(200)]
+    polls = [poll(0, "s", ["a"], "running").unionByName(poll(0, "r", ids)), poll(5, "s", ids).unionByName(poll(5, "r", ids)), poll(5, "s", ["late"]), poll(9, "r", [*ids, "y"]), poll(20, "s", [None, "b"], None), poll(30, "s", ["b", *ids])]
+    signals = {}
+    with jobs.keyed_state(spark):
+        for n in (1, 8):
+            stream = jobs.new_completions(batches_of(spark, tmp_path / str(n), *polls), slots=n)
+            signals[n] = sorted((r.source, r.at % 3_600_000 // 60_000, r.completed) for r in memory(spark, stream, "append").collect())
+    assert signals[8] == signals[1] == [("r", 9, 1), ("s", 5, 200), ("s", 30, 1)]
