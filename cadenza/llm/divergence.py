@@ -24,7 +24,7 @@ LETTERS = bytes(32 if ASCII_LOWER[b] < 97 or 122 < ASCII_LOWER[b] < 128 else ASC
 #: A probability of 1 as an integer.
 UNIT = 1_000_000_000
 #: Entries that a task's counters hold before they are given on.
-MOST_HELD = 400_000
+MOST_HELD = 800_000
 #: Parts into which the rows of one source are split before the last ranking.
 SALTS = 32
 
@@ -33,17 +33,16 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, source, text -> lang, source, term, count, docs, summed up for what the task has read; a null term for each group."""
     counts: dict[tuple, Counter] = defaultdict(Counter)
     holders: dict[tuple, Counter] = defaultdict(Counter)
-    names, schema = ("lang", "source", "term", "count", "docs"), [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["lang", "source", "term", "count", "docs"]
 
     def given() -> Iterator[pa.RecordBatch]:
         for (lang, source), own in counts.items():
-            terms, held = [None, *own], holders[lang, source]
-            for start in range(0, len(terms), 50_000):
-                part = terms[start : start + 50_000]
-                columns = [[lang] * len(part), [source] * len(part), part, [own[t] if t else 0 for t in part], [held[t] if t else 0 for t in part]]
-                arrays = [pa.array(c, t) for c, t in zip(columns, schema, strict=True)]
-                arrays[2] = arrays[2].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, names)
+            held = holders[lang, source]
+            columns = [None, *own], [0, *own.values()], [0, *map(held.__getitem__, own)]
+            for start in range(0, len(own) + 1, 50_000):
+                terms, times, docs = (c[start : start + 50_000] for c in columns)
+                group = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*group, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), pa.array(docs, pa.int64())], names)
         counts.clear(), holders.clear()
 
     for batch in batches:
