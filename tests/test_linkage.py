@@ -74,6 +74,25 @@ def test_near_pairs_are_those_of_all_pairs(spark):
         assert {tuple(r) for r in S.near_pairs(one, two, least).collect()} == want
 
 
+def test_near_pairs_are_narrowed_before_they_are_compared(spark):
+    rng = random.Random(5)
+    rows = [("".join(rng.choice("abc") for _ in range(rng.randrange(12))), rng.randrange(3)) for _ in range(160)]
+    one = spark.createDataFrame([(i, *r) for i, r in enumerate(rows[:80])], "l long, x string, g int")
+    two = spark.createDataFrame([(i, *r) for i, r in enumerate(rows[80:])], "r long, y string, h int")
+    need = F.when(F.col("x_g") == 0, 0.9).otherwise(0.6)
+    least = lambda g: 0.9 if g == 0 else 0.6
+    want = {(i, j) for i, (a, g) in enumerate(rows[:80]) for j, (b, h) in enumerate(rows[80:]) if a and b and g != h and 1 - distance(a, b) / max(len(a), len(b)) >= least(g) - 1e-12}
+    assert {tuple(r) for r in S.near_pairs(one, two, 0.6, F.col("x_g") != F.col("y_h"), need, (("g",), ("h",))).collect()} == want
+
+
+def test_titles_are_not_compared_where_all_artists_are_alike(spark):
+    local = spark.createDataFrame([(1, "ann"), (2, "zed")], "l long, artist string")
+    cands = spark.createDataFrame([("ann",), ("anna",), ("",)], "c_artist string")
+    masks = {r.artist: r.alike_mask for r in L._alike_classes(cands, L.alike_artists(local, cands)).collect()}
+    every = cands.where("c_artist <> ''").agg(F.bit_or(L._class_bit())).first()[0]
+    assert masks == {"ann": every}
+
+
 def test_library_match_stages(spark):
     library = [(1, 1, "Blue Song", "Ann", "x.mp3"), (2, 2, "Other", "Bob", "Deep River - Bob.mp3"), (3, 3, "Na", "Ann", "Na.mp3")]
     items = [(1, "blue song", "Ann"), (2, "The Blue Song", "Ann"), (3, "Deep River live", "Bob"), (4, "Deep", "Bob"), (5, "zz", "Ann"), (6, "Banana", "Ann"), (7, "blue song", "Zoe")]
