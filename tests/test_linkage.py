@@ -158,6 +158,25 @@ def test_retrieval_ranks_as_if_all_candidates_were_scored(spark):
     assert R.retrieve(spark.createDataFrame([(1, 0, None), (2, 0, "unseen")], "track_id long, query_no int, q string"), index).count() == 0
 
 
+def test_common_terms_are_looked_up_among_the_smallest_ids_first(spark, monkeypatch):
+    """Of 400 holders of each of two terms 5 are wanted: no subset that has them may meet the others."""
+    monkeypatch.setattr(R, "COMMON_HOLDERS", 30)
+    rng, met = random.Random(8), []
+    cands = [(i, f"red {'ring' if rng.random() < 0.9 else 'plate'} {'late' if i > 380 else ''} {i}") for i in range(400)]
+    plain = R._first_holders
+    monkeypatch.setattr(R, "_first_holders", lambda wanted, postings, k, deal: met.append(({r.subset for r in wanted.collect()}, postings.count())) or plain(wanted, postings, k, deal))
+    index = R.build_index(spark.createDataFrame(cands, "c long, t string"), "c", F.col("t"))
+    asked = [(1, 0, "red ring"), (2, 0, "red plate"), (3, 0, "ring 7"), (4, 0, "late red"), (5, 0, "ring plate red late")]
+    got = R.retrieve(spark.createDataFrame(asked, "track_id long, query_no int, q string"), index, 5).collect()
+    tokens, weight = {c: set(t.split()) for c, t in cands}, {r.term: r.weight for r in index[1].collect()}
+    for i, _, q in asked:
+        scores = sorted((-sum(weight[w] for w in q.split() if w in ts), c) for c, ts in tokens.items() if ts & set(q.split()))
+        assert [(r.id, r.relevance) for r in sorted(got, key=lambda r: r.rank) if r.track_id == i] == [(c, -s) for s, c in scores[:5]]
+    rare, rest = met[-2], met[-1]
+    assert {"red", "ring", "ring red"} <= met[0][0] and not {"red", "ring", "ring red"} & (rare[0] | rest[0])
+    assert met[0][1] < met[-1][1] / 4 and "late" in rare[0]
+
+
 def joins_of(df):
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
