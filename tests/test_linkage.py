@@ -9,6 +9,7 @@ from cadenza.functions import text as X
 from cadenza.operators import link as L
 from cadenza.operators import retrieve as R
 from cadenza.operators import similar as S
+from cadenza.plans import ORACLE_SQL, QUERIES
 
 
 def distance(a, b):
@@ -158,6 +159,29 @@ def test_retrieval_ranks_as_if_all_candidates_were_scored(spark):
     assert R.retrieve(spark.createDataFrame([(1, 0, None), (2, 0, "unseen")], "track_id long, query_no int, q string"), index).count() == 0
 
 
+def test_retrieval_counts_every_term_of_a_query(spark):
+    """Up to twelve terms, all of them common: the best by all of them aren't the best by the rarest four or six."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(14)]
+    cands = [(i, " ".join(rng.sample(words, rng.randrange(1, 9)))) for i in range(300)]
+    asked = [(i, 0, " ".join(rng.sample(words, rng.randrange(1, 13)))) for i in range(40)]
+    index = R.build_index(spark.createDataFrame(cands, "c long, t string"), "c", F.col("t"))
+    known = {r.term: (r.df, r.weight) for r in index[1].collect()}
+    rank = lambda ts: sorted((-sum(known[w][1] for w in ts if w in t.split()), c) for c, t in cands if ts & set(t.split()))[:5]
+    want = {i: rank(set(q.split())) for i, _, q in asked}
+    rarest = lambda q: set(sorted(q.split(), key=lambda w: (known[w][0], w))[: R.SUBSET_TERMS])
+    assert sum([c for _, c in want[i]] != [c for _, c in rank(rarest(q))] for i, _, q in asked) > 10
+    got = R.retrieve(spark.createDataFrame(asked, "track_id long, query_no int, q string"), index, 5).collect()
+    assert {i: [(-r.relevance, r.id) for r in sorted(got, key=lambda r: r.rank) if r.track_id == i] for i in want} == want
+
+
+def test_tracks_ask_all_of_their_queries(spark):
+    """A title that names its artist gives four queries, and none is left out."""
+    df = QUERIES["p17_retrieved"](spark, "/root/testdata/sf0.001")
+    assert {r.query_no for r in df.where("track_id % 4 = 1 and track_id % 9 <> 0").select("query_no").distinct().collect()} == {0, 1, 2, 3}
+    assert "by df, term) <=" not in ORACLE_SQL["p17_retrieved"] + ORACLE_SQL["a23_strategy_comparison"] + ORACLE_SQL["w5_best_by_strategy"]
+
+
 def test_common_terms_are_looked_up_among_the_smallest_ids_first(spark, monkeypatch):
     """Of 400 holders of each of two terms 5 are wanted: no subset that has them may meet the others."""
     monkeypatch.setattr(R, "COMMON_HOLDERS", 30)
