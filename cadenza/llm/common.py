@@ -10,6 +10,7 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +102,17 @@ def column_at(batch: pa.RecordBatch, path: str) -> pa.Array:
     return out
 
 
+def slices(batch: pa.RecordBatch, text: str, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch, of at most so many rows and bytes of the column ``text``; a longer text is a part by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = min(max(int(np.searchsorted(ends, before + size, "right")), start + 1), start + rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def is_held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model may learn from; a null id is held out too."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
@@ -115,16 +127,18 @@ ALNUM_LOWER = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128
 
 
 class TokenHashes(dict):
-    """64-bit hashes of tokens (bytes), kept while there are fewer than ``most``."""
+    """64-bit hashes of tokens (bytes), those of up to ``longest`` bytes kept while there are fewer than ``most``."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 400_000, longest: int = 64):
         super().__init__()
-        self.most = most
+        self.most, self.longest = most, longest
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[token] = self.of(token)
+        value = self.of(token)
+        if len(token) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[token] = value
         return value
 
     def of(self, token: bytes) -> int:

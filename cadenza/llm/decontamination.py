@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import TokenHashes, alnum_tokens, materialize
+from cadenza.llm.common import TokenHashes, alnum_tokens, materialize, slices
 
 #: Bits of the filter on benchmark terms that goes to the tasks: 512 KiB, however large the benchmark is.
 FILTER_BITS = 22
@@ -52,8 +52,7 @@ def _postings(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(np.unpackbits(np.frombuffer(wanted.value, np.uint8)))
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for batch in slices(whole, "text"):
                 rows = [known.array(alnum_tokens(t)) for t in batch.column("text").to_pylist()]
                 n_words = np.array([len(r) for r in rows], np.int64)
                 terms = np.concatenate(rows)
@@ -122,17 +121,20 @@ def find_matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFra
         lookup = F.broadcast(lookup)
     found = materialize(index.select("row", F.explode("terms").alias("t")).join(lookup, "t").select("row", "win"), "candidates")
     detail = plans.select("win", "item_id", F.col("terms").alias("want"), "t", "at")
-    lists = F.map_from_arrays("terms", "positions")
+    # of a document's lists those of the window's terms go on; where it lacks one of them, none
+    places = F.transform("want", lambda t: F.element_at("positions", F.array_position("terms", t).cast("int")))
     placed = (
         found.join(detail, "win")
-        .join(index.select("row", lists.alias("lists")), "row")
-        .select("row", "win", "item_id", "want", "lists", F.explode(F.transform(F.element_at("lists", F.col("t")), lambda p: p - F.col("at"))).alias("start"))
+        .join(index.select("row", "terms", "positions"), "row")
+        .where(F.forall("want", lambda t: F.array_contains("terms", t)))
+        .select("row", "win", "item_id", "want", "at", places.alias("places"))
+        .select("row", "win", "item_id", "want", "places", F.explode(F.transform(F.element_at("places", F.col("at") + 1), lambda p: p - F.col("at"))).alias("start"))
         .where(F.col("start") >= -2 * slop)
     )
 
     def term_near(reach: int):
         def at(i):
-            places = F.element_at("lists", F.element_at("want", i + 1))
+            places = F.element_at("places", i + 1)
             here = F.array_contains(places, (F.col("start") + i).cast("int")) if reach == 0 else F.exists(places, lambda p: F.abs(p - F.col("start") - i) <= reach)
             return F.coalesce(here, F.lit(False))
 

@@ -6,12 +6,15 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import language_id, quality_classifier, quality_rules, queries, secret_scan, sharding
-from cadenza.llm.common import is_held_out
+from cadenza.llm import decontamination, language_id, quality_classifier, quality_rules, queries, secret_scan, sharding
+from cadenza.llm.common import TokenHashes, is_held_out
 from cadenza.llm.decontamination import build_index, contamination, find_matches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -435,3 +438,18 @@ def test_keys_that_are_no_integers_are_hashed(spark):
     assert len(out) == 202 and all(sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out))) for s in range(6))
     assert all(len({r.shard for r in out if r.doc_id == k}) == 1 and r.grown_shard in (r.shard, 6) for r in out for k in [r.doc_id])
     assert len({r.shard for r in out}) == 6 and next(r.shard for r in out if r.doc_id is None) == 0
+
+
+def test_postings_of_long_texts_are_made_in_slices_of_bounded_bytes():
+    """What a task holds at once depends on bytes, not on how many rows a batch has; long tokens aren't kept."""
+    words = " ".join(f"word{i}" for i in range(15_000))
+    texts = [words if i % 3 else None if i % 2 else "word1 word7" for i in range(120)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(120)), "text": texts})
+    none = SimpleNamespace(value=np.packbits(np.ones(1 << decontamination.FILTER_BITS, bool)).tobytes())
+    made = list(decontamination._postings(none)(iter([batch])))
+    sizes = [sum(len(texts[i] or "") for i in part.column("doc_id").to_pylist()) for part in made]
+    assert [i for part in made for i in part.column("doc_id").to_pylist()] == list(range(120))
+    assert [n for part in made for n in part.column("n_words").to_pylist()] == [len((t or "").split()) for t in texts]
+    assert max(sizes) <= 4 << 20 < sum(sizes)
+    hashes = TokenHashes()
+    assert hashes[b"x" * 5000] == hashes.of(b"x" * 5000) and hashes[b"short"] and list(hashes) == [b"short"]
